@@ -97,7 +97,9 @@ def welch_t(df: DataFrame, value: str, first: Column, second: Column) -> DataFra
     return out.withColumn("p", t_p_value(F.col("t"), F.col("df"))).drop("_v1", "_v2")
 
 
-_TIES = F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n"))
+def _ties() -> Column:
+    """Sum of t^3 - t over the groups of equal values of a ladder."""
+    return F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n"))
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column, second: Column, alternative: str = "two-sided") -> DataFrame:
@@ -110,7 +112,7 @@ def mann_whitney(df: DataFrame, value: str, first: Column, second: Column, alter
         stable(F.col(value)).alias("_v"), indicator(first).alias("_first"))
     steps = value_ladder(sides, "_v", weight="_first")
     rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
-    out = steps.agg(F.sum(F.col("w") * rank).alias("_r1"), _TIES.alias("_ties"),
+    out = steps.agg(F.sum(F.col("w") * rank).alias("_r1"), _ties().alias("_ties"),
                     F.max("w_total").alias("n1"), F.max("total").cast("double").alias("_n"))
     out = out.withColumn("n2", F.col("_n") - F.col("n1"))
     out = out.withColumn("u", F.col("_r1") - F.col("n1") * (F.col("n1") + 1) / 2)
@@ -131,7 +133,7 @@ def wilcoxon_signed_rank(df: DataFrame, difference: str) -> DataFrame:
     steps = value_ladder(signed, "_v", weight="_up")
     rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
     out = steps.agg(F.sum(F.col("w") * rank).alias("_up"), F.sum((F.col("n") - F.col("w")) * rank).alias("_down"),
-                    _TIES.alias("_ties"), F.max("total").cast("double").alias("_n"))
+                    _ties().alias("_ties"), F.max("total").cast("double").alias("_n"))
     n = F.col("_n")
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
     out = out.withColumn("statistic", F.least(F.col("_up"), F.col("_down")))
@@ -154,7 +156,7 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, by: Sequence[str] = ()
         F.sum(F.col("c") * F.col("_rank")).alias("_r"), F.max("_size").alias("_size"))
     per_test = sums.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_r") / F.col("_size")).alias("_rr"),
                                      F.count(F.lit(1)).alias("n_groups"), F.sum("_size").alias("n"))
-    ties = steps.groupBy(*by).agg(_TIES.alias("_ties"))
+    ties = steps.groupBy(*by).agg(_ties().alias("_ties"))
     out = per_test.join(ties, by) if by else _side_by_side(per_test, ties)
     n = F.col("n").cast("double")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("_rr") - 3 * (n + 1)

@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lineside.functions.special import f_p_value, t_two_sided
 from lineside.operators.broadcasts import attach_row
@@ -165,9 +164,9 @@ def cluster_robust(df: DataFrame, y: str, features: Sequence[str], cluster: str)
                     "feature": ["intercept", *names], "coefficient": b, "cluster_se": error, "cluster_t": t,
                     "cluster_p": t_two_sided(t, float(g - 1)), "n_clusters": g, "n": n})
 
-    return together.mapInPandas(sandwich, T.StructType.fromDDL(
-        "feature string, coefficient double, cluster_se double, cluster_t double, cluster_p double, "
-        "n_clusters bigint, n bigint"))
+    return together.mapInPandas(
+        sandwich, "feature string, coefficient double, cluster_se double, cluster_t double, cluster_p double, "
+        "n_clusters bigint, n bigint")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

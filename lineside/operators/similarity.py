@@ -29,7 +29,7 @@ def correlation_table(df: DataFrame, entity: str, period: str, value: str, min_o
     """
     ordinals = period_ordinals(df, period, "_t")
     series = settle(
-        df.where(F.col(value).isNotNull()).join(F.broadcast(ordinals), period)  # one row per period
+        df.where(F.col(value).isNotNull()).join(ordinals, period)
         .groupBy(F.col(entity).alias("e")).agg(F.collect_list("_t").alias("t"), F.collect_list(value).alias("v")))
     size = series.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("t")).alias("t")).first()
     blocks, length = max(1, math.ceil(size["n"] / _BLOCK)), (size["t"] or 0) + 1
