@@ -736,7 +736,7 @@ def _wide(t):
     label = F.concat(route_of(F.col("l_suppkey")), F.lit(" - LINE "), F.col("l_suppkey").cast("string"))
     label = F.when(F.col("l_suppkey") == 20, "MONONGAHELA INCLINE").otherwise(label)
     headers = [f"{y}-{m}" for y in range(1995, 2002) for m in weather.MONTHS]
-    share = F.format_string("%.6f", F.count_if(F.col("l_returnflag") != "R") / F.count(F.lit(1)))
+    share = F.format_string("%.6f", F.try_divide(F.count_if(F.col("l_returnflag") != "R"), F.count("l_returnflag")))
     rows = t.raw("lineitem").select(label.alias("Route"), F.date_format("l_shipdate", "yyyy-MMM").alias("h"), "l_returnflag")
     return rows.groupBy("Route").pivot("h", headers).agg(share)
 

@@ -7,7 +7,7 @@ one pass with ``by``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,9 @@ _RESULT = [("feature", "string"), ("coefficient", "double"), ("std_error", "doub
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with a real number in every column (neither NULL nor NaN)."""
-    df = df.withColumns({c: F.col(c).cast("double") for c in columns})
+    other = [c for c in columns if df.schema[c].dataType.simpleString() != "double"]
+    if other:
+        df = df.withColumns({c: F.col(c).cast("double") for c in other})
     return df.dropna(subset=list(columns))
 
 
@@ -51,67 +53,85 @@ def _scaled_inverse(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inverse / np.outer(safe, safe), np.diag(inverse)
 
 
-def fit_ols(df: DataFrame, y: str, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """OLS of ``y`` on ``features`` with intercept, one row per model and feature.
+def fit_models(df: DataFrame, y: str, models: Mapping[str, Sequence[str]], by: Sequence[str] = (),
+               only: Mapping[str, str] | None = None) -> DataFrame:
+    """OLS of ``y`` on several feature sets with intercept, all from one pass over the rows.
 
-    Carries standard errors, t, p, standardised weights, variance inflation factors, R2,
-    adjusted R2 and the residual sum of squares. Collinear features are solved by the
-    pseudo-inverse. Rows with a missing value are left out.
+    The rows are those complete in every feature of every model, so the models are comparable.
+    One output row per model and feature carries the coefficient, standard error, t, p,
+    standardised weight and variance inflation factor, with R2, adjusted R2 and the residual sum
+    of squares of the model. Collinear features are solved by the pseudo-inverse. ``only`` limits
+    a model to one value of the first ``by`` column.
     """
-    by, names = list(by), list(features)
-    gram = moments(complete_rows(df, [y, *names]), [y, *names], by)
+    by, limits = list(by), dict(only or {})
+    columns = [y, *dict.fromkeys(f for features in models.values() for f in features)]
+    gram = moments(complete_rows(df, columns), columns, by)
+    sets = {label: list(features) for label, features in models.items()}
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                n, k = int(row["n"]), len(names)
-                if n <= k + 1:
-                    continue
-                means, cov = np.asarray(row["means"], dtype=float), _square(row["covs"], k + 1)
-                inverse, vif = _scaled_inverse(cov[1:, 1:])
-                slopes = inverse @ cov[1:, 0]
-                total = cov[0, 0] * (n - 1)
-                rest = max(total - slopes @ cov[1:, 0] * (n - 1), 0.0)
-                mse = rest / (n - k - 1)
-                centre = means[1:]
-                errors = np.sqrt(np.concatenate([
-                    [mse * (1 / n + centre @ inverse @ centre / (n - 1))], mse * np.diag(inverse) / (n - 1)]))
-                coefficients = np.concatenate([[means[0] - slopes @ centre], slopes])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    t = coefficients / errors
-                    r2 = 1 - rest / total if total > 0 else np.nan
-                    weights = slopes * np.sqrt(np.diag(cov)[1:]) / np.sqrt(cov[0, 0])
-                yield pd.DataFrame({
-                    **{c: [row[c]] * (k + 1) for c in by},
-                    "feature": ["intercept", *names], "coefficient": coefficients, "std_error": errors,
-                    "t_value": t, "p_value": t_two_sided(t, float(n - k - 1)),
-                    "beta_weight": [None, *weights], "vif": [None, *vif],
-                    "r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / (n - k - 1),
-                    "ss_res": rest, "n": n, "k": k})
+                n, all_means, whole = int(row["n"]), np.asarray(row["means"], dtype=float), _square(row["covs"], len(columns))
+                for label, names in sets.items():
+                    k = len(names)
+                    if n <= k + 1 or (label in limits and row[by[0]] != limits[label]):
+                        continue
+                    place = [0] + [columns.index(f) for f in names]
+                    means, cov = all_means[place], whole[np.ix_(place, place)]
+                    yield _solved(row, label, names, by, n, means, cov)
 
     keys = [f"{f.name} {f.dataType.simpleString()}" for f in gram.schema.fields if f.name in by]
-    return gram.mapInPandas(solve, ", ".join(keys + [f"{c} {t}" for c, t in _RESULT]))
-
-
-def model_row(fit: DataFrame) -> DataFrame:
-    """The fit statistics of a model, one row per model."""
-    return fit.where(F.col("feature") == "intercept").drop(
-        "feature", "coefficient", "std_error", "t_value", "p_value", "beta_weight", "vif")
-
-
-def nested_f(base: DataFrame, full: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """F-test of the features that ``full`` has beyond ``base``, both fitted on the same rows."""
-    keep = ("ss_res", "r_squared", "n", "k")
-    small = model_row(base).select(*by, *[F.col(c).alias(f"{c}_base") for c in keep])
-    large = model_row(full).select(*by, *[F.col(c).alias(f"{c}_full") for c in keep])
-    both = small.join(large, list(by)) if by else attach_row(small, large)
-    gained = (F.col("k_full") - F.col("k_base")).cast("double")
-    freedom = (F.col("n_full") - F.col("k_full") - 1).cast("double")
-    f = F.try_divide((F.col("ss_res_base") - F.col("ss_res_full")) / gained,
-                     F.nullif(F.col("ss_res_full") / freedom, F.lit(0.0)))
-    out = both.withColumn("f_stat", f).withColumn("f_p", f_p_value(F.col("f_stat"), gained, freedom))
-    return out.select(*by, "f_stat", "f_p", gained.cast("int").alias("k_diff"), F.col("n_full").alias("n"),
-                      "r_squared_base", "r_squared_full")
+    return gram.mapInPandas(solve, ", ".join([*keys, "model string", *[f"{c} {t}" for c, t in _RESULT]]))
+
+
+def _solved(row, label: str, names: list[str], by: list[str], n: int, means: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    """One model from its means and covariances (the outcome first)."""
+    k = len(names)
+    inverse, vif = _scaled_inverse(cov[1:, 1:])
+    slopes = inverse @ cov[1:, 0]
+    total = cov[0, 0] * (n - 1)
+    rest = max(total - slopes @ cov[1:, 0] * (n - 1), 0.0)
+    mse = rest / (n - k - 1)
+    centre = means[1:]
+    errors = np.sqrt(np.concatenate([
+        [mse * (1 / n + centre @ inverse @ centre / (n - 1))], mse * np.diag(inverse) / (n - 1)]))
+    coefficients = np.concatenate([[means[0] - slopes @ centre], slopes])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = coefficients / errors
+        r2 = 1 - rest / total if total > 0 else np.nan
+        weights = slopes * np.sqrt(np.diag(cov)[1:]) / np.sqrt(cov[0, 0])
+    return pd.DataFrame({
+        **{c: [row[c]] * (k + 1) for c in by}, "model": label,
+        "feature": ["intercept", *names], "coefficient": coefficients, "std_error": errors, "t_value": t,
+        "p_value": t_two_sided(t, float(n - k - 1)), "beta_weight": [None, *weights], "vif": [None, *vif],
+        "r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / (n - k - 1), "ss_res": rest, "n": n, "k": k})
+
+
+def fit_ols(df: DataFrame, y: str, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """A single model; see ``fit_models``."""
+    return fit_models(df, y, {"ols": features}, by).drop("model")
+
+
+def nested_f(fits: DataFrame, pairs: Mapping[str, tuple[str, str]], name: str = "test") -> DataFrame:
+    """F-tests of what the second model of each pair has beyond the first.
+
+    ``fits`` comes from ``fit_models``, where the models share their rows. One row per pair.
+    """
+    intercept = fits.where(F.col("feature") == "intercept")
+
+    def of(label: str, column: str):
+        return F.max(F.when(F.col("model") == label, F.col(column)))
+
+    rows = intercept.agg(*[
+        F.struct(F.lit(test).alias(name), of(base, "ss_res").alias("_small"), of(full, "ss_res").alias("_large"),
+                 (of(full, "k") - of(base, "k")).alias("k_diff"), of(full, "n").alias("n"), of(full, "k").alias("_k"),
+                 of(base, "r_squared").alias("r_squared_base"), of(full, "r_squared").alias("r_squared_full")).alias(f"_t{i}")
+        for i, (test, (base, full)) in enumerate(pairs.items())])
+    rows = rows.select(F.inline(F.array(*[f"_t{i}" for i in range(len(pairs))])))
+    gained, freedom = F.col("k_diff").cast("double"), (F.col("n") - F.col("_k") - 1).cast("double")
+    f = F.try_divide((F.col("_small") - F.col("_large")) / gained, F.nullif(F.col("_large") / freedom, F.lit(0.0)))
+    out = rows.withColumn("f_stat", f).withColumn("f_p", f_p_value(F.col("f_stat"), gained, freedom))
+    return out.select(name, "f_stat", "f_p", "k_diff", "n", "r_squared_base", "r_squared_full")
 
 
 def coefficient_row(fit: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -11,9 +11,11 @@ from lineside.functions.columns import safe_log
 from lineside.operators import series
 from lineside.operators.association import correlate, pearson_test
 from lineside.operators.leadlag import bonferroni, granger
-from lineside.operators.regression import fit_ols, nested_f, with_residuals
+from lineside.operators.regression import fit_models, fit_ols, nested_f, with_residuals
 from lineside.operators.similarity import co_movement, correlation_table
+from lineside.operators.strata import all_and_bus
 from lineside.plans.common import route_average, stop_counts, weekday_pairs
+from lineside.session import settle
 
 # Features of the structural model, for all routes and for buses.
 FEATURES = ["stop_count", "span_km", "is_rail", "weekend_ratio", "n_munis", "is_premium_bus"]
@@ -66,34 +68,24 @@ def weekend_correlation(ratios: DataFrame, otp: DataFrame, min_routes: int = 10)
 
 
 def structural_models(rows: DataFrame) -> DataFrame:
-    """Full model, model without the span, and bus-only model, stacked."""
+    """Full model, model without the span, and bus-only model, from one pass over the routes."""
     reduced = [f for f in FEATURES if f != "span_km"]
-    bus = rows.where(F.col("mode") == "BUS")
-    return (
-        fit_ols(rows, "avg_otp", FEATURES).withColumn("model", F.lit("full"))
-        .unionByName(fit_ols(rows, "avg_otp", reduced).withColumn("model", F.lit("reduced")))
-        .unionByName(fit_ols(bus, "avg_otp", BUS_FEATURES).withColumn("model", F.lit("bus_only"))))
+    return fit_models(
+        all_and_bus(rows), "avg_otp", {"full": FEATURES, "reduced": reduced, "bus_only": BUS_FEATURES}, ["stratum"],
+        {"full": "all", "reduced": "all", "bus_only": "bus"})
 
 
 def added_feature_models(rows: DataFrame, added: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
     """Structural models with and without more features, for all routes and buses, with nested F-tests.
 
-    Both models of a pair are fitted on the rows that have every added feature. The all-route
+    All models are fitted in one pass over the rows that have every added feature. The all-route
     model with the added features alone is fitted too.
     """
-    whole = rows.dropna(subset=list(added))
-    bus = whole.where(F.col("mode") == "BUS")
-    fits, tests = [], []
-    for scope, frame, features in (("all", whole, FEATURES), ("bus", bus, BUS_FEATURES)):
-        base = fit_ols(frame, "avg_otp", features)
-        full = fit_ols(frame, "avg_otp", [*features, *added])
-        fits += [base.withColumn("model", F.lit(f"{scope}_base")), full.withColumn("model", F.lit(f"{scope}_{label}"))]
-        tests.append(nested_f(base, full).withColumn("scope", F.lit(scope)))
-    fits.append(fit_ols(whole, "avg_otp", list(added)).withColumn("model", F.lit(f"{label}_only")))
-    out = fits[0]
-    for fit in fits[1:]:
-        out = out.unionByName(fit)
-    return out, tests[0].unionByName(tests[1])
+    models = {"all_base": FEATURES, f"all_{label}": [*FEATURES, *added], f"{label}_only": list(added),
+              "bus_base": BUS_FEATURES, f"bus_{label}": [*BUS_FEATURES, *added]}
+    fits = fit_models(all_and_bus(rows), "avg_otp", models, ["stratum"],
+                      {m: "bus" if m.startswith("bus_") else "all" for m in models})
+    return fits, nested_f(fits, {s: (f"{s}_base", f"{s}_{label}") for s in ("all", "bus")}, "scope")
 
 
 def ridership_features(otp: DataFrame, ridership: DataFrame, routes: DataFrame, min_months: int = 12) -> DataFrame:
@@ -107,7 +99,7 @@ def ridership_features(otp: DataFrame, ridership: DataFrame, routes: DataFrame,
 
 def partial_residuals(rows: DataFrame, feature: str = "log_riders") -> DataFrame:
     """Slope of the value on ``feature`` after the other features are taken out of both."""
-    whole = rows.dropna(subset=[feature])
+    whole = settle(rows.dropna(subset=[feature]))
     rest_y = with_residuals(whole, fit_ols(whole, "avg_otp", FEATURES), "avg_otp", FEATURES, "y_rest")
     both = with_residuals(rest_y, fit_ols(rest_y, feature, FEATURES), feature, FEATURES, "x_rest")
     return both.agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y_rest", "x_rest").alias("slope"),

@@ -16,7 +16,7 @@ from lineside.operators.association import (
 )
 from lineside.operators.broadcasts import attach_row
 from lineside.operators.order import medians, ntile_of, with_average_ranks, with_positions
-from lineside.operators.regression import fit_ols, nested_f
+from lineside.operators.regression import fit_models, nested_f
 from lineside.operators.strata import all_and_bus
 from lineside.plans.common import peak_trips, route_average, stop_counts, weekday_pairs, with_weekend_ratio
 
@@ -229,10 +229,9 @@ def garage_models(per_route: DataFrame, stop_count: DataFrame, spans: DataFrame,
     rows = per_route.where(F.col("mode") == "BUS").join(stop_count, "route_id").join(spans, "route_id")
     names = [f"garage_{g.replace(' ', '_')}" for g in garages]
     rows = rows.withColumns({n: indicator(F.col("current_garage") == g) for n, g in zip(names, garages)})
-    base = fit_ols(rows, "avg_otp", ["stop_count", "span_km"])
-    full = fit_ols(rows, "avg_otp", ["stop_count", "span_km", *names])
-    fits = base.withColumn("model", F.lit("structure")).unionByName(full.withColumn("model", F.lit("with_garages")))
-    return fits, nested_f(base, full)
+    base = ["stop_count", "span_km"]
+    fits = fit_models(rows, "avg_otp", {"structure": base, "with_garages": [*base, *names]})
+    return fits, nested_f(fits, {"garages": ("structure", "with_garages")})
 
 
 def concentration_routes(otp: DataFrame, ridership: DataFrame, routes: DataFrame, min_months: int = 12) -> DataFrame:

@@ -50,7 +50,7 @@ def consolidation_summary(candidates: DataFrame, otp: DataFrame, routes: DataFra
 
     ``projected_stops`` may be negative when the two sources disagree on the stops of a route.
     """
-    averages = route_average(otp, routes).join(stop_counts(route_stops), "route_id", "left").withColumn(
+    averages = route_average(otp, routes).drop("route_name").join(stop_counts(route_stops), "route_id", "left").withColumn(
         "stop_count", F.coalesce("stop_count", F.lit(0)))
     slope = averages.where(F.col("mode") == "BUS").agg(F.regr_slope("avg_otp", "stop_count").alias("_slope"))
     per_route = candidates.groupBy("route_name").agg(
@@ -173,7 +173,7 @@ def system_gini(per_route: DataFrame) -> DataFrame:
 
 
 def gini_correlation(ginis: DataFrame, otp: DataFrame, routes: DataFrame) -> DataFrame:
-    averages = route_average(otp, routes)
+    averages = route_average(otp, routes).drop("route_name")
     rows = ginis.join(averages, F.col("route_name") == F.col("route_id")).select("gini", "avg_otp")
     return correlate(rows, "gini", "avg_otp")
 

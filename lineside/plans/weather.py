@@ -12,8 +12,9 @@ from lineside.operators import series
 from lineside.operators.association import correlate
 from lineside.operators.broadcasts import attach_row
 from lineside.operators.regression import (
-    cluster_robust, complete_rows, correlation_matrix, fit_ols, nested_f, with_residuals,
+    cluster_robust, complete_rows, correlation_matrix, fit_models, fit_ols, nested_f, with_residuals,
 )
+from lineside.session import settle
 
 # The monthly weather columns and the subset used in the models.
 WEATHER_VARS = [
@@ -76,9 +77,8 @@ def weather_correlations(merged: DataFrame, variables: Sequence[str] = WEATHER_V
 
 def weather_trend_models(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Value on weather and trend, and the F-test of the weather columns against trend alone."""
-    rows = complete_rows(merged, [*MODEL_VARS, "linear_trend", "value"])
-    full = fit_ols(rows, "value", [*MODEL_VARS, "linear_trend"])
-    return full, nested_f(fit_ols(rows, "value", ["linear_trend"]), full)
+    fits = fit_models(merged, "value", {"weather": [*MODEL_VARS, "linear_trend"], "trend": ["linear_trend"]})
+    return fits.where("model = 'weather'").drop("model"), nested_f(fits, {"weather": ("trend", "weather")})
 
 
 def month_columns() -> list[str]:
@@ -92,26 +92,23 @@ def with_month_indicators(df: DataFrame) -> DataFrame:
 
 
 def seasonal_models(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Months-only, weather-only and joint models, and both nested tests on the same rows."""
-    rows = with_month_indicators(merged)
-    shared = complete_rows(rows, [*MODEL_VARS, "linear_trend", "value"])
-    months, weather = [*month_columns(), "linear_trend"], [*MODEL_VARS, "linear_trend"]
-    both = fit_ols(shared, "value", [*month_columns(), *MODEL_VARS, "linear_trend"])
-    weather_only = fit_ols(shared, "value", weather)
-    models = (
-        fit_ols(rows, "value", months).withColumn("model", F.lit("month_only"))
-        .unionByName(weather_only.withColumn("model", F.lit("weather_only")))
-        .unionByName(both.withColumn("model", F.lit("month_plus_weather"))))
-    tests = (
-        nested_f(fit_ols(shared, "value", months), both).withColumn("added", F.lit("weather"))
-        .unionByName(nested_f(weather_only, both).withColumn("added", F.lit("months"))))
-    return models, tests
+    """Months-only, weather-only and joint models, and both nested tests on the same rows.
+
+    The reported months-only model uses every month; in its test it uses the months with weather.
+    """
+    rows = settle(with_month_indicators(merged))
+    months, climate = [*month_columns(), "linear_trend"], [*MODEL_VARS, "linear_trend"]
+    shared = fit_models(rows, "value", {
+        "months": months, "weather_only": climate, "month_plus_weather": [*month_columns(), *MODEL_VARS, "linear_trend"]})
+    fits = fit_models(rows, "value", {"month_only": months}).unionByName(shared.where("model <> 'months'"))
+    tests = nested_f(shared, {"weather": ("months", "month_plus_weather"), "months": ("weather_only", "month_plus_weather")}, "added")
+    return fits, tests
 
 
 def adjusted_profile(merged: DataFrame) -> DataFrame:
     """Mean per month of the year, raw and with the weather-only model's effect taken out."""
     features = [*MODEL_VARS, "linear_trend"]
-    rows = complete_rows(merged, [*features, "value"])
+    rows = settle(complete_rows(merged, [*features, "value"]))
     rows = with_residuals(rows, fit_ols(rows, "value", features), "value", features)
     rows = attach_row(rows, rows.agg(F.avg("value").alias("_grand")))
     return rows.groupBy(month_of_year(F.col("month")).alias("month_num")).agg(
@@ -127,7 +124,7 @@ def panel_rows(panel: DataFrame, weather: DataFrame, entity: str = "route_id", v
 
 def weather_panel(panel: DataFrame, weather: DataFrame) -> DataFrame:
     """Entity fixed effects on the outcome, standard errors clustered by month."""
-    return cluster_robust(panel_rows(panel, weather), "demeaned", MODEL_VARS, "month")
+    return cluster_robust(settle(panel_rows(panel, weather)), "demeaned", MODEL_VARS, "month")
 
 
 def weather_matrix(weather: DataFrame) -> DataFrame:
