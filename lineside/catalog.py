@@ -378,8 +378,7 @@ def municipal_equity(t):
 @query("city_otp rest_mean_otp rest_median_otp n_munis best_muni best_otp worst_muni worst_otp spread",
        "city_otp rest_mean_otp rest_median_otp best_otp worst_otp spread")
 def municipal_summary(t):
-    munis = places.municipal_equity(t.otp, t.route_stops, t.stops.withColumn("muni", F.concat_ws("/", "muni", "county")))
-    return places.municipal_summary(munis, "ECONOMY/County A")
+    return places.municipal_summary(places.municipal_equity(t.otp, t.route_stops, t.stops), "ECONOMY 11")
 
 
 @query("n_cross n_single cross_mean_otp single_mean_otp t p", "cross_mean_otp single_mean_otp t p")

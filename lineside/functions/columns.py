@@ -104,8 +104,11 @@ def ladder(x: Column, steps: Sequence[tuple[Column, str]], otherwise: str) -> Co
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    """Round for reports; adding zero turns a negative zero into a plain one."""
-    return F.round(x.cast("double"), digits) + F.lit(0.0)
+    """Round for reports, in two steps so that summation noise cannot tip a tie.
+
+    Adding zero turns a negative zero into a plain one.
+    """
+    return F.round(F.round(x.cast("double"), digits + 4), digits) + F.lit(0.0)
 
 
 def stable(x: Column, digits: int = 12) -> Column:

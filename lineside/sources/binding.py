@@ -118,7 +118,7 @@ class Tables:
             (F.lit(CENTRE_LAT) + F.col("_e0") * F.lit(0.3) + size * F.lit(0.0005)).alias("lat"),
             (F.lit(CENTRE_LON) + F.col("_e1") * F.lit(0.3) + F.col("p_retailprice") * F.lit(0.00001)).alias("lon"),
             F.when(size <= 25, "County A").otherwise("County B").alias("county"),
-            F.col("p_type").alias("muni"),
+            F.concat_ws(" ", "p_type", size.cast("string")).alias("muni"),
             F.when(size == 50, "0").when(size == 49, "").when(size == 48, F.lit(None)).otherwise(F.col("p_brand")).alias("hood"),
             size.alias("p_size"), "p_retailprice")
 

@@ -20,7 +20,8 @@ def q(tables: str, body: str, floats: str = "", ctes: str = "") -> str:
     swaps = []
     for item in floats.split():
         name, _, digits = item.partition(":")
-        swaps.append(f"round(CAST({name} AS DOUBLE), {digits or 6}) + 0.0::DOUBLE AS {name}")
+        d = int(digits or 6)
+        swaps.append(f"round(round(CAST({name} AS DOUBLE), {d + 4}), {d}) + 0.0::DOUBLE AS {name}")
     return f"{head}\nSELECT * REPLACE ({', '.join(swaps)}) FROM (\n{body}\n)"
 
 

@@ -36,7 +36,7 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "stops": ((), """SELECT CAST(p_partkey AS VARCHAR) AS stop_id, p_partkey AS stop_code, p_name AS stop_name,
         40.44::DOUBLE + CAST(embedding[1] AS DOUBLE) * 0.3::DOUBLE + p_size * 0.0005::DOUBLE AS lat,
         -79.99::DOUBLE + CAST(embedding[2] AS DOUBLE) * 0.3::DOUBLE + p_retailprice * 0.00001::DOUBLE AS lon,
-        CASE WHEN p_size <= 25 THEN 'County A' ELSE 'County B' END AS county, p_type AS muni,
+        CASE WHEN p_size <= 25 THEN 'County A' ELSE 'County B' END AS county, p_type || ' ' || CAST(p_size AS VARCHAR) AS muni,
         CASE WHEN p_size = 50 THEN '0' WHEN p_size = 49 THEN '' WHEN p_size = 48 THEN NULL ELSE p_brand END AS hood,
         p_size, p_retailprice
         FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)"""),
