@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from lineside.operators.leadlag import lagged_correlations, summarise_lags
 from lineside.operators.similarity import correlation_table
 from lineside.operators.spatial import nearest_neighbour
 from lineside.plans import common, etl, panel, places, routes, system, usage, weather
+from lineside.session import shared_dir
+from lineside.sources import readers, sinks
 from lineside.sources.binding import Tables, mode_of, route_of
 
 # Periods of the test data that play the parts of the baseline, the recovery and so on.
@@ -790,3 +793,22 @@ def etl_route_stops(t):
         F.col("l_quantity").cast("bigint").alias("trips_wd"), F.lit(0).alias("trips_sa"), F.lit(0).alias("trips_su"),
         F.lit(0).alias("trips_7d"), F.lit("1-5").alias("svc_days"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("o"))
     return etl.route_stops_table(raw, "o")
+
+
+@query("mode n_rows n_shelter total_ons", "total_ons")
+def csv_round_trip(t):
+    """The usage table written as CSV with NA markers to the shared folder, scanned back and summed up."""
+    path = f"{shared_dir(t.spark)}/usage-{uuid.uuid4().hex}"
+    marked = t.usage.select("stop_id", "route_name", "mode", F.coalesce("shelter", F.lit("NA")).alias("shelter"), "avg_ons")
+    sinks.write_csv(marked, path)
+    back = readers.read_csv(t.spark, path, "stop_id string, mode string, shelter string, avg_ons double", ["NA"])
+    return back.groupBy("mode").agg(F.count(F.lit(1)).alias("n_rows"), F.count("shelter").alias("n_shelter"),
+                                    F.sum("avg_ons").alias("total_ons"))
+
+
+@query("route_id mode n_months mean_otp", "mean_otp")
+def parametrised_sql(t):
+    return readers.query_tables(t.spark, """
+        SELECT r.route_id, r.mode, count(*) AS n_months, avg(o.otp) AS mean_otp FROM {otp} o JOIN {routes} r ON r.route_id = o.route_id
+        WHERE o.month BETWEEN :first AND :last AND r.mode = :mode GROUP BY r.route_id, r.mode""",
+        {"first": BASE[0], "last": BASE[1], "mode": "BUS"}, otp=t.otp, routes=t.routes)

@@ -1,0 +1 @@
+"""Incremental loading of landed files."""

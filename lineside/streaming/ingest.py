@@ -1,0 +1,33 @@
+"""The keyed load for files that keep arriving.
+
+The load rule is the batch one: the first row of a key wins and later rows of that key are
+ignored. Each micro-batch is anti-joined with what is stored, so a batch that is replayed after
+a failure adds nothing twice.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from lineside.operators.load import append_new
+
+
+def load_landed_csv(spark: SparkSession, landing: str, schema: str, table: str, keys: Sequence[str], order: Sequence[str],
+                    not_null: Sequence[str], checkpoint: str) -> StreamingQuery:
+    """Load every CSV file that has landed since the last run, then stop."""
+    stream = spark.readStream.schema(schema).option("header", True).csv(landing)
+
+    def add(batch: DataFrame, _: int) -> None:
+        session = batch.sparkSession
+        try:
+            stored = session.read.schema(batch.schema).parquet(table)
+        except Exception as error:  # the table does not exist before the first batch
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            stored = session.createDataFrame([], batch.schema)
+        append_new(stored, batch, keys, order, not_null).write.mode("append").parquet(table)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -455,3 +455,6 @@ PLACES["etl_weather"] = q("weather", "SELECT * FROM weather", "total_precip_mm t
 PLACES["etl_stops"] = q("lines stops", "SELECT stop_id, stop_code, stop_name, lat, lon, county, muni, hood FROM stops WHERE stop_id IN (SELECT stop_id FROM lines)", "lat lon")
 PLACES["etl_route_stops"] = q("lines", """SELECT route_id, stop_id, direction, trips_wd FROM (SELECT route_id, stop_id, CASE WHEN l_linestatus = 'F' THEN 'IB' ELSE 'OB' END AS direction, CAST(l_quantity AS BIGINT) AS trips_wd,
  row_number() OVER (PARTITION BY route_id, stop_id, l_linestatus ORDER BY l_orderkey, l_linenumber, l_quantity) AS k FROM lines WHERE l_linenumber <> 1) WHERE k = 1""")
+PLACES["csv_round_trip"] = q("usage", "SELECT mode, count(*) AS n_rows, count(shelter) AS n_shelter, sum(avg_ons) AS total_ons FROM usage GROUP BY 1", "total_ons")
+PLACES["parametrised_sql"] = q("otp routes", """SELECT route_id, mode, count(*) AS n_months, avg(otp) AS mean_otp FROM otp JOIN routes USING (route_id)
+ WHERE month BETWEEN '1995-01' AND '1996-02' AND mode = 'BUS' GROUP BY 1, 2""", "mean_otp")
