@@ -116,6 +116,11 @@ def stable(x: Column, digits: int = 12) -> Column:
     return F.round(x.cast("double"), digits) + F.lit(0.0)
 
 
+def between(x: Column, low: float, high: float) -> Column:
+    """``x`` cut to a range; NULL stays NULL (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
+
+
 # --- aggregates -----------------------------------------------------------------------------
 
 
@@ -137,7 +142,7 @@ def sum_or_zero(value: Column) -> Column:
 def pearson(x: Column, y: Column) -> Column:
     """Correlation; NULL when either side has no variance."""
     scale = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
-    return F.greatest(F.least(F.try_divide(F.regr_sxy(y, x), F.nullif(scale, F.lit(0.0))), F.lit(1.0)), F.lit(-1.0))
+    return between(F.try_divide(F.regr_sxy(y, x), F.nullif(scale, F.lit(0.0))), -1.0, 1.0)
 
 
 # --- geometry -------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineside.functions.columns import indicator, pearson, stable
+from lineside.functions.columns import between, indicator, pearson, stable
 from lineside.functions.special import (
     chi2_p_value, normal_upper, t_critical_value, t_p_value,
 )
@@ -123,7 +123,7 @@ def mann_whitney(df: DataFrame, value: str, first: Column, second: Column, alter
     out = out.withColumn("_z", F.try_divide(larger - middle - 0.5, F.nullif(spread, F.lit(0.0))))
     tail = normal_upper(F.col("_z")) * (2.0 if alternative == "two-sided" else 1.0)
     return out.select(F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"), "u",
-                      F.least(tail, F.lit(1.0)).alias("p"))
+                      between(tail, 0.0, 1.0).alias("p"))
 
 
 def wilcoxon_signed_rank(df: DataFrame, difference: str) -> DataFrame:
@@ -139,7 +139,7 @@ def wilcoxon_signed_rank(df: DataFrame, difference: str) -> DataFrame:
     out = out.withColumn("statistic", F.least(F.col("_up"), F.col("_down")))
     out = out.withColumn("_z", F.try_divide(F.col("statistic") - n * (n + 1) / 4, F.nullif(spread, F.lit(0.0))))
     return out.select(n.cast("bigint").alias("n"), "statistic",
-                      F.least(normal_upper(F.abs(F.col("_z"))) * 2, F.lit(1.0)).alias("p"))
+                      between(normal_upper(F.abs(F.col("_z"))) * 2, 0.0, 1.0).alias("p"))
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str, by: Sequence[str] = (), min_group: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineside.functions.columns import pearson, stable
+from lineside.functions.columns import between, pearson, stable
 from lineside.functions.special import f_upper
 from lineside.operators.association import with_correlation_p
 from lineside.operators.order import quantiles
@@ -87,7 +87,7 @@ def bonferroni(tests: DataFrame, p: str, n_tests: DataFrame) -> DataFrame:
     from lineside.operators.broadcasts import attach_row
 
     return attach_row(tests, n_tests).withColumn(
-        "p_bonferroni", F.least(F.col(p) * F.col("m"), F.lit(1.0))).drop("m")
+        "p_bonferroni", between(F.col(p) * F.col("m"), 0.0, 1.0)).drop("m")
 
 
 __all__: Sequence[str] = ("lagged_correlations", "summarise_lags", "granger", "bonferroni")

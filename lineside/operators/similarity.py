@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineside.functions.columns import stable
+from lineside.functions.columns import between, stable
 from lineside.operators.broadcasts import attach_row
 from lineside.operators.order import medians
 from lineside.operators.series import period_ordinals
@@ -101,7 +101,7 @@ def silhouettes(pairs: DataFrame, labels: DataFrame, by: Sequence[str]) -> DataF
     does every node when there is one group only.
     """
     by = list(by)
-    apart = F.greatest(F.least(1 - F.col("correlation"), F.lit(2.0)), F.lit(0.0)).alias("d")
+    apart = between(1 - F.col("correlation"), 0.0, 2.0).alias("d")
     one_way = pairs.select("a", "b", apart)
     sizes = labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("size"))
     tagged = labels.join(sizes, [*by, "label"])

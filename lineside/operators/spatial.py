@@ -15,40 +15,58 @@ from pyspark.sql import functions as F
 
 from lineside.functions.columns import EARTH_KM, EARTH_M, haversine, local_east, local_north
 
-_SMALL = 12  # groups of so few points are passed on as they are
+_DIRECTIONS = 16
 
 
-def _hull_rows(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    """Indices of the spherical convex hull of points within one hemisphere.
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    phi, lam = np.radians(lat), np.radians(lon)
+    return np.column_stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)])
+
+
+def _central_plane(xyz: np.ndarray) -> np.ndarray | None:
+    """Central projection onto a plane, or None when the points do not fit in one hemisphere.
 
-    A central (gnomonic) projection turns great circles into straight lines, so the spherical
-    hull is the planar hull of the projected points, whatever the centre.
+    Great circles become straight lines, so spherical hulls become planar hulls, whatever the centre.
     """
-    if len(lat) <= 3:
-        return np.arange(len(lat))
-    phi, lam = np.radians(lat), np.radians(lon)
-    xyz = np.column_stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)])
     centre = xyz.mean(axis=0)
     if np.linalg.norm(centre) < 1e-9 or (xyz @ centre).min() <= 1e-9:
-        return np.arange(len(lat))  # wider than a hemisphere: keep everything
+        return None
     centre /= np.linalg.norm(centre)
     east = np.cross(centre, [0.0, 0.0, 1.0] if abs(centre[2]) < 0.9 else [1.0, 0.0, 0.0])
     east /= np.linalg.norm(east)
-    north = np.cross(east, centre)
     depth = xyz @ centre
-    plane = np.column_stack([xyz @ east / depth, xyz @ north / depth])
-    _, first = np.unique(plane, axis=0, return_index=True)
-    order = first[np.lexsort((plane[first, 1], plane[first, 0]))]
-    if len(order) > 64:
-        # points strictly inside the polygon of 16 directional extremes cannot be hull points
-        angle = np.linspace(0, 2 * np.pi, 16, endpoint=False)
-        corner = plane[order][(plane[order] @ np.vstack([np.cos(angle), np.sin(angle)])).argmax(axis=0)]
-        inside = np.ones(len(order), dtype=bool)
-        for a, b in zip(corner, np.roll(corner, -1, axis=0)):
-            if not np.array_equal(a, b):
-                side = (b[0] - a[0]) * (plane[order, 1] - a[1]) - (b[1] - a[1]) * (plane[order, 0] - a[0])
-                inside &= side > 1e-15
-        order = order[~inside]
+    return np.column_stack([xyz @ east / depth, xyz @ np.cross(east, centre) / depth])
+
+
+def _outer_rows(codes: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    """Mask of the points that may be hull points of their group.
+
+    A point strictly inside the polygon of its group's extremes in 16 directions cannot be one.
+    """
+    n_groups, everyone = codes.max() + 1, np.arange(len(codes))
+    angle = np.linspace(0, 2 * np.pi, _DIRECTIONS, endpoint=False)
+    corners = np.empty((_DIRECTIONS, n_groups), dtype=int)
+    for k, reach in enumerate((plane @ np.vstack([np.cos(angle), np.sin(angle)])).T):
+        order = np.lexsort((reach, codes))
+        last = np.r_[np.flatnonzero(np.diff(codes[order])), len(codes) - 1]
+        corners[k, codes[order[last]]] = everyone[order[last]]
+    inside = np.ones(len(codes), dtype=bool)
+    for k in range(_DIRECTIONS):
+        a, b = plane[corners[k][codes]], plane[corners[(k + 1) % _DIRECTIONS][codes]]
+        same = (a == b).all(axis=1)
+        side = (b[:, 0] - a[:, 0]) * (plane[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (plane[:, 0] - a[:, 0])
+        inside &= same | (side > 1e-15)
+    # a group whose extremes are all one point is kept whole
+    flat = (corners == corners[0]).all(axis=0)
+    return ~inside | flat[codes]
+
+
+def _hull_rows(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Indices of the spherical convex hull of points within one hemisphere (all, if they are wider)."""
+    plane = _central_plane(_unit(lat, lon)) if len(lat) > 3 else None
+    if plane is None:
+        return np.arange(len(lat))
+    order = np.lexsort((plane[:, 1], plane[:, 0]))
 
     def chain(points) -> list[int]:
         kept: list[int] = []
@@ -73,22 +91,21 @@ def _haversine_km(lat1, lon1, lat2, lon2) -> np.ndarray:
 def group_span(df: DataFrame, group: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Largest great-circle distance (km) between any two points of each group; 0 for one point.
 
-    Exact: within 10,000 km the two farthest points are hull points. Hulls are taken per batch
-    before the shuffle, merged per (group, slice of the input partitions), and once more per
-    group, so a group that holds much of the data is thinned long before it meets in one task.
+    Exact: within 10,000 km the two farthest points are hull points. Inner points are dropped per
+    batch before the shuffle and again per (group, slice of the input partitions), so a group
+    that holds much of the data is thinned long before its outer points meet in one task.
     """
     points = df.select(group, F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).dropna(
         subset=["lat", "lon"])
     schema = f"{group} {points.schema[group].dataType.simpleString()}, lat double, lon double"
 
-    def hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.drop_duplicates()
-            sizes = batch.groupby(group, dropna=False)["lat"].transform("size")
-            kept = [batch[sizes <= _SMALL]]
-            for _, rows in batch[sizes > _SMALL].groupby(group, dropna=False):
-                kept.append(rows.iloc[_hull_rows(rows["lat"].to_numpy(), rows["lon"].to_numpy())])
-            yield pd.concat(kept)
+            plane = _central_plane(_unit(batch["lat"].to_numpy(), batch["lon"].to_numpy())) if len(batch) else None
+            if plane is not None:
+                batch = batch[_outer_rows(pd.factorize(batch[group], use_na_sentinel=False)[0], plane)]
+            yield batch
 
     def widest(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates()
@@ -97,10 +114,10 @@ def group_span(df: DataFrame, group: str, lat: str = "lat", lon: str = "lon") ->
         span = max((float(_haversine_km(a[i], o[i], a[i + 1:], o[i + 1:]).max()) for i in range(len(a) - 1)), default=0.0)
         return pd.DataFrame({group: [rows[group].iloc[0]], "span_km": [span]})
 
-    local = points.mapInPandas(hulls, schema)
-    # a slice is the output of 16 neighbouring input partitions
+    local = points.mapInPandas(outer, schema)
+    # a slice is the output of 16 neighbouring input partitions; sorting puts a group into few batches
     sliced = local.withColumn("_slice", F.floor(F.spark_partition_id() / 16))
-    merged = sliced.repartition(group, "_slice").drop("_slice").mapInPandas(hulls, schema)
+    merged = sliced.repartition(group, "_slice").sortWithinPartitions(group).drop("_slice").mapInPandas(outer, schema)
     return merged.groupBy(group).applyInPandas(widest, schema.split(",")[0] + ", span_km double")
 
 

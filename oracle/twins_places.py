@@ -250,7 +250,7 @@ def _granger() -> str:
 
 
 PLACES["granger_causality"] = q("otp weekday", """
-SELECT s.route_id, best_lag, f_stat, p_value, least(p_value * (SELECT count(*) FROM sizes), 1.0) AS p_bonferroni, n AS n_months FROM sizes s LEFT JOIN (
+SELECT s.route_id, best_lag, f_stat, p_value, CASE WHEN p_value IS NOT NULL THEN least(p_value * (SELECT count(*) FROM sizes), 1.0) END AS p_bonferroni, n AS n_months FROM sizes s LEFT JOIN (
  SELECT route_id, CAST(first(lag ORDER BY p, lag) AS INT) AS best_lag, first(f ORDER BY p, lag) AS f_stat, min(p) AS p_value FROM tests
  WHERE route_id NOT IN (SELECT route_id FROM ll GROUP BY 1 HAVING max(y) = min(y) OR max(x) = min(x)) GROUP BY 1) USING (route_id)""", "f_stat p_value p_bonferroni",
     _LAG + ", sizes AS MATERIALIZED (SELECT route_id, count(*) AS n FROM ll GROUP BY 1),\nlagged AS MATERIALIZED (SELECT route_id, t, y, x, "
