@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineside.functions.columns import EARTH_KM, EARTH_M, haversine, local_east, local_north
+from lineside.operators.order import quantiles
+from lineside.session import settle
 
 _DIRECTIONS = 16
 
@@ -250,14 +252,16 @@ def match_segments(points: DataFrame, segments: DataFrame, group: str, segment:
     length, count, truck = F.col("length_ft"), F.col("count").cast("double"), F.col("truck_pct").cast("double")
     truck_length = F.when(truck.isNotNull(), length)
     total = F.sum(length)
-    carried = hits.select(group, segment).distinct().join(segments.drop("points"), segment).groupBy(group).agg(
+    # written once: the sums and the exact quantiles below both start from these pairs
+    pairs = settle(hits.select(group, segment).distinct().join(segments.drop("points"), segment))
+    carried = pairs.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_segments"), total.alias("total_length_ft"),
         F.when(total > 0, F.try_divide(F.sum(count * length), total)).otherwise(F.avg(count)).alias("weighted_aadt"),
-        F.max("count").cast("bigint").alias("max_aadt"), F.median(count).alias("median_aadt"),
-        F.percentile(count, 0.9).alias("p90_aadt"),
+        F.max("count").cast("bigint").alias("max_aadt"),
         F.when(total > 0, F.try_divide(F.sum(truck * length), F.nullif(F.sum(truck_length), F.lit(0.0))))
         .otherwise(F.avg(truck)).alias("avg_truck_pct"))
-    out = rates.join(matched, group, "left").join(carried, group, "left")
+    places = quantiles(pairs, "count", {"median_aadt": 0.5, "p90_aadt": 0.9}, [group])
+    out = rates.join(matched, group, "left").join(carried, group, "left").join(places, group, "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_segments", "max_aadt")}
     zero |= {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("total_length_ft", "weighted_aadt", "median_aadt", "p90_aadt")}
     return out.withColumns(zero).withColumn(
