@@ -812,3 +812,31 @@ def parametrised_sql(t):
         SELECT r.route_id, r.mode, count(*) AS n_months, avg(o.otp) AS mean_otp FROM {otp} o JOIN {routes} r ON r.route_id = o.route_id
         WHERE o.month BETWEEN :first AND :last AND r.mode = :mode GROUP BY r.route_id, r.mode""",
         {"first": BASE[0], "last": BASE[1], "mode": "BUS"}, otp=t.otp, routes=t.routes)
+
+
+@query("route_id n_points north", "north:3")
+def shape_scan(t):
+    """Shapes written as text with a byte-order mark in front of the header, scanned back with a column subset."""
+    path = f"{shared_dir(t.spark)}/shapes-{uuid.uuid4().hex}"
+    sinks.write_csv(t.shapes.withColumnRenamed("shape_id", "\ufeffshape_id"), path)
+    back = readers.read_csv_overrides(t.spark, path, ["shape_id", "shape_pt_lat"], {"shape_pt_lat": "double"})
+    return back.join(t.trips, "shape_id").groupBy("route_id").agg(F.count(F.lit(1)).alias("n_points"), F.max("shape_pt_lat").alias("north"))
+
+
+@query("object_id count truck_pct length_ft n_points lat lon", "truck_pct length_ft lat lon")
+def feature_scan(t):
+    """Road features written as JSON, one per line, scanned back as segments."""
+    path = f"{shared_dir(t.spark)}/features-{uuid.uuid4().hex}"
+    t.traffic_features.write.json(path)
+    segments = etl.road_segments(readers.read_road_features(t.spark, path, one_per_line=True))
+    last = F.element_at("points", -1)
+    return segments.withColumns({"n_points": F.size("points"), "lat": last["lat"], "lon": last["lon"]})
+
+
+@query("month n_routes mean_otp", "mean_otp")
+def replaced_table(t):
+    """The value table stored by the replacing sink and read back."""
+    path = f"{shared_dir(t.spark)}/otp-{uuid.uuid4().hex}"
+    sinks.replace_table(t.otp, path)
+    stored = t.spark.read.schema(t.otp.schema).parquet(path)
+    return stored.groupBy("month").agg(F.count_distinct("route_id").alias("n_routes"), F.avg("otp").alias("mean_otp"))

@@ -76,14 +76,17 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def with_average_ranks(
-    df: DataFrame, ranks: dict[str, str], strata: Sequence[str] = (), descending: Sequence[str] = ()
+    df: DataFrame, ranks: dict[str, str], strata: Sequence[str] = (), descending: Sequence[str] = (),
+    within: dict[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Add average ranks (ties share the mean rank). ``ranks`` maps new column to value column.
 
-    NULL values stay unranked. Names in ``descending`` rank from the largest value down.
+    NULL values stay unranked. Names in ``descending`` rank from the largest value down; a name
+    in ``within`` has strata of its own.
     """
-    df = settle(df)
+    df, common = settle(df), list(strata)
     for name, value in ranks.items():
+        strata = list((within or {}).get(name, common))
         rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
         if name in descending:
             rank = F.col("total") + 1 - rank

@@ -164,12 +164,16 @@ def nearest_neighbour(df: DataFrame, group: str, entity: str, lat: str = "lat",
         .join(shared.drop("_n"), [group, "_level", *cells], "left_semi")
         .groupBy(group, "_lat", "_lon", "_x", "_y", "_z").agg(F.min("_level").alias("_level"))
     )
+    asks = settle(asks)
+    # candidates are laid out only at the sizes their group asks at
+    asked = asks.groupBy(group).agg(F.collect_set("_level").alias("_levels"))  # at most one per size
+    offered = places.join(asked, group).withColumn("_level", F.explode("_levels")).drop("_levels")
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     asks = placed(asks, size * 2)
     for c in cells:
         asks = asks.withColumn("_d", around).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
     asks = asks.drop("_x", "_y", "_z")
-    answers = placed(everywhere, size * 2).select(
+    answers = placed(offered, size * 2).select(
         group, "_level", *cells, F.col("_lat").alias("_olat"), F.col("_lon").alias("_olon"))
     apart = (F.col("_lat") != F.col("_olat")) | (F.col("_lon") != F.col("_olon"))
     metres = haversine(F.col("_lat"), F.col("_lon"), F.col("_olat"), F.col("_olon"), EARTH_M)
@@ -245,15 +249,14 @@ def match_segments(points: DataFrame, segments: DataFrame, group: str, segment:
     asking = points.select(group, "lat", "lon", local_east(F.col("lon")).alias("x"), local_north(F.col("lat")).alias("y"))
     # each distinct place is looked up once, whichever groups pass there
     spots = asking.select("x", "y").distinct()
-    near = radius_matches(spots, dense, radius).select("x", "y", segment).distinct()
+    near = settle(radius_matches(spots, dense, radius).select("x", "y", segment).distinct())
     hits = asking.select(group, "lat", "lon", "x", "y").join(near, ["x", "y"])
     rates = asking.groupBy(group).agg(F.count(F.lit(1)).alias("n_route_points"))
     matched = hits.select(group, "lat", "lon", "x", "y").distinct().groupBy(group).agg(F.count(F.lit(1)).alias("_hit"))
     length, count, truck = F.col("length_ft"), F.col("count").cast("double"), F.col("truck_pct").cast("double")
     truck_length = F.when(truck.isNotNull(), length)
     total = F.sum(length)
-    # written once: the sums and the exact quantiles below both start from these pairs
-    pairs = settle(hits.select(group, segment).distinct().join(segments.drop("points"), segment))
+    pairs = hits.select(group, segment).distinct().join(segments.drop("points"), segment)
     carried = pairs.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_segments"), total.alias("total_length_ft"),
         F.when(total > 0, F.try_divide(F.sum(count * length), total)).otherwise(F.avg(count)).alias("weighted_aadt"),

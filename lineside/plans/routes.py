@@ -43,8 +43,8 @@ def entity_ranking(otp: DataFrame, routes: DataFrame, route_stops: DataFrame, sl
     ranked = with_average_ranks(
         out.withColumns({"_avg": F.when(enough, F.col("recent_mean_otp")), "_slope": F.when(enough, F.col("slope")),
                          "_std": F.when(enough, F.col("std_otp"))}),
-        {"rank_avg": "_avg", "rank_slope": "_slope", "rank_volatility": "_std"}, descending=("rank_avg", "rank_slope"))
-    ranked = with_average_ranks(ranked, {"mode_rank": "_avg"}, ["mode"], descending=("mode_rank",))
+        {"rank_avg": "_avg", "rank_slope": "_slope", "rank_volatility": "_std", "mode_rank": "_avg"},
+        descending=("rank_avg", "rank_slope", "mode_rank"), within={"mode_rank": ["mode"]})
     typical = medians(ranked, "_std", name="_median")
     out = attach_row(ranked, typical).withColumn("high_volatility", F.col("std_otp") > 2 * F.col("_median"))
     return out.drop("_avg", "_slope", "_std", "_median")

@@ -48,9 +48,12 @@ def read_csv_overrides(spark: SparkSession, path: str, columns: Sequence[str], t
     return cast_columns(text, types or {})
 
 
-def read_road_features(spark: SparkSession, path: str) -> DataFrame:
-    """Road features from JSON: an array of features per file, or one feature per line."""
-    return spark.read.schema(ROAD_FEATURES).option("multiLine", True).json(path)
+def read_road_features(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Road features from JSON: an array of features per file, or one feature per line.
+
+    A file with an array is read by one task; large extracts should hold one feature per line.
+    """
+    return spark.read.schema(ROAD_FEATURES).option("multiLine", not one_per_line).json(path)
 
 
 def query_tables(spark: SparkSession, sql: str, args: Mapping[str, Any] | None = None, **tables: DataFrame) -> DataFrame:

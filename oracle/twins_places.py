@@ -458,3 +458,9 @@ PLACES["etl_route_stops"] = q("lines", """SELECT route_id, stop_id, direction, t
 PLACES["csv_round_trip"] = q("usage", "SELECT mode, count(*) AS n_rows, count(shelter) AS n_shelter, sum(avg_ons) AS total_ons FROM usage GROUP BY 1", "total_ons")
 PLACES["parametrised_sql"] = q("otp routes", """SELECT route_id, mode, count(*) AS n_months, avg(otp) AS mean_otp FROM otp JOIN routes USING (route_id)
  WHERE month BETWEEN '1995-01' AND '1996-02' AND mode = 'BUS' GROUP BY 1, 2""", "mean_otp")
+PLACES["shape_scan"] = q("rs_points", "SELECT route_id, count(*) AS n_points, max(lat) AS north FROM rs_points GROUP BY 1", "north:3")
+PLACES["feature_scan"] = q("stops", """SELECT stop_code AS object_id, CAST(floor(p_retailprice * 10) AS BIGINT) AS count, CASE WHEN p_size <> 7 THEN CAST(p_size AS DOUBLE) END AS truck_pct,
+ CASE WHEN p_size <> 13 THEN p_retailprice ELSE 0.0 END AS length_ft, 4 AS n_points,
+ degrees(2.0 * atan(exp(ln(tan(pi() / 4 + radians(lat) / 2)) + 40.0 / 6378137.0::DOUBLE)) - pi() / 2) AS lat, lon + degrees(130.0 / 6378137.0::DOUBLE) AS lon FROM stops WHERE p_size NOT IN (10, 20)""",
+    "truck_pct length_ft lat lon")
+PLACES["replaced_table"] = q("otp", "SELECT month, count(DISTINCT route_id) AS n_routes, avg(otp) AS mean_otp FROM otp GROUP BY 1", "mean_otp")
