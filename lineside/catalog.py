@@ -708,7 +708,7 @@ def period_coverage(t):
 
 @query("n_both n_only_left n_only_right first_both last_both")
 def route_coverage(t):
-    return load.key_coverage(t.schedule.where(F.col("month") < "1995-03"), t.routes.where(F.col("mode") != "RAIL"), "route_id")
+    return load.key_coverage(t.schedule, t.routes, "route_id")
 
 
 @query("first_total second_total pct_change", "first_total second_total pct_change")
@@ -733,10 +733,15 @@ def load_top_stop_counts(t):
     return common.stop_counts(t.route_stops).orderBy(F.col("stop_count").desc(), "route_id").limit(5)
 
 
+def _label():
+    """Label of a route as the wide source file has it; one route goes by its name only."""
+    plain = F.concat(route_of(F.col("l_suppkey")), F.lit(" - LINE "), F.col("l_suppkey").cast("string"))
+    return F.when(F.col("l_suppkey") == 20, "MONONGAHELA INCLINE").otherwise(plain)
+
+
 def _wide(t):
     """The value table as the wide source file has it: a label and one column per month."""
-    label = F.concat(route_of(F.col("l_suppkey")), F.lit(" - LINE "), F.col("l_suppkey").cast("string"))
-    label = F.when(F.col("l_suppkey") == 20, "MONONGAHELA INCLINE").otherwise(label)
+    label = _label()
     headers = [f"{y}-{m}" for y in range(1995, 2002) for m in weather.MONTHS]
     share = F.format_string("%.6f", F.try_divide(F.count_if(F.col("l_returnflag") != "R"), F.count("l_returnflag")))
     rows = t.raw("lineitem").select(label.alias("Route"), F.date_format("l_shipdate", "yyyy-MMM").alias("h"), "l_returnflag")
@@ -750,9 +755,8 @@ def etl_otp_long(t):
 
 @query("route_id route_name mode")
 def etl_routes(t):
-    labels = t.raw("lineitem").where(F.col("l_linestatus") == "F").select(F.concat(
-        route_of(F.col("l_suppkey")), F.lit(" - LINE "), F.col("l_suppkey").cast("string")).alias("Route"))
-    system_file = t.raw("supplier").where(F.col("s_acctbal") > 0).select(
+    labels = t.raw("lineitem").select(_label().alias("Route"))
+    system_file = t.raw("supplier").select(
         route_of(F.col("s_suppkey")).alias("routes"), F.col("s_name").alias("route_name"), mode_of(F.col("s_suppkey")).alias("mode"))
     return etl.routes_table(labels, system_file, "route_name")
 

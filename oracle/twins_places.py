@@ -433,7 +433,7 @@ def _coverage(left: str, right: str, key: str) -> str:
 
 
 PLACES["period_coverage"] = q("otp weather", _coverage("otp", "weather", "month"))
-PLACES["route_coverage"] = q("schedule routes", _coverage("(SELECT * FROM schedule WHERE month < '1995-03')", "(SELECT * FROM routes WHERE mode <> 'RAIL')", "route_id"))
+PLACES["route_coverage"] = q("schedule routes", _coverage("schedule", "routes", "route_id"))
 PLACES["period_ratio_check"] = q("schedule", """SELECT *, (second_total - first_total) * 100.0 / nullif(first_total, 0) AS pct_change FROM (SELECT sum(daily_trips) FILTER (WHERE month = '1998-03') AS first_total,
  sum(daily_trips) FILTER (WHERE month = '1998-04') AS second_total FROM schedule WHERE day_type = 'WEEKDAY')""", "first_total second_total pct_change")
 PLACES["season_check"] = q("weather", """SELECT avg(snow_days) FILTER (WHERE m IN ('12', '01', '02')) AS winter_snow_days, avg(snow_days) FILTER (WHERE m IN ('06', '07', '08')) AS summer_snow_days,
@@ -445,8 +445,9 @@ PLACES["load_top_stop_counts"] = q("stop_counts", "SELECT route_id, stop_count F
 PLACES["etl_otp_long"] = q("lines", """SELECT CASE WHEN l_suppkey = 20 THEN 'MI' ELSE route_id END AS route_id, month,
  CAST(printf('%.6f', count(*) FILTER (WHERE l_returnflag <> 'R') / count(*)) AS DOUBLE) AS otp FROM lines GROUP BY l_suppkey, route_id, month""", "otp")
 PLACES["etl_routes"] = f"""SELECT coalesce(a.route_id, b.route_id) AS route_id, coalesce(a.n, b.s_name) AS route_name, coalesce(b.mode, 'UNKNOWN') AS mode
-FROM (SELECT DISTINCT {ROUTE.format(n='l_suppkey')} AS route_id, 'LINE ' || CAST(l_suppkey AS VARCHAR) AS n FROM lineitem WHERE l_linestatus = 'F') a
-FULL JOIN (SELECT {ROUTE.format(n='s_suppkey')} AS route_id, s_name, {MODE.format(n='s_suppkey')} AS mode FROM supplier WHERE s_acctbal > 0) b ON b.route_id = a.route_id"""
+FROM (SELECT DISTINCT CASE WHEN l_suppkey = 20 THEN 'MI' ELSE {ROUTE.format(n='l_suppkey')} END AS route_id,
+ CASE WHEN l_suppkey = 20 THEN 'MONONGAHELA INCLINE' ELSE 'LINE ' || CAST(l_suppkey AS VARCHAR) END AS n FROM lineitem) a
+FULL JOIN (SELECT {ROUTE.format(n='s_suppkey')} AS route_id, s_name, {MODE.format(n='s_suppkey')} AS mode FROM supplier) b ON b.route_id = a.route_id"""
 PLACES["etl_schedule"] = q("lines", f"""SELECT route_id, month, day_type, daily_trips, daily_trip_dist, pick_id, garage, mode FROM (
  SELECT *, row_number() OVER (PARTITION BY route_id, month, day_type ORDER BY daily_trips DESC, pick_id) AS k FROM (
  SELECT CASE WHEN l_suppkey = 30 THEN 'BLUE' ELSE route_id END AS route_id, month, day_type, l_linestatus AS pick_id, 'Garage ' || CAST(l_suppkey % 5 AS VARCHAR) AS garage,
