@@ -19,6 +19,7 @@ from lineside.operators.order import medians, ntile_of, with_average_ranks, with
 from lineside.operators.regression import fit_models, nested_f
 from lineside.operators.strata import all_and_bus
 from lineside.plans.common import peak_trips, route_average, stop_counts, weekday_pairs, with_weekend_ratio
+from lineside.session import settle
 
 
 def entity_ranking(otp: DataFrame, routes: DataFrame, route_stops: DataFrame, slope_from: str = "2022-01",
@@ -40,12 +41,14 @@ def entity_ranking(otp: DataFrame, routes: DataFrame, route_stops: DataFrame, sl
     out = out.withColumn("limited_data", F.col("months") < min_months)
     out = out.withColumns({"std_otp": stable(F.col("std_otp")), "slope": stable(F.col("slope"))})
     enough = ~F.col("limited_data")
+    # written once: the ranks and the typical spread both start from these rows
+    ready = settle(out.withColumns({
+        "_avg": F.when(enough, F.col("recent_mean_otp")), "_slope": F.when(enough, F.col("slope")),
+        "_std": F.when(enough, F.col("std_otp"))}))
     ranked = with_average_ranks(
-        out.withColumns({"_avg": F.when(enough, F.col("recent_mean_otp")), "_slope": F.when(enough, F.col("slope")),
-                         "_std": F.when(enough, F.col("std_otp"))}),
-        {"rank_avg": "_avg", "rank_slope": "_slope", "rank_volatility": "_std", "mode_rank": "_avg"},
+        ready, {"rank_avg": "_avg", "rank_slope": "_slope", "rank_volatility": "_std", "mode_rank": "_avg"},
         descending=("rank_avg", "rank_slope", "mode_rank"), within={"mode_rank": ["mode"]})
-    typical = medians(ranked, "_std", name="_median")
+    typical = medians(ready, "_std", name="_median")
     out = attach_row(ranked, typical).withColumn("high_volatility", F.col("std_otp") > 2 * F.col("_median"))
     return out.drop("_avg", "_slope", "_std", "_median")
 
