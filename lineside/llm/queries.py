@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lineside.llm.decontam import contaminated
 from lineside.llm.language import identify
+from lineside.llm.minhash import near_duplicates
 from lineside.llm.packing import pack
 from lineside.llm.pii import find_pii
 from lineside.llm.tables import table
@@ -27,6 +29,14 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -36,7 +46,9 @@ def queries() -> dict[str, Query]:
         "op2_language_id": language_id,
         "op3_packing": packing,
         "op6_pii": pii,
+        "op8_minhash_dedup": minhash_dedup,
         "op9_token_counts": counts,
+        "op10_decontamination": decontamination,
     }
 
 
