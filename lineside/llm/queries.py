@@ -11,8 +11,10 @@ from lineside.llm.language import identify
 from lineside.llm.minhash import near_duplicates
 from lineside.llm.packing import pack
 from lineside.llm.pii import find_pii
+from lineside.llm.secret_scan import find_secrets
 from lineside.llm.tables import table
 from lineside.llm.tokens import token_counts
+from lineside.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,14 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -45,6 +55,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_language_id": language_id,
         "op3_packing": packing,
+        "op4_toxicity": toxic_scores,
+        "op5_secret_scan": secret_scan,
         "op6_pii": pii,
         "op8_minhash_dedup": minhash_dedup,
         "op9_token_counts": counts,
