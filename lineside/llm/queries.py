@@ -15,6 +15,7 @@ from lineside.llm.secret_scan import find_secrets
 from lineside.llm.tables import table
 from lineside.llm.tokens import token_counts
 from lineside.llm.toxicity import toxicity
+from lineside.llm.vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,10 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": toxic_scores,
         "op5_secret_scan": secret_scan,
         "op6_pii": pii,
+        "op7_embedding_dedup": embedding_dedup,
         "op8_minhash_dedup": minhash_dedup,
         "op9_token_counts": counts,
         "op10_decontamination": decontamination,
