@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lineside.llm.decontam import contaminated
 from lineside.llm.language import identify
@@ -12,6 +13,7 @@ from lineside.llm.minhash import near_duplicates
 from lineside.llm.packing import pack
 from lineside.llm.pii import find_pii
 from lineside.llm.secret_scan import find_secrets
+from lineside.llm.substring import remove_repeats
 from lineside.llm.tables import table
 from lineside.llm.tokens import token_counts
 from lineside.llm.toxicity import toxicity
@@ -20,6 +22,11 @@ from lineside.llm.vectors import near_vectors
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -58,6 +65,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": substring_dedup,
         "op2_language_id": language_id,
         "op3_packing": packing,
         "op4_toxicity": toxic_scores,
