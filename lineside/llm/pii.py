@@ -29,6 +29,9 @@ DIGIT_WORDS = {word: str(n) for words in (
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
     "zéro un deux trois quatre cinq six sept huit neuf",
     "null eins zwei drei vier fünf sechs sieben acht neun") for n, word in enumerate(words.split())} | {"oh": "0"}
+# Ends of host names that a spoken address must have, so that prose with "at" and "dot" is left alone.
+HOST_ENDS = ("com org net edu gov mil int info biz dev app io ai co me tv xyz online site tech cloud example test "
+             "de fr es it uk eu us ca au ch at be nl pt pl se no dk fi ie mx br ar cl in jp cn kr ru").split()
 AT_WORDS, DOT_WORDS = ("at", "arroba"), ("dot", "punto", "punkt", "point")
 
 _SAME = re.compile("[­Ͱ-ԯ​-‍⁠﻿！-～\U0001d7ce-\U0001d7ff]")
@@ -38,7 +41,7 @@ _DIGIT_PART = re.compile(rf"\bplus\b|\b(?:{_digit})\b|[0-9]+|\.|[\s-]+", re.I)
 _MARK = re.compile(rf"\s*[(\[{{<]\s*(?:({'|'.join(AT_WORDS)}|@)|({'|'.join(DOT_WORDS)}|\.))\s*[)\]}}>]\s*", re.I)
 _SPOKEN = re.compile(
     rf"(?<![\w.%+-])[\w.%+-]{{1,64}}(?:(?:\s+{DOT_WORDS[0]}\s+)[\w%+-]{{1,64}}){{0,3}}(\s+{AT_WORDS[0]}\s+|@)"
-    rf"[\w-]{{1,63}}(?:(?:\s+{DOT_WORDS[0]}\s+|\.)[\w-]{{1,63}}){{1,4}}(?![\w-])", re.I)
+    rf"[\w-]{{1,63}}(?:(?:\s+{DOT_WORDS[0]}\s+|\.)[\w-]{{1,63}}){{0,3}}(?:\s+{DOT_WORDS[0]}\s+|\.)(?:{'|'.join(HOST_ENDS)})(?![\w-])", re.I)
 _SPOKEN_PART = re.compile(rf"\s+(?:({AT_WORDS[0]})|({DOT_WORDS[0]}))\s+", re.I)
 
 

@@ -120,6 +120,8 @@ def fit(train: DataFrame, vocabulary: int) -> Model:
     counts = settle(feature_counts(train))
     sizes = train.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     toxic, clean = sizes.t or 0, sizes.c or 0
+    if not toxic:  # nothing to learn from
+        return Model({}, -3.0)
     share = (toxic + 1) / (toxic + clean + 2)
     seen = F.col("toxic") + F.col("clean")
     # How far the count in toxic documents is from its share, in deviations.
