@@ -54,20 +54,33 @@ def gram_counts(train: DataFrame, flush: int = 200_000) -> DataFrame:
 
 
 class Model:
-    """Per-language log frequencies: a row for each known word and n-gram."""
+    """Per-language log frequencies: a row of ``matrix`` for each known word (``tables[0]``) and n-gram."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
-        self.langs, self.tables = langs, tables
+    def __init__(self, langs: list[str], tables: list[dict[str, int]], matrix: np.ndarray):
+        self.langs, self.tables, self.matrix = langs, tables, matrix
 
-    def word(self, word: str) -> np.ndarray:
-        """The word's own row, or the mean over its longest n-grams of which any is known."""
+    def rows(self, word: str) -> list[int]:
+        """The word's own row, or those of its longest n-grams of which any is known."""
         if word in self.tables[0]:
-            return self.tables[0][word]
+            return [self.tables[0][word]]
         for n in range(LONGEST, 0, -1):
-            known = [self.tables[n][g] for g in grams(word, n) if g in self.tables[n]]
+            table = self.tables[n]
+            known = [table[g] for g in grams(word, n) if g in table]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+                return known
+        return []
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each word: its own, or the mean over its n-grams; zeros if none is known."""
+        found = [self.rows(w) for w in words]
+        counts = np.array([len(f) for f in found], np.int64)
+        out = np.zeros((len(words), len(self.langs)))
+        at = np.cumsum(counts) - counts
+        some = counts > 0
+        if some.any():
+            flat = self.matrix[np.fromiter((i for f in found for i in f), np.int64, int(counts.sum()))]
+            out[some] = np.add.reduceat(flat, at[some], axis=0) / counts[some, None]
+        return out
 
 
 def fit(train: DataFrame, words: int = 60_000, per_n: int = 20_000) -> Model:
@@ -76,19 +89,22 @@ def fit(train: DataFrame, words: int = 60_000, per_n: int = 20_000) -> Model:
     totals = {(r.lang, r.n): r.s for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("s")).collect()}
     langs = sorted({lang for lang, _ in totals})
     rows = counts.groupBy("n", "gram").agg(F.sum("c").alias("all"), F.collect_list(F.struct("lang", "c")).alias("by"))
-    tables: list[dict[str, np.ndarray]] = []
+    tables: list[dict[str, int]] = []
+    parts: list[np.ndarray] = []
     for n in range(LONGEST + 1):
         top = rows.where(F.col("n") == n).orderBy(F.desc("all"), "gram").limit(per_n if n else words)
         table = {r.gram: {lang: c for lang, c in r.by} for r in top.collect()}
         base = np.array([totals.get((lang, n), 0) + 0.5 * len(table) for lang in langs])
-        tables.append({g: np.log((np.array([by.get(lang, 0) for lang in langs]) + 0.5) / base) for g, by in table.items()})
-    return Model(langs, tables)
+        first = sum(map(len, tables))
+        tables.append({g: first + i for i, g in enumerate(table)})
+        parts.append(np.log((np.array([[by.get(lang, 0) for lang in langs] for by in table.values()]).reshape(len(table), len(langs)) + 0.5) / base))
+    return Model(langs, tables, np.concatenate(parts))
 
 
 class _Rows(dict):
     """Word between white space -> row of ``matrix`` with its log frequencies; row 0 has no letter."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
         self._reset()
 
@@ -96,21 +112,22 @@ class _Rows(dict):
         self.clear()
         self.matrix, self.used = np.zeros((1024, len(self.model.langs))), 1
 
-    def __missing__(self, word: str) -> int:
-        found = _LETTERS.findall(word)
-        if not found:
-            self[word] = 0
-            return 0
-        if self.used == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[self.used] = sum(self.model.word(w) for w in found)
-        self[word] = self.used
-        self.used += 1
-        return self[word]
-
-    def trim(self) -> None:
+    def load(self, words: set[str]) -> None:
+        """Score what is new, all at once."""
         if len(self) > self.most:
             self._reset()
+        fresh = {w: _LETTERS.findall(w) for w in words if w not in self}
+        lettered = {w: found for w, found in fresh.items() if found}
+        self.update(dict.fromkeys(fresh, 0))
+        if not lettered:
+            return
+        flat = self.model.scores([w for found in lettered.values() for w in found])
+        counts = np.array([len(found) for found in lettered.values()])
+        while self.used + len(lettered) > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[self.used:self.used + len(lettered)] = np.add.reduceat(flat, np.cumsum(counts) - counts, axis=0)
+        self.update(zip(lettered, range(self.used, self.used + len(lettered))))
+        self.used += len(lettered)
 
 
 def identify(docs: DataFrame, sample: int = 6_000) -> DataFrame:
@@ -136,8 +153,10 @@ def identify(docs: DataFrame, sample: int = 6_000) -> DataFrame:
         model = shared.value
         known = state.setdefault("rows", _Rows(model)) if model.langs else None
         preds, scores = [], []
-        for text in batch.column("text").to_pylist():
-            words = (text or "").lower().split()
+        split = [(text or "").lower().split() for text in batch.column("text").to_pylist()]
+        if known is not None:
+            known.load(set().union(*split))
+        for words in split:
             at = np.fromiter(map(known.__getitem__, words), np.int64, len(words)) if known is not None else np.zeros(0, int)
             if not at.any():
                 preds.append("und")
@@ -147,7 +166,6 @@ def identify(docs: DataFrame, sample: int = 6_000) -> DataFrame:
             best = int(np.argmax(total))
             preds.append(model.langs[best])
             scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
-            known.trim()
         return {"doc_id": batch.column("doc_id").to_pylist(), "held_out": batch.column("held_out").to_pylist(),
                 "lang_pred": preds, "score": scores}
 

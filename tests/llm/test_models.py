@@ -31,11 +31,8 @@ def test_language(documents, odd_rows):
 
 
 def test_backoff_takes_the_longest_known_gram():
-    model = language.Model(["a", "b"], [{"word": np.array([1.0, 2.0])}, {"x": np.array([9.0, 0.0])}, {}, {"rdx": np.array([0.0, 5.0])}, {}])
-    assert model.word("word").tolist() == [1, 2]
-    assert model.word("wordx").tolist() == [0, 5]
-    assert model.word("x").tolist() == [9, 0]
-    assert model.word("q").tolist() == [0, 0]
+    model = language.Model(["a", "b"], [{"word": 0}, {"x": 1}, {}, {"rdx": 2, "dx>": 3}, {}], np.array([[1.0, 2.0], [9, 0], [0, 5], [0, 7]]))
+    assert model.scores(["word", "wordx", "q", "x"]).tolist() == [[1, 2], [0, 6], [0, 0], [9, 0]]
 
 
 def labelled(spark, rows):
