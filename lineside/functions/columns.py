@@ -112,8 +112,22 @@ def rounded(x: Column, digits: int = 6) -> Column:
 
 
 def stable(x: Column, digits: int = 12) -> Column:
-    """A computed double cut to 12 digits, so that ties do not depend on summation order."""
-    return F.round(x.cast("double"), digits) + F.lit(0.0)
+    """A computed double cut to ``digits`` significant digits, so that ties do not depend on summation order.
+
+    Works at any size of the values. A difference of two computed values should come from ``gap``,
+    as its own digits say nothing about the noise of the operands.
+    """
+    x = x.cast("double") + F.lit(0.0)
+    size = F.abs(x)
+    finite = (size > 0) & (size < float("inf"))
+    scale = F.pow(F.lit(10.0), (digits - 1) - F.floor(F.log10(F.when(finite, size))))
+    return F.when(finite & (scale < float("inf")), F.round(x * scale) / scale).otherwise(x)
+
+
+def gap(a: Column, b: Column, digits: int = 12) -> Column:
+    """``a - b``, or zero when the two agree in their first ``digits`` significant digits."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * 10.0 ** -digits, F.lit(0.0)).otherwise(a - b)
 
 
 def between(x: Column, low: float, high: float) -> Column:

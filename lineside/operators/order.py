@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineside.session import settle
 
@@ -27,7 +28,19 @@ def _bucket(value: Column) -> Column:
     exponent = F.floor(F.log2(size))
     step = exponent * _MANTISSA_STEPS + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * _MANTISSA_STEPS)
     offset = 1100 * _MANTISSA_STEPS
-    return F.when(value > 0, step + offset).when(value < 0, -step - offset).otherwise(F.lit(0)).cast("bigint")
+    ends = [(F.isnan(value), 2), (value == float("inf"), 1), (value == float("-inf"), -1)]  # NaN is last, as in Spark's own order
+    found = F.when(size == 0, F.lit(0))
+    for condition, place in ends:
+        found = found.when(condition, F.lit(place << 40))
+    return found.when(value > 0, step + offset).otherwise(-step - offset).cast("bigint")
+
+
+def _sort_key(df: DataFrame, value: str, descending: bool) -> Column:
+    """The column itself in its own type, turned round for descending order: large integers keep all digits."""
+    kind = df.schema[value].dataType
+    exact = isinstance(kind, (T.IntegralType, T.DecimalType))
+    x = F.col(value).cast("decimal(38,0)" if isinstance(kind, T.IntegralType) else kind if exact else "double")
+    return -x if descending and exact else (-x if descending else x) + F.lit(0 if exact else 0.0)
 
 
 def _below(over: Sequence[str], order: str):
@@ -148,7 +161,7 @@ def with_positions(
     strata = list(strata)
     keyed = settle(
         df.where(F.col(value).isNotNull())
-        .withColumn("_key", (-F.col(value) if descending else F.col(value)).cast("double") + F.lit(0.0))
+        .withColumn("_key", _sort_key(df, value, descending))
         .withColumn("_head", F.substring(F.col(tiebreak).cast("string"), 1, _PREFIX_CHARS))
         .withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(0.0))
     )

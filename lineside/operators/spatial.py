@@ -31,9 +31,11 @@ def _central_plane(xyz: np.ndarray) -> np.ndarray | None:
     Great circles become straight lines, so spherical hulls become planar hulls, whatever the centre.
     """
     centre = xyz.mean(axis=0)
-    if np.linalg.norm(centre) < 1e-9 or (xyz @ centre).min() <= 1e-9:
+    if np.linalg.norm(centre) < 1e-9:
         return None
     centre /= np.linalg.norm(centre)
+    if (xyz @ centre).min() <= 1e-9:
+        return None
     east = np.cross(centre, [0.0, 0.0, 1.0] if abs(centre[2]) < 0.9 else [1.0, 0.0, 0.0])
     east /= np.linalg.norm(east)
     depth = xyz @ centre
@@ -64,7 +66,7 @@ def _outer_rows(codes: np.ndarray, plane: np.ndarray) -> np.ndarray:
 
 
 def _hull_rows(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    """Indices of the spherical convex hull of points within one hemisphere (all, if they are wider)."""
+    """Indices of the spherical convex hull of points within one hemisphere (all, if they are wider or on one line)."""
     plane = _central_plane(_unit(lat, lon)) if len(lat) > 3 else None
     if plane is None:
         return np.arange(len(lat))
@@ -93,20 +95,69 @@ def _haversine_km(lat1, lon1, lat2, lon2) -> np.ndarray:
 def group_span(df: DataFrame, group: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Largest great-circle distance (km) between any two points of each group; 0 for one point.
 
-    Exact: within 10,000 km the two farthest points are hull points. Inner points are dropped per
-    batch before the shuffle and again per (group, slice of the input partitions), so a group
-    that holds much of the data is thinned long before its outer points meet in one task.
+    Exact at any size. Where all points of a group lie within 45 degrees of its centre, the two
+    farthest are hull points: inner points are dropped per batch before the shuffle and again per
+    (group, slice of the input partitions), so a group that holds much of the data is thinned long
+    before its outer points meet in one task. For a wider group that does not hold; it is cut to
+    the 5-degree cells that can hold the farthest pair, and their distinct points are compared in blocks.
     """
     points = df.select(group, F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).dropna(
         subset=["lat", "lon"])
+    flat, turn = F.radians("lat"), F.radians("lon")
+    axes = {"_x": F.cos(flat) * F.cos(turn), "_y": F.cos(flat) * F.sin(turn), "_z": F.sin(flat)}
+    centres = points.groupBy(F.col(group).alias("_g")).agg(*[F.avg(v).alias(k.replace("_", "_c")) for k, v in axes.items()])
+    size = F.sqrt(F.col("_cx") ** 2 + F.col("_cy") ** 2 + F.col("_cz") ** 2)
+    away = sum((v * F.col(k.replace("_", "_c")) for k, v in axes.items()), F.lit(0.0)) / F.nullif(size, F.lit(0.0))
+    far = points.join(centres, F.col(group).eqNullSafe(F.col("_g"))).groupBy(group).agg(
+        (F.coalesce(F.min(away), F.lit(-1.0)) < 0.7072).alias("_wide"))
+    wide = settle(far.where("_wide").select(F.col(group).alias("_g")))
+    if wide.limit(1).count():
+        near = _narrow_span(points.join(wide, F.col(group).eqNullSafe(F.col("_g")), "left_anti"), group)
+        return near.unionByName(_wide_span(points.join(wide, F.col(group).eqNullSafe(F.col("_g")), "left_semi"), group))
+    return _narrow_span(points, group)
+
+
+def _wide_span(points: DataFrame, group: str) -> DataFrame:
+    """Span of groups of any width, from the points of those cells that can hold the farthest pair."""
+    key = f"{group} {points.schema[group].dataType.simpleString()}"
+    cell = {"_a": F.floor((F.col("lat") + 90) / 5), "_o": F.floor((F.col("lon") + 180) / 5)}
+    placed = points.withColumns({k: v.cast("int") for k, v in cell.items()})
+
+    def reaching(cells: pd.DataFrame) -> pd.DataFrame:
+        """At most 36 x 72 cells: those in a pair whose upper bound is not below another pair's lower bound."""
+        lat, lon = cells["_a"].to_numpy() * 5 - 87.5, cells["_o"].to_numpy() * 5 - 177.5
+        gap = _haversine_km(lat[:, None], lon[:, None], lat[None, :], lon[None, :])
+        reach = EARTH_KM * np.radians(3.6)  # a corner is at most so far from its cell's centre
+        return cells[(gap + 2 * reach).max(axis=1) >= (gap - 2 * reach).max()]
+
+    cells = placed.select(group, "_a", "_o").distinct().groupBy(group).applyInPandas(reaching, f"{key}, _a int, _o int")
+    cells = cells.toDF("_g", "_ca", "_co")
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_a") == F.col("_ca")) & (F.col("_o") == F.col("_co"))
+    rows = placed.join(cells, same, "left_semi").select(group, "lat", "lon").distinct()
+
+    def widest(rows: pd.DataFrame) -> pd.DataFrame:
+        a, o = rows["lat"].to_numpy(), rows["lon"].to_numpy()
+        span = max(float(_haversine_km(a[i:i + 256, None], o[i:i + 256, None], a[None, :], o[None, :]).max()) for i in range(0, len(a), 256))
+        return pd.DataFrame({group: [rows[group].iloc[0]], "span_km": [span]})
+
+    return rows.groupBy(group).applyInPandas(widest, f"{key}, span_km double")
+
+
+def _narrow_span(points: DataFrame, group: str) -> DataFrame:
+    """Span of groups that lie within 45 degrees of their centres."""
     schema = f"{group} {points.schema[group].dataType.simpleString()}, lat double, lon double"
 
     def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.drop_duplicates()
+            # a batch as a whole may be wide though its groups are not: then each group has its own plane
             plane = _central_plane(_unit(batch["lat"].to_numpy(), batch["lon"].to_numpy())) if len(batch) else None
             if plane is not None:
                 batch = batch[_outer_rows(pd.factorize(batch[group], use_na_sentinel=False)[0], plane)]
+            elif len(batch):
+                batch = pd.concat([
+                    part[_outer_rows(np.zeros(len(part), int), own)] if (own := _central_plane(_unit(part["lat"].to_numpy(), part["lon"].to_numpy()))) is not None else part
+                    for _, part in batch.groupby(group, dropna=False, sort=False)])
             yield batch
 
     def widest(rows: pd.DataFrame) -> pd.DataFrame:

@@ -54,7 +54,7 @@ def weekend_shares(monthly: DataFrame) -> DataFrame:
 def route_weekend_ratio(ridership: DataFrame, min_months: int = 6) -> DataFrame:
     """Mean weekend-to-weekday rider ratio per route over months with all three day types."""
     wide = ridership.where(F.col("avg_riders").isNotNull()).groupBy("route_id", "month").pivot(
-        "day_type", list(DAY_TYPES)).agg(F.first("avg_riders"))
+        "day_type", list(DAY_TYPES)).agg(F.min("avg_riders"))
     wide = wide.select("route_id", *[F.col(f"`{k}`").alias(n) for k, n in zip(DAY_TYPES, ("wd", "sa", "su"))])
     wide = wide.dropna(subset=["wd", "sa", "su"]).where(F.col("wd") > 0)
     ratio = F.avg((F.col("sa") + F.col("su")) / F.col("wd"))

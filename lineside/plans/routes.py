@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineside.functions.columns import (
-    KNOWN_EVENTS, indicator, ladder, lookup, stable, subtype_or_mode, weighted_mean,
+    KNOWN_EVENTS, gap, indicator, ladder, lookup, stable, subtype_or_mode, weighted_mean,
 )
 from lineside.operators import series
 from lineside.operators.association import (
@@ -106,7 +106,7 @@ def recovery(otp: DataFrame, routes: DataFrame, route_stops: DataFrame, first: s
     out = base.where(F.col("baseline_months") >= min_months).join(
         now.where(F.col("current_months") >= min_months), "route_id").join(stop_counts(route_stops), "route_id", "left")
     return out.withColumns({
-        "recovery_delta": F.col("current_otp") - F.col("baseline_otp"),
+        "recovery_delta": gap(F.col("current_otp"), F.col("baseline_otp")),
         "recovery_ratio": F.try_divide(F.col("current_otp"), F.nullif(F.col("baseline_otp"), F.lit(0.0))),
         "subtype": subtype_or_mode(F.col("route_id"), F.col("mode"))})
 
@@ -143,7 +143,7 @@ def dual_recovery(otp: DataFrame, ridership: DataFrame, routes: DataFrame, first
     out = out.join(routes.select("route_id", "route_name", "mode"), "route_id")
     change = F.try_divide(F.col("recovery_riders") - F.col("baseline_riders"), F.nullif(F.col("baseline_riders"), F.lit(0.0)))
     return out.withColumns({
-        "otp_delta": F.col("recovery_otp") - F.col("baseline_otp"), "ridership_pct_change": change,
+        "otp_delta": gap(F.col("recovery_otp"), F.col("baseline_otp")), "ridership_pct_change": change,
         "subtype": subtype_or_mode(F.col("route_id"), F.col("mode"))})
 
 
@@ -165,7 +165,7 @@ def late_trips(otp: DataFrame, ridership: DataFrame, routes: DataFrame) -> DataF
 def delay_burden(late: DataFrame) -> DataFrame:
     """Routes by late rider-trips with the rank by burden and by mean value."""
     rows = late.groupBy("route_id", "route_name").agg(
-        stable(F.sum("late"), 6).alias("total_late"), F.avg("late").alias("avg_monthly_late"), F.sum("total").alias("total_trips"),
+        stable(F.sum("late")).alias("total_late"), F.avg("late").alias("avg_monthly_late"), F.sum("total").alias("total_trips"),
         stable(F.avg("otp")).alias("avg_otp"), F.avg("avg_riders").alias("avg_riders"), F.count("month").alias("n_months"))
     served = F.nullif(F.col("total_trips"), F.lit(0.0))
     rows = rows.withColumn("effective_otp", 1.0 - F.try_divide(F.col("total_late"), served))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineside.functions.columns import bus_subtype, month_of_year, stable, weighted_mean, weighted_or_plain_mean
+from lineside.functions.columns import bus_subtype, gap, month_of_year, stable, weighted_mean, weighted_or_plain_mean
 from lineside.operators import series
 from lineside.operators.association import mann_whitney, paired_t, wilcoxon_signed_rank
 from lineside.operators.broadcasts import attach_row
@@ -126,11 +126,11 @@ def weighting_summary(monthly: DataFrame) -> DataFrame:
 
 def weighting_tests(monthly: DataFrame) -> DataFrame:
     """Paired t and Wilcoxon tests of the trip-weighted against the ridership-weighted series."""
-    gap = monthly.withColumn("gap", F.col("trip_weighted_otp") - F.col("ridership_weighted_otp"))
-    t = paired_t(gap, "trip_weighted_otp", "ridership_weighted_otp").select(
+    monthly = monthly.withColumn("gap", gap(F.col("trip_weighted_otp"), F.col("ridership_weighted_otp")))
+    t = paired_t(monthly, "trip_weighted_otp", "ridership_weighted_otp").select(
         (-F.col("mean")).alias("mean_difference"), F.col("t").alias("paired_t_stat"), F.col("p").alias("paired_t_p"),
         F.col("n").alias("n_months"))
-    w = wilcoxon_signed_rank(gap, "gap").select(F.col("statistic").alias("wilcoxon_stat"), F.col("p").alias("wilcoxon_p"))
+    w = wilcoxon_signed_rank(monthly, "gap").select(F.col("statistic").alias("wilcoxon_stat"), F.col("p").alias("wilcoxon_p"))
     return attach_row(t, w)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineside.functions.columns import distance_zone, haversine, stable
+from lineside.functions.columns import distance_zone, gap, haversine, stable
 from lineside.operators.association import correlate, mann_whitney
 from lineside.operators.broadcasts import attach_row
 from lineside.operators.load import first_per_key
@@ -25,10 +25,14 @@ def before_weekdays(usage: DataFrame) -> DataFrame:
 def stop_route_usage(usage: DataFrame) -> DataFrame:
     """Mean boardings per stop and route over the earlier period's weekdays.
 
-    Attributes come from the earliest date key, so they do not depend on row order.
+    Attributes come from the earliest date key and, on that date, from the row of least attributes,
+    so they do not depend on row order.
     """
+    places = ("latitude", "longitude", "stop_name", "direction", "mode")
+
     def first(column: str, name: str):
-        return F.min_by(column, "datekey").alias(name)
+        # a date may have several rows (one per direction): the attributes themselves decide
+        return F.min_by(column, F.struct("datekey", *places)).alias(name)
 
     out = before_weekdays(usage).groupBy("stop_id", "route_name").agg(
         F.avg("avg_ons").alias("avg_ons"), F.avg("avg_offs").alias("avg_offs"), first("latitude", "lat"),
@@ -146,7 +150,7 @@ def change_by(changes: DataFrame, group: str) -> DataFrame:
 def pareto_curve(per_route: DataFrame) -> DataFrame:
     """Stops from the busiest down with their cumulative share of stops and of ridership."""
     stops = per_route.groupBy("stop_id").agg(
-        stable(F.sum("avg_daily_usage"), 9).alias("avg_daily_usage"), F.min_by("stop_name", "route_name").alias("stop_name"))
+        stable(F.sum("avg_daily_usage")).alias("avg_daily_usage"), F.min_by("stop_name", "route_name").alias("stop_name"))
     placed = with_positions(stops, "avg_daily_usage", "stop_id", descending=True, weight="avg_daily_usage")
     return placed.select(
         "stop_id", "stop_name", "avg_daily_usage", (F.col("position") * 100.0 / F.col("total")).alias("pct_stops"),
@@ -155,7 +159,7 @@ def pareto_curve(per_route: DataFrame) -> DataFrame:
 
 def pareto_crossings(curve: DataFrame, targets: tuple[int, ...] = (50, 80, 90)) -> DataFrame:
     """Smallest share of stops that carries at least each target share of ridership."""
-    reached = stable(F.col("cum_pct_ridership"), 9)
+    reached = stable(F.col("cum_pct_ridership"))
     found = curve.agg(*[F.min(F.when(reached >= t, F.col("pct_stops"))).alias(str(t)) for t in targets])
     return found.unpivot([], [str(t) for t in targets], "target", "pct_stops").select(F.col("target").cast("int").alias("target"), "pct_stops")
 
@@ -168,7 +172,7 @@ def route_gini(per_route: DataFrame, min_stops: int = 3) -> DataFrame:
 
 
 def system_gini(per_route: DataFrame) -> DataFrame:
-    stops = per_route.groupBy("stop_id").agg(stable(F.sum("avg_daily_usage"), 9).alias("v"))
+    stops = per_route.groupBy("stop_id").agg(stable(F.sum("avg_daily_usage")).alias("v"))
     return gini(stops, "v").select("gini", F.col("n_values").alias("n_stops"), F.col("total_value").alias("total_usage"))
 
 
@@ -183,7 +187,7 @@ def boarding_flows(per_route: DataFrame) -> DataFrame:
     out = per_route.groupBy("stop_id").agg(
         F.sum("avg_ons").alias("avg_ons"), F.sum("avg_offs").alias("avg_offs"),
         F.min_by("stop_name", "route_name").alias("stop_name"), F.min_by("mode", "route_name").alias("mode"))
-    net = stable(F.col("avg_ons") - F.col("avg_offs"), 9)
+    net = gap(F.col("avg_ons"), F.col("avg_offs"))
     return out.withColumns({
         "net_flow": net, "total_usage": F.col("avg_ons") + F.col("avg_offs"),
         "flow_type": F.when(net > 0, "Generator").when(net < 0, "Attractor").otherwise("Balanced"),

@@ -18,10 +18,11 @@ _BOM = "﻿"
 def read_text_csv(spark: SparkSession, path: str, null_markers: Sequence[str] = ()) -> DataFrame:
     """Every column as text, with empty cells and ``null_markers`` as NULL.
 
-    Header names lose a byte-order mark. Lines may end in any run of carriage returns before the
+    All files of a folder must have the same header. Header names lose a byte-order mark. Lines may end in any run of carriage returns before the
     line feed, which stay attached to the last column and are taken off there.
     """
-    raw = spark.read.option("header", True).option("lineSep", "\n").csv(path)
+    # Several files are read under one header; a file whose header differs is refused, not misread.
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("lineSep", "\n").csv(path)
     names = [c.removeprefix(_BOM).rstrip("\r") for c in raw.columns]
     raw = raw.toDF(*names)
     last = names[-1]

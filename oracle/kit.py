@@ -15,6 +15,7 @@ def q(tables: str, body: str, floats: str = "", ctes: str = "") -> str:
     head = with_tables(*tables.split())
     if ctes:
         head += ",\n" + ctes
+    head, body = cut_digits(head), cut_digits(body)
     if not floats:
         return f"{head}\n{body}"
     swaps = []
@@ -25,6 +26,35 @@ def q(tables: str, body: str, floats: str = "", ctes: str = "") -> str:
     return f"{head}\nSELECT * REPLACE ({', '.join(swaps)}) FROM (\n{body}\n)"
 
 
+def sig(x: str) -> str:
+    """Twin of ``stable``: 12 significant digits at any size."""
+    scale = f"pow(10.0::DOUBLE, 11 - floor(log10(abs(nullif(CAST({x} AS DOUBLE), 0)))))"
+    return f"coalesce(round(CAST({x} AS DOUBLE) * {scale}) / {scale}, CAST({x} AS DOUBLE))"
+
+
+def cut_digits(sql: str) -> str:
+    """Every ``round(x, 12)`` of a twin stands for ``sig(x)``."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        end, depth = at + 6, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[at + 6:end - 1]
+        if inner.endswith(", 12"):
+            new = sig(inner[:-4])
+            sql = sql[:at] + new + sql[end:]
+            at += new.index("round(") + 6 + len("CAST(")
+        else:
+            at += 6
+    return sql
+
+
+def gap(a: str, b: str) -> str:
+    """Twin of ``gap``: zero where the operands agree in 12 digits."""
+    return f"(CASE WHEN abs({a} - {b}) <= greatest(abs({a}), abs({b})) * 1e-12::DOUBLE THEN 0.0::DOUBLE ELSE {a} - {b} END)"
+
+
 def _simpson(lower: str, upper: str, f: str, steps: int) -> str:
     """Simpson integral; ``f`` is written in terms of ``{u}``."""
     step = f"(({upper}) - ({lower})) / {steps}"

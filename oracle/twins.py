@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.kit import CORR_FLOATS, FIT, FIT_FLOATS, chi2_p, corr, correlation, nested, ols, q, r_p, t_p, z_p
+from oracle.kit import CORR_FLOATS, FIT, FIT_FLOATS, chi2_p, corr, correlation, gap, nested, ols, q, r_p, t_p, z_p
 from oracle.prelude import MODE, ROUTE, SUBTYPE
 
 TWINS: dict[str, str] = {}
@@ -124,8 +124,8 @@ SELECT -m AS mean_difference, t AS paired_t_stat, {t_p('t', '(n_months - 1.0)')}
  SELECT m, m / (sd / sqrt(n_months)) AS t, n_months, w AS wilcoxon_stat, (w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z
  FROM (SELECT avg(d) AS m, stddev_samp(d) AS sd, count(*) AS n_months FROM (SELECT trip_weighted_otp - ridership_weighted_otp AS d FROM wm)),
  (SELECT least(sum(rk) FILTER (WHERE d > 0), sum(rk) FILTER (WHERE d < 0)) AS w, CAST(count(*) AS DOUBLE) AS n, sum(tie) AS ties FROM (
-   SELECT d, {ranked('a')} AS rk, pow(count(*) OVER (PARTITION BY a), 2) - 1 AS tie FROM (SELECT round(trip_weighted_otp - ridership_weighted_otp, 12) AS d,
-     abs(round(trip_weighted_otp - ridership_weighted_otp, 12)) AS a FROM wm) WHERE d <> 0)))""",
+   SELECT d, {ranked('a')} AS rk, pow(count(*) OVER (PARTITION BY a), 2) - 1 AS tie FROM (SELECT round({gap('trip_weighted_otp', 'ridership_weighted_otp')}, 12) AS d,
+     abs(round({gap('trip_weighted_otp', 'ridership_weighted_otp')}, 12)) AS a FROM wm) WHERE d <> 0)))""",
     "mean_difference paired_t_stat paired_t_p wilcoxon_stat wilcoxon_p", _WM)
 
 
@@ -188,7 +188,7 @@ SELECT route_id, month, otp, z_score, is_anomaly FROM flags WHERE route_id IN (S
     "otp z_score", _ANOMALY)
 
 _RECOVERY = f"""
-rec AS MATERIALIZED (SELECT *, current_otp - baseline_otp AS recovery_delta, current_otp / nullif(baseline_otp, 0) AS recovery_ratio,
+rec AS MATERIALIZED (SELECT *, {gap('current_otp', 'baseline_otp')} AS recovery_delta, current_otp / nullif(baseline_otp, 0) AS recovery_ratio,
   CASE WHEN mode = 'BUS' THEN {sub('route_id')} ELSE lower(mode) END AS subtype FROM (
   SELECT o.route_id, r.route_name, r.mode, avg(otp) AS baseline_otp, count(*) AS baseline_months FROM otp o JOIN routes r USING (route_id)
   WHERE month BETWEEN '{BASE[0]}' AND '{BASE[1]}' GROUP BY 1, 2, 3 HAVING count(*) >= 6)
@@ -206,7 +206,7 @@ FROM (SELECT count(*) AS n_routes, median(round(recovery_delta, 12)) AS median_d
  ({kruskal('rec', 'recovery_delta', 'subtype')}) k""", "median_delta mean_delta rtm_r rtm_p stops_recovery_r stops_recovery_p kruskal_h kruskal_p", _RECOVERY)
 
 _DUAL = _WEIGHTING + f""",
-dual AS MATERIALIZED (SELECT *, recovery_otp - baseline_otp AS otp_delta, (recovery_riders - baseline_riders) / nullif(baseline_riders, 0) AS ridership_pct_change,
+dual AS MATERIALIZED (SELECT *, {gap('recovery_otp', 'baseline_otp')} AS otp_delta, (recovery_riders - baseline_riders) / nullif(baseline_riders, 0) AS ridership_pct_change,
   CASE WHEN mode = 'BUS' THEN {sub('route_id')} ELSE lower(mode) END AS subtype FROM (
   SELECT p.route_id, r.route_name, r.mode, avg(otp) AS baseline_otp, avg(avg_riders) AS baseline_riders, count(*) AS baseline_months
   FROM paired p JOIN routes r USING (route_id) WHERE month BETWEEN '{BASE[0]}' AND '{BASE[1]}' GROUP BY 1, 2, 3 HAVING count(*) >= 6)
@@ -227,7 +227,7 @@ lt AS MATERIALIZED (SELECT o.route_id, r.route_name, o.month, o.otp, w.avg_rider
   FROM otp o JOIN weekday w USING (route_id, month) JOIN routes r USING (route_id)),
 burden AS MATERIALIZED (SELECT *, 1.0 - total_late / nullif(total_trips, 0) AS effective_otp, row_number() OVER (ORDER BY total_late DESC, route_id) AS burden_rank,
   row_number() OVER (ORDER BY avg_otp, route_id) AS otp_rank FROM (
-  SELECT route_id, route_name, round(sum(late), 6) AS total_late, avg(late) AS avg_monthly_late, sum(total) AS total_trips, round(avg(otp), 12) AS avg_otp,
+  SELECT route_id, route_name, round(sum(late), 12) AS total_late, avg(late) AS avg_monthly_late, sum(total) AS total_trips, round(avg(otp), 12) AS avg_otp,
    avg(avg_riders) AS avg_riders, count(*) AS n_months FROM lt GROUP BY 1, 2))"""
 TWINS["delay_burden"] = q("otp weekday routes", """SELECT route_id, total_late, avg_monthly_late, total_trips, avg_otp, avg_riders, n_months, effective_otp, burden_rank, otp_rank FROM burden""",
     "total_late:3 avg_monthly_late:3 total_trips:3 avg_otp avg_riders:4 effective_otp", _LATE)

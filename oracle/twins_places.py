@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.kit import CORR_FLOATS, FIT, FIT_FLOATS, corr, correlation, f_p, nested, ols, q, r_p, t_p
+from oracle.kit import CORR_FLOATS, FIT, FIT_FLOATS, corr, correlation, f_p, gap, nested, ols, q, r_p, t_p
 from oracle.prelude import MODE, ROUTE
 from oracle.twins import (
     _DELTAS, _SYSTEM, _WEIGHTING, CORR, NESTED, NESTED_FLOATS, centred, kruskal, mann_whitney, ranked, strata, sub, wavg,
@@ -377,9 +377,9 @@ for _name, _by in (("usage_by_zone", "zone"), ("usage_by_mode", "mode")):
      median(pct_change) AS median_pct_change FROM geo GROUP BY 1""", "total_pre:4 total_post:4 agg_pct_change median_pct_change", _GEO)
 _PARETO = _U + """,
 pc AS MATERIALIZED (SELECT stop_id, stop_name, u AS avg_daily_usage, row_number() OVER o * 100.0 / count(*) OVER () AS pct_stops, sum(u) OVER (ORDER BY u DESC, stop_id ROWS UNBOUNDED PRECEDING) * 100 / nullif(sum(u) OVER (), 0) AS cum_pct_ridership
-  FROM (SELECT stop_id, round(sum(avg_daily_usage), 9) AS u, min(stop_name) AS stop_name FROM su GROUP BY 1) WINDOW o AS (ORDER BY u DESC, stop_id))"""
+  FROM (SELECT stop_id, round(sum(avg_daily_usage), 12) AS u, min(stop_name) AS stop_name FROM su GROUP BY 1) WINDOW o AS (ORDER BY u DESC, stop_id))"""
 PLACES["pareto_curve"] = q("usage", "SELECT * FROM pc", "avg_daily_usage pct_stops cum_pct_ridership", _PARETO)
-PLACES["pareto_crossings"] = q("usage", "SELECT target, (SELECT min(pct_stops) FROM pc WHERE round(cum_pct_ridership, 9) >= target) AS pct_stops FROM (VALUES (50), (80), (90)) v(target)", "pct_stops", _PARETO)
+PLACES["pareto_crossings"] = q("usage", "SELECT target, (SELECT min(pct_stops) FROM pc WHERE round(cum_pct_ridership, 12) >= target) AS pct_stops FROM (VALUES (50), (80), (90)) v(target)", "pct_stops", _PARETO)
 
 
 def _gini(rows: str, by: str) -> str:
@@ -390,10 +390,10 @@ def _gini(rows: str, by: str) -> str:
 
 _RG = _U + f", rg AS MATERIALIZED ({_gini('(SELECT route_name, round(avg_daily_usage, 12) AS v FROM su)', 'route_name')} HAVING count(*) >= 3)"
 PLACES["route_gini"] = q("usage", "SELECT * FROM rg", "gini total_usage:4 max_stop_usage", _RG)
-PLACES["system_gini"] = q("usage", f"SELECT gini, n_stops, total_usage FROM ({_gini('(SELECT stop_id, round(sum(avg_daily_usage), 9) AS v FROM su GROUP BY 1)', '')})", "gini total_usage:3", _U)
+PLACES["system_gini"] = q("usage", f"SELECT gini, n_stops, total_usage FROM ({_gini('(SELECT stop_id, round(sum(avg_daily_usage), 12) AS v FROM su GROUP BY 1)', '')})", "gini total_usage:3", _U)
 PLACES["gini_correlation"] = q("usage route_avg", f"SELECT {CORR} FROM ({correlation('(SELECT gini, avg_otp FROM rg JOIN route_avg ON route_id = rg.route_name WHERE months >= 12)', 'gini', 'avg_otp')})", CORR_FLOATS, _RG)
-_FLOW = _U + """,
-fl AS MATERIALIZED (SELECT *, round(avg_ons - avg_offs, 9) AS net_flow, avg_ons + avg_offs AS total_usage, CASE WHEN round(avg_ons - avg_offs, 9) > 0 THEN 'Generator' WHEN round(avg_ons - avg_offs, 9) < 0 THEN 'Attractor' ELSE 'Balanced' END AS flow_type,
+_FLOW = _U + f""",
+fl AS MATERIALIZED (SELECT *, {gap('avg_ons', 'avg_offs')} AS net_flow, avg_ons + avg_offs AS total_usage, CASE WHEN {gap('avg_ons', 'avg_offs')} > 0 THEN 'Generator' WHEN {gap('avg_ons', 'avg_offs')} < 0 THEN 'Attractor' ELSE 'Balanced' END AS flow_type,
   CASE WHEN avg_offs > 0 THEN avg_ons / avg_offs END AS on_off_ratio FROM (SELECT stop_id, sum(avg_ons) AS avg_ons, sum(avg_offs) AS avg_offs, min(stop_name) AS stop_name, first(mode ORDER BY route_name) AS mode FROM su GROUP BY 1))"""
 PLACES["boarding_flows"] = q("usage", "SELECT * FROM fl", "avg_ons avg_offs net_flow total_usage on_off_ratio", _FLOW)
 PLACES["flow_classes"] = q("usage", """SELECT flow_type, count(*) AS n_stops, count(on_off_ratio) AS n_with_ratio, count(*) FILTER (WHERE on_off_ratio > 1.5) AS n_strong_generators,

@@ -68,3 +68,20 @@ def test_geometry(spark):
     assert row.quarter == pytest.approx(math.pi / 2 * 6371)
     assert row.lon == pytest.approx(-80.0, abs=1e-6) and row.lat == pytest.approx(40.42, abs=0.05)
     assert row.zone == "Inner ring (2-8 km)"
+
+
+@pytest.mark.parametrize("scale", [1e-13, 1.0, 1e9, 1e300, 1e-290])
+def test_stable_cuts_significant_digits(frame, scale):
+    rows = frame([(i, scale * (i + 1), scale * (i + 1) * (1 + 3e-16)) for i in range(10)], "i int, a double, b double")
+    got = rows.select(C.stable(F.col("a")).alias("a"), C.stable(F.col("b")).alias("b"), "i").orderBy("i").collect()
+    assert len({r.a for r in got}) == 10 and all(r.a == r.b == pytest.approx(scale * (r.i + 1), rel=1e-11) for r in got)
+
+
+def test_stable_leaves_special_values(frame):
+    got = values(frame([(0.0,), (-0.0,), (float("inf"),), (None,), (-2.5,)], "v double").select(C.stable(F.col("v")).alias("v")), "v")
+    assert got == [0.0, 0.0, float("inf"), None, -2.5] and math.copysign(1, got[1]) == 1
+
+
+def test_gap_of_equal_sums_is_zero(frame):
+    df = frame([(0.1 + 0.2, 0.3), (1e-13, 2e-13), (5e9, 5e9 - 1)], "a double, b double")
+    assert values(df.select(C.gap(F.col("a"), F.col("b")).alias("g")), "g") == [0.0, pytest.approx(-1e-13), 1.0]

@@ -65,3 +65,16 @@ def test_ntile_gives_the_remainder_to_the_first_tiles(spark, n):
     df = spark.range(1, n + 1).select(order.ntile_of(F.col("id"), F.lit(n), 5).alias("t"))
     sizes = [n // 5 + (q <= n % 5) for q in range(1, 6)]
     assert [r.t for r in df.collect()] == [q for q, s in enumerate(sizes, 1) for _ in range(s)]
+
+
+def test_infinity_and_nan_have_a_place(frame):
+    values = [1.0, float("inf"), float("-inf"), float("nan"), 2.0, float("inf"), 1e308, -1e308]
+    out = {r.i: r.rank for r in order.with_average_ranks(frame(list(enumerate(values)), "i int, v double"), {"rank": "v"}).collect()}
+    assert [out[i] for i in range(8)] == [3.0, 6.5, 1.0, 8.0, 4.0, 6.5, 5.0, 2.0]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_large_integers_keep_their_order(frame, descending):
+    rows = [("a", 2**60 + 2), ("b", 2**60 + 1), ("c", 2**60 + 3), ("d", -(2**63)), ("e", 2**60 + 1)]
+    got = [r.id for r in order.with_positions(frame(rows, "id string, v long"), "v", "id", descending=descending).orderBy("position").collect()]
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (-r[1] if descending else r[1], r[0]))]

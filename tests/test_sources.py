@@ -6,9 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineside.operators import load
-from lineside.plans import etl, weather
+from lineside.plans import etl, usage, weather
 from lineside.sources import readers, sinks
-from lineside.streaming.ingest import load_landed_csv
 
 
 def test_text_scan_repairs_line_ends_bom_and_markers(spark, tmp_path):
@@ -113,15 +112,22 @@ def test_monthly_weather_counts(frame):
     assert (feb.total_precip_mm, feb.mean_tmax_c, feb.n_obs) == (0.0, None, 1)
 
 
-def test_incremental_load_is_idempotent(spark, tmp_path):
-    landing, table = tmp_path / "in", str(tmp_path / "table")
-    landing.mkdir()
-    args = (spark, str(landing), "k string, v int", table, ["k"], ["v"], ["v"], str(tmp_path / "cp"))
-    (landing / "1.csv").write_text("k,v\na,2\na,1\nb,\n")
-    load_landed_csv(*args).awaitTermination()
-    (landing / "2.csv").write_text("k,v\na,0\nc,5\n")
-    load_landed_csv(*args).awaitTermination()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(table).collect()) == [("a", 1), ("c", 5)]
+def test_a_file_with_another_header_is_refused(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "2.csv").write_text("x,y\n3,4\n")
+    assert sorted((r.x, r.y) for r in readers.read_text_csv(spark, str(tmp_path)).collect()) == [("1", "2"), ("3", "4")]
+    (tmp_path / "3.csv").write_text("y,x\n6,5\n")
+    with pytest.raises(Exception, match="header|HEADER"):
+        readers.read_text_csv(spark, str(tmp_path)).collect()
+
+
+def test_usage_attributes_do_not_depend_on_row_order(frame):
+    kind = ("stop_id string, route_name string, time_period string, serviceday string, datekey int, avg_ons double, avg_offs double, "
+            "latitude double, longitude double, stop_name string, direction string, mode string")
+    rows = [("s", "1", usage.BEFORE, usage.WEEKDAY, 1, 1.0, 2.0, 40.0 + i, -80.0, name, "IB", "BUS") for i, name in enumerate("ba")]
+    for order in (rows, rows[::-1]):
+        got = usage.stop_route_usage(frame(order, kind).coalesce(1)).first()
+        assert (got.lat, got.stop_name) == (40.0, "b")
 
 
 def test_csv_sink(spark, frame, tmp_path):

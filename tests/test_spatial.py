@@ -41,7 +41,7 @@ def fixture(frame):
 def test_span_is_the_largest_pair_distance(fixture):
     rows, df = fixture
     got = {r.g: r.span_km for r in spatial.group_span(df.repartition(3), "g").collect()}
-    for g in {r[0] for r in rows} - {"world"}:
+    for g in {r[0] for r in rows}:
         pts = [r[2:] for r in rows if r[0] == g]
         assert got[g] == pytest.approx(max((km(a, b) for a in pts for b in pts), default=0.0), abs=1e-9)
 
@@ -94,3 +94,13 @@ def test_no_plan_compares_all_pairs(fixture):
     _, df = fixture
     plan = spatial.nearest_neighbour(df, "g", "id")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_span_of_wide_groups(frame):
+    rng = random.Random(5)
+    rows = [(f"g{g}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for g in range(12) for _ in range(rng.choice([2, 6, 40]))]
+    rows += [("line", 0.0, float(x)) for x in range(-170, 170, 5)] + [("near", rng.uniform(40, 41), rng.uniform(-80, -79)) for _ in range(200)]
+    got = {r.g: r.span_km for r in spatial.group_span(frame(rows, "g string, lat double, lon double"), "g").collect()}
+    for g in got:
+        pts = [r[1:] for r in rows if r[0] == g]
+        assert got[g] == pytest.approx(max(km(a, b) for a in pts for b in pts), abs=1e-6), g

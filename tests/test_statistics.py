@@ -111,3 +111,8 @@ def test_silhouette_of_two_tight_pairs_and_a_loner(frame):
     labels = frame([("t", n, {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e"}[n]) for n in names], "k string, node string, label string")
     row = similarity.silhouettes(frame(pairs, "a string, b string, correlation double"), labels, ["k"]).first()
     assert row.silhouette == pytest.approx(4 * (0.9 - 0.1) / 0.9 / 5) and row.n_groups == 3
+
+
+def test_rank_correlation_of_tiny_values(frame):
+    rows = frame([(1e-13 * (i + 1), float(i)) for i in range(10)], "x double, y double")
+    assert A.correlate(rows, "x", "y").first().spearman_r == pytest.approx(1.0)
