@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineside.functions.columns import rounded
-from lineside.operators import load
+from lineside.operators import load, similarity
 from lineside.operators.leadlag import lagged_correlations, summarise_lags
-from lineside.operators.similarity import correlation_table
 from lineside.operators.spatial import nearest_neighbour
 from lineside.plans import common, etl, panel, places, routes, system, usage, weather
 from lineside.session import shared_dir
@@ -26,7 +25,6 @@ SLOPE_FROM = "1999-01"
 SPLIT = "1998-03"
 SHOCK = ("1998-04", "1998-07")
 EVENTS = {"1998-03": "service cut", "1998-04": "reduced service"}
-THRESHOLDS = (0.2, 0.25, 0.3, 0.35)
 GARAGES = ["Garage 1", "Garage 2", "Garage 3", "Garage 4"]
 FIT = "feature coefficient std_error t_value p_value beta_weight r_squared adj_r_squared n k"
 FIT_FLOATS = "coefficient std_error t_value p_value beta_weight r_squared adj_r_squared"
@@ -150,6 +148,12 @@ def anomaly_rates(t):
     return routes.anomaly_rates(routes.anomalies(t.otp, t.routes, events=EVENTS))
 
 
+@query("route_id n_months")
+def short_routes(t):
+    """Routes without the months that the longest series has."""
+    return routes.short_entities(t.otp, 83)
+
+
 @query("route_id month otp z_score is_anomaly", "otp z_score")
 def most_flagged(t):
     return routes.most_flagged(routes.anomalies(t.otp, t.routes, events=EVENTS))
@@ -349,6 +353,11 @@ def frequency_correlation(t):
     return places.stratum_correlation(places.frequency_vs_value(t.otp, t.routes, t.route_stops), "max_trips_wd")
 
 
+@query("route_id route_name mode avg_otp months max_trips_wd", "avg_otp")
+def frequency_routes(t):
+    return places.frequency_vs_value(t.otp, t.routes, t.route_stops)
+
+
 @query("route_id mode ib_trips_wd ob_trips_wd total_trips asymmetry_index avg_otp", "asymmetry_index avg_otp")
 def directional_asymmetry(t):
     return places.directional_asymmetry(t.otp, t.routes, t.route_stops)
@@ -438,6 +447,15 @@ def ridership_nested_test(t):
     return panel.added_feature_models(_rider_features(t), ["log_riders"], "riders")[1]
 
 
+def _vif(fits):
+    return fits.where((F.col("feature") != "intercept") & ~F.col("model").like("%_base") & ~F.col("model").like("%_only"))
+
+
+@query("model feature vif", "vif")
+def ridership_vif(t):
+    return _vif(panel.added_feature_models(_rider_features(t), ["log_riders"], "riders")[0])
+
+
 @query("n slope intercept", "slope intercept")
 def ridership_partial_residuals(t):
     return panel.partial_residuals(_rider_features(t))
@@ -464,6 +482,22 @@ def traffic_ols(t):
     return panel.added_feature_models(_traffic_rows(t), ["log_aadt"], "traffic")[0]
 
 
+@query("model feature vif", "vif")
+def traffic_vif(t):
+    return _vif(panel.added_feature_models(_traffic_rows(t), ["log_aadt"], "traffic")[0])
+
+
+@query(f"model {FIT}", FIT_FLOATS)
+def traffic_truck_ols(t):
+    """The models with truck share, where at least 20 routes have one."""
+    return panel.added_feature_models(_traffic_rows(t), ["log_aadt", "avg_truck_pct"], "trucks")[0].where("n >= 20")
+
+
+@query("feature n pearson_r pearson_p", "pearson_r pearson_p")
+def traffic_collinearity(t):
+    return panel.feature_collinearity(_traffic_rows(t).dropna(subset=["log_aadt"]), "log_aadt")
+
+
 @query(f"scope {NESTED}", NESTED_FLOATS)
 def traffic_nested_test(t):
     return panel.added_feature_models(_traffic_rows(t), ["log_aadt", "avg_truck_pct"], "traffic")[1]
@@ -505,24 +539,28 @@ def granger_causality(t):
     return panel.granger_tests(panel.lead_lag_panel(t.otp, t.ridership))
 
 
-@query("a b n imputed correlation", "correlation")
+def _co_movement_table(t):
+    return panel.co_movement_table(t.otp, t.ridership, t.routes)
+
+
+@query("route_id family centre n imputed correlation", "correlation")
 def series_correlation_table(t):
-    return correlation_table(panel.detrended(t.otp, t.routes), "route_id", "month", "otp_detrended")
+    return _co_movement_table(t)
 
 
 @query("node cluster cluster_size")
 def co_movement(t):
-    return panel.co_movement_groups(t.otp, t.routes, THRESHOLDS)[0]
+    return similarity.co_movement(_co_movement_table(t), "route_id")[0]
 
 
-@query("threshold silhouette n_groups", "silhouette")
+@query("family silhouette n_groups", "silhouette")
 def co_movement_scores(t):
-    return panel.co_movement_groups(t.otp, t.routes, THRESHOLDS)[1]
+    return similarity.co_movement(_co_movement_table(t), "route_id")[1]
 
 
 @query("cluster n_routes mean_otp mean_stops main_mode", "mean_otp mean_stops")
 def co_movement_profile(t):
-    groups = panel.co_movement_groups(t.otp, t.routes, THRESHOLDS)[0]
+    groups = similarity.co_movement(_co_movement_table(t), "route_id")[0]
     return panel.cluster_profile(groups, t.otp, t.routes, t.route_stops)
 
 
@@ -773,6 +811,25 @@ def etl_schedule(t):
     return etl.schedule_table(raw)
 
 
+@query("stop_id stop_code stop_name stop_source public_stop lat lon mode first_served last_served county muni hood", "lat lon")
+def etl_stop_reference(t):
+    return etl.stop_reference_table(t.stop_reference.withColumnsRenamed({"lat": "hastus_lat", "lon": "hastus_lon"}))
+
+
+@query("route_id month day_type avg_riders day_count route_name current_garage mode", "avg_riders")
+def etl_ridership(t):
+    """Ridership from an all-text file in which no riders is an empty cell."""
+    riders = F.when(F.col("avg_riders") == 0, "").otherwise(F.col("avg_riders").cast("string"))
+    return etl.ridership_table(t.ridership.select(
+        F.col("route_id").alias("route"), F.concat("month", F.lit("-01")).alias("month_start"), "day_type", riders.alias("avg_riders"),
+        F.col("day_count").cast("string").alias("day_count"), F.concat(F.lit("Route "), "route_id").alias("route_full_name"), "current_garage", "mode"))
+
+
+@query("pick_id start_date end_date")
+def etl_periods(t):
+    return etl.periods_table(t.schedule.groupBy(F.col("pick_id").alias("pickID")).agg(F.min("month").alias("pickStart"), F.max("month").alias("pickEnd")))
+
+
 _WEATHER = "total_precip_mm total_snow_mm mean_tmax_c mean_tmin_c mean_wind_ms"
 
 

@@ -1,141 +1,73 @@
-"""Similarity of entity series: the correlation table, co-movement groups, silhouettes."""
+"""Similarity of entity series to the mean series of known groups; grouping and silhouettes from it.
 
-from __future__ import annotations
+Work and output grow with rows x groups: no two entities are compared with each other.
+"""
 
-import math
-from collections.abc import Sequence
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineside.functions.columns import between, stable
 from lineside.operators.broadcasts import attach_row
 from lineside.operators.order import medians
-from lineside.operators.series import period_ordinals
 from lineside.session import settle
 
-_BLOCK = 1024  # entities per block; a task holds two blocks of series
+#: A series whose variance is below this share of its mean square is constant up to the noise of doubles.
+_FLAT = 1e-24
 
 
-def correlation_table(df: DataFrame, entity: str, period: str, value: str, min_overlap: int = 24) -> DataFrame:
-    """Pairwise-complete Pearson correlation of every two entities (a < b).
+def centre_correlations(df: DataFrame, members: DataFrame, entity: str, period: str, value: str,
+                        min_overlap: int = 24) -> DataFrame:
+    """Pearson correlation of every entity with the mean series of every group of every family.
 
-    The table itself has one row per pair, which is what is asked for. It is made by blocks of
-    the matrix, not by a join of all rows within a period: each entity's series (at most one
-    value per period) is one row, entities are dealt into blocks, and one task multiplies two
-    blocks. A pair with fewer than ``min_overlap`` common periods gets the median correlation.
+    ``members`` has ``entity``, ``family`` and ``centre``, one row per entity and family, with few
+    centres. An entity's own values are taken out of the mean of its group. With fewer than
+    ``min_overlap`` common periods, or where either series is constant, the correlation is not
+    measured and the median of the measured ones stands in (``imputed``).
     """
-    ordinals = period_ordinals(df, period, "_t")
-    series = settle(
-        df.where(F.col(value).isNotNull()).join(ordinals, period)
-        .groupBy(F.col(entity).alias("e")).agg(F.collect_list("_t").alias("t"), F.collect_list(value).alias("v")))
-    size = series.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("t")).alias("t")).first()
-    blocks, length = max(1, math.ceil(size["n"] / _BLOCK)), (size["t"] or 0) + 1
-    own = F.pmod(F.hash("e"), F.lit(blocks))
-    dealt = series.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left, right = rows[rows["own"] == i], rows[rows["own"] == j]
-
-        def dense(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            x, there = np.zeros((len(part), length)), np.zeros((len(part), length))
-            for row, (t, v) in enumerate(zip(part["t"], part["v"])):
-                x[row, t], there[row, t] = v, 1.0
-            return x, there
-
-        (x, mx), (y, my) = dense(left), dense(right)
-        n = mx @ my.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sx, sy = x @ my.T, mx @ y.T
-            cross = x @ y.T - sx * sy / n
-            r = cross / np.sqrt(((x * x) @ my.T - sx * sx / n) * (mx @ (y * y).T - sy * sy / n))
-        a, b = left["e"].to_numpy(), right["e"].to_numpy()
-        p, q = np.nonzero(a[:, None] < b[None, :]) if i == j else np.nonzero(np.ones((len(a), len(b)), dtype=bool))
-        swap = a[p] > b[q]
-        return pd.DataFrame({"a": np.where(swap, b[q], a[p]), "b": np.where(swap, a[p], b[q]),
-                             "n": n[p, q].astype("int64"), "r": r[p, q]})
-
-    kind = df.schema[entity].dataType.simpleString()
-    pairs = dealt.groupBy("i", "j").applyInPandas(multiply, f"a {kind}, b {kind}, n bigint, r double")
-    pairs = settle(pairs.withColumn("measured", F.when(F.col("n") >= min_overlap, F.nanvl("r", F.lit(None)))).drop("r"))
-    middle = medians(pairs, "measured", name="_middle")
-    return attach_row(pairs, middle).select(
-        "a", "b", "n", F.col("measured").isNull().alias("imputed"),
+    rows = df.where(F.col(value).isNotNull()).select(entity, period, F.col(value).cast("double").alias("x"))
+    sums = settle(rows.join(members, entity).groupBy("family", "centre", period).agg(F.sum("x").alias("s"), F.count("x").alias("c")))
+    own = members.select(entity, "family", F.col("centre").alias("_own"))
+    met = rows.join(sums, period).join(own, [entity, "family"], "left")
+    rest = F.try_divide(F.col("s") - F.col("x"), F.nullif(F.col("c") - 1, F.lit(0)))
+    met = met.withColumn("y", F.when(F.col("_own") == F.col("centre"), rest).otherwise(F.col("s") / F.col("c"))).where("y IS NOT NULL")
+    varies = [F.var_pop(c) > _FLAT * F.avg(F.col(c) * F.col(c)) for c in ("x", "y")]
+    found = settle(met.groupBy(entity, "family", "centre").agg(
+        F.count("y").alias("n"),
+        F.when((F.count("y") >= min_overlap) & varies[0] & varies[1], between(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), -1.0, 1.0)).alias("measured")))
+    return attach_row(found, medians(found, "measured", name="_middle")).select(
+        entity, "family", "centre", "n", F.col("measured").isNull().alias("imputed"),
         F.coalesce("measured", "_middle").alias("correlation"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str], max_rounds: int = 200) -> DataFrame:
-    """Connected components: the smallest node name of each component, per ``by`` group.
+def nearest_centres(table: DataFrame, entity: str) -> DataFrame:
+    """Per entity and family the centre of largest correlation (ties: first name) and the silhouette against the next.
 
-    ``nodes`` has ``by`` and ``node``; ``edges`` has ``by``, ``a`` and ``b``. Labels move along
-    the edges and then to the label's own label, so a chain is covered in about log(length)
-    rounds. Each round is written out, and the loop ends when no label changes.
+    The distance is 1 - r, cut to [0, 2]; with one centre only the silhouette is 0.
     """
-    by = list(by)
-    both = settle(
-        edges.select(*by, F.col("a").alias("node"), F.col("b").alias("peer"))
-        .unionByName(edges.select(*by, F.col("b").alias("node"), F.col("a").alias("peer"))))
-    labels = settle(nodes.select(*by, "node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
-        offers = both.join(labels.withColumnsRenamed({"node": "peer", "label": "offer"}), [*by, "peer"])
-        best = offers.groupBy(*by, "node").agg(F.min("offer").alias("offer"))
-        moved = labels.join(best, [*by, "node"], "left").withColumn("next", F.least("label", "offer"))
-        jump = labels.select(*by, F.col("node").alias("next"), F.col("label").alias("beyond"))
-        moved = settle(moved.join(jump, [*by, "next"], "left").select(
-            *by, "node", "label", F.least("next", "beyond").alias("next")))
-        done = moved.where(F.col("label") != F.col("next")).isEmpty()
-        labels = moved.select(*by, "node", F.col("next").alias("label"))
-        if done:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def silhouettes(pairs: DataFrame, labels: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mean silhouette per ``by`` group from correlations, with distance 1 - r cut to [0, 2].
-
-    ``labels`` has ``by``, ``node`` and ``label``. A node alone in its group scores 0, and so
-    does every node when there is one group only.
-    """
-    by = list(by)
-    apart = between(1 - F.col("correlation"), 0.0, 2.0).alias("d")
-    one_way = pairs.select("a", "b", apart)
-    sizes = labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("size"))
-    tagged = labels.join(sizes, [*by, "label"])
-    to = labels.withColumnsRenamed({"node": "b", "label": "other"})
-    # (node, other group) sums: each pair counts once for a and once for b
-    forward = one_way.join(to, "b").groupBy(*by, F.col("a").alias("node"), "other").agg(F.sum("d").alias("d"))
-    back = one_way.join(labels.withColumnsRenamed({"node": "a", "label": "other"}), "a").groupBy(
-        *by, F.col("b").alias("node"), "other").agg(F.sum("d").alias("d"))
-    sums = forward.unionByName(back).groupBy(*by, "node", "other").agg(F.sum("d").alias("d"))
-    sums = sums.join(sizes.withColumnsRenamed({"label": "other", "size": "other_size"}), [*by, "other"])
-    faced = tagged.join(sums, [*by, "node"], "left")
-    within = F.col("other") == F.col("label")
-    scored = faced.groupBy(*by, "node", "label", "size").agg(
-        F.max(F.when(within, F.try_divide(F.col("d"), F.nullif(F.col("size") - 1, F.lit(0))))).alias("own"),
-        F.min(F.when(~within, F.col("d") / F.col("other_size"))).alias("next"))
-    worst = F.greatest("own", "next")
-    score = F.when((F.col("size") > 1) & F.col("next").isNotNull() & (worst > 0), (F.col("next") - F.col("own")) / worst)
-    return scored.groupBy(*by).agg(
-        F.avg(F.coalesce(score, F.lit(0.0))).alias("silhouette"), F.count_distinct("label").alias("n_groups"))
-
-
-def co_movement(pairs: DataFrame, entities: DataFrame, thresholds: Sequence[float]) -> tuple[DataFrame, DataFrame]:
-    """Groups linked by correlations of at least a threshold, at the threshold with the best silhouette.
-
-    ``entities`` has one column ``node``. Returns (node, cluster) at the chosen threshold and the
-    score table of all thresholds. A cluster is named by its smallest member.
+    apart = between(1 - stable(F.col("correlation")), 0.0, 2.0)
+    ranked = table.groupBy(entity, "family").agg(
+        F.array_sort(F.collect_list(F.struct(apart.alias("d"), "centre"))).alias("by"))  # one entry per centre: few
+    own, other = F.col("by")[0]["d"], F.get("by", F.lit(1))["d"]
+    worst = F.greatest(own, other)
+    score = F.when(other.isNotNull() & (worst > 0), (other - own) / worst)
+    return ranked.select(entity, "family", F.col("by")[0]["centre"].alias("centre"), F.coalesce(score, F.lit(0.0)).alias("silhouette"))
+
+
+def family_scores(nearest: DataFrame) -> DataFrame:
+    """Mean silhouette and number of groups in use per family."""
+    return nearest.groupBy("family").agg(F.avg("silhouette").alias("silhouette"), F.count_distinct("centre").alias("n_groups"))
+
+
+def co_movement(table: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
+    """Entities grouped by their nearest centre, in the family with the best mean silhouette.
+
+    Returns (node, cluster, cluster_size) and the score table of the families.
     """
-    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    nodes = entities.withColumn("threshold", levels)
-    pairs = settle(pairs.withColumn("correlation", stable(F.col("correlation"))))
-    edges = pairs.withColumn("threshold", levels).where(F.col("correlation") >= F.col("threshold")).select("threshold", "a", "b")
-    labels = components(nodes, edges, ["threshold"])
-    scores = settle(silhouettes(pairs, labels, ["threshold"]))
-    best = scores.orderBy(stable(F.col("silhouette")).desc(), "threshold").limit(1).select("threshold")
-    chosen = labels.join(F.broadcast(best), "threshold").drop("threshold")  # one row
-    sizes = chosen.groupBy("label").agg(F.count(F.lit(1)).alias("cluster_size"))
-    return chosen.join(sizes, "label").select("node", F.col("label").alias("cluster"), "cluster_size"), scores
+    nearest = settle(nearest_centres(table, entity))
+    scores = family_scores(nearest)
+    best = scores.orderBy(stable(F.col("silhouette")).desc(), "family").limit(1).select("family")
+    chosen = nearest.join(F.broadcast(best), "family")  # one row
+    sizes = chosen.groupBy("centre").agg(F.count(F.lit(1)).alias("cluster_size"))
+    return chosen.join(sizes, "centre").select(F.col(entity).alias("node"), F.col("centre").alias("cluster"), "cluster_size"), scores

@@ -12,7 +12,7 @@ from lineside.operators import series
 from lineside.operators.association import correlate, pearson_test
 from lineside.operators.leadlag import bonferroni, granger
 from lineside.operators.regression import fit_models, fit_ols, nested_f, with_residuals
-from lineside.operators.similarity import co_movement, correlation_table
+from lineside.operators.similarity import centre_correlations
 from lineside.operators.strata import all_and_bus
 from lineside.plans.common import route_average, stop_counts, weekday_pairs
 from lineside.session import settle
@@ -141,12 +141,13 @@ def detrended(otp: DataFrame, routes: DataFrame, min_months: int = 36) -> DataFr
     return series.entities_with(rows, "route_id", min_months)
 
 
-def co_movement_groups(otp: DataFrame, routes: DataFrame, thresholds: Sequence[float], min_months: int = 36,
-                       min_overlap: int = 24) -> tuple[DataFrame, DataFrame]:
-    """Routes linked by the correlation of their detrended series, and the score of each threshold."""
-    rows = detrended(otp, routes, min_months)
-    pairs = correlation_table(rows, "route_id", "month", "otp_detrended", min_overlap)
-    return co_movement(pairs, rows.select(F.col("route_id").alias("node")).distinct(), thresholds)
+def co_movement_table(otp: DataFrame, ridership: DataFrame, routes: DataFrame, min_months: int = 36, min_overlap: int = 24) -> DataFrame:
+    """Correlation of each route's detrended series with the mean series of every mode and every garage."""
+    rows = settle(detrended(otp, routes, min_months))
+    modes = routes.select("route_id", F.lit("mode").alias("family"), F.col("mode").alias("centre"))
+    garages = ridership.groupBy("route_id").agg(F.min("current_garage").alias("centre")).select("route_id", F.lit("garage").alias("family"), "centre")
+    members = modes.unionByName(garages).where("centre IS NOT NULL").join(rows.select("route_id").distinct(), "route_id", "left_semi")
+    return centre_correlations(rows, members, "route_id", "month", "otp_detrended", min_overlap)
 
 
 def cluster_profile(groups: DataFrame, otp: DataFrame, routes: DataFrame, route_stops: DataFrame) -> DataFrame:

@@ -55,6 +55,7 @@ UNION ALL SELECT 'route_stops', 'rows', count(*), min(route_id || '|' || stop_id
 UNION ALL SELECT 'stops', 'name match', count(*), min(stop_name) FROM stops WHERE lower(stop_name) LIKE '%ring%' OR lower(stop_name) LIKE '%bolt%'
 UNION ALL SELECT 'stop_reference', 'mode or name match', count(*), min(stop_name) FROM stop_reference WHERE mode = 'INCLINE' OR lower(stop_name) LIKE '%ring%' OR lower(stop_name) LIKE '%bolt%'""")
 _FQ = "fq AS (SELECT a.*, m AS max_trips_wd FROM route_avg a JOIN (SELECT route_id, max(trips_wd) AS m FROM route_stops GROUP BY 1) USING (route_id) WHERE months >= 12 AND m IS NOT NULL)"
+PLACES["frequency_routes"] = q("route_avg route_stops", "SELECT route_id, route_name, mode, avg_otp, months, max_trips_wd FROM fq", "avg_otp", _FQ)
 PLACES["frequency_correlation"] = q("route_avg route_stops", f"SELECT stratum, {CORR} FROM ({correlation(strata('fq'), 'max_trips_wd', 'avg_otp', 'stratum')})", CORR_FLOATS, _FQ)
 _ASYM = """da AS MATERIALIZED (SELECT d.route_id, mode, ib_trips_wd, ob_trips_wd, ib_trips_wd + ob_trips_wd AS total_trips, abs(ib_trips_wd - ob_trips_wd) / (ib_trips_wd + ob_trips_wd) AS asymmetry_index, avg_otp
   FROM (SELECT route_id, max(trips_wd) FILTER (WHERE direction IN ('IB', 'IB,OB')) AS ib_trips_wd, max(trips_wd) FILTER (WHERE direction IN ('OB', 'IB,OB')) AS ob_trips_wd FROM route_stops GROUP BY 1) d
@@ -143,6 +144,10 @@ def _added(rows: str, added: list[str], label: str) -> tuple[str, str, str]:
     return ctes, models, tests
 
 
+def _vif(label: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{m}_{label}' AS model, feature, vif FROM {t}_fit WHERE feature <> 'intercept'" for m, t in (("all", "af"), ("bus", "bf")))
+
+
 _RT = "otp weekday routes stop_counts spans route_stops stops"
 _RFEAT = _WEIGHTING + """,
 ra AS (SELECT p.route_id, r.route_name, r.mode, avg(p.otp) AS avg_otp, count(*) AS months FROM paired p JOIN routes r USING (route_id) GROUP BY 1, 2, 3 HAVING count(*) >= 12),
@@ -151,6 +156,7 @@ rb AS (SELECT ra.*, avg_r AS avg_riders, CASE WHEN avg_r > 0 THEN ln(avg_r) END
 _c, _m, _t = _added("SELECT * FROM feat WHERE log_riders IS NOT NULL", ["log_riders"], "riders")
 PLACES["ridership_ols"] = q(_RT, _m, FIT_FLOATS, _RFEAT + _c)
 PLACES["ridership_nested_test"] = q(_RT, _t, NESTED_FLOATS, _RFEAT + _c)
+PLACES["ridership_vif"] = q(_RT, _vif("riders"), "vif", _RFEAT + _c)
 _fit = "(SELECT coefficient FROM {t}_fit WHERE feature = '{f}')"
 
 
@@ -194,8 +200,12 @@ _TFEAT = _TRAFFIC + ",\n" + _features("(SELECT * FROM route_avg WHERE months >=
 _TROWS = "SELECT f.*, CASE WHEN weighted_aadt > 0 THEN ln(weighted_aadt) END AS log_aadt, avg_truck_pct FROM feat f JOIN traffic USING (route_id) WHERE match_rate >= 0.3"
 _c, _m, _ = _added(f"SELECT * FROM ({_TROWS}) WHERE log_aadt IS NOT NULL", ["log_aadt"], "traffic")
 PLACES["traffic_ols"] = q(_FT + " rs_points", _m, FIT_FLOATS, _TFEAT + _c)
-_c, _, _t = _added(f"SELECT * FROM ({_TROWS}) WHERE log_aadt IS NOT NULL AND avg_truck_pct IS NOT NULL", ["log_aadt", "avg_truck_pct"], "traffic")
+PLACES["traffic_vif"] = q(_FT + " rs_points", _vif("traffic"), "vif", _TFEAT + _c)
+PLACES["traffic_collinearity"] = q(_FT + " rs_points", f"""SELECT feature, n, r AS pearson_r, {r_p('r', 'n')} AS pearson_p FROM (
+ {' UNION ALL '.join(f"SELECT '{f}' AS feature, count(*) AS n, {corr('log_aadt', f)} AS r FROM whole WHERE log_aadt IS NOT NULL" for f in FEATURES)})""", "pearson_r pearson_p", _TFEAT + _c)
+_c, _m, _t = _added(f"SELECT * FROM ({_TROWS}) WHERE log_aadt IS NOT NULL AND avg_truck_pct IS NOT NULL", ["log_aadt", "avg_truck_pct"], "trucks")
 PLACES["traffic_nested_test"] = q(_FT + " rs_points", _t, NESTED_FLOATS, _TFEAT + _c)
+PLACES["traffic_truck_ols"] = q(_FT + " rs_points", f"SELECT * FROM ({_m}) WHERE n >= 20", FIT_FLOATS, _TFEAT + _c)
 
 # --- ridership panel --------------------------------------------------------------------------
 
@@ -259,26 +269,24 @@ SELECT s.route_id, best_lag, f_stat, p_value, CASE WHEN p_value IS NOT NULL THEN
 _PAIRS = f"""
 dt AS MATERIALIZED (SELECT route_id, month, d FROM (SELECT o.route_id, month, otp - avg(otp) OVER (PARTITION BY month) AS d FROM otp o JOIN routes USING (route_id))
   WHERE route_id IN (SELECT route_id FROM otp GROUP BY 1 HAVING count(*) >= 36)),
-pr0 AS MATERIALIZED (SELECT a.route_id AS a, b.route_id AS b, count(*) AS n, CASE WHEN count(*) >= 24 THEN {corr('x.d', 'y.d').replace('x.d', 'a.d').replace('y.d', 'b.d')} END AS m
-  FROM dt a JOIN dt b ON a.month = b.month AND a.route_id < b.route_id GROUP BY 1, 2),
-prs AS MATERIALIZED (SELECT a, b, n, m IS NULL AS imputed, coalesce(m, (SELECT median(m) FROM pr0)) AS correlation FROM pr0)"""
-PLACES["series_correlation_table"] = q("otp routes", "SELECT * FROM prs", "correlation", _PAIRS)
+mem AS MATERIALIZED (SELECT route_id, 'mode' AS family, mode AS centre FROM routes WHERE route_id IN (SELECT route_id FROM dt)
+  UNION ALL SELECT route_id, 'garage', min(current_garage) FROM ridership WHERE route_id IN (SELECT route_id FROM dt) GROUP BY 1),
+ct AS MATERIALIZED (SELECT family, centre, month, sum(d) AS s, count(*) AS c FROM dt JOIN mem USING (route_id) GROUP BY ALL),
+lk AS MATERIALIZED (SELECT dt.route_id, ct.family, ct.centre, d AS x, CASE WHEN m.centre = ct.centre THEN (s - d) / nullif(c - 1, 0) ELSE s / c END AS y
+  FROM dt JOIN ct USING (month) LEFT JOIN mem m ON m.route_id = dt.route_id AND m.family = ct.family),
+cr AS MATERIALIZED (SELECT route_id, family, centre, count(*) AS n, CASE WHEN count(*) >= 24 AND var_pop(x) > 1e-24::DOUBLE * avg(x * x) AND var_pop(y) > 1e-24::DOUBLE * avg(y * y)
+  THEN greatest(least({corr('x', 'y')}, 1.0), -1.0) END AS m FROM lk WHERE y IS NOT NULL GROUP BY ALL),
+prs AS MATERIALIZED (SELECT route_id, family, centre, n, m IS NULL AS imputed, coalesce(m, (SELECT median(m) FROM cr)) AS correlation FROM cr)"""
+PLACES["series_correlation_table"] = q("otp routes ridership", "SELECT * FROM prs", "correlation", _PAIRS)
 _GROUPS = _PAIRS + """,
-th AS (SELECT unnest([0.2, 0.25, 0.3, 0.35]::DOUBLE[]) AS threshold),
-eg AS MATERIALIZED (SELECT threshold, a, b FROM prs, th WHERE round(correlation, 12) >= threshold UNION ALL SELECT threshold, b, a FROM prs, th WHERE round(correlation, 12) >= threshold),
-reach AS (SELECT threshold, route_id AS node, route_id AS other FROM (SELECT DISTINCT route_id FROM dt), th UNION SELECT r.threshold, r.node, e.b FROM reach r JOIN eg e ON e.threshold = r.threshold AND e.a = r.other),
-lb AS MATERIALIZED (SELECT threshold, node, min(other) AS label FROM reach GROUP BY 1, 2),
-ds AS MATERIALIZED (SELECT a AS i, b AS j, least(greatest(1 - round(correlation, 12), 0), 2) AS d FROM prs UNION ALL SELECT b, a, least(greatest(1 - round(correlation, 12), 0), 2) FROM prs),
-sz AS (SELECT threshold, label, count(*) AS size FROM lb GROUP BY 1, 2),
-fc AS (SELECT l.threshold, l.node, l.label, o.label AS other, sum(d) AS d FROM lb l JOIN ds ON ds.i = l.node JOIN lb o ON o.node = ds.j AND o.threshold = l.threshold GROUP BY ALL),
-si AS (SELECT f.threshold, f.node, max(s.size) AS size, max(CASE WHEN other = f.label THEN d / nullif(s.size - 1, 0) END) AS own, min(CASE WHEN other <> f.label THEN d / os.size END) AS nxt
-  FROM fc f JOIN sz s ON s.threshold = f.threshold AND s.label = f.label JOIN sz os ON os.threshold = f.threshold AND os.label = f.other GROUP BY 1, 2),
-sc AS MATERIALIZED (SELECT threshold, avg(CASE WHEN size > 1 AND nxt IS NOT NULL AND greatest(own, nxt) > 0 THEN (nxt - own) / greatest(own, nxt) ELSE 0.0 END) AS silhouette,
-  (SELECT count(DISTINCT label) FROM lb WHERE lb.threshold = si.threshold) AS n_groups FROM si GROUP BY 1),
-grp AS MATERIALIZED (SELECT node, label AS cluster, count(*) OVER (PARTITION BY label) AS cluster_size FROM lb WHERE threshold = (SELECT threshold FROM sc ORDER BY round(silhouette, 12) DESC, threshold LIMIT 1))"""
-PLACES["co_movement"] = q("otp routes", "SELECT * FROM grp", "", _GROUPS)
-PLACES["co_movement_scores"] = q("otp routes", "SELECT * FROM sc", "silhouette", _GROUPS)
-PLACES["co_movement_profile"] = q("otp routes route_avg stop_counts", """
+ds AS MATERIALIZED (SELECT route_id, family, centre, least(greatest(1 - round(correlation, 12), 0.0), 2.0) AS d FROM prs),
+nr AS MATERIALIZED (SELECT route_id, family, first(centre ORDER BY d, centre) AS centre, list(d ORDER BY d, centre) AS apart FROM ds GROUP BY 1, 2),
+sc AS MATERIALIZED (SELECT family, avg(CASE WHEN len(apart) > 1 AND apart[2] > 0 THEN (apart[2] - apart[1]) / apart[2] ELSE 0.0 END) AS silhouette, count(DISTINCT centre) AS n_groups FROM nr GROUP BY 1),
+grp AS MATERIALIZED (SELECT route_id AS node, centre AS cluster, count(*) OVER (PARTITION BY centre) AS cluster_size FROM nr
+  WHERE family = (SELECT family FROM sc ORDER BY round(silhouette, 12) DESC, family LIMIT 1))"""
+PLACES["co_movement"] = q("otp routes ridership", "SELECT * FROM grp", "", _GROUPS)
+PLACES["co_movement_scores"] = q("otp routes ridership", "SELECT * FROM sc", "silhouette", _GROUPS)
+PLACES["co_movement_profile"] = q("otp routes ridership route_avg stop_counts", """
 SELECT cluster, count(*) AS n_routes, avg(avg_otp) AS mean_otp, avg(stop_count) AS mean_stops, (SELECT mode FROM grp g2 JOIN route_avg r2 ON r2.route_id = g2.node WHERE g2.cluster = g.cluster
  GROUP BY mode ORDER BY count(*) DESC, mode LIMIT 1) AS main_mode FROM grp g JOIN route_avg r ON r.route_id = g.node LEFT JOIN stop_counts s ON s.route_id = g.node GROUP BY 1""", "mean_otp mean_stops", _GROUPS)
 
@@ -448,6 +456,12 @@ PLACES["etl_routes"] = f"""SELECT coalesce(a.route_id, b.route_id) AS route_id,
 FROM (SELECT DISTINCT CASE WHEN l_suppkey = 20 THEN 'MI' ELSE {ROUTE.format(n='l_suppkey')} END AS route_id,
  CASE WHEN l_suppkey = 20 THEN 'MONONGAHELA INCLINE' ELSE 'LINE ' || CAST(l_suppkey AS VARCHAR) END AS n FROM lineitem) a
 FULL JOIN (SELECT {ROUTE.format(n='s_suppkey')} AS route_id, s_name, {MODE.format(n='s_suppkey')} AS mode FROM supplier) b ON b.route_id = a.route_id"""
+PLACES["etl_stop_reference"] = q("stop_reference", """SELECT stop_id, stop_code, stop_name, 'catalog' AS stop_source, public_stop, lat, lon, mode, first_served, last_served,
+ county, muni, hood FROM stop_reference""", "lat lon")
+PLACES["etl_ridership"] = q("ridership", """SELECT route_id, month, day_type, nullif(avg_riders, 0) AS avg_riders, day_count, 'Route ' || route_id AS route_name, current_garage, mode
+ FROM ridership""", "avg_riders")
+PLACES["etl_periods"] = q("schedule", "SELECT pick_id, min(month) AS start_date, max(month) AS end_date FROM schedule GROUP BY 1")
+PLACES["short_routes"] = q("otp", "SELECT route_id, count(*) AS n_months FROM otp GROUP BY 1 HAVING count(*) < 83")
 PLACES["etl_schedule"] = q("lines", f"""SELECT route_id, month, day_type, daily_trips, daily_trip_dist, pick_id, garage, mode FROM (
  SELECT *, row_number() OVER (PARTITION BY route_id, month, day_type ORDER BY daily_trips DESC, pick_id) AS k FROM (
  SELECT CASE WHEN l_suppkey = 30 THEN 'BLUE' ELSE route_id END AS route_id, month, day_type, l_linestatus AS pick_id, 'Garage ' || CAST(l_suppkey % 5 AS VARCHAR) AS garage,

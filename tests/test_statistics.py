@@ -85,32 +85,29 @@ def test_granger_of_constant_or_short_series_is_null(frame):
     assert all(r.best_lag is None and r.p_value is None for r in out) and {r.n_months for r in out} == {40, 8}
 
 
-def test_correlation_table_imputes_short_overlaps(frame):
+def test_centre_correlations(frame):
     rng = np.random.default_rng(1)
     base = rng.normal(size=30)
-    rows = [(e, i, float(base[i] * s + rng.normal() * 0.1)) for e, s in (("a", 1), ("b", 1), ("c", -1)) for i in range(30)]
-    rows += [("d", i, float(rng.normal())) for i in range(10)]
-    out = {(r.a, r.b): r for r in similarity.correlation_table(frame(rows, "e string, m int, v double"), "e", "m", "v").collect()}
-    assert len(out) == 6 and out["a", "b"].correlation > 0.9 and out["a", "c"].correlation < -0.9
-    measured = [r.correlation for k, r in out.items() if "d" not in k]
-    assert out["a", "d"].imputed and out["a", "d"].correlation == pytest.approx(np.median(measured))
-
-
-def test_components_of_a_long_chain(frame):
-    names = [f"n{i:02d}" for i in range(20)]
-    edges = frame([("x", a, b) for a, b in zip(names, names[1:])], "t string, a string, b string")
-    nodes = frame([("x", n) for n in [*names, "zz"]], "t string, node string")
-    labels = {r.node: r.label for r in similarity.components(nodes, edges, ["t"]).collect()}
-    assert {labels[n] for n in names} == {"n00"} and labels["zz"] == "zz"
-
-
-def test_silhouette_of_two_tight_pairs_and_a_loner(frame):
-    near, far = 0.9, 0.1
-    names = "abcde"
-    pairs = [(x, y, near if {x, y} in ({"a", "b"}, {"c", "d"}) else far) for i, x in enumerate(names) for y in names[i + 1:]]
-    labels = frame([("t", n, {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e"}[n]) for n in names], "k string, node string, label string")
-    row = similarity.silhouettes(frame(pairs, "a string, b string, correlation double"), labels, ["k"]).first()
-    assert row.silhouette == pytest.approx(4 * (0.9 - 0.1) / 0.9 / 5) and row.n_groups == 3
+    series = {e: base * s + rng.normal(size=30) * 0.1 for e, s in (("a", 1), ("b", 1), ("c", -1), ("f", -1))}
+    series |= {"k": np.full(30, 0.7)}
+    rows = [(e, i, 1e8 * (e == "a") + float(x)) for e, xs in series.items() for i, x in enumerate(xs)] + [("d", i, float(i)) for i in range(10)]
+    members = frame([(e, "two", "up" if e in "abk" else "down") for e in "abcdfk"], "e string, family string, centre string")
+    out = {(r.e, r.centre): r for r in similarity.centre_correlations(frame(rows, "e string, m int, v double"), members, "e", "m", "v").collect()}
+    for e in "abcf":
+        for centre, inside in (("up", "abk"), ("down", "cf")):
+            others = [1e8 * (o == "a") + series[o] for o in inside if o != e]
+            means = [np.mean([x[i] for x in others] + ([float(i)] if centre == "down" and i < 10 else [])) for i in range(30)]
+            assert out[e, centre].correlation == pytest.approx(np.corrcoef(series[e], means)[0, 1], abs=1e-6)
+    assert out["k", "up"].imputed and out["d", "up"].imputed and not out["a", "up"].imputed
+    assert out["k", "up"].correlation == pytest.approx(np.median([r.correlation for r in out.values() if not r.imputed]))
+
+
+def test_grouping_takes_the_family_with_the_best_silhouette(frame):
+    rows = [(e, family, centre, r) for e, near in (("a", "x"), ("b", "x"), ("c", "y"))
+            for family, centre, r in (("good", "x", 0.9 if near == "x" else 0.1), ("good", "y", 0.9 if near == "y" else 0.1), ("poor", "p", 0.5), ("poor", "q", 0.5))]
+    groups, scores = similarity.co_movement(frame(rows, "e string, family string, centre string, correlation double"), "e")
+    assert sorted((r.node, r.cluster, r.cluster_size) for r in groups.collect()) == [("a", "x", 2), ("b", "x", 2), ("c", "y", 1)]
+    assert {r.family: (round(r.silhouette, 9), r.n_groups) for r in scores.collect()} == {"good": (round(0.8 / 0.9, 9), 2), "poor": (0.0, 1)}
 
 
 def test_rank_correlation_of_tiny_values(frame):
