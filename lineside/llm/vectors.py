@@ -14,8 +14,9 @@ from lineside.session import settle
 
 #: Distinct vectors in a shard at most (a hash deals them out, so about); links per vector and layer.
 SHARD, DEGREE = 8192, 12
-#: Beam while building, first beam of a query, and the beam from which a query scans its shard.
-BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM = 32, 32, 512
+#: Beam while building, first beam of a query, and the widest: a query that needs more scans its shard,
+#: which costs less than such a walk.
+BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM = 32, 32, 64
 #: Queries that each audit compares with a full scan, and the recall of links that it asks for.
 AUDITED, RECALL = 128, 0.995
 BLOCK = 256
@@ -180,6 +181,12 @@ def _confirm(hit: np.ndarray, one: np.ndarray, two: np.ndarray, least: float) ->
     return hit
 
 
+def _weighted(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``found @ weights`` in blocks, exact below 2^53."""
+    own = weights.astype(float)
+    return np.concatenate([found[low:low + BLOCK] @ own for low in range(0, len(found), BLOCK)]).astype(np.int64)
+
+
 def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     """Links between vectors of one label with a cosine of at least ``least``, and their components.
 
@@ -187,7 +194,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     vectors of a label are one class with a count. Classes are dealt to shards of about 8,192 by a
     hash; each shard builds its graph once; each pair of shards of a label is one task that queries
     both graphs with the other's vectors (a shard its own graph). The beam of a query that is full of
-    links is doubled, from 512 on the query scans the shard; an audit against a full scan doubles the
+    links is doubled, beyond 64 the query scans the shard; an audit against a full scan doubles the
     first beam until recall is 0.995. Candidates are verified in double precision. A task returns
     counts for its vectors and the links that join what it joins, never all pairs.
 
@@ -236,8 +243,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
             found |= audited_links(graph, graph2.unit, close).T
         found = _confirm(found, unit, unit2, least)
         edges = _forest(found, ids[2], ids2[2])
-        links = found @ ids2[3]
-        sides = [(ids, links + ids[3] - 1)] if len(bodies) == 1 else [(ids, links), (ids2, ids[3] @ found)]
+        links = _weighted(found, ids2[3])
+        sides = [(ids, links + ids[3] - 1)] if len(bodies) == 1 else [(ids, links), (ids2, _weighted(found.T, ids[3]))]
         h1, h2, n = ([int(x) for side in part for x in side] for part in zip(*((i[0], i[1], c) for i, c in sides)))
         none, gap = [None] * len(edges), [None] * len(h1)
         return pa.Table.from_pydict({"h1": h1 + none, "h2": h2 + none, "links": n + none,
