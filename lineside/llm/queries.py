@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lineside.llm.decontam import contaminated
 from lineside.llm.language import identify
 from lineside.llm.minhash import near_duplicates
+from lineside.llm.oracle import ORACLE
 from lineside.llm.packing import pack
 from lineside.llm.pii import find_pii
 from lineside.llm.secret_scan import find_secrets
@@ -80,4 +81,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express over whole tables."""
-    return {}
+    return dict(ORACLE)
