@@ -113,17 +113,17 @@ def weighting_tests(t):
 
 @query("month_num deviation weighted_otp", "deviation weighted_otp")
 def seasonal_profile(t):
-    return system.seasonal_profile(system.balanced_system(t.otp, t.route_stops, *YEARS))
+    return system.seasonal_profile(system.balanced_system(t.during(YEARS).otp, t.route_stops, *YEARS))
 
 
 @query("route_id route_name seasonal_amplitude best_month worst_month", "seasonal_amplitude")
 def seasonal_amplitude(t):
-    return system.seasonal_amplitude(t.otp, t.routes, *YEARS)
+    return system.seasonal_amplitude(t.during(YEARS).otp, t.routes, *YEARS)
 
 
 @query("", " ".join(f"m{i:02d}" for i in range(1, 13)))
 def seasonal_heatmap(t):
-    return system.seasonal_heatmap(t.otp, t.routes, *YEARS)
+    return system.seasonal_heatmap(t.during(YEARS).otp, t.routes, *YEARS)
 
 
 # --- routes -----------------------------------------------------------------------------------
@@ -171,16 +171,21 @@ def recovery_tests(t):
     return routes.recovery_tests(routes.recovery(t.otp, t.routes, t.route_stops, *BASE))
 
 
+def _dual(t):
+    part = t.during(BASE, RECOVERY)
+    return routes.dual_recovery(part.otp, part.ridership, t.routes, *BASE, *RECOVERY)
+
+
 @query("route_id route_name mode baseline_otp recovery_otp baseline_riders recovery_riders baseline_months recovery_months "
        "otp_delta ridership_pct_change subtype",
        "baseline_otp recovery_otp baseline_riders recovery_riders otp_delta ridership_pct_change")
 def dual_recovery(t):
-    return routes.dual_recovery(t.otp, t.ridership, t.routes, *BASE, *RECOVERY)
+    return _dual(t)
 
 
 @query(f"{CORR} n_both_up n_both_down n_x_up_y_down n_x_down_y_up kruskal_h kruskal_p", f"{CORR_FLOATS} kruskal_h kruskal_p")
 def dual_recovery_tests(t):
-    return routes.dual_recovery_tests(routes.dual_recovery(t.otp, t.ridership, t.routes, *BASE, *RECOVERY))
+    return routes.dual_recovery_tests(_dual(t))
 
 
 @query("route_id total_late avg_monthly_late total_trips avg_otp avg_riders n_months effective_otp burden_rank otp_rank",
@@ -568,7 +573,7 @@ def co_movement_profile(t):
 
 
 def _merged(t):
-    return weather.joined_series(system.balanced_system(t.otp, t.route_stops, *YEARS), t.weather)
+    return weather.joined_series(system.balanced_system(t.during(YEARS).otp, t.route_stops, *YEARS), t.weather)
 
 
 @query(f"variable type {CORR}", CORR_FLOATS)
@@ -603,7 +608,7 @@ def weather_adjusted_profile(t):
 
 @query("feature coefficient cluster_se cluster_t cluster_p n_clusters n", "coefficient:8 cluster_se:8 cluster_t:4 cluster_p:5")
 def weather_panel(t):
-    rows = t.otp.where(F.col("month").between(*YEARS)).join(t.routes.select("route_id"), "route_id", "left_semi")
+    rows = t.during(YEARS).otp.where(F.col("month").between(*YEARS)).join(t.routes.select("route_id"), "route_id", "left_semi")
     return weather.weather_panel(rows, t.weather)
 
 
@@ -873,7 +878,7 @@ def parametrised_sql(t):
     return readers.query_tables(t.spark, """
         SELECT r.route_id, r.mode, count(*) AS n_months, avg(o.otp) AS mean_otp FROM {otp} o JOIN {routes} r ON r.route_id = o.route_id
         WHERE o.month BETWEEN :first AND :last AND r.mode = :mode GROUP BY r.route_id, r.mode""",
-        {"first": BASE[0], "last": BASE[1], "mode": "BUS"}, otp=t.otp, routes=t.routes)
+        {"first": BASE[0], "last": BASE[1], "mode": "BUS"}, otp=t.during(BASE).otp, routes=t.routes)
 
 
 @query("route_id n_points north", "north:3")

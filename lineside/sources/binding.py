@@ -6,7 +6,8 @@ DataFrame over the parquet scan, so each query reads only the columns it needs.
 
 from __future__ import annotations
 
-from functools import cached_property
+from datetime import date
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,15 +50,32 @@ def day_type_of(day: Column, names=("WEEKDAY", "SAT.", "SUN.")) -> Column:
 class Tables:
     """Native tables over one test-data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, spans: tuple[tuple[str, str], ...] = ()):
+        self.spark, self.folder, self.spans = spark, folder, spans
+
+    def during(self, *spans: tuple[str, str]) -> Tables:
+        """The same tables with facts of these months only (first and last of each span).
+
+        The months become ranges of the stored date, so the scan skips what lies outside.
+        """
+        return Tables(self.spark, self.folder, spans)
+
+    def _in_spans(self) -> Column:
+        def first_day(month: str, later: int = 0) -> date:
+            number = int(month[:4]) * 12 + int(month[5:]) - 1 + later
+            return date(number // 12, number % 12 + 1, 1)
+
+        day = F.col("l_shipdate")
+        return reduce(lambda a, b: a | b, [
+            (day >= F.lit(first_day(first))) & (day < F.lit(first_day(last, 1))) for first, last in self.spans])
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self.raw("lineitem").withColumns({
+        facts = self.raw("lineitem")
+        return (facts.where(self._in_spans()) if self.spans else facts).withColumns({
             "route_id": route_of(F.col("l_suppkey")),
             "stop_id": F.col("l_partkey").cast("string"),
             "month": F.date_format("l_shipdate", "yyyy-MM"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lineside import catalog
 from lineside.plans import common, etl, places, routes, system, usage
+from lineside.sources.binding import Tables
 from tests.oracle_check import compare, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -122,3 +123,18 @@ def test_twin_on_the_smallest_data(spark, twins, name):
 
 def test_every_query_has_a_twin(twins):
     assert set(catalog.names()) == set(twins[1])
+
+
+@pytest.mark.parametrize("name", ["seasonal_amplitude", "dual_recovery", "parametrised_sql"])
+def test_month_ranges_reach_the_scan(spark, name):
+    plan = catalog.run(name, spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.splitlines() if "lineitem.parquet" in line]
+    assert any("GreaterThanOrEqual(l_shipdate" in line and "LessThan(l_shipdate" in line for line in pushed)
+
+
+def test_months_of_a_span_are_whole(spark):
+    tables = Tables(spark, SMALL)
+    part = tables.during(("1995-11", "1996-01"), ("1997-12", "1997-12"))
+    months = ["1995-11", "1995-12", "1996-01", "1997-12"]
+    assert part.otp.exceptAll(tables.otp.where(F.col("month").isin(months))).isEmpty()
+    assert sorted(r.month for r in part.otp.select("month").distinct().collect()) == months
