@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from lineside.session import settle
 
 _MANTISSA_STEPS = 1024
-_PREFIX_CHARS = 6
+#: Heads of the tie-break text that split the rows of one value: each is cut further by the next.
+_PREFIX_CHARS = (6, 12, 24)
 
 
 def _bucket(value: Column) -> Column:
@@ -155,35 +156,39 @@ def with_positions(
     """Row position 1..n in the order of ``value`` (then ``tiebreak`` ascending as text).
 
     Adds ``position`` and ``total``, and with ``weight`` the running ``cum_weight`` and
-    ``total_weight``. Rows with a NULL value are left out. Rows sharing a value are split by the
-    head of the tie-break text, so a heavily repeated value does not end up in one task.
+    ``total_weight``. Rows with a NULL value are left out. Rows sharing a value are split by longer
+    and longer heads of the tie-break text, so neither a heavily repeated value nor ids that begin
+    alike end up in one task.
     """
     strata = list(strata)
     keyed = settle(
         df.where(F.col(value).isNotNull())
         .withColumn("_key", _sort_key(df, value, descending))
-        .withColumn("_head", F.substring(F.col(tiebreak).cast("string"), 1, _PREFIX_CHARS))
+        .withColumns({f"_h{i}": F.substring(F.col(tiebreak).cast("string"), 1, n) for i, n in enumerate(_PREFIX_CHARS)})
         .withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(0.0))
     )
     level = [*strata, "_key"]
     steps = value_ladder(keyed, "_key", strata, weight="_w").select(
         *level, "before", "w_before", "total", "w_total")
-    heads = keyed.groupBy(*level, "_head").agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_hw"))
-    prior = _below(level, "_head")
-    heads = heads.select(
-        *level, "_head",
-        F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_n_off"),
-        F.coalesce(F.sum("_hw").over(prior), F.lit(0.0)).alias("_w_off"),
-    )
-    starts = _join_null_safe(heads, steps, level)
-    rows = _join_null_safe(keyed, starts, [*level, "_head"])
-    tail = Window.partitionBy(*level, "_head").orderBy(F.col(tiebreak).cast("string"))
+    heads = [f"_h{i}" for i in range(len(_PREFIX_CHARS))]
+    starts = steps
+    for depth in range(len(heads)):
+        above, here = [*level, *heads[:depth]], [*level, *heads[:depth + 1]]
+        prior = _below(above, heads[depth])
+        counts = keyed.groupBy(*here).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_hw"))
+        counts = counts.select(
+            *here, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_n_off"),
+            F.coalesce(F.sum("_hw").over(prior), F.lit(0.0)).alias("_w_off"))
+        starts = _join_null_safe(counts, starts, above).withColumns({
+            "before": F.col("before") + F.col("_n_off"), "w_before": F.col("w_before") + F.col("_w_off")}).drop("_n_off", "_w_off")
+    rows = _join_null_safe(keyed, starts, [*level, *heads])
+    tail = Window.partitionBy(*level, *heads).orderBy(F.col(tiebreak).cast("string"))
     running = F.sum("_w").over(tail.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("position", F.col("before") + F.col("_n_off") + F.row_number().over(tail))
+    rows = rows.withColumn("position", F.col("before") + F.row_number().over(tail))
     if weight:
-        rows = rows.withColumn("cum_weight", F.col("w_before") + F.col("_w_off") + running)
+        rows = rows.withColumn("cum_weight", F.col("w_before") + running)
         rows = rows.withColumnRenamed("w_total", "total_weight")
-    return rows.drop("_key", "_head", "_w", "before", "w_before", "w_total", "_n_off", "_w_off")
+    return rows.drop("_key", *heads, "_w", "before", "w_before", "w_total")
 
 
 def ntile_of(position: Column, total: Column, tiles: int) -> Column:

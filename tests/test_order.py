@@ -78,3 +78,12 @@ def test_large_integers_keep_their_order(frame, descending):
     rows = [("a", 2**60 + 2), ("b", 2**60 + 1), ("c", 2**60 + 3), ("d", -(2**63)), ("e", 2**60 + 1)]
     got = [r.id for r in order.with_positions(frame(rows, "id string, v long"), "v", "id", descending=descending).orderBy("position").collect()]
     assert got == [r[0] for r in sorted(rows, key=lambda r: (-r[1] if descending else r[1], r[0]))]
+
+
+def test_tied_ids_with_a_common_head(frame):
+    ids = [f"STOP-000000000{i:09d}" for i in range(60)] + ["STOP", "STOP-000000000", "S"]
+    rows = frame([(i, 1.0 if n % 3 else 2.0, float(n)) for n, i in enumerate(ids)], "id string, v double, w double")
+    got = order.with_positions(rows, "v", "id", weight="w").orderBy("position").collect()
+    want = sorted(((1.0 if n % 3 else 2.0, i, float(n)) for n, i in enumerate(ids)))
+    assert [r.id for r in got] == [x[1] for x in want] and [r.position for r in got] == list(range(1, len(ids) + 1))
+    assert [r.cum_weight for r in got] == [sum(x[2] for x in want[:k + 1]) for k in range(len(ids))]
