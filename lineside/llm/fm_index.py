@@ -31,14 +31,14 @@ class WaveletMatrix:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array, by prefix doubling."""
+    """The suffix array of small non-negative numbers, by prefix doubling."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    rank = text.astype(np.int64)
     step = 1
     while True:
-        key = rank * (n + 1)
+        key = rank * (max(n, int(rank.max())) + 1)
         key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
@@ -71,7 +71,8 @@ class FmIndex:
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A backward step: the rows of each match with the symbol before it."""
         base = self.first[symbols] - self.begin[symbols]
-        return base + self.tree.descend(symbols, low), base + self.tree.descend(symbols, high)
+        both = self.tree.descend(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
+        return base + both[:len(symbols)], base + both[len(symbols):]
 
     def repeated(self, patterns: list[np.ndarray], window: int) -> np.ndarray:
         """For each pattern (itself in the index) a bit mask of the windows that occur at least twice.
@@ -86,8 +87,15 @@ class FmIndex:
         codes = self.codes(np.concatenate(patterns)) if len(patterns) else np.zeros(0, np.int64)
         masks = np.zeros(len(patterns), np.int64)
         end, at = length.copy(), length.copy()
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.size, np.int64)
+        low, high = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
         live = np.flatnonzero(length >= window)
+
+        def restart(which: np.ndarray) -> None:
+            """The rows of the last word before an end are known without a step."""
+            last = codes[start[which] + end[which] - 1]
+            low[which], high[which], at[which] = self.first[last], self.first[last + 1], end[which] - 1
+
+        restart(live)
         while len(live):
             low2, high2 = self.extend(codes[start[live] + at[live] - 1], low[live], high[live])
             more = high2 - low2 >= 2
@@ -99,6 +107,6 @@ class FmIndex:
             good = count > 0
             masks[stop[good]] |= ((np.int64(1) << count[good]) - 1) << at[stop[good]]
             end[stop] = np.where(at[stop] == 0, 0, np.minimum(end[stop] - 1, at[stop] - 1 + window))
-            at[stop], low[stop], high[stop] = end[stop], 0, self.size
+            restart(stop[end[stop] >= window])
             live = live[end[live] >= window]
         return masks

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lineside.llm.fm_index import FmIndex
 from lineside.llm.minhash import WordHashes, mix
-from lineside.llm.tables import texts
+from lineside.llm.tables import texts, written
 from lineside.session import settle
 
 WINDOW = 35
@@ -183,12 +183,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = texts(docs).select("doc_id", _key(), F.hash(F.col("text").isNull(), F.col("text")).alias("k"), "text")
     light = anchors(rows)
     again = light.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = settle(light.join(again, "anchor", "left_semi").select("id", "k", "place", "anchor", "whole"))
+    found = written(light.join(again, "anchor", "left_semi").select("id", "k", "place", "anchor", "whole"))
     pieces = settle(found.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "k", "place")).alias("x"))
                     .select("anchor", "whole", "n", "x.*"))
     crowded = pieces.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("anchor", F.lit(True).alias("hot"))
     wanted = pieces.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    bodies = settle(fetched(rows, wanted))
+    bodies = written(fetched(rows, wanted))
     plain = bodies.where("at < 0").dropDuplicates(["anchor", "whole"])
     single = bodies.where("at >= 0").groupBy("route").agg(F.sum("n").alias("n"), F.first("body").alias("body"))
     none = F.lit(None).cast("long")

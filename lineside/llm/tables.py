@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineside.session import shared_dir
+
 #: What separates words: ASCII white space only.
 WORD_SPACE = "[\\x20\\x09-\\x0D]+"
 #: Rows that meet in one Arrow batch at most, so that very long texts do not add up.
@@ -32,6 +35,17 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: a cut in lineage that is packed tighter than a checkpoint.
+
+    The table stays until the folder is cleared, as checkpoints do.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def text_key() -> Column:
     """Tells apart rows that share a doc_id; rows that share both are the same document."""
     return F.xxhash64(F.col("text").isNull(), F.col("text"))
