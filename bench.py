@@ -14,7 +14,8 @@ HEADLINE = [
     "seasonal_amplitude", "stop_hotspots", "geographic_span", "recovery", "municipal_equity", "transfer_hubs", "structural_ols",
     "lead_lag_correlation", "granger_causality", "delay_burden", "garage_tests", "value_quintiles", "route_traffic",
     "weather_panel", "schedule_change_impact", "panel_deltas", "stop_consolidation", "usage_geography", "pareto_curve",
-    "route_gini", "boarding_flows", "load_first_row_wins", "etl_schedule",
+    "route_gini", "boarding_flows", "load_first_row_wins", "etl_schedule", "series_correlation_table", "co_movement",
+    "hub_correlations", "traffic_ols", "nearest_stop",
 ]
 
 

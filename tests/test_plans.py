@@ -122,7 +122,7 @@ def test_twin_on_the_smallest_data(spark, twins, name):
 
 
 def test_every_query_has_a_twin(twins):
-    assert set(catalog.names()) == set(twins[1])
+    assert set(catalog.names()) <= set(twins[1])
 
 
 @pytest.mark.parametrize("name", ["seasonal_amplitude", "dual_recovery", "parametrised_sql"])
