@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineside.functions.columns import gap
+
 
 def over_entity(entity: str | Sequence[str], period: str):
     keys = [entity] if isinstance(entity, str) else list(entity)
@@ -133,4 +135,4 @@ def event_windows(events: DataFrame, series: DataFrame, entity: str, period: str
         F.count(before).alias("n_before"), F.count(after).alias("n_after"),
     ).where((F.col("n_before") >= min_rows) & (F.col("n_after") >= min_rows))
     return events.join(means, [entity, "change_period"]).withColumn(
-        "value_delta", F.col("value_after") - F.col("value_before"))
+        "value_delta", gap(F.col("value_after"), F.col("value_before")))

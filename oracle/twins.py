@@ -293,12 +293,12 @@ SELECT subset, slope, intercept, se, {CORR} FROM (SELECT subset, regr_slope(y, x
  FROM (SELECT subset, detrended_delta_otp AS y, CAST(delta_daily_trips AS DOUBLE) AS x FROM subsets) GROUP BY 1 HAVING count(*) > 10)
 JOIN ({correlation('subsets', 'delta_daily_trips', 'detrended_delta_otp', 'subset', steps=20000)}) USING (subset)""", f"slope intercept se {CORR_FLOATS}", _DELTAS)
 
-_CHANGES = """
+_CHANGES = f"""
 wd AS (SELECT route_id, month AS change_month, lag(pick_id) OVER w AS old_pick, pick_id AS new_pick, lag(daily_trips) OVER w AS trips_before, daily_trips AS trips_after
   FROM schedule WHERE day_type = 'WEEKDAY' WINDOW w AS (PARTITION BY route_id ORDER BY month)),
 mi AS (SELECT month, row_number() OVER (ORDER BY month) AS i FROM (SELECT DISTINCT month FROM otp)),
 ch AS MATERIALIZED (SELECT e.route_id, change_month, old_pick, new_pick, trips_before, trips_after, trips_after - trips_before AS trip_delta,
-  avg(otp) FILTER (WHERE m.i < c.i) AS otp_before, avg(otp) FILTER (WHERE m.i >= c.i) AS otp_after, avg(otp) FILTER (WHERE m.i >= c.i) - avg(otp) FILTER (WHERE m.i < c.i) AS otp_delta,
+  avg(otp) FILTER (WHERE m.i < c.i) AS otp_before, avg(otp) FILTER (WHERE m.i >= c.i) AS otp_after, {gap('avg(otp) FILTER (WHERE m.i >= c.i)', 'avg(otp) FILTER (WHERE m.i < c.i)')} AS otp_delta,
   count(*) FILTER (WHERE m.i < c.i) AS n_before, count(*) FILTER (WHERE m.i >= c.i) AS n_after,
   CASE WHEN trips_after > trips_before THEN 'increase' WHEN trips_after < trips_before THEN 'cut' ELSE 'neutral' END AS event_type, change_month IN ('1998-04', '1998-07') AS is_covid
   FROM wd e JOIN mi c ON c.month = e.change_month JOIN otp o ON o.route_id = e.route_id JOIN mi m ON m.month = o.month AND m.i BETWEEN c.i - 3 AND c.i + 2
