@@ -22,6 +22,9 @@ LEAST_DEPTH = 4
 #: A run of so many labels at the least depth is compared in full; in a longer one each document
 #: meets its nearest labels and the first of each deeper run.
 FULL_RUN, NEAREST = 8, 2
+#: A run of more than ``FULL_RUN`` labels that still spans several components is compared in full, in
+#: pairs of blocks of about so many documents and shingles.
+BLOCK, BLOCK_SHINGLES = 256, 200_000
 #: Compact signatures that agree on a smaller share are not confirmed: 5 deviations below 0.85.
 LEAST_ESTIMATE = 0.62
 
@@ -169,6 +172,96 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``."""
+    seen, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    bounds = np.searchsorted(at, np.arange(0, len(seen) + width, width))
+    total = np.zeros((len(left), len(right)), np.float32)
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        held = np.zeros((len(left) + len(right), width), np.float32)
+        held[owner[a:b], at[a:b] - i * width] = 1
+        total += held[:len(left)] @ held[len(left):].T
+    return total.astype(np.int64)
+
+
+def block_links(block: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks of a crowded run (or within one), as a spanning forest over the components so far.
+
+    A pair that also begins alike in an earlier tree's crowded run is left to that tree.
+    """
+    get = {c: block.column(c).to_pylist() for c in block.column_names}
+    tree, p, q = get["tree"][0], get["p"][0], get["q"][0]
+    sigs = np.frombuffer(b"".join(get["sig"]), ">u4").reshape(-1, HASHES).astype(np.uint32)
+    own, root, crowds = (np.array(get[c]) for c in ("own", "root", "crowds"))
+    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    want = np.zeros((len(left), len(right)), bool)
+    for i, x in enumerate(left):
+        alike = sigs[x] == sigs[right]
+        want[i] = (root[x] != root[right]) & (alike.mean(axis=1) >= LEAST_ESTIMATE)
+        for t in range(tree):
+            if crowds[x] >> t & 1:
+                want[i] &= ~alike[:, LEAST_DEPTH * t:LEAST_DEPTH * (t + 1)].all(axis=1)
+    if p == q:
+        want = np.triu(want, 1)
+    rows, columns = np.flatnonzero(want.any(axis=1)), np.flatnonzero(want.any(axis=0))
+    links: list[tuple[int, int]] = []
+    if len(rows):
+        hashes, parent = WordHashes(), {}
+        sets = {x: shingle_set(get["text"][x], hashes) for x in {*left[rows].tolist(), *right[columns].tolist()}}
+        one, two = [sets[x] for x in left[rows].tolist()], [sets[x] for x in right[columns].tolist()]
+        common = common_shingles(one, two)
+        total = np.array([len(s) for s in one])[:, None] + np.array([len(s) for s in two])[None] - common
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, j in np.argwhere(want[np.ix_(rows, columns)] & (100 * common >= percent * total)).tolist():
+            a, b = left[rows[i]], right[columns[j]]
+            if find(root[a]) != find(root[b]):
+                parent[find(root[a])] = find(root[b])
+                links.append((get["rep"][a], get["rep"][b]))
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+
+def crowded_links(classes: DataFrame, rows: DataFrame, reach: DataFrame, percent: int) -> DataFrame:
+    """The links that are missing between components within crowded runs: ``a`` and ``b`` (doc_ids).
+
+    Runs are counted by component, so a run that is one component costs
+    nothing more. The documents of the others are dealt by hash to blocks, those of the run's largest
+    component apart, as these need not meet one another; each other pair of blocks of a run is one
+    small group, whatever the size of the run.
+    """
+    of = settle(classes.join(reach, F.col("rep") == F.col("v"), "left")
+                .select("cid", "rep", "k", "n_shingles", "sig", F.coalesce("root", "rep").alias("root")))
+    laid = of.select("cid", "root", "n_shingles", F.posexplode(F.array(*(
+        F.substring("sig", 4 * LEAST_DEPTH * t + 1, 4 * LEAST_DEPTH) for t in range(TREES)))).alias("tree", "label"))
+    parts = (laid.groupBy("tree", "label", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+             .groupBy("tree", "label").agg(F.max(F.struct("n", "m", "root")).alias("main"), F.sum("n").alias("n"), F.sum("m").alias("m")))
+
+    def blocks(n, m):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_SHINGLES)).cast("int")
+
+    runs = (parts.where((F.col("n") > FULL_RUN) & (F.col("main.n") < F.col("n")))
+            .select("tree", "label", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.m")).alias("mains"),
+                    blocks(F.col("n") - F.col("main.n"), F.col("m") - F.col("main.m")).alias("others")))
+    crowds = (laid.select("cid", "tree", "label").join(runs, ["tree", "label"]).groupBy("cid")
+              .agg(F.collect_list(F.struct("tree", "label", "main", "mains", "others")).alias("runs"), F.sum(F.expr("shiftleft(1L, tree)")).alias("crowds")))
+    members = settle(of.join(crowds, "cid").join(rows.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "k"]), ["rep", "k"])
+                     .select("cid", "rep", "root", "sig", "text", "crowds", "runs"))
+    dealt = (members.select("cid", "rep", "root", "sig", "text", "crowds", F.inline("runs"))
+             .withColumn("of_main", F.col("root") == F.col("main"))
+             .withColumn("own", F.pmod(F.xxhash64("cid"), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others")))
+                         + F.when(F.col("of_main"), F.col("others")).otherwise(0))
+             .withColumn("met", F.explode(F.sequence(F.lit(0), F.when(F.col("of_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+             .select("tree", "label", F.least("own", "met").alias("p"), F.greatest("own", "met").alias("q"), "own", "rep", "root", "sig", "text", "crowds"))
+    return dealt.groupBy("tree", "label", "p", "q").applyInArrow(lambda block: block_links(block, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Components of documents whose 5-word shingle sets have at least ``percent`` % in common.
 
@@ -177,7 +270,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     are one entry in every later step. Classes are compared where the forest brings them together
     (a pair at 0.85 begins alike in one of twelve trees with probability 0.9998); links are confirmed
     on the full sets: first the best candidate below each class, then every candidate whose ends
-    are still in different components. No pair within a component needs confirming after that.
+    are still in different components. No pair within a component needs confirming after that. Runs
+    of equal labels that are too long to be met in full and still hold several components are then
+    compared in full, pair of blocks by pair of blocks.
 
     A text without words, or a null one, has no shingles and is linked with nothing; a text of
     fewer than five words is one shingle. Rows that share a doc_id are one vertex. A null doc_id is
@@ -186,8 +281,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows = texts(docs).select("doc_id", "text", text_key().alias("k"))
     made = settle(signatures(rows))
     classes = settle(made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
-                     .agg(F.min(F.struct("doc_id", "k")).alias("least"), F.first("sig").alias("sig"))
-                     .select(F.col("h1").alias("cid"), "h1", "h2", F.col("least.doc_id").alias("rep"), F.col("least.k").alias("k"), "sig"))
+                     .agg(F.min(F.struct("doc_id", "k")).alias("least"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+                     .select(F.col("h1").alias("cid"), "h1", "h2", F.col("least.doc_id").alias("rep"), F.col("least.k").alias("k"), "sig", "n_shingles"))
     pairs = settle(forest_candidates(classes.select("cid", "sig")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep", "k"), "cid")
     bodies = settle(rows.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "k"]).dropDuplicates(["cid"]).select("cid", "rep", "text"))
@@ -201,6 +296,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     more = settle(confirmed(rest, bodies, percent))
     if more.limit(1).count():
         reach = components(links.union(more))
+    crowded = settle(crowded_links(classes, rows, reach, percent))
+    if crowded.limit(1).count():
+        reach = components(links.union(more).union(crowded))
     found = (classes.select("h1", "h2", "rep").join(reach, F.col("rep") == F.col("v"), "left")
              .select("h1", "h2", F.coalesce("root", "rep").alias("component_id")))
     # A null or empty set has prints 0 and meets no class.

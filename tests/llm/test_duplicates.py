@@ -76,6 +76,20 @@ def test_crowded_region_stays_linear(documents):
     assert pairs.count() < 600 * minhash.TREES * (minhash.FULL_RUN + 1)
 
 
+def test_star_of_copies_is_one_component(documents, monkeypatch):
+    rng = random.Random(12)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1001):
+        places = rng.sample(range(10, 190), 3)
+        rows.append((i, " ".join(f"c{i}x{j}" if j in places else w for j, w in enumerate(base))))
+    one = shingles(rows[0][1])
+    linked = {0} | {i for i, t in rows[1:] if 100 * len(one & shingles(t)) >= 85 * len(one | shingles(t))}
+    monkeypatch.setattr(minhash, "BLOCK", 100, raising=False)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert len(linked) > 900 and sum(got[i] != 0 for i in linked) <= 2
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
     pieces = [rng.integers(0, 4, rng.integers(1, 30)).astype(np.uint64) for _ in range(60)]
