@@ -77,9 +77,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     Returns a row for each document that holds one: ``doc_id, k`` (a key of the text)``, item_ids,
     n_items, cover`` (the largest share of an item's windows) and ``reworded`` (some item has other
     values in its slots). Windows of documents meet those of the benchmark by hash; documents with a
-    match are read again with their words, which keeps words out of the large pass. Matches of an
-    item at one alignment count if their slots are consistent: one value of the item stands for one
-    value of the document, and the other way round. An item is held when consistent matches cover
+    match are read again with their words, which keeps words out of the large pass. Within the
+    matches of an item at one alignment, a window counts if each value of the item stands for the
+    value it most often stands for in the document, or if all its values are the same; two values of
+    the item may stand for one. An alignment that gives a name two values does not count. An item is held when consistent matches cover
     at least ``least_cover`` of its windows.
 
     A null text holds nothing; rows that repeat doc_id and text give one row; empty tables give no
@@ -108,17 +109,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
         met(laid(near).select("doc_id", "k", F.inline(_windows(F.lit(n)))).withColumnsRenamed({"pos": "at", "words": "dwords"}),
             n, "item_id", "n_windows", *ours) for n in sizes))
     pairs = F.filter(F.transform("iwords", lambda w, i: F.when(w < "\x04", F.struct(
-        w.alias("item"), F.get("dwords", i).alias("doc")))), lambda s: s.isNotNull())
-    aligned = (matches.select("doc_id", "k", "item_id", "n_windows", "ipos", (F.col("at") - F.col("ipos")).alias("shift"), pairs.alias("pairs"))
-               .groupBy("doc_id", "k", "item_id", "shift")
-               .agg(F.max("n_windows").alias("n_windows"), F.collect_set("ipos").alias("at"),
-                    F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda s: s.item)))
-    images = F.size(F.array_distinct(F.transform("pairs", lambda s: s.doc)))
-    held = (aligned.where((values == F.size("pairs")) & (images == F.size("pairs")))
+        w.alias("item"), F.get("dwords", i).alias("doc"), (F.col("ipos") + i).alias("slot")))), lambda s: s.isNotNull())
+    alignment = ["doc_id", "k", "item_id", "shift"]
+    met_windows = settle(matches.select("doc_id", "k", "item_id", "n_windows", "ipos", (F.col("at") - F.col("ipos")).alias("shift"), pairs.alias("pairs")))
+    images = (met_windows.select(*alignment, F.inline("pairs")).distinct().groupBy(*alignment, "item", "doc").agg(F.count("*").alias("n"))
+              .groupBy(*alignment, "item").agg(F.count("*").alias("n"), F.max(F.struct("n", F.col("item") == F.col("doc"), "doc")).alias("best"))
+              .groupBy(*alignment).agg(F.collect_list(F.struct("item", "best.doc")).alias("map"),
+                                       F.max((F.col("n") > 1) & F.col("item").startswith(_KINDS[1])).alias("split"))
+              .withColumnsRenamed({c: f"_{c}" for c in alignment}))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alignment]
+    same = F.forall("pairs", lambda s: s.item == s.doc)
+    usual = F.forall("pairs", lambda s: F.exists("map", lambda m: (m.item == s.item) & (m.doc == s.doc)))
+    held = (met_windows.join(images, on, "left").where(~F.coalesce("split", F.lit(False)) & (same | usual))
             .withColumn("changed", F.exists("pairs", lambda s: s.item != s.doc))
             .groupBy("doc_id", "k", "item_id")
-            .agg((F.size(F.array_distinct(F.flatten(F.collect_set("at")))) / F.max("n_windows")).alias("cover"), F.max("changed").alias("changed"))
+            .agg((F.countDistinct("ipos") / F.max("n_windows")).alias("cover"), F.max("changed").alias("changed"))
             .where(F.col("cover") >= least_cover))
     return (held.groupBy("doc_id", "k")
             .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.count("*").alias("n_items"),

@@ -31,6 +31,14 @@ def test_templates(spark, documents, odd_rows):
     assert decontam.contaminated(documents(rows), items(spark, [])).count() == 0
 
 
+def test_an_odd_number_drops_its_windows_only(spark, documents):
+    text = "the shop sold 5 red apples and then it also sold 3 green pears to a man who paid 5 euros and went home at noon without any of them"
+    rows = [(1, text.replace("5", "4").replace("3", "4")), (2, text.replace("5 euros", "9 euros")), (3, text.replace("5 red", "7 red")),
+            (4, "a shop sold many other things")]
+    got = {r.doc_id: r for r in decontam.contaminated(documents(rows), items(spark, [(1, text)])).collect()}
+    assert set(got) == {1, 2, 3} and got[1].cover == 1 and got[2].cover < 1
+
+
 def test_the_shuffled_join_gives_the_same(spark, documents, monkeypatch):
     docs, marks = documents([(1, ITEM), (2, "nothing of the kind is said in this text"), (1, ITEM)]), items(spark, [(1, ITEM)])
     one = decontam.contaminated(docs, marks).collect()
