@@ -23,23 +23,27 @@ UNITS = ("percent km m cm mm mi mile miles ft feet foot inch inches yd kg g mg l
 _NUMBER = "[0-9]+(?:[.,][0-9]+)*"
 #: Marks of the three kinds of slots; they stand before the value that they type.
 _KINDS = ("\x01", "\x02", "\x03")
+#: The mark of a name that may only be the start of a sentence; its placeholder is that of a name.
+_HEAD = "\x04"
 
 
 def _tokens(text: Column) -> Column:
     """Lower-case words and numbers; a number, a unit and a name begin with the mark of their kind.
 
-    A unit stands right after a number. A name is a word with a capital that follows a white space
-    character and, before it, something else than the end of a sentence.
+    A unit stands right after a number. Any word with a capital counts as a name; those that do not
+    follow a white space character and, before it, something else than the end of a sentence are
+    marked apart, as they may be no more than the start of a sentence.
     """
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?<=[^.!?\s]\s\p{Lu})\p{L}*", _KINDS[1] + "$0")
+    marked = F.regexp_replace(marked, rf"(?<![\p{{L}}{_KINDS[1]}])\p{{Lu}}\p{{L}}*", _HEAD + "$0")
     marked = F.regexp_replace(marked, rf"({_NUMBER})\s?({'|'.join(UNITS)})(?!\p{{L}})", rf"$1 {_KINDS[2]}$2")
     marked = F.regexp_replace(marked, _NUMBER, _KINDS[0] + "$0")
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"{_KINDS[0]}[0-9.,]*[0-9]|[{_KINDS[1]}{_KINDS[2]}]?\p{{L}}+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"{_KINDS[0]}[0-9.,]*[0-9]|[{_KINDS[1]}{_KINDS[2]}{_HEAD}]?\p{{L}}+"), F.lit(0))
 
 
 def _template(raw: Column) -> Column:
     """A typed placeholder for each slot, the hash of any other word."""
-    return F.transform(raw, lambda x: F.when(x < "\x04", F.ascii(x).cast("long")).otherwise(F.xxhash64(x)))
+    return F.transform(raw, lambda x: F.when(x < "\x05", F.when(x.startswith(_HEAD), 2).otherwise(F.ascii(x)).cast("long")).otherwise(F.xxhash64(x)))
 
 
 def _starts(size: Column) -> Column:
@@ -57,18 +61,32 @@ def _windows(size: Column) -> Column:
         i.alias("pos"), F.xxhash64(F.slice("t", i, size)).alias("h"), F.slice("raw", i, size).alias("words")))
 
 
+def _plain(raw: Column) -> Column:
+    """The words and values without marks, told apart from templates."""
+    return F.concat(F.array(F.lit(0).cast("long")), F.transform(raw, lambda x: F.xxhash64(F.regexp_replace(x, "^[\x01-\x04]", ""))))
+
+
+def _exact(size: int) -> Column:
+    """The hash of the plain words of every window."""
+    return F.transform(_starts(F.lit(size)), lambda i: F.xxhash64(F.lit("exact"), F.slice("e", i + 1, size)))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Template windows of each item: ``item_id, size, pos, h, words, n_windows``.
+    """Windows of each item: ``item_id, size, exact, pos, h, words, n_templates, n_windows``.
 
-    Items of five to seven tokens are one window; shorter ones are left out, as they say too little
-    to tell a copy from prose. Windows of which less than half are literal words are left out.
+    Items of less than eight tokens are one window. Windows of which less than half are literal words,
+    and items of less than five tokens, are met by their exact words and values only.
     """
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), _tokens(F.col("text").cast("string")).alias("raw"))
-             .where((F.size("raw") >= LEAST_WINDOW) & F.col("item_id").isNotNull()).distinct()
-             .withColumn("t", _template(F.col("raw"))).withColumn("size", F.least(F.size("raw"), F.lit(window))))
-    rows = (items.select("item_id", "size", F.inline(_windows(F.col("size"))))
-            .where(F.size(F.filter("words", lambda w: w >= "\x04")) >= LITERAL_SHARE * F.col("size")))
-    return rows.join(rows.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows")), "item_id")
+             .where((F.size("raw") > 0) & F.col("item_id").isNotNull()).distinct()
+             .withColumns({"t": _template(F.col("raw")), "e": _plain(F.col("raw")), "size": F.least(F.size("raw"), F.lit(window))}))
+    literal = F.size(F.filter("words", lambda w: w >= "\x05")) >= LITERAL_SHARE * F.col("size")
+    rows = (items.select("item_id", "size", "e", F.inline(_windows(F.col("size"))))
+            .withColumn("exact", ~literal | (F.col("size") < LEAST_WINDOW))
+            .withColumn("h", F.when(F.col("exact"), F.xxhash64(F.lit("exact"), F.slice("e", F.col("pos") + 1, F.col("size")))).otherwise(F.col("h")))
+            .drop("e"))
+    counts = rows.groupBy("item_id").agg(F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).alias("n_templates"), F.countDistinct("pos").alias("n_windows"))
+    return rows.join(counts, "item_id")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_cover: float = 0.5) -> DataFrame:
@@ -80,42 +98,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     match are read again with their words, which keeps words out of the large pass. Within the
     matches of an item at one alignment, a window counts if each value of the item stands for the
     value it most often stands for in the document, or if all its values are the same; two values of
-    the item may stand for one. An alignment that gives a name two values does not count. An item is held when consistent matches cover
-    at least ``least_cover`` of its windows.
+    the item may stand for one. An alignment that gives a name two values does not count; words that
+    may only start a sentence are judged per window. An item is held when consistent matches cover at
+    least ``least_cover`` of its template windows, or of all its windows, exact ones included.
 
     A null text holds nothing; rows that repeat doc_id and text give one row; empty tables give no
     rows; other columns are not read. The benchmark may be of any size: only up to 200,000 windows
     are broadcast.
     """
     marks = benchmark_windows(benchmark, window)
-    sizes = [r["size"] for r in marks.select("size").distinct().orderBy("size").collect()]  # 5 to 8 only
+    sizes = [(r["size"], r["exact"]) for r in marks.select("size", "exact").distinct().orderBy("size", "exact").collect()]  # 1 to 8 only
     few = marks.count() <= BROADCAST_WINDOWS
     read = texts(docs).select("doc_id", text_key().alias("k"), "text")
 
     def laid(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", "k", _tokens(F.col("text")).alias("raw")).withColumn("t", _template(F.col("raw")))
+        return (rows.select("doc_id", "k", _tokens(F.col("text")).alias("raw"))
+                .withColumns({"t": _template(F.col("raw")), "e": _plain(F.col("raw"))}))
 
-    def met(windows: DataFrame, size: int, *columns: str) -> DataFrame:
-        own = marks.where(F.col("size") == size).select("h", *columns)
+    def met(windows: DataFrame, size: int, exact: bool, *columns: str) -> DataFrame:
+        own = marks.where((F.col("size") == size) & (F.col("exact") == exact)).select("h", *columns)
         own = own if columns else own.distinct()
         return windows.join(F.broadcast(own) if few else own, "h", "inner" if columns else "left_semi")
 
-    sizes = sizes or [window]
-    hit = reduce(DataFrame.union, (met(laid(read).select("doc_id", "k", F.explode(_hashes(n)).alias("h")), n) for n in sizes))
+    def windows(size: int, exact: bool) -> Column:
+        hashed = (lambda i: F.xxhash64(F.lit("exact"), F.slice("e", i + 1, size))) if exact else (lambda i: F.xxhash64(F.slice("t", i, size)))
+        return F.transform(_starts(F.lit(size)), lambda i: F.struct(i.alias("at"), hashed(i).alias("h"), F.slice("raw", i, size).alias("dwords")))
+
+    sizes = sizes or [(window, False)]
+    hit = reduce(DataFrame.union, (met(laid(read).select("doc_id", "k", F.explode(_exact(n) if exact else _hashes(n)).alias("h")), n, exact) for n, exact in sizes))
     hit = settle(hit.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("k").alias("key")).agg(F.count("*").alias("n")))
     near = read.join(hit, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & (F.col("k") == F.col("key")), "left_semi")
     ours = (F.col("pos").alias("ipos"), F.col("words").alias("iwords"))
     matches = reduce(DataFrame.union, (
-        met(laid(near).select("doc_id", "k", F.inline(_windows(F.lit(n)))).withColumnsRenamed({"pos": "at", "words": "dwords"}),
-            n, "item_id", "n_windows", *ours) for n in sizes))
-    pairs = F.filter(F.transform("iwords", lambda w, i: F.when(w < "\x04", F.struct(
-        w.alias("item"), F.get("dwords", i).alias("doc"), (F.col("ipos") + i).alias("slot")))), lambda s: s.isNotNull())
+        met(laid(near).select("doc_id", "k", F.inline(windows(n, exact))), n, exact,
+            "item_id", "exact", "n_templates", "n_windows", *ours) for n, exact in sizes))
+    def value(word: Column) -> Column:
+        return F.when(word.startswith(_HEAD), F.concat(F.lit(_KINDS[1]), F.substring(word, 2, 1 << 30))).otherwise(word)
+
+    pairs = F.filter(F.transform("iwords", lambda w, i: F.when(~F.col("exact") & (w < "\x05"), F.struct(
+        value(w).alias("item"), value(F.get("dwords", i)).alias("doc"), w.startswith(_KINDS[1]).alias("sure"), (F.col("ipos") + i).alias("slot")))), lambda s: s.isNotNull())
     alignment = ["doc_id", "k", "item_id", "shift"]
-    met_windows = settle(matches.select("doc_id", "k", "item_id", "n_windows", "ipos", (F.col("at") - F.col("ipos")).alias("shift"), pairs.alias("pairs")))
-    images = (met_windows.select(*alignment, F.inline("pairs")).distinct().groupBy(*alignment, "item", "doc").agg(F.count("*").alias("n"))
-              .groupBy(*alignment, "item").agg(F.count("*").alias("n"), F.max(F.struct("n", F.col("item") == F.col("doc"), "doc")).alias("best"))
+    met_windows = settle(matches.select("doc_id", "k", "item_id", "exact", "n_templates", "n_windows", "ipos", (F.col("at") - F.col("ipos")).alias("shift"), pairs.alias("pairs")))
+    images = (met_windows.select(*alignment, F.inline("pairs")).distinct().groupBy(*alignment, "item", "doc")
+              .agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
+              .groupBy(*alignment, "item").agg(F.sum(F.col("sure").cast("int")).alias("n_sure"), F.max(F.struct("n", F.col("item") == F.col("doc"), "doc")).alias("best"))
               .groupBy(*alignment).agg(F.collect_list(F.struct("item", "best.doc")).alias("map"),
-                                       F.max((F.col("n") > 1) & F.col("item").startswith(_KINDS[1])).alias("split"))
+                                       F.max(F.col("n_sure") > 1).alias("split"))
               .withColumnsRenamed({c: f"_{c}" for c in alignment}))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alignment]
     same = F.forall("pairs", lambda s: s.item == s.doc)
@@ -123,7 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     held = (met_windows.join(images, on, "left").where(~F.coalesce("split", F.lit(False)) & (same | usual))
             .withColumn("changed", F.exists("pairs", lambda s: s.item != s.doc))
             .groupBy("doc_id", "k", "item_id")
-            .agg((F.countDistinct("ipos") / F.max("n_windows")).alias("cover"), F.max("changed").alias("changed"))
+            .agg(F.greatest(F.countDistinct(F.when(~F.col("exact"), F.col("ipos"))) / F.when(F.max("n_templates") > 0, F.max("n_templates")),
+                            F.countDistinct("ipos") / F.max("n_windows")).alias("cover"), F.max("changed").alias("changed"))
             .where(F.col("cover") >= least_cover))
     return (held.groupBy("doc_id", "k")
             .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.count("*").alias("n_items"),

@@ -39,6 +39,15 @@ def test_an_odd_number_drops_its_windows_only(spark, documents):
     assert set(got) == {1, 2, 3} and got[1].cover == 1 and got[2].cover < 1
 
 
+def test_sentence_starts_are_names_and_short_items_are_met_exactly(spark, documents):
+    tom = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have?"
+    marks = items(spark, [(1, tom), (2, "Compute 12 + 7 * 3 - 4."), (3, "What is 12 + 34?")])
+    rows = [(1, "So. " + tom.replace("Tom", "Ann")), (2, "Now: Compute 12 + 7 * 3 - 4. Go on"), (3, "Well, what is 12 + 34? I ask"),
+            (4, "Compute 12 + 7 * 3 - 5. What is 12 + 35?")]
+    got = {r.doc_id: r.item_ids for r in decontam.contaminated(documents(rows), marks).collect()}
+    assert got == {1: [1], 2: [2], 3: [3]}
+
+
 def test_the_shuffled_join_gives_the_same(spark, documents, monkeypatch):
     docs, marks = documents([(1, ITEM), (2, "nothing of the kind is said in this text"), (1, ITEM)]), items(spark, [(1, ITEM)])
     one = decontam.contaminated(docs, marks).collect()
