@@ -14,6 +14,10 @@ from lineside.llm.toxicity import drop_toxic
 from lineside.session import shared_dir
 
 
+#: Share of 5-word shingles from which the stage takes documents as near copies; op8 takes 85.
+STAGE_PERCENT = 80
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the labels of ``sf_dir`` teach the model."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -29,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without a doc_id are linked with nothing; of those with one text, one stays.
     """
-    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("k").alias("_key")).distinct()
+    kept = near_duplicates(docs, STAGE_PERCENT).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("k").alias("_key")).distinct()
     return _keyed(docs).join(kept, ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select(docs.columns)
 
 

@@ -25,6 +25,8 @@ FULL_RUN, NEAREST = 8, 2
 #: A run of more than ``FULL_RUN`` labels that still spans several components is compared in full, in
 #: pairs of blocks of about so many documents and shingles.
 BLOCK, BLOCK_SHINGLES = 256, 200_000
+#: Trees for thresholds below 85 percent: at 0.80 a pair is missed by all with probability 0.0002.
+MORE_TREES = 16
 #: Compact signatures that agree on a smaller share are not confirmed: 5 deviations below 0.85.
 LEAST_ESTIMATE = 0.62
 
@@ -77,6 +79,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
+def tuned(percent: int) -> tuple[int, float]:
+    """Trees and the least estimate for a threshold."""
+    share = percent / 100
+    return (TREES, LEAST_ESTIMATE) if percent >= 85 else (MORE_TREES, share - 5 * (share * (1 - share) / HASHES) ** 0.5)
+
+
 def tree_order(tree: int) -> list[int]:
     """The hashes of a tree's label: four that no other tree begins with, then others' in turn."""
     own = [LEAST_DEPTH * tree + i for i in range(LEAST_DEPTH)]
@@ -101,7 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, k long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def forest_candidates(classes: DataFrame) -> DataFrame:
+def forest_candidates(classes: DataFrame, percent: int = 85) -> DataFrame:
     """Pairs ``a < b`` of class ids that stand close together in one of the sorted orders, with an estimate.
 
     Each tree sorts the labels; the sorted rows are split by range on label and id, so equal labels
@@ -110,12 +118,14 @@ def forest_candidates(classes: DataFrame) -> DataFrame:
     in a crowded region only the longest common prefixes (the nearest labels) and the first of each
     run at every depth, so the depth in effect grows with the crowd and the pairs stay linear.
     """
+    trees, least = tuned(percent)
+
     def label(tree: int):
         return F.concat(*(F.substring("sig", 4 * i + 1, 4) for i in tree_order(tree)))
 
     short = F.concat(*(F.substring("sig", 4 * i + 4, 1) for i in range(HASHES)))
     laid = (classes.select("cid", short.alias("short"), F.explode(F.array(*(
-        F.struct(F.lit(t).alias("tree"), label(t).alias("label")) for t in range(TREES)))).alias("x"))
+        F.struct(F.lit(t).alias("tree"), label(t).alias("label")) for t in range(trees)))).alias("x"))
         .select("x.tree", "x.label", "cid", "short")
         .repartitionByRange("tree", "label", "cid").sortWithinPartitions("tree", "label", "cid"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64())])
@@ -140,7 +150,7 @@ def forest_candidates(classes: DataFrame) -> DataFrame:
                         if pair not in seen:
                             seen.add(pair)
                             est = (float(np.count_nonzero(entry[2] == print_)) / HASHES - 1 / 256) * 256 / 255
-                            if est >= LEAST_ESTIMATE:
+                            if est >= least:
                                 pairs.append((*pair, est))
                 recent = [*recent[-FULL_RUN:], entry]
                 length += 1
@@ -200,7 +210,7 @@ def block_links(block: pa.Table, percent: int) -> pa.Table:
     want = np.zeros((len(left), len(right)), bool)
     for i, x in enumerate(left):
         alike = sigs[x] == sigs[right]
-        want[i] = (root[x] != root[right]) & (alike.mean(axis=1) >= LEAST_ESTIMATE)
+        want[i] = (root[x] != root[right]) & (alike.mean(axis=1) >= tuned(percent)[1])
         for t in range(tree):
             if crowds[x] >> t & 1:
                 want[i] &= ~alike[:, LEAST_DEPTH * t:LEAST_DEPTH * (t + 1)].all(axis=1)
@@ -239,7 +249,7 @@ def crowded_links(classes: DataFrame, rows: DataFrame, reach: DataFrame, percent
     of = settle(classes.join(reach, F.col("rep") == F.col("v"), "left")
                 .select("cid", "rep", "k", "n_shingles", "sig", F.coalesce("root", "rep").alias("root")))
     laid = of.select("cid", "root", "n_shingles", F.posexplode(F.array(*(
-        F.substring("sig", 4 * LEAST_DEPTH * t + 1, 4 * LEAST_DEPTH) for t in range(TREES)))).alias("tree", "label"))
+        F.substring("sig", 4 * LEAST_DEPTH * t + 1, 4 * LEAST_DEPTH) for t in range(tuned(percent)[0])))).alias("tree", "label"))
     parts = (laid.groupBy("tree", "label", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
              .groupBy("tree", "label").agg(F.max(F.struct("n", "m", "root")).alias("main"), F.sum("n").alias("n"), F.sum("m").alias("m")))
 
@@ -268,7 +278,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Returns a row for each row of ``docs``: ``doc_id, k`` (a key of the text)``, n_shingles,
     component_id, kept``. Equal sets are one class from the start, so thousands of exact copies
     are one entry in every later step. Classes are compared where the forest brings them together
-    (a pair at 0.85 begins alike in one of twelve trees with probability 0.9998); links are confirmed
+    (a pair at 0.85 begins alike in one of twelve trees with probability 0.9998, one at 0.80 in one of
+    sixteen, which thresholds below 85 use); links are confirmed
     on the full sets: first the best candidate below each class, then every candidate whose ends
     are still in different components. No pair within a component needs confirming after that. Runs
     of equal labels that are too long to be met in full and still hold several components are then
@@ -283,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = settle(made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
                      .agg(F.min(F.struct("doc_id", "k")).alias("least"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
                      .select(F.col("h1").alias("cid"), "h1", "h2", F.col("least.doc_id").alias("rep"), F.col("least.k").alias("k"), "sig", "n_shingles"))
-    pairs = settle(forest_candidates(classes.select("cid", "sig")))
+    pairs = settle(forest_candidates(classes.select("cid", "sig"), percent))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep", "k"), "cid")
     bodies = settle(rows.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "k"]).dropDuplicates(["cid"]).select("cid", "rep", "text"))
     best = pairs.groupBy("b").agg(F.max(F.struct("est", "a")).alias("x")).select("x.a", "b")

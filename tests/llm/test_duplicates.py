@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,17 @@ def test_crowded_region_stays_linear(documents):
     assert pairs.count() < 600 * minhash.TREES * (minhash.FULL_RUN + 1)
 
 
+def test_pipeline_stage_takes_eighty_percent(spark, documents):
+    rng, rows = random.Random(13), []
+    for g in range(40):
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(200)]
+        changed = [f"x{j}" if j in (20 + g, 70 + g, 120 + g, 150 + g) else w for j, w in enumerate(words)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(changed))]
+    want = {2 * g for g in range(40)}
+    assert all(80 <= 100 * len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y)) < 85 for (_, x), (_, y) in zip(rows[::2], rows[1::2]))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()} == want
+
+
 def test_star_of_copies_is_one_component(documents, monkeypatch):
     rng = random.Random(12)
     base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
