@@ -156,7 +156,7 @@ def _disguised(text: str) -> bool:
 
 
 def hidden_identifiers(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that appear once the disguises are undone, at source offsets, apart from ``base``."""
+    """Identifiers that appear once the disguises are undone, at source offsets, that no span of ``base`` of their kind covers."""
     if not _disguised(text):
         return []
     tape = Tape(text)
@@ -165,8 +165,7 @@ def hidden_identifiers(text: str, base: list[Span]) -> list[Span]:
     if not tape.changes:
         return []
     found = [(kind, tape.start[a], tape.end[b - 1]) for kind, a, b in identifiers(tape.text)]
-    taken = sorted((a, b) for _, a, b in base)
-    return [s for s in found if not any(a < s[2] and s[1] < b for a, b in taken)]
+    return [s for s in found if not any(kind == s[0] and a <= s[1] and s[2] <= b for kind, a, b in base)]
 
 
 def find_pii(docs: DataFrame, mask: bool = False) -> DataFrame:
@@ -179,7 +178,8 @@ def find_pii(docs: DataFrame, mask: bool = False) -> DataFrame:
     Transducers replace look-alike characters, invisible characters, digits written as words (four
     or more in a row), bracketed and spoken "at" and "dot"; each keeps the source span of every
     character, so what is found in the rewritten text is reported where it stands in the source.
-    A disguised match that overlaps a plain one is left out. A null text counts as empty and stays
+    A disguised match within a plain one of its kind is left out; of others that overlap both are
+    reported, and their union is masked. A null text counts as empty and stays
     null when masked; repeated rows are each returned; an empty table gives no rows; other columns
     are not read. Every pattern is linear in the text, whatever its length.
     """

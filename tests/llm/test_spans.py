@@ -36,6 +36,15 @@ def test_disguises_are_found_at_source_offsets():
     assert pii.hidden_identifiers("look at the dot of light, one two", []) == []
 
 
+def test_one_disguised_character_in_an_address():
+    for text, kept in [("j\u0430ne.doe@example.com", 2), ("jane@example.c\u043em", 0), ("ja\u200bne@example.com", 3)]:
+        base = pii.identifiers(text)
+        added = pii.hidden_identifiers(text, base)
+        assert base[0][1] == kept and added == [("email", 0, len(text))]
+        assert masked(f"{text} x", base + added) == "[EMAIL] x"
+    assert pii.hidden_identifiers("\u0430 jane@example.com", pii.identifiers("\u0430 jane@example.com")) == []
+
+
 def test_pii_rows(documents, odd_rows):
     rows = odd_rows + [(50, "a@b.co and ip 1.2.3.4"), (51, "jo (at) b (dot) co")]
     got = {(r.doc_id, r.spans): r for r in pii.find_pii(documents(rows), mask=True).collect()}
