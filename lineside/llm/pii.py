@@ -39,10 +39,14 @@ _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DIGITS = re.compile(rf"(?:\bplus[\s-]+)?\b(?:(?:{_digit})[\s.-]+){{3,}}(?:(?:[0-9]+|{_digit})[\s.-]+)*(?:{_digit})\b", re.I)
 _DIGIT_PART = re.compile(rf"\bplus\b|\b(?:{_digit})\b|[0-9]+|\.|[\s-]+", re.I)
 _MARK = re.compile(rf"\s*[(\[{{<]\s*(?:({'|'.join(AT_WORDS)}|@)|({'|'.join(DOT_WORDS)}|\.))\s*[)\]}}>]\s*", re.I)
+_at, _dot = rf"\s+(?:{'|'.join(AT_WORDS)})\s+", rf"\s+(?:{'|'.join(DOT_WORDS)})\s+"
 _SPOKEN = re.compile(
-    rf"(?<![\w.%+-])[\w.%+-]{{1,64}}(?:(?:\s+{DOT_WORDS[0]}\s+)[\w%+-]{{1,64}}){{0,3}}(\s+{AT_WORDS[0]}\s+|@)"
-    rf"[\w-]{{1,63}}(?:(?:\s+{DOT_WORDS[0]}\s+|\.)[\w-]{{1,63}}){{0,3}}(?:\s+{DOT_WORDS[0]}\s+|\.)(?:{'|'.join(HOST_ENDS)})(?![\w-])", re.I)
-_SPOKEN_PART = re.compile(rf"\s+(?:({AT_WORDS[0]})|({DOT_WORDS[0]}))\s+", re.I)
+    rf"(?<![\w.%+-])[\w.%+-]{{1,64}}(?:{_dot}[\w%+-]{{1,64}}){{0,3}}({_at}|@)"
+    rf"[\w-]{{1,63}}(?:(?:{_dot}|\.)[\w-]{{1,63}}){{0,3}}(?:{_dot}|\.)(?:{'|'.join(HOST_ENDS)})(?![\w-])", re.I)
+#: What every spoken address holds: a sign and the first two parts of a host.
+_SPOKEN_CORE = re.compile(rf"(?:{_at}|@)[\w-]{{1,63}}(?:{_dot}|\.)[\w-]", re.I)
+_SPOKEN_PART = re.compile(rf"\s+(?:({'|'.join(AT_WORDS)})|({'|'.join(DOT_WORDS)}))\s+", re.I)
+_SPOKEN_IP = re.compile(rf"(?<![0-9])[0-9]++(?:(?:{_dot}|\.)[0-9]++){{3}}", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -145,6 +149,13 @@ def _spoken(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def _spoken_ips(tape: Tape) -> None:
+    edits = []
+    for run in _SPOKEN_IP.finditer(tape.text):
+        edits += [(*m.span(), ".") for m in _SPOKEN_PART.finditer(tape.text, *run.span())]
+    tape.rewrite(edits)
+
+
 def _disguised(text: str) -> bool:
     """Whether any transducer could change the text, by cheap tests."""
     if not text.isascii() and _SAME.search(text):
@@ -152,7 +163,9 @@ def _disguised(text: str) -> bool:
     if any(b in text for b in "([{<") and _MARK.search(text):
         return True
     low = text.lower()
-    return (DOT_WORDS[0] in low and bool(_SPOKEN.search(text))) or bool(_DIGITS.search(low))
+    if _SPOKEN_CORE.search(text) and any(_SPOKEN_PART.search(text, *m.span()) for m in _SPOKEN.finditer(text)):
+        return True
+    return any(w in low for w in DOT_WORDS) and bool(_SPOKEN_IP.search(text)) or bool(_DIGITS.search(low))
 
 
 def hidden_identifiers(text: str, base: list[Span]) -> list[Span]:
@@ -160,7 +173,7 @@ def hidden_identifiers(text: str, base: list[Span]) -> list[Span]:
     if not _disguised(text):
         return []
     tape = Tape(text)
-    for step in (_lookalikes, _digit_words, _marks, _spoken):
+    for step in (_lookalikes, _digit_words, _marks, _spoken, _spoken_ips):
         step(tape)
     if not tape.changes:
         return []
@@ -176,7 +189,7 @@ def find_pii(docs: DataFrame, mask: bool = False) -> DataFrame:
     exclusive), ``n_added`` (how many of them were disguised) and, with ``mask``, ``masked_text``.
 
     Transducers replace look-alike characters, invisible characters, digits written as words (four
-    or more in a row), bracketed and spoken "at" and "dot"; each keeps the source span of every
+    or more in a row), bracketed and spoken "at" and "dot" in the languages of the texts, also between the digit groups of an IP; each keeps the source span of every
     character, so what is found in the rewritten text is reported where it stands in the source.
     A disguised match within a plain one of its kind is left out; of others that overlap both are
     reported, and their union is masked. A null text counts as empty and stays

@@ -36,6 +36,18 @@ def test_disguises_are_found_at_source_offsets():
     assert pii.hidden_identifiers("look at the dot of light, one two", []) == []
 
 
+def test_spoken_forms():
+    for text, kind, part in [
+        ("write to jane.roe at example.com today", "email", "jane.roe at example.com"),
+        ("escribe a jane arroba mail punto example punto com hoy", "email", "jane arroba mail punto example punto com"),
+        ("an jane at mail punkt de", "email", "jane at mail punkt de"),
+        ("jean at mail point fr", "email", "jean at mail point fr"),
+        ("host 192 dot 168 dot 1 dot 20 is up", "ip", "192 dot 168 dot 1 dot 20"),
+    ]:
+        assert [(k, text[a:b]) for k, a, b in pii.hidden_identifiers(text, [])] == [(kind, part)], text
+    assert pii.hidden_identifiers("we met at noon to look at the point of it 3 point 14", []) == []
+
+
 def test_one_disguised_character_in_an_address():
     for text, kept in [("j\u0430ne.doe@example.com", 2), ("jane@example.c\u043em", 0), ("ja\u200bne@example.com", 3)]:
         base = pii.identifiers(text)
