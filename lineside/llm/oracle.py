@@ -42,4 +42,78 @@ links AS MATERIALIZED (SELECT a, b FROM two UNION ALL SELECT b, a FROM two),{_RE
 SELECT doc_id, len(sets.s) AS n_shingles, coalesce(root, rep, doc_id) AS component_id, coalesce(root, rep, doc_id) = doc_id AS kept
 FROM sets LEFT JOIN cls ON cls.s = sets.s LEFT JOIN comp ON node = rep"""
 
-ORACLE = {"op1_substring_dedup": SUBSTRING, "op7_embedding_dedup": VECTORS, "op8_minhash_dedup": MINHASH}
+
+def _crc32(text: str) -> str:
+    """The checksum of an ASCII text, eight shifts for each character."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), "
+            "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)")
+
+
+def _ways(ways: str, cost: str, step: str, line: str = "''") -> str:
+    """Each of a list of ways (cost, audit, output) with one more edit."""
+    return f"list_transform({ways}, lambda x: {{'c': x.c + {cost}, 'a': x.a || '{step}', 'o': x.o || {line}}})"
+
+
+def _known(*states: str) -> str:
+    return f"list_filter([{', '.join(states)}], lambda x: x.c IS NOT NULL)"
+
+
+_KEEP, _AS_USER, _AS_ASSISTANT = "chr(10) || r.role || ':' || r.text", "chr(10) || 'user:' || r.text", "chr(10) || 'assistant:' || r.text"
+_INTO_USER = f"list_concat({_known('w.u')}, {_ways(_known('w.e', 'w.s', 'w.v'), '5', 'I', 'chr(10) || ' + chr(39) + 'user:' + chr(39))})"
+_INTO_ASSISTANT = f"list_concat({_known('w.v')}, {_ways(_known('w.u'), '5', 'I', 'chr(10) || ' + chr(39) + 'assistant:' + chr(39))})"
+_BEFORE_USER = f"list_concat({_known('w.e', 'w.s')}, {_INTO_ASSISTANT})"
+
+REPAIR = f"""
+WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS MATERIALIZED (SELECT *, {_crc32('k')} % 20 AS code FROM base),
+hurt AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+  CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS again FROM coded WHERE code <> 0),
+told AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER w AS i, lag(left(role, 1)) OVER w || left(role, 1) AS two,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+judged AS MATERIALIZED (SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS wrong FROM told),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'o': ''}} AS e, {{'c': NULL::INTEGER, 'a': '', 'o': ''}} AS s,
+    {{'c': NULL::INTEGER, 'a': '', 'o': ''}} AS u, {{'c': NULL::INTEGER, 'a': '', 'o': ''}} AS v FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT w.conv_id, r.i, list_min({_ways('[w.e]', '2', 'D')}),
+    list_min(list_concat({_ways(_known('w.s'), '2', 'D')}, CASE WHEN r.ini = 's' AND r.wrong IN ('', 'truncated') THEN {_ways('[w.e]', "if(r.wrong = '', 0, 5)", 'K', _KEEP)} ELSE [] END)),
+    list_min(list_concat(list_concat({_ways(_INTO_USER, '2', 'D')},
+      CASE WHEN r.wrong IN ('', 'truncated') THEN {_ways(_BEFORE_USER, "if(r.wrong = '', 1, 6)", 'R', _AS_USER)} ELSE [] END),
+      CASE WHEN r.ini = 'u' AND r.wrong IN ('', 'truncated') THEN {_ways(_BEFORE_USER, "if(r.wrong = '', 0, 5)", 'K', _KEEP)} ELSE [] END)),
+    list_min(list_concat(list_concat({_ways(_INTO_ASSISTANT, '2', 'D')},
+      CASE WHEN r.wrong IN ('', 'truncated') THEN {_ways(_INTO_USER, "if(r.wrong = '', 1, 6)", 'R', _AS_ASSISTANT)} ELSE [] END),
+      CASE WHEN r.ini = 'a' AND r.wrong IN ('', 'truncated') THEN {_ways(_INTO_USER, "if(r.wrong = '', 0, 5)", 'K', _KEEP)} ELSE [] END))
+  FROM walk w JOIN judged r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1),
+ended AS (SELECT conv_id, list_min(list_concat({_known('w.e', 'w.v')}, {_ways(_known('w.u'), '5', 'I', 'chr(10) || ' + chr(39) + 'assistant:' + chr(39))})) AS z
+  FROM walk w WHERE i = (SELECT count(*) FROM judged j WHERE j.conv_id IS NOT DISTINCT FROM w.conv_id)),
+faults AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (wrong = 'blank') AS blank,
+  count(*) FILTER (wrong = 'duplicate') AS duplicate, count(*) FILTER (wrong = 'truncated') AS truncated,
+  count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT ended.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, z.c::BIGINT AS cost, z.a AS audit, sha256(substr(z.o, 2)) AS repaired_sha256
+FROM ended LEFT JOIN faults ON faults.conv_id IS NOT DISTINCT FROM ended.conv_id"""
+
+_MARKED = r"\### Assistant: </turn> ok"
+
+
+def _escaped(text: str, more: str = "") -> str:
+    return rf"regexp_replace({text}, '(\\|### |</turn>{more})', '\\\1', 'g')"
+
+
+CHAT = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_MARKED}'), (-7, 1, 'assistant', '{_MARKED}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({_escaped('role', '|:')}) + length({_escaped('text')}) + 14)::BIGINT AS formatted_chars
+FROM turns GROUP BY 1"""
+
+ORACLE = {
+    "op1_substring_dedup": SUBSTRING, "op7_embedding_dedup": VECTORS, "op8_minhash_dedup": MINHASH,
+    "op11_conversation_repair": REPAIR, "op12_chat_formatting": CHAT,
+}

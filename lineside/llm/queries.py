@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineside.llm.alignment import align
+from lineside.llm.chat import canonical_turns, canonical_turns_of_records, format_chats, read_back
+from lineside.llm.conversations import damaged, repair_report
 from lineside.llm.decontam import contaminated
 from lineside.llm.language import identify
 from lineside.llm.minhash import near_duplicates
@@ -64,6 +68,25 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")), F.col("gone")).drop("n_rows", "n_repaired")
+
+
+#: A conversation whose texts hold the template's own marks.
+MARKED = "\\### Assistant: </turn> ok"
+
+
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = json.dumps({"id": -7, "messages": [{"role": role, "content": MARKED} for role in ("user", "assistant")]})
+    records = spark.createDataFrame([(marked,)], "record string")
+    turns = canonical_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).unionByName(canonical_turns_of_records(records))
+    return read_back(format_chats(turns), in_order=True)
+
+
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": substring_dedup,
@@ -76,6 +99,9 @@ def queries() -> dict[str, Query]:
         "op8_minhash_dedup": minhash_dedup,
         "op9_token_counts": counts,
         "op10_decontamination": decontamination,
+        "op11_conversation_repair": conversation_repair,
+        "op12_chat_formatting": chat_formatting,
+        "op13_cross_tokenizer_alignment": alignment,
     }
 
 
