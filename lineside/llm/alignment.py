@@ -19,7 +19,7 @@ from lineside.llm.tokens import tokenizer_path
 #: Texts are worked through in stretches of about so many characters.
 STRETCH = 1 << 20
 #: Units and their characters kept in a task's memory, and the longest unit that is encoded with others.
-KNOWN, KNOWN_CHARS, LONG = 200_000, 1 << 24, 256
+KNOWN, KNOWN_CHARS, LONG = 400_000, 1 << 24, 256
 #: Units that are encoded in one call.
 BLOCK = 4096
 
@@ -72,14 +72,12 @@ def pair_of(name_a: str, name_b: str) -> Pair:
     return _loaded[name_a, name_b]
 
 
-def groups_of(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> Iterator[tuple[int, list[int], list[int]]]:
-    """The groups in order: the byte where both end, the ids of one side, those of the other."""
+def groups_of(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int]]:
+    """The groups in order: the byte where both tokenizers end, and how many ids of each lie before it."""
     at_a = {end: i for i, end in enumerate(ends_a, 1)}
     at_b = {end: i for i, end in enumerate(ends_b, 1)}
-    i = j = 0
     for end in sorted(at_a.keys() & at_b.keys()):
-        yield end, ids_a[i:at_a[end]], ids_b[j:at_b[end]]
-        i, j = at_a[end], at_b[end]
+        yield end, at_a[end], at_b[end]
 
 
 def stretches(text: str) -> Iterator[str]:
@@ -106,7 +104,7 @@ def units(stretch: str) -> list:
 
 def whole(unit: str | tuple[str]) -> str:
     """The characters of a unit."""
-    return unit[0] if isinstance(unit, tuple) else unit if unit.startswith("\n") else " " + unit
+    return unit[0] if type(unit) is tuple else unit if unit[0] == "\n" else " " + unit
 
 
 class Units:
@@ -131,7 +129,7 @@ class Units:
         """Take in units that are not known yet."""
         plain, other = [], []
         for unit in wanted:
-            (other if isinstance(unit, tuple) or len(unit) > LONG else plain).append(unit)
+            (other if type(unit) is tuple or len(unit) > LONG else plain).append(unit)
         made: list[tuple] = []
         for at in range(0, len(plain), BLOCK):
             block = plain[at:at + BLOCK]
@@ -143,7 +141,7 @@ class Units:
         sizes, keys, links = [], [], []
         for unit, (n_a, n_b, groups, pairs) in zip([*plain, *other], made):
             self.at[unit] = len(self.written)
-            self.chars += len(whole(unit))
+            self.chars += len(unit) if type(unit) is str else len(unit[0])
             self.written.append(";".join(groups))
             sizes.append((n_a, n_b, len(groups), sum(pairs.values()), n_a < 0, first + len(keys), len(pairs)))
             keys += pairs
@@ -158,35 +156,47 @@ class Units:
 
     def _block(self, block: list) -> list[tuple] | None:
         """Sizes, groups and pairs of units encoded together; None if bytes do not come back or a border is no common end."""
-        text = "".join(map(whole, block))
-        raw = text.encode("utf-8", "surrogatepass")
-        ids_a, ids_b = self.pair.ids(text)
-        if b"".join(map(self.pair.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.pair.bytes_b.__getitem__, ids_b)) != raw:
+        raw = [whole(u).encode("utf-8", "surrogatepass") for u in block]
+        together = b"".join(raw)
+        ids_a, ids_b = self.pair.ids(together.decode("utf-8", "surrogatepass"))
+        if b"".join(map(self.pair.bytes_a.__getitem__, ids_a)) != together or b"".join(map(self.pair.bytes_b.__getitem__, ids_b)) != together:
             return None
         ends_a, ends_b = (np.cumsum(table[ids]).tolist() for table, ids in ((self.pair.long_a, ids_a), (self.pair.long_b, ids_b)))
-        made, border, left = [], 0, groups_of(ids_a, ends_a, ids_b, ends_b)
-        for unit in block:
-            border += len(whole(unit).encode("utf-8", "surrogatepass"))
-            n_a, n_b, groups, pairs, end = 0, 0, [], Counter(), -1
-            for end, a, b in left:
+        made, border, i, j, end = [], 0, 0, 0, 0
+        left = groups_of(ends_a, ends_b)
+        for part in raw:
+            border += len(part)
+            groups, pairs, from_a, from_b = [], {}, i, j
+            while end != border:
+                end, p, q = next(left)
+                if p - i == 1 == q - j:
+                    a, b = ids_a[i], ids_b[j]
+                    groups.append(f"{a}|{b}")
+                    key = a << 16 | b
+                    pairs[key] = pairs.get(key, 0) + 1
+                else:
+                    a, b = ids_a[i:p], ids_b[j:q]
+                    groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+                    linked(pairs, a, b)
+                i, j = p, q
                 if end > border:
                     return None
-                n_a, n_b = n_a + len(a), n_b + len(b)
-                groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-                if len(a) == len(b) == 1:
-                    pairs[a[0] << 16 | b[0]] += 1
-                else:
-                    for x, times in Counter(a).items():
-                        for y, more in Counter(b).items():
-                            pairs[x << 16 | y] += times * more
-                if end == border:
-                    break
-            if end != border:
-                return None
-            made.append((n_a, n_b, groups, pairs))
+            made.append((i - from_a, j - from_b, groups, pairs))
         return made
 
 
+def linked(pairs: dict[int, int], a: list[int], b: list[int]) -> None:
+    """Adds the links of one group: each of ``a`` with each of ``b``."""
+    if len(a) + len(b) > 8:  # ids that come again are multiplied out
+        for x, times in Counter(a).items():
+            for y, more in Counter(b).items():
+                pairs[x << 16 | y] = pairs.get(x << 16 | y, 0) + times * more
+        return
+    for x in a:
+        for y in b:
+            pairs[x << 16 | y] = pairs.get(x << 16 | y, 0) + 1
+
+
 class Measure:
     """Adds up the units of one document."""
 
