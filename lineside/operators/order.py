@@ -6,21 +6,23 @@ of all rows is one ladder row. The order is then resolved in two steps: a coarse
 bucket of each double (its exponent and the top of its mantissa, at most a few thousand in
 practice) gets its offset from a running sum over the buckets, and the values inside one bucket
 are ordered in their own window partition.
+
+Ranks and positions of the rows themselves go by range: the rows are split on sampled bounds of the whole
+sort key, numbered inside their partition, and shifted by the counts of the partitions before.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineside.session import settle
 
 _MANTISSA_STEPS = 1024
-#: Heads of the tie-break text that split the rows of one value: each is cut further by the next.
-_PREFIX_CHARS = (6, 12, 24)
 
 
 def _bucket(value: Column) -> Column:
@@ -89,6 +91,49 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _in_ranges(df: DataFrame, strata: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` range-partitioned and sorted on the whole composite key, written once.
+
+    ``_s`` stands for the stratum (NULLs are equal in it) and ``_pid`` for the partition. Bounds are sampled on all
+    of ``order``, whose last column should tell rows of one value apart, so neither a heavy value nor one
+    stratum stays in one task.
+    """
+    keyed = df.withColumn("_s", F.struct(*strata) if strata else F.struct(F.lit(0).alias("all")))
+    laid = keyed.repartitionByRange("_s", *order).sortWithinPartitions("_s", *order)
+    return settle(laid).withColumn("_pid", F.spark_partition_id())
+
+
+def _earlier() -> WindowSpec:
+    """The partitions of a stratum before this one: a few rows for each task of the range split."""
+    return Window.partitionBy("_s").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_border_runs(rows: DataFrame) -> DataFrame:
+    """``rows`` with what its partition's first and last value need to know of the partitions around.
+
+    A run of equal values may cross partitions. Where it begins and how long it is follow from a table with two rows
+    for each partition and stratum.
+    """
+    here = ["_s", "_pid"]
+    ends = rows.groupBy(*here).agg(
+        F.count("_key").alias("_n"), F.count_if(F.col("_key").isNull()).alias("_nulls"), F.min("_key").alias("_first"), F.max("_key").alias("_last"))
+    tied = (rows.join(ends.select(*here, "_first", "_last"), here).groupBy(*here)
+            .agg(F.count_if(F.col("_key") == F.col("_first")).alias("_first_n"), F.count_if(F.col("_key") == F.col("_last")).alias("_last_n")))
+    whole = Window.partitionBy("_s")
+    ends = settle(ends.join(tied, here).withColumns({
+        "_off": F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)), "_total": F.sum("_n").over(whole)}))
+    border = ends.select("_s", F.explode(F.when(
+        F.col("_first") == F.col("_last"), F.array(F.struct(F.col("_first").alias("key"), F.col("_first_n").alias("n"), F.col("_off").alias("start"))))
+        .otherwise(F.array(
+            F.struct(F.col("_first").alias("key"), F.col("_first_n").alias("n"), F.col("_off").alias("start")),
+            F.struct(F.col("_last").alias("key"), F.col("_last_n").alias("n"), (F.col("_off") + F.col("_n") - F.col("_last_n")).alias("start"))))).alias("x"))
+    runs = border.where(F.col("x.key").isNotNull()).groupBy("_s", F.col("x.key").alias("_key")).agg(
+        (F.min("x.start") + (F.sum("x.n") + 1) / F.lit(2.0)).alias("_rank"))
+    for end in ("_first", "_last"):
+        ends = ends.join(runs.withColumnsRenamed({"_key": end, "_rank": f"{end}_rank"}), ["_s", end], "left")
+    return rows.join(ends.select(*here, "_first", "_last", "_first_rank", "_last_rank", "_off", "_nulls", "_total"), here)
+
+
 def with_average_ranks(
     df: DataFrame, ranks: dict[str, str], strata: Sequence[str] = (), descending: Sequence[str] = (),
     within: dict[str, Sequence[str]] | None = None,
@@ -96,16 +141,22 @@ def with_average_ranks(
     """Add average ranks (ties share the mean rank). ``ranks`` maps new column to value column.
 
     NULL values stay unranked. Names in ``descending`` rank from the largest value down; a name
-    in ``within`` has strata of its own.
+    in ``within`` has strata of its own. Rows are split by range on the value and a random number, so the rows of
+    one value, or of none, lie in as many tasks as their share asks for; they are not joined back on the value.
     """
-    df, common = settle(df), list(strata)
+    columns, df = df.columns, settle(df)
     for name, value in ranks.items():
-        strata = list((within or {}).get(name, common))
-        rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
-        if name in descending:
-            rank = F.col("total") + 1 - rank
-        steps = value_ladder(df, value, strata).select(*strata, value, rank.alias(name))
-        df = _join_null_safe(df, steps, [*strata, value], "left")
+        by = list((within or {}).get(name, strata))
+        rows = _in_ranges(df.withColumns({"_key": _sort_key(df, value, False), "_any": F.rand(5)}), by, ["_key", "_any"])
+        local = Window.partitionBy("_s", "_pid")
+        rows = _with_border_runs(rows).withColumns({
+            "_below": F.rank().over(local.orderBy("_key")) - 1 - F.col("_nulls"),
+            "_ties": F.count(F.lit(1)).over(Window.partitionBy("_s", "_pid", "_key"))})
+        rank = (F.when(F.col("_key") == F.col("_first"), F.col("_first_rank")).when(F.col("_key") == F.col("_last"), F.col("_last_rank"))
+                .otherwise(F.col("_off") + F.col("_below") + (F.col("_ties") + 1) / F.lit(2.0)))
+        rank = F.when(F.col("_key").isNotNull(), F.col("_total") + 1 - rank if name in descending else rank)
+        columns = [*columns, name]
+        df = rows.withColumn(name, rank).select(columns)
     return df
 
 
@@ -153,42 +204,38 @@ def with_positions(
     df: DataFrame, value: str, tiebreak: str, strata: Sequence[str] = (), descending: bool = False,
     weight: str | None = None,
 ) -> DataFrame:
-    """Row position 1..n in the order of ``value`` (then ``tiebreak`` ascending as text).
+    """Row position 1..n in the order of ``value`` (then ``tiebreak`` ascending as text, then a hash of the row).
 
     Adds ``position`` and ``total``, and with ``weight`` the running ``cum_weight`` and
-    ``total_weight``. Rows with a NULL value are left out. Rows sharing a value are split by longer
-    and longer heads of the tie-break text, so neither a heavily repeated value nor ids that begin
-    alike end up in one task.
+    ``total_weight``. Rows with a NULL value are left out. Rows are split by range on all of that
+    order, so neither a heavily repeated value nor ids that begin alike end up in one task. Weights are
+    added as whole numbers of one unit (the largest weight has 61 bits), so sums don't depend on where
+    the partitions end.
     """
-    strata = list(strata)
-    keyed = settle(
-        df.where(F.col(value).isNotNull())
-        .withColumn("_key", _sort_key(df, value, descending))
-        .withColumns({f"_h{i}": F.substring(F.col(tiebreak).cast("string"), 1, n) for i, n in enumerate(_PREFIX_CHARS)})
-        .withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(0.0))
-    )
-    level = [*strata, "_key"]
-    steps = value_ladder(keyed, "_key", strata, weight="_w").select(
-        *level, "before", "w_before", "total", "w_total")
-    heads = [f"_h{i}" for i in range(len(_PREFIX_CHARS))]
-    starts = steps
-    for depth in range(len(heads)):
-        above, here = [*level, *heads[:depth]], [*level, *heads[:depth + 1]]
-        prior = _below(above, heads[depth])
-        counts = keyed.groupBy(*here).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_hw"))
-        counts = counts.select(
-            *here, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_n_off"),
-            F.coalesce(F.sum("_hw").over(prior), F.lit(0.0)).alias("_w_off"))
-        starts = _join_null_safe(counts, starts, above).withColumns({
-            "before": F.col("before") + F.col("_n_off"), "w_before": F.col("w_before") + F.col("_w_off")}).drop("_n_off", "_w_off")
-    rows = _join_null_safe(keyed, starts, [*level, *heads])
-    tail = Window.partitionBy(*level, *heads).orderBy(F.col(tiebreak).cast("string"))
-    running = F.sum("_w").over(tail.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("position", F.col("before") + F.row_number().over(tail))
+    columns = df.columns
+    rows = _in_ranges(
+        df.where(F.col(value).isNotNull()).withColumns({
+            "_key": _sort_key(df, value, descending), "_tie": F.col(tiebreak).cast("string"), "_row": F.xxhash64(*columns),
+            "_w": F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(0.0)}),
+        list(strata), ["_key", "_tie", "_row"])
+    unit = 1.0
+    if weight:
+        largest = rows.agg(F.max(F.abs("_w"))).first()[0] or 0.0
+        unit = 2.0 ** max(math.frexp(largest)[1] - 61, -1000) if math.isfinite(largest) else math.nan
+    exact = math.isfinite(unit)
+    rows = rows.withColumn("_u", F.bround(F.col("_w") / F.lit(unit)).cast("decimal(38,0)") if exact else F.col("_w"))
+    here, whole = ["_s", "_pid"], Window.partitionBy("_s")
+    ends = rows.groupBy(*here).agg(F.count(F.lit(1)).alias("_n"), F.sum("_u").alias("_us"))
+    ends = ends.select(
+        *here, F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("total"),
+        F.coalesce(F.sum("_us").over(_earlier()), F.lit(0)).alias("_before"), F.sum("_us").over(whole).alias("_all"))
+    local = Window.partitionBy(*here).orderBy("_key", "_tie", "_row")
+    running = F.sum("_u").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    size = F.lit(unit if exact else 1.0)
+    found = {"position": F.col("_off") + F.row_number().over(local)}
     if weight:
-        rows = rows.withColumn("cum_weight", F.col("w_before") + running)
-        rows = rows.withColumnRenamed("w_total", "total_weight")
-    return rows.drop("_key", *heads, "_w", "before", "w_before", "w_total")
+        found |= {"cum_weight": (F.col("_before") + running).cast("double") * size, "total_weight": F.col("_all").cast("double") * size}
+    return rows.join(ends, here).withColumns(found).select(*columns, "position", "total", *(["cum_weight", "total_weight"] if weight else []))
 
 
 def ntile_of(position: Column, total: Column, tiles: int) -> Column:

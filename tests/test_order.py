@@ -87,3 +87,77 @@ def test_tied_ids_with_a_common_head(frame):
     want = sorted(((1.0 if n % 3 else 2.0, i, float(n)) for n, i in enumerate(ids)))
     assert [r.id for r in got] == [x[1] for x in want] and [r.position for r in got] == list(range(1, len(ids) + 1))
     assert [r.cum_weight for r in got] == [sum(x[2] for x in want[:k + 1]) for k in range(len(ids))]
+
+
+def most_in_a_task(frame):
+    """The largest partition of a range split and the rows in all."""
+    sizes = [r["count"] for r in frame.groupBy("_pid").count().collect()]
+    return max(sizes), sum(sizes)
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Small partitions stay as they are split, so that borders and shares can be seen."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield spark
+    spark.conf.unset(key)
+
+
+def test_ties_and_nulls_are_spread_and_ranked(uncoalesced):
+    spark = uncoalesced
+    n = 20_000
+    rows = spark.range(n).select("id", F.when(F.col("id") % 10 == 0, F.col("id") / 2).otherwise(7.25).alias("tied"),
+                                 F.when(F.col("id") % 10 == 0, (F.col("id") % 30).cast("double")).alias("sparse"))
+    for value in ("tied", "sparse"):
+        split = order._in_ranges(rows.withColumns({"_key": F.col(value), "_any": F.rand(5)}), [], ["_key", "_any"])
+        largest, total = most_in_a_task(split)
+        assert total == n and largest < 0.4 * n
+    got = {r.id: r for r in order.with_average_ranks(rows, {"a": "tied", "b": "sparse", "c": "tied"}, descending=["c"]).collect()}
+    tied = np.array([i / 2 if i % 10 == 0 else 7.25 for i in range(n)])
+    places = np.sort(tied)
+    want = (np.searchsorted(places, tied, "left") + np.searchsorted(places, tied, "right") + 1) / 2
+    assert all(got[i].a == want[i] and got[i].c == n + 1 - want[i] for i in range(n))
+    sparse = {i: i % 30 for i in range(0, n, 10)}
+    places = np.sort(list(sparse.values()))
+    assert all(got[i].b == (None if i not in sparse else (np.searchsorted(places, sparse[i], "left") + np.searchsorted(places, sparse[i], "right") + 1) / 2)
+               for i in range(n))
+
+
+def test_runs_that_cross_partitions_in_some_strata(uncoalesced):
+    spark = uncoalesced
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([1.0, 2.0, 2.0, 2.0, None, 3.0])) for i in range(3000)]
+    got = {r.i: (r.own, r.all) for r in order.with_average_ranks(
+        spark.createDataFrame(rows, "i int, s string, v double").repartition(7), {"own": "v", "all": "v"}, within={"own": ["s"]}).collect()}
+    for name, kept in (("all", lambda s: rows), ("own", lambda s: [r for r in rows if r[1] == s])):
+        for s in ("a", "b", None):
+            values = [r[2] for r in kept(s) if r[2] is not None]
+            below = {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in set(values)}
+            for i, t, v in rows:
+                if t == s:
+                    assert got[i][name == "all"] == below.get(v)
+
+
+def test_positions_of_one_value_with_a_long_common_head(uncoalesced):
+    spark = uncoalesced
+    n = 20_000
+    rows = spark.range(n).select(F.format_string("https://example.org/a/common/path/of/forty/%08d", "id").alias("id"), F.lit(1.0).alias("v"),
+                                 (F.col("id") % 7 / 10).alias("w"))
+    split = order._in_ranges(rows.withColumns({"_key": F.col("v"), "_tie": F.col("id"), "_row": F.xxhash64("id")}), [], ["_key", "_tie", "_row"])
+    assert most_in_a_task(split)[0] < 0.4 * n
+    got = order.with_positions(rows, "v", "id", weight="w").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, n + 1)) and [r.id for r in got] == sorted(r.id for r in got)
+    sums = np.cumsum([int(r.id[-8:]) % 7 for r in got]) / 10
+    assert np.allclose([r.cum_weight for r in got], sums, rtol=1e-15, atol=0)
+    again = order.with_positions(rows.repartition(3, "w"), "v", "id", weight="w").orderBy("position").collect()
+    assert [(r.id, r.cum_weight, r.total_weight) for r in again] == [(r.id, r.cum_weight, r.total_weight) for r in got]
+
+
+def test_running_sums_of_odd_weights(frame):
+    rows = [("a", 1.0, 1e300), ("b", 2.0, -1e300), ("c", 3.0, 1e-300), ("d", 4.0, None), ("e", 5.0, 0.0)]
+    got = order.with_positions(frame(rows, "id string, v double, w double"), "v", "id", weight="w").orderBy("position").collect()
+    assert [r.cum_weight for r in got] == [1e300, 0.0, 0.0, 0.0, 0.0]
+    ends = order.with_positions(frame([("a", 1.0, float("inf")), ("b", 2.0, 1.0)], "id string, v double, w double"), "v", "id", weight="w").collect()
+    assert {r.cum_weight for r in ends} == {float("inf")}
+    assert order.with_positions(frame([], "id string, v double, w double"), "v", "id", weight="w").count() == 0
