@@ -167,7 +167,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2.0 * radius) * F.atan2(F.sqrt(chord), F.sqrt(F.lit(1.0) - chord))
+    # between antipodes the chord may round above 1
+    return F.lit(2.0 * radius) * F.atan2(F.sqrt(chord), F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - chord)))
 
 
 def mercator_lat(y: Column) -> Column:

@@ -1,16 +1,18 @@
 """Spatial operators: group span, nearest neighbour, radius match, polyline points.
 
-None of them lists the pairs of a group. Span works on hull points only, nearest neighbour and
-radius match meet through grid cells.
+None of them lists the pairs of a group. Span works on hull points or looks up antipodes in a grid that gets finer, nearest neighbour
+and radius match meet through grid cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineside.functions.columns import EARTH_KM, EARTH_M, haversine, local_east, local_north
@@ -60,9 +62,18 @@ def _outer_rows(codes: np.ndarray, plane: np.ndarray) -> np.ndarray:
         same = (a == b).all(axis=1)
         side = (b[:, 0] - a[:, 0]) * (plane[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (plane[:, 0] - a[:, 0])
         inside &= same | (side > 1e-15)
-    # a group whose extremes are all one point is kept whole
-    flat = (corners == corners[0]).all(axis=0)
-    return ~inside | flat[codes]
+    # of points on one line only the extremes count
+    half = _DIRECTIONS // 2
+    ends = plane[corners[:half]], plane[corners[half:]]
+    widest = np.argmax(((ends[1] - ends[0]) ** 2).sum(axis=2), axis=0)
+    start, line = ends[0][widest, np.arange(n_groups)], (ends[1] - ends[0])[widest, np.arange(n_groups)]
+    away = plane - start[codes]
+    off = np.abs(away[:, 0] * line[codes, 1] - away[:, 1] * line[codes, 0]) / np.maximum(np.hypot(*line[codes].T), 1e-300)
+    most = np.zeros(n_groups)
+    np.maximum.at(most, codes, off)
+    extreme = np.zeros(len(codes), dtype=bool)
+    extreme[corners] = True
+    return np.where((most < 1e-12)[codes], extreme, ~inside)
 
 
 def _hull_rows(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -89,77 +100,115 @@ def _hull_rows(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 def _haversine_km(lat1, lon1, lat2, lon2) -> np.ndarray:
     a = (np.sin(np.radians(lat2 - lat1) / 2) ** 2
          + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2)
-    return EARTH_KM * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+    return EARTH_KM * 2 * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(0, 1 - a)))
+
+
+#: Groups in a box of this diagonal (on the unit sphere) lie within 21 degrees of its centre.
+_NARROW = 0.7
 
 
 def group_span(df: DataFrame, group: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Largest great-circle distance (km) between any two points of each group; 0 for one point.
 
-    Exact at any size. Where all points of a group lie within 45 degrees of its centre, the two
-    farthest are hull points: inner points are dropped per batch before the shuffle and again per
-    (group, slice of the input partitions), so a group that holds much of the data is thinned long
-    before its outer points meet in one task. For a wider group that does not hold; it is cut to
-    the 5-degree cells that can hold the farthest pair, and their distinct points are compared in blocks.
+    Exact at any size and width, antipodes included. Inner points are dropped per batch before anything is shuffled. Where
+    what is left of a group lies close together, the two farthest are hull points: inner points are dropped again per
+    (group, slice of the partitions), so a group that holds much of the data is thinned long
+    before its outer points meet in one task. For wider groups that does not hold; see ``_wide_span``. Rows without a
+    coordinate are left out.
     """
     points = df.select(group, F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).dropna(
         subset=["lat", "lon"])
-    flat, turn = F.radians("lat"), F.radians("lon")
-    axes = {"_x": F.cos(flat) * F.cos(turn), "_y": F.cos(flat) * F.sin(turn), "_z": F.sin(flat)}
-    centres = points.groupBy(F.col(group).alias("_g")).agg(*[F.avg(v).alias(k.replace("_", "_c")) for k, v in axes.items()])
-    size = F.sqrt(F.col("_cx") ** 2 + F.col("_cy") ** 2 + F.col("_cz") ** 2)
-    away = sum((v * F.col(k.replace("_", "_c")) for k, v in axes.items()), F.lit(0.0)) / F.nullif(size, F.lit(0.0))
-    far = points.join(centres, F.col(group).eqNullSafe(F.col("_g"))).groupBy(group).agg(
-        (F.coalesce(F.min(away), F.lit(-1.0)) < 0.7072).alias("_wide"))
-    wide = settle(far.where("_wide").select(F.col(group).alias("_g")))
+    outer = settle(points.mapInPandas(_outer_points(group), _kind(points, group) + ", lat double, lon double"))
+    box = [F.max(v) - F.min(v) for v in _on_sphere("lat", "lon")]
+    wide = settle(outer.groupBy(F.col(group).alias("_g")).agg(F.sqrt(sum((side * side for side in box), F.lit(0.0))).alias("_d"))
+                  .where(F.col("_d") >= _NARROW).select("_g"))
     if wide.limit(1).count():
-        near = _narrow_span(points.join(wide, F.col(group).eqNullSafe(F.col("_g")), "left_anti"), group)
-        return near.unionByName(_wide_span(points.join(wide, F.col(group).eqNullSafe(F.col("_g")), "left_semi"), group))
-    return _narrow_span(points, group)
+        near = _narrow_span(outer.join(wide, F.col(group).eqNullSafe(F.col("_g")), "left_anti"), group)
+        return near.unionByName(_wide_span(outer.join(wide, F.col(group).eqNullSafe(F.col("_g")), "left_semi"), group))
+    return _narrow_span(outer, group)
 
 
-def _wide_span(points: DataFrame, group: str) -> DataFrame:
-    """Span of groups of any width, from the points of those cells that can hold the farthest pair."""
-    key = f"{group} {points.schema[group].dataType.simpleString()}"
-    cell = {"_a": F.floor((F.col("lat") + 90) / 5), "_o": F.floor((F.col("lon") + 180) / 5)}
-    placed = points.withColumns({k: v.cast("int") for k, v in cell.items()})
-
-    def reaching(cells: pd.DataFrame) -> pd.DataFrame:
-        """At most 36 x 72 cells: those in a pair whose upper bound is not below another pair's lower bound."""
-        lat, lon = cells["_a"].to_numpy() * 5 - 87.5, cells["_o"].to_numpy() * 5 - 177.5
-        gap = _haversine_km(lat[:, None], lon[:, None], lat[None, :], lon[None, :])
-        reach = EARTH_KM * np.radians(3.6)  # a corner is at most so far from its cell's centre
-        return cells[(gap + 2 * reach).max(axis=1) >= (gap - 2 * reach).max()]
-
-    cells = placed.select(group, "_a", "_o").distinct().groupBy(group).applyInPandas(reaching, f"{key}, _a int, _o int")
-    cells = cells.toDF("_g", "_ca", "_co")
-    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_a") == F.col("_ca")) & (F.col("_o") == F.col("_co"))
-    rows = placed.join(cells, same, "left_semi").select(group, "lat", "lon").distinct()
+def _kind(df: DataFrame, column: str) -> str:
+    return f"`{column}` {df.schema[column].dataType.simpleString()}"
 
-    def widest(rows: pd.DataFrame) -> pd.DataFrame:
-        a, o = rows["lat"].to_numpy(), rows["lon"].to_numpy()
-        span = max(float(_haversine_km(a[i:i + 256, None], o[i:i + 256, None], a[None, :], o[None, :]).max()) for i in range(0, len(a), 256))
-        return pd.DataFrame({group: [rows[group].iloc[0]], "span_km": [span]})
 
-    return rows.groupBy(group).applyInPandas(widest, f"{key}, span_km double")
+def _on_sphere(lat: str, lon: str) -> list[Column]:
+    """Coordinates on the unit sphere."""
+    phi, lam = F.radians(lat), F.radians(lon)
+    return [F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)]
 
 
-def _narrow_span(points: DataFrame, group: str) -> DataFrame:
-    """Span of groups that lie within 45 degrees of their centres."""
-    schema = f"{group} {points.schema[group].dataType.simpleString()}, lat double, lon double"
+#: Comparisons of points that are made at once in place of a finer grid: so many, or so many for each point.
+_COMPARED, _COMPARED_EACH = 2_000_000, 4
+
+
+def _wide_span(points: DataFrame, group: str) -> DataFrame:
+    """Span of groups of any width, by looking up antipodes in a grid that gets finer.
+
+    The farthest point from p is the nearest to its antipode -p, so the span follows from the least gap |p + q|, which
+    tells pairs near the antipodes well apart. Cubes are halved from round to round, pairs of cubes that may hold
+    the least gap go on: their representatives' gap, less two diagonals, does not exceed the least gap
+    between representatives so far. When few points are left in such pairs, these are compared.
+    """
+    places = settle(points.distinct().select(F.col(group).alias("_g"), "lat", "lon", *[
+        (EARTH_M * v).alias(c) for v, c in zip(_on_sphere("lat", "lon"), "xyz")]).withColumns(
+        {"_h": F.struct("_g"), "_code": _morton(*(F.col(c) + EARTH_M for c in "xyz"))}))
+    budget = max(_COMPARED, _COMPARED_EACH * places.count())
+    pairs = places.select("_h").distinct().select("_h", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    for level in range(1, _MORTON_BITS + 1):
+        shift = 3 * (_MORTON_BITS - level)
+        edge = _FINEST_M * 2.0 ** (_MORTON_BITS - level)
+        open_ = pairs.select("_h", F.explode(F.array("a", "b")).alias("_up")).distinct()
+        parent = F.shiftright("_code", shift + 3) if shift + 3 < 64 else F.lit(0).cast("long")
+        inside = places.withColumn("_up", parent).join(open_, ["_h", "_up"], "left_semi")
+        cells = inside.groupBy("_h", F.shiftright("_code", shift).alias("cell")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y", "z")).alias("at"))
+        first, second = (cells.select("_h", F.shiftright("cell", 3).alias(side), F.col("cell").alias(f"_{side}"), F.col("n").alias(f"n{side}"),
+                                      F.col("at").alias(f"at{side}")) for side in "ab")
+        met = pairs.select("_h", "a", "b").join(first, ["_h", "a"]).join(second, ["_h", "b"]).where("a < b OR _a <= _b")
+        gap = F.sqrt(sum(((F.col(f"ata.{c}") + F.col(f"atb.{c}")) * (F.col(f"ata.{c}") + F.col(f"atb.{c}")) for c in "xyz"), F.lit(0.0)))
+        met = settle(met.select("_h", F.col("_a").alias("a"), F.col("_b").alias("b"), "na", "nb", gap.alias("gap")))
+        least = met.groupBy("_h").agg(F.min("gap").alias("least"))
+        pairs = met.join(least, "_h").where(F.col("gap") - 2 * 3 ** 0.5 * edge <= F.col("least") + 1e-3)
+        if (pairs.agg(F.sum(F.col("na").cast("double") * F.col("nb"))).first()[0] or 0) <= budget:
+            break
+    place = places.withColumn("cell", F.shiftright("_code", shift))
+    left = place.select("_h", F.col("cell").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    right = place.select("_h", "_g", F.col("cell").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    far = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    return pairs.select("_h", "a", "b").join(left, ["_h", "a"]).join(right, ["_h", "b"]).groupBy(F.col("_g").alias(group)).agg(F.max(far).alias("span_km"))
+
+
+def _outer_points(group: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Drops points of a batch that cannot be an end of their group's span, as far as the batch can tell."""
+
+    def own_plane(part: pd.DataFrame) -> pd.DataFrame:
+        xyz = _unit(part["lat"].to_numpy(), part["lon"].to_numpy())
+        # beyond 45 degrees from the centre an inner point may be nearest to an antipode
+        centre = xyz.mean(axis=0)
+        if np.linalg.norm(centre) < 1e-9 or (xyz @ centre).min() < 0.7072 * np.linalg.norm(centre):
+            return part
+        return part[_outer_rows(np.zeros(len(part), int), _central_plane(xyz))]
 
     def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.drop_duplicates()
-            # a batch as a whole may be wide though its groups are not: then each group has its own plane
-            plane = _central_plane(_unit(batch["lat"].to_numpy(), batch["lon"].to_numpy())) if len(batch) else None
-            if plane is not None:
-                batch = batch[_outer_rows(pd.factorize(batch[group], use_na_sentinel=False)[0], plane)]
-            elif len(batch):
-                batch = pd.concat([
-                    part[_outer_rows(np.zeros(len(part), int), own)] if (own := _central_plane(_unit(part["lat"].to_numpy(), part["lon"].to_numpy()))) is not None else part
-                    for _, part in batch.groupby(group, dropna=False, sort=False)])
+            if len(batch):
+                xyz = _unit(batch["lat"].to_numpy(), batch["lon"].to_numpy())
+                centre = xyz.mean(axis=0)
+                if (xyz @ centre).min() >= 0.7072 * max(np.linalg.norm(centre), 1e-9):
+                    batch = batch[_outer_rows(pd.factorize(batch[group], use_na_sentinel=False)[0], _central_plane(xyz))]
+                else:
+                    batch = pd.concat([own_plane(part) for _, part in batch.groupby(group, dropna=False, sort=False)])
             yield batch
 
+    return outer
+
+
+def _narrow_span(points: DataFrame, group: str) -> DataFrame:
+    """Span of groups that lie close together."""
+    kind = _kind(points, group)
+
     def widest(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates()
         rows = rows.iloc[_hull_rows(rows["lat"].to_numpy(), rows["lon"].to_numpy())]
@@ -167,69 +216,97 @@ def _narrow_span(points: DataFrame, group: str) -> DataFrame:
         span = max((float(_haversine_km(a[i], o[i], a[i + 1:], o[i + 1:]).max()) for i in range(len(a) - 1)), default=0.0)
         return pd.DataFrame({group: [rows[group].iloc[0]], "span_km": [span]})
 
-    local = points.mapInPandas(outer, schema)
-    # a slice is the output of 16 neighbouring input partitions; sorting puts a group into few batches
-    sliced = local.withColumn("_slice", F.floor(F.spark_partition_id() / 16))
-    merged = sliced.repartition(group, "_slice").sortWithinPartitions(group).drop("_slice").mapInPandas(outer, schema)
-    return merged.groupBy(group).applyInPandas(widest, schema.split(",")[0] + ", span_km double")
+    # a slice is 16 neighbouring partitions; sorting puts a group into few batches
+    sliced = points.withColumn("_slice", F.floor(F.spark_partition_id() / 16))
+    merged = sliced.repartition(group, "_slice").sortWithinPartitions(group).drop("_slice").mapInPandas(
+        _outer_points(group), f"{kind}, lat double, lon double")
+    return merged.groupBy(group).applyInPandas(widest, f"{kind}, span_km double")
 
 
 _FINEST_M = 8.0
 _LEVELS = 12  # cell sizes 8 m * 4**level; the coarsest holds the whole earth in one cell
+_MORTON_BITS = 21  # bits of a coordinate in cubes of 8 m
+
+
+def _morton(x: Column, y: Column, z: Column) -> Column:
+    """Place along a space-filling curve through cubes of 8 m: a coarser cube is a prefix of its bits.
+
+    Each coordinate's bits are moved two places apart, in halves.
+    """
+    def apart(c: Column) -> Column:
+        v = F.least(F.floor(c / _FINEST_M).cast("long"), F.lit((1 << _MORTON_BITS) - 1))
+        for by in (32, 16, 8, 4, 2):
+            run = by // 2  # bits that stay together, then twice as many free places
+            mask = sum(1 << i for i in range(63) if i // run % 3 == 0)
+            v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(mask))
+        return v
 
+    return F.shiftleft(apart(x), 2).bitwiseOR(F.shiftleft(apart(y), 1)).bitwiseOR(apart(z))
 
-def _cube(x: str, y: str, z: str, size):
-    return [F.floor(F.col(c) / size).cast("int") for c in (x, y, z)]
+
+#: Cubes of 128 m, 8 km and 524 km, and everything: within one of these a place meets its neighbours on the curve.
+_TIERS = (12, 30, 48, None)
+
+
+def _some_distance(places: DataFrame, by: list[str]) -> DataFrame:
+    """A distance within which each place surely has another: that of its neighbours on the curve.
+
+    Neighbours are looked up within small cubes. A place alone in its cube goes on, with one place for each other cube, to the next
+    size, so no step holds a whole group in one task.
+    """
+    found, items = [], places.select(*by, "_lat", "_lon", "x", "y", "z", "_code", F.lit(True).alias("_open"))
+    for shift in _TIERS:
+        items = items.withColumn("_cube", F.shiftright("_code", shift) if shift else F.lit(0).cast("long"))
+        along = Window.partitionBy(*by, "_cube").orderBy("_code", "x", "y", "z")
+
+        def gap(move: Callable[..., Column]) -> Column:
+            return F.sqrt(sum(((F.col(c) - move(c).over(along)) * (F.col(c) - move(c).over(along)) for c in "xyz"), F.lit(0.0)))
+
+        items = items.withColumn("_d", F.least(gap(F.lag), gap(F.lead)))
+        found.append(items.where("_open AND _d IS NOT NULL").select(*by, "_lat", "_lon", "x", "y", "z", "_d"))
+        one = F.min(F.struct("_code", "x", "y", "z", "_lat", "_lon", "_open")).alias("_one")
+        items = items.groupBy(*by, "_cube").agg(one, F.count(F.lit(1)).alias("_n")).select(
+            *by, *(F.col(f"_one.{c}").alias(c) for c in ("_lat", "_lon", "x", "y", "z", "_code")),
+            (F.col("_one._open") & (F.col("_n") == 1)).alias("_open"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def nearest_neighbour(df: DataFrame, group: str, entity: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Metres to the nearest other entity of the same group; NULL for an entity alone in its group.
 
-    (group, entity) must be unique. Exact, without comparing all pairs of a group. Places are
-    set in a grid of cubes around the earth, at sizes growing fourfold. The smallest cube that
-    a place shares with another bounds its nearest distance by the cube's diagonal, so its
-    neighbour lies in the 27 cubes of twice that size. A place asks at one size only, and few
-    places of one cube ask at the same size (each is alone in its next smaller cube), so the
-    work grows with the number of places.
+    (group, entity) must be unique. Exact, without comparing all pairs of a group. Places are put in order along a
+    space-filling curve; the neighbours there bound a place's nearest distance. It then asks in the one grid
+    whose cubes are at least twice that bound, so its surroundings touch eight cubes at most, and
+    places are laid out only at the sizes their group asks at.
     """
     rows = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    phi, lam = F.radians(F.col("_lat")), F.radians(F.col("_lon"))
-    places = (
+    places = settle(
         rows.groupBy(group, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
         .agg(F.count(F.lit(1)).alias("_here"))
-        .withColumns({"_x": EARTH_M * (1 + F.cos(phi) * F.cos(lam)), "_y": EARTH_M * (1 + F.cos(phi) * F.sin(lam)),
-                      "_z": EARTH_M * (1 + F.sin(phi))})
-    )
-    levels = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1)))
+        .select("*", *[(EARTH_M * (1 + v)).alias(c) for v, c in zip(_on_sphere("_lat", "_lon"), "xyz")])
+        .withColumn("_code", _morton(F.col("x"), F.col("y"), F.col("z"))))
     size = F.lit(_FINEST_M) * F.pow(F.lit(4.0), F.col("_level"))
-    cells = ["_cx", "_cy", "_cz"]
-
-    def placed(frame: DataFrame, edge) -> DataFrame:
-        return frame.withColumns(dict(zip(cells, _cube("_x", "_y", "_z", edge))))
-
-    everywhere = places.withColumn("_level", levels)
-    shared = placed(everywhere, size).groupBy(group, "_level", *cells).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    lone = places.where("_here = 1")
-    asks = (
-        placed(lone.withColumn("_level", levels), size)
-        .join(shared.drop("_n"), [group, "_level", *cells], "left_semi")
-        .groupBy(group, "_lat", "_lon", "_x", "_y", "_z").agg(F.min("_level").alias("_level"))
-    )
-    asks = settle(asks)
-    # candidates are laid out only at the sizes their group asks at
+
+    def cube(axis: str, beside: Column = F.lit(0.0)) -> Column:
+        return F.floor((F.col(axis) + beside) / size).cast("long")
+
+    def packed(x: Column, y: Column, z: Column) -> Column:
+        return (x + 2) * F.lit(1 << 42) + (y + 2) * F.lit(1 << 21) + z + 2
+
+    reach = F.col("_d") * (1 + 1e-9) + 1e-6
+    fits = F.ceil(F.log(2 * reach / _FINEST_M) / math.log(4.0))
+    asks = settle(_some_distance(places, [group])
+                  .join(places.where("_here > 1").select(group, "_lat", "_lon"), [group, "_lat", "_lon"], "left_anti")
+                  .withColumn("_level", F.greatest(F.lit(0), F.least(F.lit(_LEVELS - 1), fits)).cast("int")))
     asked = asks.groupBy(group).agg(F.collect_set("_level").alias("_levels"))  # at most one per size
-    offered = places.join(asked, group).withColumn("_level", F.explode("_levels")).drop("_levels")
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    asks = placed(asks, size * 2)
-    for c in cells:
-        asks = asks.withColumn("_d", around).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
-    asks = asks.drop("_x", "_y", "_z")
-    answers = placed(offered, size * 2).select(
-        group, "_level", *cells, F.col("_lat").alias("_olat"), F.col("_lon").alias("_olon"))
+    offered = places.join(asked, group).withColumn("_level", F.explode("_levels")).select(
+        group, "_level", packed(cube("x"), cube("y"), cube("z")).alias("_cell"), F.col("_lat").alias("_olat"), F.col("_lon").alias("_olon"))
+    for axis in "xyz":
+        asks = asks.withColumn(f"_c{axis}", F.explode(F.array_distinct(F.array(cube(axis, -reach), cube(axis, reach)))))
+    asks = asks.select(group, "_level", packed(F.col("_cx"), F.col("_cy"), F.col("_cz")).alias("_cell"), "_lat", "_lon")
     apart = (F.col("_lat") != F.col("_olat")) | (F.col("_lon") != F.col("_olon"))
     metres = haversine(F.col("_lat"), F.col("_lon"), F.col("_olat"), F.col("_olon"), EARTH_M)
-    found = asks.join(answers, [group, "_level", *cells]).where(apart).groupBy(group, "_lat", "_lon").agg(
-        F.min(metres).alias("_metres"))
+    found = asks.join(offered, [group, "_level", "_cell"]).where(apart).groupBy(group, "_lat", "_lon").agg(F.min(metres).alias("_metres"))
     crowded = places.where("_here > 1").select(group, "_lat", "_lon", F.lit(0.0).alias("_metres"))
     nearest = found.unionByName(crowded).withColumnsRenamed({"_lat": lat, "_lon": lon})
     nearest = nearest.withColumn("nearest_neighbor_m", F.col("_metres")).drop("_metres")
@@ -250,6 +327,39 @@ def radius_matches(left: DataFrame, right: DataFrame, radius: float) -> DataFram
     return asking.drop("_i", "_j").join(there, ["_cx", "_cy"]).where(dx * dx + dy * dy <= radius * radius).drop("_cx", "_cy")
 
 
+#: Segments of one cell that share a row key; a cell with more is dealt to several.
+_CELL_SEGMENTS = 256
+
+
+def segments_within(spots: DataFrame, dense: DataFrame, segment: str, radius: float) -> DataFrame:
+    """The segments with a point no farther than ``radius`` from each spot, on a plane: ``x, y, segment``, each pair once.
+
+    ``spots`` has distinct ``x``, ``y``, ``dense`` the segment and its points ``rx``, ``ry``. An index holds a row for each cell and segment, with those of
+    its points that reach into the cell, so a spot looks into its own cell only and
+    the join gives at most one row for a spot and a segment. Cells with many segments are dealt by hash of the segment.
+    """
+    edge = 4 * radius
+
+    def cell(c: str, beside: float = 0.0) -> Column:
+        return F.floor((F.col(c) + beside) / edge).cast("long")
+
+    reached = dense
+    for axis, name in (("rx", "_cx"), ("ry", "_cy")):
+        reached = reached.withColumn(name, F.explode(F.array_distinct(F.array(cell(axis, -radius), cell(axis, radius)))))
+    index = reached.groupBy("_cx", "_cy", segment).agg(F.collect_set(F.struct("rx", "ry")).alias("_points"))
+    crowded = index.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / _CELL_SEGMENTS).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = index.join(crowded, ["_cx", "_cy"], "left").withColumn("_part", F.pmod(F.xxhash64(segment), parts))
+    asking = spots.withColumns({"_cx": cell("x"), "_cy": cell("y")}).join(crowded, ["_cx", "_cy"], "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))))
+
+    def near(p: Column) -> Column:
+        dx, dy = F.col("x") - p["rx"], F.col("y") - p["ry"]
+        return dx * dx + dy * dy <= radius * radius
+
+    return asking.join(dealt.drop("_parts"), ["_cx", "_cy", "_part"]).where(F.exists("_points", near)).select("x", "y", segment)
+
+
 def densify(df: DataFrame, line: str, points: str, spacing: float) -> DataFrame:
     """Polyline points plus evenly spaced points between them, one row each.
 
@@ -297,17 +407,19 @@ def match_segments(points: DataFrame, segments: DataFrame, group: str, segment:
     """
     dense = densify(segments, segment, "points", spacing).select(
         segment, local_east(F.col("lon")).alias("rx"), local_north(F.col("lat")).alias("ry"))
-    asking = points.select(group, "lat", "lon", local_east(F.col("lon")).alias("x"), local_north(F.col("lat")).alias("y"))
+    # read three times below; written once, so that what makes the points runs once
+    asking = settle(points.select(group, local_east(F.col("lon")).alias("x"), local_north(F.col("lat")).alias("y")))
     # each distinct place is looked up once, whichever groups pass there
     spots = asking.select("x", "y").distinct()
-    near = settle(radius_matches(spots, dense, radius).select("x", "y", segment).distinct())
-    hits = asking.select(group, "lat", "lon", "x", "y").join(near, ["x", "y"])
-    rates = asking.groupBy(group).agg(F.count(F.lit(1)).alias("n_route_points"))
-    matched = hits.select(group, "lat", "lon", "x", "y").distinct().groupBy(group).agg(F.count(F.lit(1)).alias("_hit"))
+    near = settle(segments_within(spots, dense, segment, radius))
+    hit = near.select("x", "y").distinct().withColumn("_hit", F.lit(1))
+    rates = asking.join(hit, ["x", "y"], "left").groupBy(group).agg(
+        F.count(F.lit(1)).alias("n_route_points"), (F.count("_hit") / F.count(F.lit(1))).alias("match_rate"))
     length, count, truck = F.col("length_ft"), F.col("count").cast("double"), F.col("truck_pct").cast("double")
     truck_length = F.when(truck.isNotNull(), length)
     total = F.sum(length)
-    pairs = hits.select(group, segment).distinct().join(segments.drop("points"), segment)
+    met = asking.join(near, ["x", "y"]).select(group, segment).distinct()
+    pairs = settle(met.join(segments.select(segment, "count", "truck_pct", "length_ft"), segment))
     carried = pairs.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_segments"), total.alias("total_length_ft"),
         F.when(total > 0, F.try_divide(F.sum(count * length), total)).otherwise(F.avg(count)).alias("weighted_aadt"),
@@ -315,9 +427,8 @@ def match_segments(points: DataFrame, segments: DataFrame, group: str, segment:
         F.when(total > 0, F.try_divide(F.sum(truck * length), F.nullif(F.sum(truck_length), F.lit(0.0))))
         .otherwise(F.avg(truck)).alias("avg_truck_pct"))
     places = quantiles(pairs, "count", {"median_aadt": 0.5, "p90_aadt": 0.9}, [group])
-    out = rates.join(matched, group, "left").join(carried, group, "left").join(places, group, "left")
+    out = rates.join(carried, group, "left").join(places, group, "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_segments", "max_aadt")}
     zero |= {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("total_length_ft", "weighted_aadt", "median_aadt", "p90_aadt")}
-    return out.withColumns(zero).withColumn(
-        "match_rate", F.coalesce(F.col("_hit"), F.lit(0)) / F.col("n_route_points")).drop("_hit")
+    return out.withColumns(zero)
 

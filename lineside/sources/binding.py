@@ -204,7 +204,7 @@ class Tables:
     @cached_property
     def shapes(self) -> DataFrame:
         """Shape points: the stops of each route in the order of their codes."""
-        pairs = self.route_stops.select("route_id", "stop_id").distinct()
+        pairs = self.lines.select("route_id", "stop_id").distinct()
         return pairs.join(self.stops.select("stop_id", "stop_code", "lat", "lon"), "stop_id").select(
             F.concat(F.lit("S"), F.col("route_id")).alias("shape_id"), F.col("lat").alias("shape_pt_lat"),
             F.col("lon").alias("shape_pt_lon"), F.col("stop_code").alias("shape_pt_sequence"))

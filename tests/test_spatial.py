@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,20 @@ def test_radius_matches_on_cell_borders(frame):
     assert got == want
 
 
+@pytest.mark.parametrize("crowd", [256, 1])
+def test_segments_within_on_cell_borders(frame, monkeypatch, crowd):
+    monkeypatch.setattr(spatial, "_CELL_SEGMENTS", crowd)
+    rng = random.Random(3)
+    spots = [(0, 0), (30, 0), (-0.001, 59.999), (29.999, 30)] + [(rng.uniform(-300, 300), rng.uniform(-300, 300)) for _ in range(200)]
+    points = [(0, 30, 0), (1, 0, 30), (2, 60, 0), (3, -30, 60), (4, 59.9, 30), (4, 59.9, 30), (5, 150, 120), (5, 120, 120)]
+    points += [(6 + i % 40, rng.uniform(-300, 300), rng.uniform(-300, 300)) for i in range(300)]
+    left = frame([(float(x), float(y)) for x, y in spots], "x double, y double")
+    right = frame([(i, float(x), float(y)) for i, x, y in points], "seg int, rx double, ry double")
+    got = [(r.x, r.y, r.seg) for r in spatial.segments_within(left, right, "seg", 30.0).collect()]
+    want = {(float(x), float(y), i) for x, y in spots for i, rx, ry in points if (x - rx) ** 2 + (y - ry) ** 2 <= 900}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_densify_bridges_the_gap_between_parts(frame):
     step = 40 / 111_320.0
     df = frame([("s", [(40.0, -80.0), (40.0 + step, -80.0)]), ("one", [(40.0, -80.0)])], "id string, p array<struct<lat: double, lon: double>>")
@@ -104,3 +119,73 @@ def test_span_of_wide_groups(frame):
     for g in got:
         pts = [r[1:] for r in rows if r[0] == g]
         assert got[g] == pytest.approx(max(km(a, b) for a in pts for b in pts), abs=1e-6), g
+
+
+def test_span_of_antipodes_and_globe_wide_groups(frame):
+    rng = random.Random(9)
+    rows = [("exact", 0.0, 0.0), ("exact", 0.0, 180.0), ("poles", 90.0, 12.0), ("poles", -90.0, 77.0), ("cells", 2.5, 2.5), ("cells", -2.5, -177.5)]
+    rows += [("two towns", 40 + rng.gauss(0, 0.1), -80 + rng.gauss(0, 0.1)) for _ in range(150)] + [("two towns", -30 + rng.gauss(0, 0.1), 60 + rng.gauss(0, 0.1)) for _ in range(150)]
+    rows += [(None, rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(300)]
+    got = {r.g: r.span_km for r in spatial.group_span(frame(rows, "g string, lat double, lon double"), "g").collect()}
+    assert got["exact"] == pytest.approx(math.pi * 6371.0) and got["poles"] == pytest.approx(math.pi * 6371.0)
+    for g in ("cells", "two towns", None):
+        pts = [r[1:] for r in rows if r[0] == g]
+        assert got[g] == pytest.approx(max(spatial._haversine_km(pts[i][0], pts[i][1], *(np.array(c) for c in zip(*pts))).max() for i in range(len(pts))), abs=1e-6), g
+
+
+def test_span_of_a_large_globe_wide_group_takes_no_group_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_COMPARED", 1000)
+    n = 30_000
+    rows = spark.range(n).select(F.lit("w").alias("g"), F.degrees(F.asin(2 * F.rand(1) - 1)).alias("lat"), (F.rand(2) * 360 - 180).alias("lon"))
+    from lineside.session import settle
+    rows = settle(rows)
+    places = np.array([(r.lat, r.lon) for r in rows.collect()])
+    wide = spatial._wide_span(rows, "g")
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan
+    xyz = spatial._unit(places[:, 0], places[:, 1])
+    best = max(float(spatial._haversine_km(*places[i], *places[np.argmin(xyz @ xyz[i])])) for i in range(0, n, 997))
+    got = wide.first().span_km
+    assert best <= got + 1e-9 <= math.pi * 6371.0 + 1e-6
+    far = np.argsort(np.abs(places[:, 0]))[-3000:]  # around the poles, in full
+    block = spatial._haversine_km(places[far, 0][:, None], places[far, 1][:, None], places[far, 0][None], places[far, 1][None])
+    assert block.max() <= got + 1e-9
+
+
+def test_points_on_a_line_are_thinned():
+    lat = np.linspace(40, 41, 5000)
+    plane = spatial._central_plane(spatial._unit(lat, np.full(5000, -80.0)))
+    kept = spatial._outer_rows(np.zeros(5000, int), plane)
+    assert kept.sum() <= 4 and kept[0] and kept[-1]
+
+
+def test_distances_between_antipodes_are_numbers(frame):
+    from lineside.functions.columns import haversine
+    rows = [(a * 5 - 87.5, o * 5 - 177.5) for a in range(36) for o in range(72)]
+    df = frame(rows, "lat double, lon double")
+    out = df.select(haversine(F.col("lat"), F.col("lon"), -F.col("lat"), F.col("lon") + 180).alias("d")).collect()
+    assert all(r.d == pytest.approx(math.pi * 6371.0) for r in out)
+
+
+def test_nearest_neighbour_on_awkward_clouds(frame):
+    rng = random.Random(21)
+    rows = []
+    for g, (n, spread) in enumerate([(300, 30.0), (200, 0.001), (150, 0.3), (2, 90.0)]):
+        rows += [(f"g{g}", f"{g}-{i}", max(-90.0, min(90.0, rng.gauss(0, spread))), rng.gauss(0, spread)) for i in range(n)]
+    rows += [("g0", "pole", 90.0, 0.0), ("g0", "pole2", 90.0, 50.0), ("g9", "alone", 1.0, 1.0), ("g8", "a", 0.0, 0.0), ("g8", "b", 0.0, 180.0)]
+    got = {(r.g, r.id): r.nearest_neighbor_m for r in spatial.nearest_neighbour(frame(rows, "g string, id string, lat double, lon double"), "g", "id").collect()}
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        lat, lon = (np.array([r[k] for r in own]) for k in (2, 3))
+        for i, (_, name, la, lo) in enumerate(own):
+            d = np.delete(spatial._haversine_km(la, lo, lat, lon), i) * 1000
+            assert got[g, name] == (pytest.approx(d.min(), abs=1e-5) if len(d) else None), (g, name)
+
+
+def test_order_along_the_curve(spark):
+    rng = random.Random(2)
+    cubes = [tuple(rng.randrange(1 << 21) for _ in range(3)) for _ in range(50)] + [(0, 0, 0), ((1 << 21) - 1,) * 3]
+    df = spark.createDataFrame([tuple(8.0 * c + 1 for c in cube) for cube in cubes], "x double, y double, z double")
+    for cube, row in zip(cubes, df.select(spatial._morton(F.col("x"), F.col("y"), F.col("z")).alias("m")).collect()):
+        assert row.m == sum((c >> i & 1) << (3 * i + 2 - k) for k, c in enumerate(cube) for i in range(21))
