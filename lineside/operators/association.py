@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineside.functions.columns import between, indicator, pearson, stable
 from lineside.functions.special import (
-    chi2_p_value, normal_upper, t_critical_value, t_p_value,
+    chi2_p_value, normal_upper, signed_rank_p, t_critical_value, t_p_value,
 )
 from lineside.operators.order import value_ladder, with_average_ranks
 from lineside.session import settle
@@ -126,20 +126,29 @@ def mann_whitney(df: DataFrame, value: str, first: Column, second: Column, alter
                       between(tail, 0.0, 1.0).alias("p"))
 
 
+#: Up to so many differences the signed-rank test counts its null distribution.
+EXACT_RANKS = 50
+
+
 def wilcoxon_signed_rank(df: DataFrame, difference: str) -> DataFrame:
-    """Wilcoxon signed-rank test, zero differences dropped, normal approximation with tie term."""
-    signed = df.where(F.col(difference).isNotNull() & (stable(F.col(difference)) != 0)).select(
-        F.abs(stable(F.col(difference))).alias("_v"), indicator(F.col(difference) > 0).alias("_up"))
-    steps = value_ladder(signed, "_v", weight="_up")
+    """Wilcoxon signed-rank test, zero differences dropped.
+
+    Up to 50 differences without ties and zeros the p-value is exact; else it is the normal approximation with tie term.
+    """
+    cut = df.where(F.col(difference).isNotNull()).select(stable(F.col(difference)).alias("_d"))
+    steps = value_ladder(cut.select(F.nullif(F.abs("_d"), F.lit(0.0)).alias("_v"), indicator(F.col("_d") > 0).alias("_up")), "_v", weight="_up")
     rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
     out = steps.agg(F.sum(F.col("w") * rank).alias("_up"), F.sum((F.col("n") - F.col("w")) * rank).alias("_down"),
                     _ties().alias("_ties"), F.max("total").cast("double").alias("_n"))
+    out = _side_by_side(out, cut.agg(F.count_if(F.col("_d") == 0).alias("_zeros")))
     n = F.col("_n")
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
     out = out.withColumn("statistic", F.least(F.col("_up"), F.col("_down")))
     out = out.withColumn("_z", F.try_divide(F.col("statistic") - n * (n + 1) / 4, F.nullif(spread, F.lit(0.0))))
+    exact = (n <= EXACT_RANKS) & (F.col("_ties") == 0) & (F.col("_zeros") == 0)
+    out = out.withColumn("_exact", signed_rank_p(F.when(exact, n), F.col("statistic")))
     return out.select(n.cast("bigint").alias("n"), "statistic",
-                      between(normal_upper(F.abs(F.col("_z"))) * 2, 0.0, 1.0).alias("p"))
+                      F.coalesce("_exact", between(normal_upper(F.abs(F.col("_z"))) * 2, 0.0, 1.0)).alias("p"))
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str, by: Sequence[str] = (), min_group: int = 3) -> DataFrame:

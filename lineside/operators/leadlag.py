@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineside.functions.columns import between, pearson, stable
@@ -43,43 +43,102 @@ def summarise_lags(lags: DataFrame, level: float = 0.05) -> DataFrame:
     return counts.join(middle, "lag").join(quartiles, "lag")
 
 
-def _ssr(design: np.ndarray, y: np.ndarray) -> float:
-    rest = y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
-    return float(rest @ rest)
+class LaggedMoments:
+    """Sums of products of a lag regression's columns, for a batch of entities, from one table of lagged cross-moments.
+
+    A sum over the rows after lag L of y(t-i) y(t-j) is the sum of all products at distance j - i, less those that
+    stick out at either end: these need only the first and last ``max_lag`` values.
+    """
+
+    def __init__(self, batch: pd.DataFrame, max_lag: int):
+        self.n, self.reach = batch["n_months"].to_numpy(), max_lag
+        self.sums = {c: batch[f"_s{c}"].to_numpy(dtype=float) for c in "xy"}
+        self.products = {(a, b, k): batch[f"_{a}{b}{k}"].to_numpy(dtype=float) for a in "xy" for b in "xy" for k in range(max_lag + 1) if k or a <= b}
+        self.products |= {("y", "x", 0): self.products["x", "y", 0]}
+        self.head, self.tail = ({c: np.stack(batch[f"_{end}{c}"].to_numpy()).astype(float) for c in "xy"} for end in ("head", "tail"))
+
+    def table(self, lag: int, columns: list[tuple[str, int]]) -> np.ndarray:
+        """The moments of the constant and ``columns`` (series and shift) over the rows after ``lag``."""
+        size = len(columns) + 1
+        out = np.zeros((len(self.n), size, size))
+        out[:, 0, 0] = self.n - lag
+        for p, (a, i) in enumerate(columns, 1):
+            out[:, 0, p] = out[:, p, 0] = self.sums[a] - self.head[a][:, :lag - i].sum(axis=1) - self.tail[a][:, self.reach - i:].sum(axis=1)
+            for q, (b, j) in enumerate(columns[p - 1:], p):
+                out[:, p, q] = out[:, q, p] = self._product(lag, (a, i), (b, j)) if i <= j else self._product(lag, (b, j), (a, i))
+        return out
+
+    def _product(self, lag: int, late: tuple[str, int], early: tuple[str, int]) -> np.ndarray:
+        (a, i), (b, j) = late, early
+        k, last = j - i, self.reach
+        total = self.products[a, b, k].copy()
+        if lag - i > k:
+            total -= (self.head[a][:, k:lag - i] * self.head[b][:, :lag - i - k]).sum(axis=1)
+        return total - (self.tail[a][:, last - i:] * self.tail[b][:, last - j:last - k]).sum(axis=1)
+
+
+def _rest(moments: np.ndarray, columns: list[int]) -> np.ndarray:
+    """Sums of squares that are left of the last column on ``columns``, for a stack of moment tables."""
+    total = moments[:, -1, -1]
+    design, target = moments[np.ix_(range(len(moments)), columns, columns)], moments[:, columns, -1]
+    explained = np.einsum("ei,eij,ej->e", target, np.linalg.pinv(design, rcond=1e-13, hermitian=True), target)
+    return np.maximum(total - explained, 1e-15 * total)
 
 
 def granger(df: DataFrame, entity: str, period: str, cause: str, effect: str, max_lag: int = 6) -> DataFrame:
     """Smallest p over lags 1..max_lag of the SSR F-test that ``cause`` helps predict ``effect``.
 
-    One entity's series (at most one row per period) is one group. An entity that is too short
-    or whose series is constant gets NULLs. ``p_bonferroni`` multiplies by the number of entities.
+    The products of both series with their lags are summed per entity in one scan (the series are first
+    centred and scaled, which leaves F as it is); the normal equations of all lags then follow from these sums and are solved for a
+    batch of entities at once. An entity (at most one row per period) that is too short, constant or has gaps in its values gets NULLs.
+    ``p_bonferroni`` multiplies by the number of entities.
     """
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        x, y = pdf[cause].to_numpy(dtype=float), pdf[effect].to_numpy(dtype=float)
-        n, best = len(y), (None, None, None)
-        enough = n > 3 * max_lag + 1 and np.ptp(x) > 0 and np.ptp(y) > 0
-        if enough and not (np.isnan(x).any() or np.isnan(y).any()):
-            best = (None, 0.0, 1.0)
-            for lag in range(1, max_lag + 1):
-                rows, ones = n - lag, np.ones((n - lag, 1))
-                own = np.column_stack([y[lag - j:n - j] for j in range(1, lag + 1)])
-                other = np.column_stack([x[lag - j:n - j] for j in range(1, lag + 1)])
-                short, full = _ssr(np.hstack([ones, own]), y[lag:]), _ssr(np.hstack([ones, own, other]), y[lag:])
-                freedom = rows - 2 * lag - 1
-                if full <= 0 or freedom <= 0:
-                    continue
-                f = (short - full) / lag / (full / freedom)
-                p = float(f_upper(f, lag, freedom))
-                if p < best[2]:
-                    best = (lag, f, p)
-        return pd.DataFrame({entity: [pdf[entity].iloc[0]], "best_lag": pd.array([best[0]], dtype="Int32"),
-                             "f_stat": [best[1]], "p_value": [best[2]], "n_months": [n]})
-
+    window, whole = over_entity(entity, period), Window.partitionBy(entity)
+
+    def scaled(column: str) -> Column:
+        value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+        return (value - F.avg(value).over(whole)) / F.nullif(F.stddev_pop(value).over(whole), F.lit(0.0))
+
+    reach = range(1, max_lag + 1)
+    rows = df.select(entity, period, scaled(cause).alias("_x"), scaled(effect).alias("_y"),
+                     F.row_number().over(window).alias("_t"), F.count(F.lit(1)).over(whole).alias("_n"))
+    rows = rows.withColumns({f"_{c}{k}": F.lag(f"_{c}", k).over(window) for c in "xy" for k in reach})
+    sums = [F.sum(f"_{c}").alias(f"_s{c}") for c in "xy"]
+    sums += [F.sum(F.col(f"_{a}") * F.col(f"_{b}{k or ''}")).alias(f"_{a}{b}{k}") for a in "xy" for b in "xy" for k in (0, *reach) if k or a <= b]
+    # the first and the last values, in order
+    sums += [F.array(*(F.max(F.when(at == k, F.col(f"_{c}"))) for k in places)).alias(f"_{end}{c}") for c in "xy"
+             for end, at, places in (("head", F.col("_t"), reach), ("tail", F.col("_n") - F.col("_t"), reversed(range(max_lag))))]
+    whole_series = [(F.count(f"_{c}") == F.count(F.lit(1))) for c in "xy"]
+    per_entity = rows.groupBy(entity).agg(
+        F.count(F.lit(1)).alias("n_months"), (whole_series[0] & whole_series[1] & (F.count(F.lit(1)) > 3 * max_lag + 1)).alias("_ready"), *sums)
     kind = df.schema[entity].dataType.simpleString()
-    tests = df.select(entity, period, cause, effect).groupBy(entity).applyInPandas(
-        test, f"{entity} {kind}, best_lag int, f_stat double, p_value double, n_months bigint")
-    return tests
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[[entity]].assign(best_lag=pd.array([None] * len(batch), dtype="Int32"), f_stat=np.nan, p_value=np.nan, n_months=batch["n_months"])
+            at = np.flatnonzero(batch["_ready"].to_numpy(dtype=bool))
+            if len(at):
+                held = LaggedMoments(batch.iloc[at], max_lag)
+                n, best = held.n, (np.zeros(len(at), int), np.zeros(len(at)), np.ones(len(at)))
+                for lag in reach:
+                    moments = held.table(lag, [*(("y", k) for k in range(1, lag + 1)), *(("x", k) for k in range(1, lag + 1)), ("y", 0)])
+                    short, full = _rest(moments, list(range(lag + 1))), _rest(moments, list(range(2 * lag + 1)))
+                    freedom = n - lag - 2 * lag - 1
+                    open_ = (freedom > 0) & (full > 0)
+                    f = np.where(open_, (short - full) / lag / np.where(open_, full, 1) * freedom, 0)
+                    p = np.where(open_, f_upper(f, lag, np.where(open_, freedom, 1)), 1)
+                    better = p < best[2]
+                    for kept, new in zip(best, (lag, f, p)):
+                        kept[better] = new if np.isscalar(new) else new[better]
+                found = best[0] > 0
+                out.iloc[at, 1] = pd.array(np.where(found, best[0], -1), dtype="Int32")
+                out.iloc[at, 2], out.iloc[at, 3] = best[1], best[2]
+                out["best_lag"] = out["best_lag"].mask(out["best_lag"] < 0)
+            yield out
+
+    tests = per_entity.mapInPandas(
+        solve, f"`{entity}` {kind}, best_lag int, f_stat double, p_value double, n_months bigint")
+    return tests.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("f_stat", "p_value")})
 
 
 def bonferroni(tests: DataFrame, p: str, n_tests: DataFrame) -> DataFrame:

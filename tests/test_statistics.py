@@ -113,3 +113,61 @@ def test_grouping_takes_the_family_with_the_best_silhouette(frame):
 def test_rank_correlation_of_tiny_values(frame):
     rows = frame([(1e-13 * (i + 1), float(i)) for i in range(10)], "x double, y double")
     assert A.correlate(rows, "x", "y").first().spearman_r == pytest.approx(1.0)
+
+
+def test_signed_rank_p_is_counted_without_ties(frame):
+    import itertools
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 9, 12):
+        d = rng.permutation(np.arange(1, n + 1)) * rng.choice([-1.0, 1.0], n)
+        sums = np.array([sum(r for r, s in zip(range(1, n + 1), signs) if s) for signs in itertools.product((0, 1), repeat=n)])
+        w = min(d[d > 0].sum(), -d[d < 0].sum())
+        row = A.wilcoxon_signed_rank(frame([(float(x),) for x in d], "d double"), "d").first()
+        assert row.statistic == w and row.p == pytest.approx(min(1.0, 2 * (sums <= w).mean()))
+    # ties, zeros and more than 50 values take the normal form
+    for values in ([1.0, 1.0, -2.0], [0.0, 1.0, -2.0, 3.0], [float(i) * (-1) ** (i % 3) for i in range(1, 52)]):
+        kept = [v for v in values if v]
+        row = A.wilcoxon_signed_rank(frame([(v,) for v in values], "d double"), "d").first()
+        n, ties = len(kept), sum(c ** 3 - c for c in (sum(abs(v) == u for v in kept) for u in {abs(v) for v in kept}))
+        z = abs(row.statistic - n * (n + 1) / 4) / math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+        assert row.p == pytest.approx(min(1.0, math.erfc(z / math.sqrt(2))))
+
+
+def test_welch_value(frame):
+    a, b = [0.71, 0.74, 0.69, 0.80], [0.61, 0.66, 0.70, 0.58, 0.64]
+    df = frame([("a", v) for v in a] + [("b", v) for v in b] + [("c", 9.0), ("a", None)], "g string, v double")
+    row = A.welch_t(df, "v", F.col("g") == "a", F.col("g") == "b").first()
+    e1, e2 = np.var(a, ddof=1) / 4, np.var(b, ddof=1) / 5
+    t, freedom = (np.mean(a) - np.mean(b)) / math.sqrt(e1 + e2), (e1 + e2) ** 2 / (e1 ** 2 / 3 + e2 ** 2 / 4)
+    assert (row.n1, row.n2) == (4, 5) and row.t == pytest.approx(t) and row.df == pytest.approx(freedom)
+    # the tail by a sum over Student's density
+    x = np.linspace(t, 400, 4_000_001)
+    density = math.gamma((freedom + 1) / 2) / math.gamma(freedom / 2) / math.sqrt(freedom * math.pi) * (1 + x * x / freedom) ** (-(freedom + 1) / 2)
+    assert row.p == pytest.approx(2 * np.trapezoid(density, x), rel=1e-5)
+
+
+def test_granger_equals_least_squares(frame):
+    from lineside.functions.special import f_upper
+    rng, rows, series = np.random.default_rng(12), [], {}
+    for e, n in (("lead", 60), ("noise", 45), ("big", 50), ("least", 20)):
+        x = rng.normal(size=n) * (1e6 if e == "big" else 1) + (5e6 if e == "big" else 0)
+        y = np.r_[np.zeros(2), 0.7 * x[:-2]] + rng.normal(size=n) if e == "lead" else rng.normal(size=n)
+        series[e] = x, y
+        rows += [(e, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    rows += [("gap", i, None if i == 7 else float(i % 5), float(i % 3)) for i in range(40)]
+    tests = leadlag.granger(frame(rows, "e string, m int, x double, y double").repartition(3), "e", "m", "x", "y")
+    assert "InPandas" not in tests._jdf.queryExecution().optimizedPlan().toString().replace("MapInPandas", "")
+    got = {r.e: r for r in tests.collect()}
+    assert got["gap"].p_value is None and got["gap"].best_lag is None and got["gap"].n_months == 40
+    for e, (x, y) in series.items():
+        best = (None, 0.0, 1.0)
+        for lag in range(1, 7):
+            n = len(y)
+            own = np.column_stack([np.ones(n - lag)] + [y[lag - j:n - j] for j in range(1, lag + 1)])
+            full = np.column_stack([own] + [x[lag - j:n - j] for j in range(1, lag + 1)])
+            rest = [float(((y[lag:] - d @ np.linalg.lstsq(d, y[lag:], rcond=None)[0]) ** 2).sum()) for d in (own, full)]
+            freedom = n - lag - 2 * lag - 1
+            if freedom > 0:
+                f = (rest[0] - rest[1]) / lag / (rest[1] / freedom)
+                best = min(best, (lag, f, float(f_upper(f, lag, freedom))), key=lambda b: b[2])
+        assert got[e].best_lag == best[0] and got[e].f_stat == pytest.approx(best[1], rel=1e-6) and got[e].p_value == pytest.approx(best[2], rel=1e-5)
