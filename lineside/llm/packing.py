@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineside.llm.tables import texts
-from lineside.llm.tokens import _SPECIAL, pre_tokens, split_words, tokenizer
+from lineside.llm.tokens import _SPECIAL, piece_ids, pre_tokens, split_words, tokenizer
 from lineside.session import settle
 
 #: Partitions whose leftover windows are merged in one task: 64 x 16 windows of at most 8 KB.
@@ -105,11 +105,7 @@ class _Ids(dict):
         unseen = list({p for pieces in fresh.values() for p in pieces if p not in self.pieces})
         for at in range(0, len(unseen), 2000):
             block = unseen[at:at + 2000]
-            made = tokenizer(self.name).encode(" ".join(block), add_special_tokens=False)
-            ids: list[array] = [array("I") for _ in block]
-            for i, word in zip(made.ids, made.word_ids):
-                ids[word].append(i)
-            self.pieces.update((p, x.tobytes()) for p, x in zip(block, ids))
+            self.pieces.update((p, array("I", ids).tobytes()) for p, ids in zip(block, piece_ids(block, self.name)))
         for word, pieces in fresh.items():
             self[word] = b"".join(map(self.pieces.__getitem__, pieces))
 

@@ -50,7 +50,9 @@ def pre_tokens(word: str, name: str) -> list[str]:
     """Pre-tokens of a word (no white space, no special string within)."""
     if _PLAIN.fullmatch(word):
         return _PIECES.findall(word.lower())
-    return _PIECES.findall(tokenizer(name).normalizer.normalize_str(word))
+    # Its letter classes may be of another Unicode version than Python's: the tokenizer cuts these itself.
+    normal = tokenizer(name).normalizer.normalize_str(word)
+    return [normal[a:b] for _, (a, b) in tokenizer(name).pre_tokenizer.pre_tokenize_str(normal)]
 
 
 def split_words(text: str) -> list[str]:
@@ -68,12 +70,24 @@ def words_and_specials(text: str) -> tuple[list[str], int]:
 
 def piece_counts(pieces: list[str], name: str) -> list[int]:
     """How many tokens each pre-token makes."""
-    if not pieces:
-        return []
-    counts = Counter(tokenizer(name).encode(" ".join(pieces), add_special_tokens=False).word_ids)
-    if len(counts) == len(pieces):
-        return [counts[i] for i in range(len(pieces))]
-    return [len(x) for x in tokenizer(name).encode_batch(pieces, add_special_tokens=False)]
+    return [len(ids) for ids in piece_ids(pieces, name)]
+
+
+def piece_ids(pieces: list[str], name: str) -> list[list[int]]:
+    """The ids of each pre-token: plain ones in one call, as they stay whole between blanks, others one by one."""
+    plain = [i for i, p in enumerate(pieces) if _PLAIN.fullmatch(p)]
+    ids: list[list[int]] = [[] for _ in pieces]
+    alone = sorted(set(range(len(pieces))) - set(plain))
+    if plain:
+        made = tokenizer(name).encode(" ".join(pieces[i] for i in plain), add_special_tokens=False)
+        if len(set(made.word_ids)) == len(plain):
+            for i, word in zip(made.ids, made.word_ids):
+                ids[plain[word]].append(i)
+        else:
+            alone = list(range(len(pieces)))
+    for i, made in zip(alone, tokenizer(name).encode_batch([pieces[i] for i in alone], add_special_tokens=False)):
+        ids[i] = made.ids
+    return ids
 
 
 class _Weights(dict):

@@ -77,3 +77,27 @@ def test_packer_keeps_few_windows_open():
         assert len(packer.open) <= 5
     packer.close()
     assert sum(r[2] for r in packer.out) == total and packer.next_id <= 1.03 * total / 100 + 1
+
+
+def test_every_code_point_as_the_library_has_it():
+    """Each code point alone, within a word, beside marks and doubled, and strings of random ones; ids and counts."""
+    tk, rng = library(), random.Random(17)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"ab{c}c {c} {c}{c}x .{c}! {c}1" for c in points[:0x3400] + points[0xA000:0x10000] + points[0x10000:0x20000:3]]
+    texts += ["".join(rng.choice(points) + rng.choice(["", "", " ", "a", "."]) for _ in range(30)) for _ in range(3000)]
+    texts += ["a\u0558b \ua7ce \U000107bb1 it's\u209d"]
+    for at in range(0, len(texts), 2000):
+        block = texts[at:at + 2000]
+        want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tk.encode_batch(block, add_special_tokens=False)]
+        assert list(packing.encoded(block, NAME)) == want
+        words = [[p for w in tokens.words_and_specials(t)[0] for p in tokens.pre_tokens(w, NAME)] for t in block]
+        counts = dict(zip(known := sorted({p for row in words for p in row}), tokens.piece_counts(known, NAME)))
+        assert [sum(map(counts.__getitem__, row)) + tokens.words_and_specials(t)[1] for row, t in zip(words, block)] == [len(w) // 4 for w in want]
+
+
+def test_odd_characters_do_not_end_the_job(documents):
+    rows = [(1, "plain words"), (2, "a\u0558b \ua7ce mojibake"), (3, "\U000107bb")]
+    got = {r.doc_id: r for r in packing.pack(documents(rows), keep_ids=True).collect()}
+    for doc, text in rows:
+        ids = library().encode(text, add_special_tokens=False).ids + [1]
+        assert bytes(got[doc].ids) == struct.pack(f"<{len(ids)}I", *ids)
