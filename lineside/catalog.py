@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -907,3 +908,40 @@ def replaced_table(t):
     sinks.replace_table(t.otp, path)
     stored = t.spark.read.schema(t.otp.schema).parquet(path)
     return stored.groupBy("month").agg(F.count_distinct("route_id").alias("n_routes"), F.avg("otp").alias("mean_otp"))
+
+
+@query("object_id count truck_pct length_ft n_points lat lon", "truck_pct length_ft lat lon")
+def feature_array_scan(t):
+    """Road features written as JSON arrays, a file for each partition, cut by byte ranges and scanned back as segments."""
+    path = f"{shared_dir(t.spark)}/arrays-{uuid.uuid4().hex}"
+    sinks.write_json_arrays(t.traffic_features.repartition(2, "attributes"), path)
+    segments = etl.road_segments(readers.read_road_features(t.spark, path))
+    last = F.element_at("points", -1)
+    return segments.withColumns({"n_points": F.size("points"), "lat": last["lat"], "lon": last["lon"]})
+
+
+@query("table_name n_rows n_extra")
+def published_load(t):
+    """Six tables loaded by their keys, parents first, published as a whole and read back; rows beyond the first of a key are counted."""
+    root = f"{shared_dir(t.spark)}/load-{uuid.uuid4().hex}"
+    lines = t.lines.select(
+        "route_id", "stop_id", F.when(F.col("l_linestatus") == "F", "IB").otherwise("OB").alias("direction"), F.col("l_quantity").cast("int").alias("trips_wd"),
+        F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("_o"))
+    tables = {
+        "routes": t.routes, "stops": t.stops.select("stop_id", "stop_code", "stop_name", "lat", "lon", "county", "muni", "hood"), "route_stops": lines,
+        "stop_reference": t.stop_reference, "otp_monthly": t.otp, "ridership_monthly": t.ridership}
+    order = {"routes": ["route_name"], "stops": ["stop_code"], "route_stops": ["_o"], "stop_reference": ["stop_code"], "otp_monthly": ["otp"],
+             "ridership_monthly": ["avg_riders"]}
+    report = sinks.publish_load(t.spark, tables, root, order).where("check_name = 'primary_key'").select("table_name", F.col("violations").alias("n_extra"))
+    stored = [sinks.read_published(t.spark, root, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name in tables]
+    return reduce(DataFrame.unionByName, stored).join(report, "table_name")
+
+
+@query("month n_routes mean_otp", "mean_otp")
+def republished_table(t):
+    """The value table published twice, first in part; readers get the last one."""
+    root = f"{shared_dir(t.spark)}/set-{uuid.uuid4().hex}"
+    sinks.publish_table(t.otp.where("otp > 0.5"), root, "otp_monthly")
+    sinks.publish_table(t.otp, root, "otp_monthly")
+    return sinks.read_published(t.spark, root, "otp_monthly").groupBy("month").agg(
+        F.count_distinct("route_id").alias("n_routes"), F.avg("otp").alias("mean_otp"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineside.functions.columns import blank_to_null
+from lineside.sources.json_arrays import read_json_array
 from lineside.sources.schemas import ROAD_FEATURES
 
 _BOM = "﻿"
@@ -50,11 +51,8 @@ def read_csv_overrides(spark: SparkSession, path: str, columns: Sequence[str], t
 
 
 def read_road_features(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """Road features from JSON: an array of features per file, or one feature per line.
-
-    A file with an array is read by one task; large extracts should hold one feature per line.
-    """
-    return spark.read.schema(ROAD_FEATURES).option("multiLine", not one_per_line).json(path)
+    """Road features from JSON: an array of features per file, or one feature per line. Either is read by as many tasks as it has splits."""
+    return spark.read.schema(ROAD_FEATURES).json(path) if one_per_line else read_json_array(spark, path, ROAD_FEATURES)
 
 
 def query_tables(spark: SparkSession, sql: str, args: Mapping[str, Any] | None = None, **tables: DataFrame) -> DataFrame:

@@ -479,3 +479,12 @@ PLACES["feature_scan"] = q("stops", """SELECT stop_code AS object_id, CAST(floor
  degrees(2.0 * atan(exp(ln(tan(pi() / 4 + radians(lat) / 2)) + 40.0 / 6378137.0::DOUBLE)) - pi() / 2) AS lat, lon + degrees(130.0 / 6378137.0::DOUBLE) AS lon FROM stops WHERE p_size NOT IN (10, 20)""",
     "truck_pct length_ft lat lon")
 PLACES["replaced_table"] = q("otp", "SELECT month, count(DISTINCT route_id) AS n_routes, avg(otp) AS mean_otp FROM otp GROUP BY 1", "mean_otp")
+PLACES["feature_array_scan"] = PLACES["feature_scan"]
+PLACES["republished_table"] = PLACES["replaced_table"]
+PLACES["published_load"] = q("lines routes stops stop_reference otp ridership", """
+SELECT 'routes' AS table_name, count(DISTINCT route_id) AS n_rows, count(*) - count(DISTINCT route_id) AS n_extra FROM routes
+UNION ALL SELECT 'stops', count(DISTINCT stop_id), count(*) - count(DISTINCT stop_id) FROM stops
+UNION ALL SELECT 'route_stops', count(DISTINCT (route_id, stop_id, l_linestatus = 'F')), count(*) - count(DISTINCT (route_id, stop_id, l_linestatus = 'F')) FROM lines
+UNION ALL SELECT 'stop_reference', count(DISTINCT stop_id), count(*) - count(DISTINCT stop_id) FROM stop_reference
+UNION ALL SELECT 'otp_monthly', count(DISTINCT (route_id, month)), count(*) - count(DISTINCT (route_id, month)) FROM otp
+UNION ALL SELECT 'ridership_monthly', count(DISTINCT (route_id, month, day_type)), count(*) - count(DISTINCT (route_id, month, day_type)) FROM ridership""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineside.operators import load
 from lineside.plans import etl, usage, weather
-from lineside.sources import readers, sinks
+from lineside.sources import json_arrays, readers, sinks
 
 
 def test_text_scan_repairs_line_ends_bom_and_markers(spark, tmp_path):
@@ -133,3 +133,56 @@ def test_usage_attributes_do_not_depend_on_row_order(frame):
 def test_csv_sink(spark, frame, tmp_path):
     sinks.write_csv(frame([("a", 1)], "k string, v int"), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).select(F.col("v").cast("int")).first().v == 1
+
+
+def test_one_json_array_is_read_in_many_splits(spark, tmp_path):
+    import random
+    rng = random.Random(6)
+    odd = ['}', '{"a": [', '\\', '"', ']]}', 'é🙂', '\n', ',', '\\"', '}{' * 40]
+    rows = [{"id": i, "s": "".join(rng.choice(odd) for _ in range(rng.randint(0, 9))), "n": {"p": [[i, 1.5], []], "t": rng.choice(odd)}} for i in range(400)]
+    rows[7] = {"id": None, "extra": {"x": ["}"]}}
+    rows[9]["s"] = "long } " * 600
+    schema = "id bigint, s string, n struct<p: array<array<double>>, t: string>"
+    (tmp_path / "a.json").write_text(json.dumps(rows, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps(rows[:50], indent=2), encoding="utf-8")
+    (tmp_path / "c.json").write_text(" []\n")
+    want = sorted(map(str, spark.read.schema(schema).option("multiLine", True).json(str(tmp_path)).collect()))
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    try:
+        for size in ("97", "1000", "100000000"):
+            spark.conf.set(key, size)
+            scan = json_arrays.read_json_array(spark, str(tmp_path), schema)
+            assert sorted(map(str, scan.collect())) == want
+            splits = spark.read.option("lineSep", "}").text(str(tmp_path / "a.json")).rdd.getNumPartitions()
+            assert (splits > 100) == (size == "97")
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_json_array_sink(spark, frame, tmp_path):
+    rows = [(i, "}" * i) for i in range(9)]
+    sinks.write_json_arrays(frame(rows, "k int, v string").repartition(3), str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in json_arrays.read_json_array(spark, str(tmp_path / "out"), "k int, v string").collect()) == rows
+    sinks.write_json_arrays(frame([], "k int, v string"), str(tmp_path / "none"))
+    assert json_arrays.read_json_array(spark, str(tmp_path / "none"), "k int, v string").count() == 0
+
+
+def test_a_load_is_published_whole_or_not_at_all(spark, frame, tmp_path):
+    root, order = str(tmp_path), {"routes": ["_ordinal"], "otp_monthly": ["_ordinal"]}
+    routes = frame([("1", "One", "BUS", 0), ("1", "Again", "BUS", 1)], "route_id string, route_name string, mode string, _ordinal int")
+    kind = "route_id string, month string, otp double, _ordinal int"
+    assert sinks.published(spark, root) == (0, {})
+    with pytest.raises(KeyError):
+        sinks.read_published(spark, root, "routes")
+    sinks.publish_load(spark, {"routes": routes, "otp_monthly": frame([("1", "2019-01", 0.5, 0)], kind)}, root, order)
+    assert sinks.unpublished(spark, root) == []
+    changed = frame([("1", "Other", "RAIL", 0)], "route_id string, route_name string, mode string, _ordinal int")
+    with pytest.raises(load.ForeignKeyError):
+        sinks.publish_load(spark, {"routes": changed, "otp_monthly": frame([("7", "2019-01", 0.5, 0)], kind)}, root, order)
+    assert sinks.published(spark, root)[0] == 1 and sinks.read_published(spark, root, "routes").first().route_name == "One"
+    assert len(sinks.unpublished(spark, root)) == 1
+    held = sinks.read_published(spark, root, "otp_monthly")
+    assert sinks.publish_table(frame([("1", "2020-01", 0.9)], "route_id string, month string, otp double"), root, "otp_monthly") == 2
+    assert sinks.read_published(spark, root, "otp_monthly").first().otp == 0.9 and sinks.read_published(spark, root, "routes").first().mode == "BUS"
+    assert held.first().otp == 0.5  # a reader that began before goes on undisturbed
