@@ -945,3 +945,19 @@ def republished_table(t):
     sinks.publish_table(t.otp, root, "otp_monthly")
     return sinks.read_published(t.spark, root, "otp_monthly").groupBy("month").agg(
         F.count_distinct("route_id").alias("n_routes"), F.avg("otp").alias("mean_otp"))
+
+
+@query("source finding detail")
+def entity_extracts(t):
+    tables = {"routes": t.routes, "otp_monthly": t.otp, "route_stops": t.route_stops, "stops": t.stops, "stop_reference": t.stop_reference}
+    return etl.entity_findings(tables, ["20", "70"], ["Ring", "bolt"], "INCLINE")
+
+
+@query("mode n_rows n_shelter total_ons", "total_ons")
+def line_ends(t):
+    """The usage table written as text whose lines end in two carriage returns before the line feed, scanned back and summed up."""
+    path = f"{shared_dir(t.spark)}/lines-{uuid.uuid4().hex}"
+    cells = t.usage.select(F.concat_ws(",", "stop_id", "mode", F.col("avg_ons").cast("string"), F.coalesce("shelter", F.lit("NA"))).alias("value"))
+    sinks.write_lines(cells, path, "stop_id,mode,avg_ons,shelter", "\r\r\n")
+    back = readers.read_csv(t.spark, path, "stop_id string, mode string, avg_ons double, shelter string", ["NA"])
+    return back.groupBy("mode").agg(F.count(F.lit(1)).alias("n_rows"), F.count("shelter").alias("n_shelter"), F.sum("avg_ons").alias("total_ons"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +112,31 @@ def route_traffic(features: DataFrame, trips: DataFrame, shapes: DataFrame, radi
     return match_segments(route_points(trips, shapes), road_segments(features), "route_id", "object_id", radius, spacing)
 
 
+def entity_findings(tables: Mapping[str, DataFrame], entities: list[str], patterns: list[str], mode: str) -> DataFrame:
+    """Every row in which the entities show up: source, finding and the row's own words.
+
+    ``tables`` has routes, otp_monthly, route_stops, stops and stop_reference; each is read once, and a row that meets several
+    tests is given for each.
+    """
+    def text_match(column: str) -> Column:
+        found = F.lit(False)
+        for p in patterns:
+            found = found | F.lower(column).contains(p.lower())
+        return found
+
+    def extract(source: str, detail: Column, **tests: Column) -> DataFrame:
+        names = F.array_compact(F.array(*(F.when(test, finding.replace("_", " ")) for finding, test in tests.items())))
+        return tables[source].select(F.lit(source).alias("source"), F.explode(names).alias("finding"), detail.alias("detail"))
+
+    named = F.col("route_id").isin(*entities)
+    return reduce(DataFrame.unionByName, [
+        extract("routes", F.concat_ws("|", "route_id", "route_name", "mode"), id_or_mode=named | (F.col("mode") == mode)),
+        extract("otp_monthly", F.concat_ws("|", "route_id", "month"), rows=named, positive_values=named & (F.col("otp") > 0)),
+        extract("route_stops", F.concat_ws("|", "route_id", "stop_id"), rows=named),
+        extract("stops", F.col("stop_name"), name_match=text_match("stop_name")),
+        extract("stop_reference", F.col("stop_name"), mode_or_name_match=(F.col("mode") == mode) | text_match("stop_name"))])
+
+
 def entity_audit(tables: Mapping[str, DataFrame], entities: list[str], patterns: list[str], mode: str) -> DataFrame:
     """Where the entities show up: rows found per table and test, one report row each.
 

@@ -18,6 +18,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_lines(df: DataFrame, path: str, header: str, end: str) -> None:
+    """The one text column of ``df`` as lines with the given end, below a header in each file."""
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("value", pa.string())])
+        yield pa.RecordBatch.from_pydict({"value": [header]}, schema=schema)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("value")], schema=schema)
+
+    df.select(F.col(df.columns[0]).alias("value")).mapInArrow(lines, "value string").write.option("lineSep", end).mode("overwrite").text(path)
+
+
 def write_json_arrays(df: DataFrame, path: str) -> None:
     """A result as JSON, one array per partition and file."""
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -488,3 +488,11 @@ UNION ALL SELECT 'route_stops', count(DISTINCT (route_id, stop_id, l_linestatus
 UNION ALL SELECT 'stop_reference', count(DISTINCT stop_id), count(*) - count(DISTINCT stop_id) FROM stop_reference
 UNION ALL SELECT 'otp_monthly', count(DISTINCT (route_id, month)), count(*) - count(DISTINCT (route_id, month)) FROM otp
 UNION ALL SELECT 'ridership_monthly', count(DISTINCT (route_id, month, day_type)), count(*) - count(DISTINCT (route_id, month, day_type)) FROM ridership""")
+PLACES["line_ends"] = PLACES["csv_round_trip"]
+PLACES["entity_extracts"] = q("routes otp route_stops stops stop_reference", """
+SELECT 'routes' AS source, 'id or mode' AS finding, route_id || '|' || route_name || '|' || mode AS detail FROM routes WHERE route_id IN ('20', '70') OR mode = 'INCLINE'
+UNION ALL SELECT 'otp_monthly', 'rows', route_id || '|' || month FROM otp WHERE route_id IN ('20', '70')
+UNION ALL SELECT 'otp_monthly', 'positive values', route_id || '|' || month FROM otp WHERE route_id IN ('20', '70') AND otp > 0
+UNION ALL SELECT 'route_stops', 'rows', route_id || '|' || stop_id FROM route_stops WHERE route_id IN ('20', '70')
+UNION ALL SELECT 'stops', 'name match', stop_name FROM stops WHERE lower(stop_name) LIKE '%ring%' OR lower(stop_name) LIKE '%bolt%'
+UNION ALL SELECT 'stop_reference', 'mode or name match', stop_name FROM stop_reference WHERE mode = 'INCLINE' OR lower(stop_name) LIKE '%ring%' OR lower(stop_name) LIKE '%bolt%'""")
