@@ -128,3 +128,24 @@ def test_secret_rows(documents, odd_rows):
     assert len(got) == len(rows) and sum(r.n_assign for r in got) == 30
     assert {r.spans for r in got if r.doc_id == 1} == {""}
     assert secret_scan.find_secrets(documents([])).count() == 0
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for text in (" " * 1_000_000 + "[at", "a" + " " * 1_000_000 + "(", "[ " * 500_000, "x at " * 200_000, "(at)" + "\n" * 1_000_000 + "y"):
+        began = time.perf_counter()
+        assert pii.hidden_identifiers(text, []) == []
+        assert time.perf_counter() - began < 5
+    text = "".join(f"jane.roe{i}@example.com, " for i in range(20_000)) + "j[at]x.org"
+    base = pii.identifiers(text)
+    began = time.perf_counter()
+    assert [text[a:b] for _, a, b in pii.hidden_identifiers(text, base)] == ["j[at]x.org"]
+    assert time.perf_counter() - began < 5
+
+
+def test_marks_that_follow_each_other():
+    text = "write to jane [at] example [dot] com or joe(at)(dot)x or  < at >  y {dot} org"
+    tape = pii.Tape(text)
+    pii._marks(tape)
+    assert tape.text == "write to jane@example.com or joe@.x or@y.org"
