@@ -10,9 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineside.llm.components import components
-from lineside.llm.tables import text_key, texts
-from lineside.session import settle
+from lineside.llm.components import components, grown
+from lineside.llm.tables import text_key, texts, written
 
 SHINGLE = 5
 #: Hash functions, trees of the forest, and hashes in a tree's label.
@@ -23,8 +22,9 @@ LEAST_DEPTH = 4
 #: meets its nearest labels and the first of each deeper run.
 FULL_RUN, NEAREST = 8, 2
 #: A run of more than ``FULL_RUN`` labels that still spans several components is compared in full, in
-#: pairs of blocks of about so many documents and shingles.
-BLOCK, BLOCK_SHINGLES = 256, 200_000
+#: pairs of blocks of about so many documents and shingles. A document meets every block of its run once, so
+#: large blocks move few texts; two of them take some tens of megabytes.
+BLOCK, BLOCK_SHINGLES = 2048, 500_000
 #: Trees for thresholds below 85 percent: at 0.80 a pair is missed by all with probability 0.0002.
 MORE_TREES = 16
 #: Compact signatures that agree on a smaller share are not confirmed: 5 deviations below 0.85.
@@ -162,17 +162,16 @@ def forest_candidates(classes: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets meet the threshold, as vertices ``a`` and ``b`` (doc_ids)."""
-    one = bodies.select(F.col("cid").alias("a"), F.col("rep").alias("rep_a"), F.col("text").alias("text_a"))
-    two = bodies.select(F.col("cid").alias("b"), F.col("rep").alias("rep_b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("rep_a", "rep_b", "text_a", "text_b")
+    """The pairs whose full shingle sets meet the threshold, as ``va`` and ``vb`` of ``pairs`` under the names ``a`` and ``b``."""
+    both = (pairs.select("a", "b", "va", "vb").join(bodies.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(bodies.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").select("va", "vb", "text_a", "text_b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             rows = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("rep_a", "rep_b", "text_a", "text_b"))):
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("va", "vb", "text_a", "text_b"))):
                 one, two = shingle_set(x, hashes), shingle_set(y, hashes)
                 common = len(np.intersect1d(one, two, assume_unique=True))
                 if 100 * common >= percent * (len(one) + len(two) - common):
@@ -234,19 +233,19 @@ def block_links(block: pa.Table, percent: int) -> pa.Table:
             a, b = left[rows[i]], right[columns[j]]
             if find(root[a]) != find(root[b]):
                 parent[find(root[a])] = find(root[b])
-                links.append((get["rep"][a], get["rep"][b]))
+                links.append((get["root"][a], get["root"][b]))
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
 def crowded_links(classes: DataFrame, rows: DataFrame, reach: DataFrame, percent: int) -> DataFrame:
-    """The links that are missing between components within crowded runs: ``a`` and ``b`` (doc_ids).
+    """The links that are missing between components within crowded runs, as pairs of roots ``a`` and ``b``.
 
     Runs are counted by component, so a run that is one component costs
     nothing more. The documents of the others are dealt by hash to blocks, those of the run's largest
     component apart, as these need not meet one another; each other pair of blocks of a run is one
     small group, whatever the size of the run.
     """
-    of = settle(classes.join(reach, F.col("rep") == F.col("v"), "left")
+    of = written(classes.join(reach, F.col("rep") == F.col("v"), "left")
                 .select("cid", "rep", "k", "n_shingles", "sig", F.coalesce("root", "rep").alias("root")))
     laid = of.select("cid", "root", "n_shingles", F.posexplode(F.array(*(
         F.substring("sig", 4 * LEAST_DEPTH * t + 1, 4 * LEAST_DEPTH) for t in range(tuned(percent)[0])))).alias("tree", "label"))
@@ -261,14 +260,14 @@ def crowded_links(classes: DataFrame, rows: DataFrame, reach: DataFrame, percent
                     blocks(F.col("n") - F.col("main.n"), F.col("m") - F.col("main.m")).alias("others")))
     crowds = (laid.select("cid", "tree", "label").join(runs, ["tree", "label"]).groupBy("cid")
               .agg(F.collect_list(F.struct("tree", "label", "main", "mains", "others")).alias("runs"), F.sum(F.expr("shiftleft(1L, tree)")).alias("crowds")))
-    members = settle(of.join(crowds, "cid").join(rows.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "k"]), ["rep", "k"])
-                     .select("cid", "rep", "root", "sig", "text", "crowds", "runs"))
-    dealt = (members.select("cid", "rep", "root", "sig", "text", "crowds", F.inline("runs"))
+    members = written(rows.withColumnRenamed("doc_id", "rep").join(of.join(crowds, "cid"), ["rep", "k"]).dropDuplicates(["cid"])
+                      .select("cid", "root", "sig", "text", "crowds", "runs"))
+    dealt = (members.select("cid", "root", "sig", "text", "crowds", F.inline("runs"))
              .withColumn("of_main", F.col("root") == F.col("main"))
              .withColumn("own", F.pmod(F.xxhash64("cid"), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others")))
                          + F.when(F.col("of_main"), F.col("others")).otherwise(0))
              .withColumn("met", F.explode(F.sequence(F.lit(0), F.when(F.col("of_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
-             .select("tree", "label", F.least("own", "met").alias("p"), F.greatest("own", "met").alias("q"), "own", "rep", "root", "sig", "text", "crowds"))
+             .select("tree", "label", F.least("own", "met").alias("p"), F.greatest("own", "met").alias("q"), "own", "root", "sig", "text", "crowds"))
     return dealt.groupBy("tree", "label", "p", "q").applyInArrow(lambda block: block_links(block, percent), "a long, b long")
 
 
@@ -281,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     (a pair at 0.85 begins alike in one of twelve trees with probability 0.9998, one at 0.80 in one of
     sixteen, which thresholds below 85 use); links are confirmed
     on the full sets: first the best candidate below each class, then every candidate whose ends
-    are still in different components. No pair within a component needs confirming after that. Runs
+    are still in different components, which from then on are single vertices. No pair within a component needs confirming after that. Runs
     of equal labels that are too long to be met in full and still hold several components are then
     compared in full, pair of blocks by pair of blocks.
 
@@ -290,26 +289,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     linked with nothing, has no component and is kept. An empty table gives no rows.
     """
     rows = texts(docs).select("doc_id", "text", text_key().alias("k"))
-    made = settle(signatures(rows))
-    classes = settle(made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
-                     .agg(F.min(F.struct("doc_id", "k")).alias("least"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-                     .select(F.col("h1").alias("cid"), "h1", "h2", F.col("least.doc_id").alias("rep"), F.col("least.k").alias("k"), "sig", "n_shingles"))
-    pairs = settle(forest_candidates(classes.select("cid", "sig"), percent))
+    made = written(signatures(rows))
+    classes = written(made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
+                      .agg(F.min(F.struct("doc_id", "k")).alias("least"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+                      .select(F.col("h1").alias("cid"), "h1", "h2", F.col("least.doc_id").alias("rep"), F.col("least.k").alias("k"), "sig", "n_shingles"))
+    pairs = written(forest_candidates(classes.select("cid", "sig"), percent))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep", "k"), "cid")
-    bodies = settle(rows.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "k"]).dropDuplicates(["cid"]).select("cid", "rep", "text"))
+    bodies = written(rows.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "k"]).dropDuplicates(["cid"]).select("cid", "rep", "text"))
+
+    def between(chosen: DataFrame, vertex: DataFrame) -> DataFrame:
+        """Pairs of classes with the vertices that stand for them, where these differ."""
+        return (chosen.select("a", "b").join(vertex.select(F.col("cid").alias("a"), F.col("v").alias("va")), "a")
+                .join(vertex.select(F.col("cid").alias("b"), F.col("v").alias("vb")), "b").where("va <> vb"))
+
     best = pairs.groupBy("b").agg(F.max(F.struct("est", "a")).alias("x")).select("x.a", "b")
-    links = settle(confirmed(best, bodies, percent))
-    reach = components(links)
-    of = (bodies.select("cid", "rep").join(reach, F.col("rep") == F.col("v"), "left")
-          .select("cid", F.coalesce("root", "rep").alias("root")))
-    rest = (pairs.join(of.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a")
-            .join(of.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb").select("a", "b"))
-    more = settle(confirmed(rest, bodies, percent))
-    if more.limit(1).count():
-        reach = components(links.union(more))
-    crowded = settle(crowded_links(classes, rows, reach, percent))
-    if crowded.limit(1).count():
-        reach = components(links.union(more).union(crowded))
+    reach = components(confirmed(between(best, bodies.select("cid", F.col("rep").alias("v"))), bodies, percent))
+    roots = (bodies.select("cid", "rep").join(reach, F.col("rep") == F.col("v"), "left")
+             .select("cid", F.coalesce("root", "rep").alias("v")))
+    reach = grown(reach, confirmed(between(pairs, roots), bodies, percent))
+    reach = grown(reach, crowded_links(classes, rows, reach, percent))
     found = (classes.select("h1", "h2", "rep").join(reach, F.col("rep") == F.col("v"), "left")
              .select("h1", "h2", F.coalesce("root", "rep").alias("component_id")))
     # A null or empty set has prints 0 and meets no class.
