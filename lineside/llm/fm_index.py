@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: The bits below each place of a block.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """Bits of a sequence level by level, packed, with a count for each 64; ranks for arrays of positions."""
 
@@ -17,17 +21,20 @@ class WaveletMatrix:
             words = np.packbits(padded, bitorder="little").view(np.uint64)
             self.bits.append(words)
             self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int32)[:-1]]).astype(np.int32))
-            self.zeros.append(len(bit) - int(bit.sum()))
+            self.zeros.append(np.int32(len(bit) - int(bit.sum())))
             values = np.concatenate([values[~bit], values[bit]])
 
     def descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where positions ``at`` lead, following each symbol's bits; from 0 it is where the symbol's rows begin."""
+        symbols, at = symbols.astype(np.int32), at.astype(np.int32)
         for level in range(self.levels):
             block = at >> 6
-            ones = self.counts[level][block] + np.bitwise_count(
-                self.bits[level][block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-            at = np.where(symbols >> (self.levels - 1 - level) & 1, self.zeros[level] + ones, at - ones)
-        return at
+            ones = self.counts[level].take(block)
+            ones += np.bitwise_count(self.bits[level].take(block) & _BELOW.take(at & 63))
+            at -= ones
+            # The negated bit is a mask: where it is set, ``at`` becomes zeros + ones.
+            at += (ones + self.zeros[level] - at) & -(symbols >> (self.levels - 1 - level) & 1)
+        return at.astype(np.int64)
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -80,7 +87,8 @@ class FmIndex:
         From an end, matches are extended to the left while they occur twice. Where that stops, the
         windows to the right of the stop are repeated, and none that holds the stop up to this end
         is; the next end is the last one that could still hold another window. All patterns move
-        together, a step at a time.
+        together, a step at a time. Ahead of that, each pattern's core (the words that all its
+        windows hold) is looked up; where it occurs once, so does every window.
         """
         length = np.array([len(p) for p in patterns], np.int64)
         start = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
@@ -88,13 +96,26 @@ class FmIndex:
         masks = np.zeros(len(patterns), np.int64)
         end, at = length.copy(), length.copy()
         low, high = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
-        live = np.flatnonzero(length >= window)
 
         def restart(which: np.ndarray) -> None:
             """The rows of the last word before an end are known without a step."""
             last = codes[start[which] + end[which] - 1]
             low[which], high[which], at[which] = self.first[last], self.first[last + 1], end[which] - 1
 
+        live = long = np.flatnonzero(length >= window)
+        core = np.maximum(length - window, 0)
+        live = live[core[live] < window]
+        end[live] = window
+        restart(live)
+        live, once = live[at[live] > core[live]], np.zeros(len(patterns), bool)
+        while len(live):
+            low[live], high[live] = self.extend(codes[start[live] + at[live] - 1], low[live], high[live])
+            at[live] -= 1
+            lone = high[live] - low[live] < 2
+            once[live[lone]] = True
+            live = live[~lone & (at[live] > core[live])]
+        live = long[~once[long]]
+        end[live] = length[live]
         restart(live)
         while len(live):
             low2, high2 = self.extend(codes[start[live] + at[live] - 1], low[live], high[live])

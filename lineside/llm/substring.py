@@ -181,12 +181,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     columns are not read; an empty table gives no rows.
     """
     rows = texts(docs).select("doc_id", _key(), F.hash(F.col("text").isNull(), F.col("text")).alias("k"), "text")
-    light = anchors(rows)
-    again = light.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    light = written(anchors(rows))
+    # Counts are written apart: a join with a plain table may split a common anchor over tasks.
+    again = written(light.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     found = written(light.join(again, "anchor", "left_semi").select("id", "k", "place", "anchor", "whole"))
     pieces = settle(found.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "k", "place")).alias("x"))
                     .select("anchor", "whole", "n", "x.*"))
-    crowded = pieces.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("anchor", F.lit(True).alias("hot"))
+    crowded = written(pieces.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("anchor", F.lit(True).alias("hot")))
     wanted = pieces.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     bodies = written(fetched(rows, wanted))
     plain = bodies.where("at < 0").dropDuplicates(["anchor", "whole"])
