@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +96,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     match are read again with their words, which keeps words out of the large pass. Within the
     matches of an item at one alignment, a window counts if each value of the item stands for the
     value it most often stands for in the document, or if all its values are the same; two values of
-    the item may stand for one. An alignment that gives a name two values does not count; words that
-    may only start a sentence are judged per window. An item is held when consistent matches cover at
+    the item may stand for one. Where an alignment gives a name two values, only the windows whose
+    values are all the same count; words that may only start a sentence are judged per window. An item is held when consistent matches cover at
     least ``least_cover`` of its template windows, or of all its windows, exact ones included.
 
     A null text holds nothing; rows that repeat doc_id and text give one row; empty tables give no
@@ -115,23 +113,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
         return (rows.select("doc_id", "k", _tokens(F.col("text")).alias("raw"))
                 .withColumns({"t": _template(F.col("raw")), "e": _plain(F.col("raw"))}))
 
-    def met(windows: DataFrame, size: int, exact: bool, *columns: str) -> DataFrame:
-        own = marks.where((F.col("size") == size) & (F.col("exact") == exact)).select("h", *columns)
-        own = own if columns else own.distinct()
-        return windows.join(F.broadcast(own) if few else own, "h", "inner" if columns else "left_semi")
-
     def windows(size: int, exact: bool) -> Column:
         hashed = (lambda i: F.xxhash64(F.lit("exact"), F.slice("e", i + 1, size))) if exact else (lambda i: F.xxhash64(F.slice("t", i, size)))
         return F.transform(_starts(F.lit(size)), lambda i: F.struct(i.alias("at"), hashed(i).alias("h"), F.slice("raw", i, size).alias("dwords")))
 
+    def sent(own: DataFrame) -> DataFrame:
+        return F.broadcast(own) if few else own
+
+    # A text is cut into words once; the windows of all sizes are laid side by side and meet one table of hashes.
     sizes = sizes or [(window, False)]
-    hit = reduce(DataFrame.union, (met(laid(read).select("doc_id", "k", F.explode(_exact(n) if exact else _hashes(n)).alias("h")), n, exact) for n, exact in sizes))
+    hashes = F.concat(*(_exact(n) if exact else _hashes(n) for n, exact in sizes))
+    hit = laid(read).select("doc_id", "k", F.explode(hashes).alias("h")).join(sent(marks.select("h").distinct()), "h", "left_semi")
     hit = settle(hit.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("k").alias("key")).agg(F.count("*").alias("n")))
     near = read.join(hit, (F.coalesce("doc_id", F.lit(-1)) == F.col("id")) & (F.col("k") == F.col("key")), "left_semi")
-    ours = (F.col("pos").alias("ipos"), F.col("words").alias("iwords"))
-    matches = reduce(DataFrame.union, (
-        met(laid(near).select("doc_id", "k", F.inline(windows(n, exact))), n, exact,
-            "item_id", "exact", "n_templates", "n_windows", *ours) for n, exact in sizes))
+    items = marks.select("h", "item_id", "exact", "n_templates", "n_windows", F.col("pos").alias("ipos"), F.col("words").alias("iwords"))
+    matches = laid(near).select("doc_id", "k", F.inline(F.concat(*(windows(n, exact) for n, exact in sizes)))).join(sent(items), "h")
+
     def value(word: Column) -> Column:
         return F.when(word.startswith(_HEAD), F.concat(F.lit(_KINDS[1]), F.substring(word, 2, 1 << 30))).otherwise(word)
 
@@ -148,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alignment]
     same = F.forall("pairs", lambda s: s.item == s.doc)
     usual = F.forall("pairs", lambda s: F.exists("map", lambda m: (m.item == s.item) & (m.doc == s.doc)))
-    held = (met_windows.join(images, on, "left").where(~F.coalesce("split", F.lit(False)) & (same | usual))
+    held = (met_windows.join(images, on, "left").where(same | (~F.coalesce("split", F.lit(False)) & usual))
             .withColumn("changed", F.exists("pairs", lambda s: s.item != s.doc))
             .groupBy("doc_id", "k", "item_id")
             .agg(F.greatest(F.countDistinct(F.when(~F.col("exact"), F.col("ipos"))) / F.when(F.max("n_templates") > 0, F.max("n_templates")),

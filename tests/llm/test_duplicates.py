@@ -39,11 +39,11 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-def expected_components(rows):
+def expected_components(rows, percent=85):
     sets, of = Sets(), [(d, shingles(t)) for d, t in rows]
     for i, (a, x) in enumerate(of):
         for b, y in of[:i]:
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
                 sets.union(a, b)
     return {d: sets.find(d) for d, _ in rows if d is not None}
 
