@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from lineside.llm import pii, secret_scan
 from lineside.llm.spans import digest, masked
 
@@ -149,3 +151,23 @@ def test_marks_that_follow_each_other():
     tape = pii.Tape(text)
     pii._marks(tape)
     assert tape.text == "write to jane@example.com or joe@.x or@y.org"
+
+
+def test_secret_stretches_are_those_of_the_whole_text():
+    """Features and path of the stretches equal those of one chain over all tokens, however far apart these lie."""
+    rng = random.Random(12)
+    field = secret_scan.Field(np.random.default_rng(3).normal(size=(secret_scan.BUCKETS, 3)), np.random.default_rng(4).normal(size=(3, 3)))
+    words = ["token", "=", ":", "a" * 70, "key", "x1" * 6, "deadbeef99", "b2c3d4e5==", "9", "|", "</b>"]
+    texts = ["secret =" + " " * 60 + "k3yk3yk3y", "w" * 60 + " : k3yk3yk3y" + " " * 60 + "end"]
+    texts += ["".join(rng.choice(words) + rng.choice(["", " ", "\n", " " * 55]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    for text in texts:
+        spans = [m.span() for m in secret_scan._TOKEN.finditer(text)]
+        may = [b - a >= 8 and any(c in "0123456789" for c in text[a:b]) for a, b in spans]
+        feats = secret_scan.token_features(text, spans, may, [])
+        path = field.viterbi(feats) if spans else []
+        want = [(s, f, t) for s, m, f, t in zip(spans, may, feats, path) if m]
+        got = []
+        for some, possible in secret_scan.sequences(text):
+            part = secret_scan.token_features(text, some, possible, [])
+            got += [(s, f, t) for s, m, f, t in zip(some, possible, part, field.viterbi(part)) if m]
+        assert got == want, text
