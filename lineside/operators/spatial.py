@@ -110,15 +110,17 @@ _NARROW = 0.7
 def group_span(df: DataFrame, group: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Largest great-circle distance (km) between any two points of each group; 0 for one point.
 
-    Exact at any size and width, antipodes included. Inner points are dropped per batch before anything is shuffled. Where
-    what is left of a group lies close together, the two farthest are hull points: inner points are dropped again per
-    (group, slice of the partitions), so a group that holds much of the data is thinned long
-    before its outer points meet in one task. For wider groups that does not hold; see ``_wide_span``. Rows without a
-    coordinate are left out.
+    Exact at any size and width, antipodes included. Inner points are dropped per batch before anything is shuffled, where a batch
+    holds many points of a group, and again per (group, slice of the partitions), so a group that holds much of the data is thinned long
+    before its outer points meet in one task. Where what is left of a group lies close together, the two farthest are
+    hull points. For wider groups that does not hold; see ``_wide_span``. Rows without a coordinate are left out.
     """
     points = df.select(group, F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).dropna(
         subset=["lat", "lon"])
-    outer = settle(points.mapInPandas(_outer_points(group), _kind(points, group) + ", lat double, lon double"))
+    kind = _kind(points, group) + ", lat double, lon double"
+    # a slice is 16 neighbouring partitions; sorting puts a group into few batches
+    sliced = points.mapInPandas(_outer_points(group), kind).withColumn("_slice", F.floor(F.spark_partition_id() / 16))
+    outer = settle(sliced.repartition(_tasks(df), group, "_slice").sortWithinPartitions(group).drop("_slice").mapInPandas(_outer_points(group), kind))
     box = [F.max(v) - F.min(v) for v in _on_sphere("lat", "lon")]
     wide = settle(outer.groupBy(F.col(group).alias("_g")).agg(F.sqrt(sum((side * side for side in box), F.lit(0.0))).alias("_d"))
                   .where(F.col("_d") >= _NARROW).select("_g"))
@@ -128,6 +130,11 @@ def group_span(df: DataFrame, group: str, lat: str = "lat", lon: str = "lon") ->
     return _narrow_span(outer, group)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Number of tasks for rows that are few bytes but much work: given, so that it does not follow from their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _kind(df: DataFrame, column: str) -> str:
     return f"`{column}` {df.schema[column].dataType.simpleString()}"
 
@@ -179,6 +186,10 @@ def _wide_span(points: DataFrame, group: str) -> DataFrame:
     return pairs.select("_h", "a", "b").join(left, ["_h", "a"]).join(right, ["_h", "b"]).groupBy(F.col("_g").alias(group)).agg(F.max(far).alias("span_km"))
 
 
+#: A batch with fewer points than this for each of its groups is left as it is.
+_FEW_POINTS = 8
+
+
 def _outer_points(group: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Drops points of a batch that cannot be an end of their group's span, as far as the batch can tell."""
 
@@ -192,6 +203,9 @@ def _outer_points(group: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
     def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if len(batch) < _FEW_POINTS * batch[group].nunique(dropna=False):
+                yield batch  # so few points of a group do not tell its inner ones
+                continue
             batch = batch.drop_duplicates()
             if len(batch):
                 xyz = _unit(batch["lat"].to_numpy(), batch["lon"].to_numpy())
@@ -206,21 +220,23 @@ def _outer_points(group: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 
 def _narrow_span(points: DataFrame, group: str) -> DataFrame:
-    """Span of groups that lie close together."""
+    """Span of groups that lie close together; what is left of a group is one row."""
     kind = _kind(points, group)
 
-    def widest(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates()
-        rows = rows.iloc[_hull_rows(rows["lat"].to_numpy(), rows["lon"].to_numpy())]
-        a, o = rows["lat"].to_numpy(), rows["lon"].to_numpy()
-        span = max((float(_haversine_km(a[i], o[i], a[i + 1:], o[i + 1:]).max()) for i in range(len(a) - 1)), default=0.0)
-        return pd.DataFrame({group: [rows[group].iloc[0]], "span_km": [span]})
+    def span(lat: np.ndarray, lon: np.ndarray) -> float:
+        if len(lat) > 32:
+            hull = _hull_rows(lat, lon)
+            lat, lon = lat[hull], lon[hull]
+        if len(lat) > 256:
+            return max(float(_haversine_km(lat[i], lon[i], lat[i + 1:], lon[i + 1:]).max()) for i in range(len(lat) - 1))
+        return float(_haversine_km(lat[:, None], lon[:, None], lat, lon).max())
 
-    # a slice is 16 neighbouring partitions; sorting puts a group into few batches
-    sliced = points.withColumn("_slice", F.floor(F.spark_partition_id() / 16))
-    merged = sliced.repartition(group, "_slice").sortWithinPartitions(group).drop("_slice").mapInPandas(
-        _outer_points(group), f"{kind}, lat double, lon double")
-    return merged.groupBy(group).applyInPandas(widest, f"{kind}, span_km double")
+    def widest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({group: batch[group], "span_km": [span(np.asarray(a, float), np.asarray(o, float)) for a, o in zip(batch["lat"], batch["lon"])]})
+
+    rows = points.repartition(_tasks(points), group).groupBy(group).agg(F.collect_set(F.struct("lat", "lon")).alias("_p"))
+    return rows.select(group, F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon")).mapInPandas(widest, f"{kind}, span_km double")
 
 
 _FINEST_M = 8.0

@@ -189,3 +189,8 @@ def test_order_along_the_curve(spark):
     df = spark.createDataFrame([tuple(8.0 * c + 1 for c in cube) for cube in cubes], "x double, y double, z double")
     for cube, row in zip(cubes, df.select(spatial._morton(F.col("x"), F.col("y"), F.col("z")).alias("m")).collect()):
         assert row.m == sum((c >> i & 1) << (3 * i + 2 - k) for k, c in enumerate(cube) for i in range(21))
+
+def test_spans_are_worked_out_in_more_than_one_task(frame):
+    df = frame([(f"g{i % 20}", 40.0 + i * 1e-4, -80.0 + i % 7 * 1e-3) for i in range(200)], "g string, lat double, lon double")
+    got = spatial.group_span(df, "g")
+    assert got.count() == 20 and got.rdd.getNumPartitions() == int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 1
