@@ -15,6 +15,7 @@ from lineside.operators.spatial import group_span, longest_variant
 from lineside.operators.strata import all_and_bus
 from lineside.plans.common import route_average, stop_counts
 from lineside.plans.routes import bounded_bucket
+from lineside.session import spread
 
 
 def _hood_rows(otp: DataFrame, route_stops: DataFrame, stops: DataFrame, min_months: int) -> DataFrame:
@@ -22,7 +23,7 @@ def _hood_rows(otp: DataFrame, route_stops: DataFrame, stops: DataFrame, min_mon
     means = otp.groupBy("route_id").agg(F.avg("otp").alias("avg_otp"), F.count(F.lit(1)).alias("m"))
     places = stops.where(known_place(F.col("hood"))).select("stop_id", "hood", "muni", "county")
     served = route_stops.where(F.col("trips_7d").isNotNull()).select("route_id", "stop_id", "trips_7d")
-    return served.join(places, "stop_id").join(means.where(F.col("m") >= min_months).drop("m"), "route_id")
+    return spread(served.join(means.where(F.col("m") >= min_months).drop("m"), "route_id"), "stop_id").join(places, "stop_id")
 
 
 def area_equity(otp: DataFrame, routes: DataFrame, route_stops: DataFrame, stops: DataFrame, min_months: int = 12) -> DataFrame:
@@ -41,8 +42,8 @@ def area_equity(otp: DataFrame, routes: DataFrame, route_stops: DataFrame, stops
         F.sum("w").alias("total_trips_7d"),
         weighted_mean(F.when(bus, F.col("v")), F.when(bus, F.col("w"))).alias("bus_weighted_otp"),
         F.count_if(bus).alias("bus_route_count"))
-    stop_count = rows.groupBy(*keys).agg(F.count_distinct("stop_id").alias("stop_count"))
-    plain = rows.groupBy("hood", "route_id").agg(F.max("avg_otp").alias("v")).groupBy("hood").agg(F.avg("v").alias("unweighted_otp"))
+    stop_count = rows.select(*keys, "stop_id").distinct().groupBy(*keys).agg(F.count("stop_id").alias("stop_count"))
+    plain = visits.groupBy("hood", "route_id").agg(F.max("v").alias("v")).groupBy("hood").agg(F.avg("v").alias("unweighted_otp"))
     out = areas.join(stop_count, keys).join(plain, "hood", "left")
     return out.withColumn("otp_gap", F.col("weighted_otp") - F.col("unweighted_otp"))
 
@@ -181,14 +182,22 @@ def municipal_equity(otp: DataFrame, route_stops: DataFrame, stops: DataFrame, m
     """
     means = otp.groupBy("route_id").agg(F.avg("otp").alias("v"))
     places = stops.where(F.col("muni").isNotNull() & (F.col("muni") != "0")).select("stop_id", "muni", "county")
-    rows = route_stops.select("route_id", "stop_id", "trips_wd").distinct().join(means, "route_id").join(places, "stop_id")
+    rows = _distinct_visits(route_stops, means).join(places, "stop_id")
     value = F.col("v") * F.col("trips_wd")
-    sums = rows.groupBy("muni", "county", "route_id", "stop_id").agg(F.sum(value).alias("vw"), F.sum("trips_wd").alias("w"))
-    stop_totals = sums.groupBy("muni", "county").agg(
+    # stops are counted by their own rows and routes by theirs, so no row is laid out once for each count
+    at_stop = rows.groupBy("muni", "county", "stop_id").agg(F.sum(value).alias("vw"), F.sum("trips_wd").alias("w"))
+    totals = at_stop.groupBy("muni", "county").agg(
         F.try_divide(F.sum("vw"), F.nullif(F.sum("w").cast("double"), F.lit(0.0))).alias("avg_otp"),
-        F.count_distinct("stop_id").alias("n_stops"), F.count_distinct("route_id").alias("n_routes"),
-        F.sum("w").alias("total_trips"))
-    return stop_totals.where(F.col("n_stops") >= min_stops)
+        F.count("stop_id").alias("n_stops"), F.sum("w").alias("total_trips"))
+    served = rows.select("muni", "county", "route_id").distinct().groupBy(F.col("muni").alias("_muni"), F.col("county").alias("_county")).agg(
+        F.count("route_id").alias("n_routes"))
+    same = (F.col("muni") == F.col("_muni")) & F.col("county").eqNullSafe(F.col("_county"))
+    return totals.where(F.col("n_stops") >= min_stops).join(served, same).drop("_muni", "_county")
+
+
+def _distinct_visits(route_stops: DataFrame, means: DataFrame) -> DataFrame:
+    """The different (route, stop, weekday trips) with the mean of the route, by stop."""
+    return spread(route_stops.select("route_id", "stop_id", "trips_wd").join(means, "route_id"), "stop_id").distinct()
 
 
 def municipal_summary(munis: DataFrame, city: str) -> DataFrame:
@@ -225,7 +234,7 @@ def jurisdiction_test(rows: DataFrame) -> DataFrame:
 def transfer_hubs(otp: DataFrame, routes: DataFrame, route_stops: DataFrame, stops: DataFrame) -> DataFrame:
     """Stops by the number of routes meeting there, with the weekday-trip-weighted value."""
     means = route_average(otp, routes, 1).select("route_id", "avg_otp")
-    rows = route_stops.select("route_id", "stop_id", "trips_wd").distinct().join(means, "route_id")
+    rows = _distinct_visits(route_stops, means)
     out = rows.groupBy("stop_id").agg(
         weighted_mean(F.col("avg_otp"), F.col("trips_wd")).alias("avg_otp"),
         F.count_distinct("route_id").alias("n_routes"), F.sum("trips_wd").alias("total_trips"))

@@ -48,3 +48,12 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by hash of ``keys`` in as many tasks as the session names.
+
+    Compressed rows tell little about the memory that aggregates over them take, so these tasks are
+    not put together by their bytes. What groups by more than ``keys`` afterwards needs no other shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

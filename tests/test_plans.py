@@ -138,3 +138,14 @@ def test_months_of_a_span_are_whole(spark):
     months = ["1995-11", "1995-12", "1996-01", "1997-12"]
     assert part.otp.exceptAll(tables.otp.where(F.col("month").isin(months))).isEmpty()
     assert sorted(r.month for r in part.otp.select("month").distinct().collect()) == months
+
+
+def test_stops_and_routes_of_a_place_are_counted_without_laying_rows_out_once_for_each_count(frame):
+    otp = frame([("a", "2000-01", 0.5), ("a", "2000-02", 0.7), ("b", "2000-01", 1.0)], "route_id string, month string, otp double")
+    visits = frame([("a", "s1", 2), ("a", "s1", 2), ("a", "s1", 3), ("b", "s1", None), ("b", "s2", 4), ("c", "s3", 9), ("a", "s4", 1)],
+                   "route_id string, stop_id string, trips_wd bigint")
+    stops = frame([("s1", "m", None), ("s1", "m", None), ("s2", "m", None), ("s3", "m", None), ("s4", "m", "x"), ("s4", "0", "x")], "stop_id string, muni string, county string")
+    got = places.municipal_equity(otp, visits, stops, 1)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r.muni, r.county): (round(r.avg_otp, 9), r.n_stops, r.n_routes, r.total_trips) for r in got.collect()}
+    assert found == {("m", None): (round((0.6 * 10 + 4) / 14, 9), 2, 2, 14), ("m", "x"): (0.6, 1, 1, 1)}
