@@ -196,8 +196,10 @@ def municipal_equity(otp: DataFrame, route_stops: DataFrame, stops: DataFrame, m
 
 
 def _distinct_visits(route_stops: DataFrame, means: DataFrame) -> DataFrame:
-    """The different (route, stop, weekday trips) with the mean of the route, by stop."""
-    return spread(route_stops.select("route_id", "stop_id", "trips_wd").join(means, "route_id"), "stop_id").distinct()
+    """The different (route, stop, weekday trips), by stop, with each row of ``means`` of the route."""
+    means = means.groupBy(*means.columns).agg(F.count(F.lit(1)).cast("int").alias("_rows"))
+    rows = spread(route_stops.select("route_id", "stop_id", "trips_wd").join(means, "route_id"), "stop_id").distinct()
+    return rows.withColumn("_rows", F.explode(F.array_repeat(F.lit(0), F.col("_rows")))).drop("_rows")
 
 
 def municipal_summary(munis: DataFrame, city: str) -> DataFrame:

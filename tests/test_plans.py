@@ -149,3 +149,12 @@ def test_stops_and_routes_of_a_place_are_counted_without_laying_rows_out_once_fo
     assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
     found = {(r.muni, r.county): (round(r.avg_otp, 9), r.n_stops, r.n_routes, r.total_trips) for r in got.collect()}
     assert found == {("m", None): (round((0.6 * 10 + 4) / 14, 9), 2, 2, 14), ("m", "x"): (0.6, 1, 1, 1)}
+
+
+def test_a_route_that_is_listed_twice_counts_twice_at_its_hubs(frame):
+    otp = frame([("a", "2000-01", 0.5), ("b", "2000-01", 1.0)], "route_id string, month string, otp double")
+    listed = frame([("a", "A", "BUS"), ("a", "A", "BUS"), ("b", "B", "BUS")], "route_id string, route_name string, mode string")
+    visits = frame([("a", "s", 3), ("a", "s", 3), ("b", "s", 2)], "route_id string, stop_id string, trips_wd bigint")
+    stops = frame([("s", "S", 1.0, 2.0, "m")], "stop_id string, stop_name string, lat double, lon double, muni string")
+    [hub] = places.transfer_hubs(otp, listed, visits, stops).collect()
+    assert (hub.avg_otp, hub.n_routes, hub.total_trips) == (0.625, 2, 8)
