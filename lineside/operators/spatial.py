@@ -12,11 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lineside.functions.columns import EARTH_KM, EARTH_M, haversine, local_east, local_north
-from lineside.operators.order import quantiles
 from lineside.session import settle
 
 _DIRECTIONS = 16
@@ -414,37 +417,322 @@ def longest_variant(df: DataFrame, group: str, variant: str) -> DataFrame:
     ).select(group, "_v.*")
 
 
+#: Tiles are this many reaches wide, so few places lie near a border. Places and segment points of one tile that share a row key.
+_TILE_REACHES, _TILE_VISITS, _TILE_POINTS = 8, 1 << 20, 1 << 16
+
+#: Pairs that a task holds at once, parts a range of counts is cut into, and sums it holds before it passes them on.
+_PAIRS, _PARTS, _HELD = 2_000_000, 32, 1_000_000
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``start[i] .. start[i] + n[i] - 1`` for each i, in one row."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _chunks(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Slices of rows that stand for up to ``most`` pairs each, or for those of one row."""
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    found = column.combine_chunks()
+    return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """The rows of each tile; rows come in the order of their tiles."""
+    held, name = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column("_tile").dictionary_encode()
+        at = codes.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            here = codes.dictionary[int(at[a])].as_py()
+            if held and here != name:
+                yield name, pa.Table.from_batches(held)
+                held = []
+            name = here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield name, pa.Table.from_batches(held)
+
+
+class _Tile:
+    """Places and segments of a tile, and which are near each other."""
+
+    def __init__(self, rows: pa.Table, radius: float, most: int):
+        self.most = most
+        spots, segs = rows.filter(rows["_spot"]), rows.filter(pc.invert(rows["_spot"]))
+        self.x, self.y = spots["x"].to_numpy(), spots["y"].to_numpy()
+        self.n_segs = segs.num_rows
+        rx, ry = _whole(segs["_rx"]), _whole(segs["_ry"])
+        of = np.repeat(np.arange(self.n_segs), pc.list_value_length(rx).to_numpy(zero_copy_only=False))
+        self.first, self.many, self.seg = self._near(rx.flatten().to_numpy(), ry.flatten().to_numpy(), of, radius)
+        groups = _whole(spots["_groups"])
+        names = groups.flatten().dictionary_encode()
+        self.names, self.group = names.dictionary, names.indices.to_numpy().astype(np.int64)
+        self.spot = np.repeat(np.arange(len(self.x)), pc.list_value_length(groups).to_numpy(zero_copy_only=False))
+        # what each segment carries: nulls are told by a mask
+        carried = [_whole(segs[c]) for c in ("_count", "_truck", "_length")]
+        self.rows_of = pc.list_value_length(carried[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first_row = np.cumsum(self.rows_of) - self.rows_of
+        flat = [c.flatten() for c in carried]
+        self.known = [c.is_valid().to_numpy(zero_copy_only=False) for c in flat]
+        self.carries = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in flat]
+
+    def _near(self, rx: np.ndarray, ry: np.ndarray, of: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The segments with a point within ``radius`` of each place, through squares of that width."""
+        edge = radius * 1.000001
+        west, south = min(rx.min(), self.x.min()), min(ry.min(), self.y.min())
+        px, py = (np.floor((v - o) / edge).astype(np.int64) + 1 for v, o in ((rx, west), (ry, south)))
+        sx, sy = (np.floor((v - o) / edge).astype(np.int64) + 1 for v, o in ((self.x, west), (self.y, south)))
+        wide = max(py.max(), sy.max()) + 3
+        order = np.argsort(px * wide + py, kind="stable")
+        squares = (px * wide + py)[order]
+        beside = (sx[:, None] + np.array([-1, 0, 1])) * wide + sy[:, None]
+        start = np.searchsorted(squares, beside - 1, "left")
+        n = np.searchsorted(squares, beside + 1, "right") - start
+        found = []
+        for a, b in _chunks(n.sum(axis=1), self.most):
+            at = order[_ranges(start[a:b].ravel(), n[a:b].ravel())]
+            spot = np.repeat(np.arange(a, b), n[a:b].sum(axis=1))
+            dx, dy = self.x[spot] - rx[at], self.y[spot] - ry[at]
+            met = dx * dx + dy * dy <= radius * radius
+            found.append(np.unique(spot[met] * self.n_segs + of[at[met]]))
+        codes = np.concatenate(found)
+        many = np.bincount(codes // self.n_segs, minlength=len(self.x))
+        return np.cumsum(many) - many, many, codes % self.n_segs
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Group and row of what it meets, each pair once, in the order of the groups, no group in two chunks."""
+        order = np.argsort(self.group, kind="stable")
+        order = order[self.many[self.spot[order]] > 0]
+        group, spot = self.group[order], self.spot[order]
+        n, start = self.many[spot], self.first[spot]
+        goes_on = np.empty(0, np.int64)
+        for a, b in _chunks(n, self.most):
+            codes = np.unique(np.concatenate([goes_on, np.repeat(group[a:b], n[a:b]) * self.n_segs + self.seg[_ranges(start[a:b], n[a:b])]]))
+            if b < len(group):
+                cut = np.searchsorted(codes, group[b - 1] * self.n_segs)
+                codes, goes_on = codes[:cut], codes[cut:]
+            g, s = codes // self.n_segs, codes % self.n_segs
+            n_rows = self.rows_of[s]
+            if n_rows.sum():
+                yield np.repeat(g, n_rows), _ranges(self.first_row[s], n_rows)
+
+
+_SUMS = ("length", "count_length", "count", "truck_length", "length_trucks", "truck")
+_SUM_ROWS = ("x double, y double, n bigint, " + ", ".join(f"s_{c} double, n_{c} bigint" for c in _SUMS) + ", low double, high double, top bigint")
+
+
+def _sum_tiles(radius: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Places that meet a segment (a row each, without a group), and the sums of each group of a tile."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _tiles(batches):
+            if not 0 < pc.sum(rows["_spot"]).as_py() < rows.num_rows:
+                continue
+            tile = _Tile(rows, radius, _PAIRS)
+            hit = np.flatnonzero(tile.many)
+            yield _batch(schema, len(hit), x=tile.x[hit], y=tile.y[hit])
+            (count, truck, length), (vc, vt, vl) = tile.carries, tile.known
+            with np.errstate(all="ignore"):
+                parts = [(length, vl), (count.astype(float) * length, vc & vl), (count.astype(float), vc), (truck * length, vt & vl), (length, vt & vl), (truck, vt)]
+            parts = [(np.where(known, v, 0.0), known) for v, known in parts]
+            for group, row in tile.pairs():
+                at = np.r_[0, np.flatnonzero(np.diff(group)) + 1]
+                out = {"_group": tile.names.take(pa.array(group[at])), "n": np.diff(np.r_[at, len(group)])}
+                for name, (value, known) in zip(_SUMS, parts):
+                    out[f"s_{name}"] = np.add.reduceat(value[row], at)
+                    out[f"n_{name}"] = np.add.reduceat(known[row].astype(np.int64), at)
+                none = out["n_count"] == 0
+                out["top"] = pa.array(np.maximum.reduceat(np.where(vc, count, np.iinfo(np.int64).min)[row], at), mask=none)
+                out["low"] = pa.array(np.minimum.reduceat(np.where(vc, count.astype(float), np.inf)[row], at), mask=none)
+                out["high"] = pa.array(np.maximum.reduceat(np.where(vc, count.astype(float), -np.inf)[row], at), mask=none)
+                yield _batch(schema, len(at), **out)
+
+    return summed
+
+
+def _batch(schema: pa.Schema, size: int, /, **columns) -> pa.RecordBatch:
+    made = [columns.get(f.name) for f in schema]
+    return pa.RecordBatch.from_arrays([
+        pa.nulls(size, f.type) if v is None else (v if isinstance(v, pa.Array) else pa.array(v)).cast(f.type) for f, v in zip(schema, made)], schema=schema)
+
+
+#: A group asks for two neighbouring positions of two quantiles, so in at most so many ranges.
+_ASKED = 4
+
+
+def _count_parts(radius: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many counts of a group lie in each part of the ranges it asks for, with the least and largest of them."""
+
+    def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        code, n, least, most = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        at = np.flatnonzero(np.r_[True, np.diff(code) != 0])
+        return code[at], np.add.reduceat(n[order], at), np.minimum.reduceat(least[order], at), np.maximum.reduceat(most[order], at)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking, low, high, held, size = None, None, None, [], 0
+
+        def out(code, n, least, most) -> pa.RecordBatch:
+            range_ = code // _PARTS
+            return _batch(schema, len(code), _group=asking.take(pa.array(range_ // _ASKED)), low=low.ravel()[range_], part=code % _PARTS, n=n, least=least, most=most)
+
+        for name, rows in _tiles(batches):
+            if not name:  # the ranges come first
+                asking, lows, highs = _whole(rows["_group"]), _whole(rows["_rx"]), _whole(rows["_ry"])
+                low, high = np.full((len(asking), _ASKED), np.inf), np.full((len(asking), _ASKED), -np.inf)
+                n = pc.list_value_length(lows).to_numpy(zero_copy_only=False).astype(np.int64)
+                where = np.repeat(np.arange(len(asking)), n), _ranges(np.zeros(len(n), np.int64), n)
+                low[where], high[where] = lows.flatten().to_numpy(), highs.flatten().to_numpy()
+                continue
+            if asking is None or not 0 < pc.sum(rows["_spot"]).as_py() < rows.num_rows:
+                continue
+            tile = _Tile(rows, radius, _PAIRS)
+            asks = pc.index_in(tile.names, value_set=asking).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            count, known = tile.carries[0].astype(float), tile.known[0]
+            for group, row in tile.pairs():
+                value, at = count[row], asks[group]
+                use = known[row] & (at >= 0)
+                value, at = value[use], at[use]
+                for j in range(_ASKED):
+                    a, b = low[at, j], high[at, j]
+                    inside = (value >= a) & (value <= b)
+                    if not inside.any():
+                        continue
+                    v, a, b = value[inside], a[inside], b[inside]
+                    part = np.minimum(((v - a) / (b - a) * _PARTS).astype(np.int64), _PARTS - 1)
+                    held.append(merged([((at[inside] * _ASKED + j) * _PARTS + part, np.ones(len(v), np.int64), v, v)]))
+                    size += len(held[-1][0])
+                if size > 2 * _HELD:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > _HELD:
+                        yield out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield out(*merged(held))
+
+    return counted
+
+
+def _group_sums(visits: DataFrame, shapes: DataFrame, kind: str, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Sums over the different segments near each group's places, and the places near any segment.
+
+    ``visits`` has ``x``, ``y`` and the groups that pass there (``_groups``, of type ``kind``), ``shapes`` a row for each segment: its points
+    ``_rx``, ``_ry`` and lists of what it carries. A segment lies in one tile, by its middle, in the grid that fits its reach; a place
+    goes to the tiles of segments that may reach it. So each pair of group and segment is met in one tile, where it is told
+    apart and added up: pairs are neither shuffled nor written. Large tiles are dealt by hash of the group and of the segment.
+    The positions of the quantiles are narrowed by counts: each pass cuts the ranges they lie in into parts.
+    """
+    tasks = _tasks(visits)
+    tile = ["_level", "_cx", "_cy"]
+    reach = F.lit(radius) * F.pow(F.lit(4.0), F.col("_level"))
+    edge = reach * _TILE_REACHES
+    half = [(F.array_max(c) - F.array_min(c)) / 2 for c in ("_rx", "_ry")]
+    level = F.ceil(F.log(((F.greatest(*half) + radius) * (1 + 1e-9) + 1e-6) / radius) / math.log(4.0)).cast("int")
+    middle = [(F.array_max(c) + F.array_min(c)) / 2 for c in ("_rx", "_ry")]
+    shapes = shapes.withColumn("_level", level).withColumns({c: F.floor(m / edge) for c, m in zip(("_cx", "_cy"), middle)})
+    levels = shapes.select("_level").distinct()  # a dozen at most, as each is four times as wide
+    places = visits.where("x IS NOT NULL AND y IS NOT NULL AND abs(x) < double('infinity') AND abs(y) < double('infinity')")
+    places = places.select("x", "y", "_groups").crossJoin(F.broadcast(levels))
+    for c, name in (("x", "_cx"), ("y", "_cy")):
+        places = places.withColumn(name, F.explode(F.array_distinct(F.array(F.floor((F.col(c) - reach) / edge), F.floor((F.col(c) + reach) / edge)))))
+    deals = places.groupBy(*tile).agg(F.ceil(F.sum(F.size("_groups") + 1) / _TILE_VISITS).alias("_gs")).join(
+        shapes.groupBy(*tile).agg(F.ceil(F.sum(F.size("_rx")) / _TILE_POINTS).alias("_ss")), tile)
+    deals = settle(deals)
+
+    def each(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+
+    named = F.concat_ws(":", *tile, "_g", "_s").alias("_tile")
+    mine = F.when(F.col("_gs") == 1, F.col("_groups")).otherwise(F.filter("_groups", lambda g: F.pmod(F.xxhash64(g), F.col("_gs")) == F.col("_g")))
+    asking = places.join(deals, tile).withColumn("_g", each("_gs")).withColumn("_s", each("_ss")).select(
+        named, F.lit(True).alias("_spot"), "x", "y", mine.alias("_groups"), "_g").where((F.size("_groups") > 0) | (F.col("_g") == 0)).drop("_g")
+    there = shapes.join(deals, tile).withColumn("_s", F.pmod(F.xxhash64("_seg"), F.col("_ss"))).withColumn("_g", each("_gs")).select(
+        named, F.lit(False).alias("_spot"), "_rx", "_ry", "_count", "_truck", "_length")
+    rows = asking.unionByName(there, allowMissingColumns=True).withColumn("_task", F.pmod(F.xxhash64("_tile"), F.lit(tasks)).cast("int"))
+
+    def walk(frame: DataFrame, job: Callable[..., Callable], columns: str) -> DataFrame:
+        laid = frame.repartitionById(tasks, F.col("_task")).sortWithinPartitions("_tile")
+        schema = f"_group {kind}, {columns}"
+        return laid.mapInArrow(job(radius, to_arrow_schema(_parse_datatype_string(schema))), schema)
+
+    sums = [F.sum(F.when(F.col(f"n_{c}") > 0, F.col(f"s_{c}"))).alias(f"s_{c}") for c in _SUMS]
+    counts = [F.sum(f"n_{c}").alias(f"n_{c}") for c in _SUMS]
+    found = settle(walk(rows, _sum_tiles, _SUM_ROWS).groupBy("_group", "x", "y").agg(
+        F.sum("n").alias("n"), *sums, *counts, F.min("low").alias("low"), F.max("high").alias("high"), F.max("top").alias("top")))
+    hit = found.where(F.col("_group").isNull()).select("x", "y").distinct()
+    carried = found.where(F.col("_group").isNotNull()).drop("x", "y")
+
+    places_of = [(F.col("n_count") - 1) * F.lit(p) for p in (0.5, 0.9)]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), end(p).cast("long").alias("k")) for i, (p, end) in enumerate(
+        (p, end) for p in places_of for end in (F.floor, F.ceil))])
+    state = settle(carried.where("n_count > 0").select("_group", F.explode(wanted).alias("_w"), "low", "high").select("_group", "_w.*", "low", "high"))
+    while state.where("low < high").limit(1).count():
+        wide = state.where("low < high")
+        ranges = wide.groupBy("_group").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("_r")).select(
+            "_group", F.lit("").alias("_tile"), F.col("_r.low").alias("_rx"), F.col("_r.high").alias("_ry"),
+            F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_task"))
+        parts = walk(rows.unionByName(ranges, allowMissingColumns=True), _count_parts, "low double, part int, n bigint, least double, most double").groupBy(
+            "_group", "low", "part").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        before = Window.partitionBy("_group", "low").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # few parts each
+        parts = parts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        closer = wide.select("_group", "i", "k", "low").join(parts, ["_group", "low"]).where("below <= k AND k < below + n").select(
+            "_group", "i", (F.col("k") - F.col("below")).alias("k"), F.col("least").alias("low"), F.col("most").alias("high"))
+        state = settle(state.where("low >= high").unionByName(closer))
+    at = [F.max(F.when(F.col("i") == i, F.col("low"))).alias(f"at{i}") for i in range(4)]
+    carried = carried.join(state.groupBy("_group").agg(*at), "_group", "left")
+    for i, (name, place) in enumerate(zip(("median_aadt", "p90_aadt"), places_of)):
+        below, above = F.col(f"at{2 * i}"), F.col(f"at{2 * i + 1}")
+        carried = carried.withColumn(name, below + (above - below) * (place - F.floor(place)))
+    return carried, hit
+
+
 def match_segments(points: DataFrame, segments: DataFrame, group: str, segment: str, radius: float = 30.0,
                    spacing: float = 15.0) -> DataFrame:
     """Traffic around each group's points: segments within ``radius`` metres, and what they carry.
 
     ``points`` has the group and lat, lon. ``segments`` has the segment id, ``points`` (array of
-    lat/lon), ``count``, ``truck_pct`` and ``length_ft``. Groups without any near segment stay.
+    lat/lon), ``count`` (whole numbers), ``truck_pct`` and ``length_ft``. Groups without any near segment stay.
     """
     dense = densify(segments, segment, "points", spacing).select(
-        segment, local_east(F.col("lon")).alias("rx"), local_north(F.col("lat")).alias("ry"))
-    # read three times below; written once, so that what makes the points runs once
-    asking = settle(points.select(group, local_east(F.col("lon")).alias("x"), local_north(F.col("lat")).alias("y")))
-    # each distinct place is looked up once, whichever groups pass there
-    spots = asking.select("x", "y").distinct()
-    near = settle(segments_within(spots, dense, segment, radius))
-    hit = near.select("x", "y").distinct().withColumn("_hit", F.lit(1))
-    rates = asking.join(hit, ["x", "y"], "left").groupBy(group).agg(
+        F.col(segment).alias("_seg"), local_east(F.col("lon")).alias("rx"), local_north(F.col("lat")).alias("ry"))
+    finite = " AND ".join(f"{c} IS NOT NULL AND abs({c}) < double('infinity')" for c in ("rx", "ry"))
+    lines = dense.where(finite).groupBy("_seg").agg(F.collect_set(F.struct("rx", "ry")).alias("_p"))
+    carries = segments.groupBy(F.col(segment).alias("_seg")).agg(F.collect_list(F.struct(
+        F.col("count").cast("bigint").alias("c"), F.col("truck_pct").cast("double").alias("t"), F.col("length_ft").cast("double").alias("l"))).alias("_c"))
+    # a segment without an id is near a place, but carries nothing
+    shapes = settle(lines.join(carries, "_seg", "left").withColumn("_c", F.coalesce("_c", F.filter(
+        F.array(F.struct(*[F.lit(None).cast(k).alias(c) for c, k in (("c", "bigint"), ("t", "double"), ("l", "double"))])), lambda c: F.lit(False)))).select(
+        "_seg", F.col("_p.rx").alias("_rx"), F.col("_p.ry").alias("_ry"), F.col("_c.c").alias("_count"), F.col("_c.t").alias("_truck"), F.col("_c.l").alias("_length")))
+    # each distinct place is looked up once, whichever groups pass there; places without coordinates are dealt by group
+    asking = points.select(F.col(group).alias("_group"), local_east(F.col("lon")).alias("x"), local_north(F.col("lat")).alias("y"))
+    nowhere = F.when(F.col("x").isNull() | F.col("y").isNull(), F.pmod(F.xxhash64("_group"), F.lit(1000)))
+    visits = settle(asking.groupBy("x", "y", nowhere.alias("_deal")).agg(
+        F.collect_list("_group").alias("_groups"), F.count_if(F.col("_group").isNull()).cast("int").alias("_nameless")).drop("_deal"))
+    carried, hit = _group_sums(visits, shapes, points.schema[group].dataType.simpleString(), radius)
+    everyone = F.concat(F.col("_groups"), F.array_repeat(F.lit(None).cast(points.schema[group].dataType), F.col("_nameless")))
+    rates = visits.join(hit.withColumn("_hit", F.lit(1)), ["x", "y"], "left").select(F.explode(everyone).alias("_group"), "_hit").groupBy("_group").agg(
         F.count(F.lit(1)).alias("n_route_points"), (F.count("_hit") / F.count(F.lit(1))).alias("match_rate"))
-    length, count, truck = F.col("length_ft"), F.col("count").cast("double"), F.col("truck_pct").cast("double")
-    truck_length = F.when(truck.isNotNull(), length)
-    total = F.sum(length)
-    met = asking.join(near, ["x", "y"]).select(group, segment).distinct()
-    pairs = settle(met.join(segments.select(segment, "count", "truck_pct", "length_ft"), segment))
-    carried = pairs.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n_segments"), total.alias("total_length_ft"),
-        F.when(total > 0, F.try_divide(F.sum(count * length), total)).otherwise(F.avg(count)).alias("weighted_aadt"),
-        F.max("count").cast("bigint").alias("max_aadt"),
-        F.when(total > 0, F.try_divide(F.sum(truck * length), F.nullif(F.sum(truck_length), F.lit(0.0))))
-        .otherwise(F.avg(truck)).alias("avg_truck_pct"))
-    places = quantiles(pairs, "count", {"median_aadt": 0.5, "p90_aadt": 0.9}, [group])
-    out = rates.join(carried, group, "left").join(places, group, "left")
+    total = F.col("s_length")
+    carried = carried.select(
+        "_group", F.col("n").alias("n_segments"), total.alias("total_length_ft"),
+        F.when(total > 0, F.try_divide("s_count_length", total)).otherwise(F.try_divide("s_count", "n_count")).alias("weighted_aadt"),
+        F.col("top").alias("max_aadt"),
+        F.when(total > 0, F.try_divide("s_truck_length", F.nullif(F.col("s_length_trucks"), F.lit(0.0))))
+        .otherwise(F.try_divide("s_truck", "n_truck")).alias("avg_truck_pct"), "median_aadt", "p90_aadt")
+    out = rates.join(carried, "_group", "left").withColumnRenamed("_group", group)
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_segments", "max_aadt")}
     zero |= {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("total_length_ft", "weighted_aadt", "median_aadt", "p90_aadt")}
     return out.withColumns(zero)
-

@@ -194,3 +194,53 @@ def test_spans_are_worked_out_in_more_than_one_task(frame):
     df = frame([(f"g{i % 20}", 40.0 + i * 1e-4, -80.0 + i % 7 * 1e-3) for i in range(200)], "g string, lat double, lon double")
     got = spatial.group_span(df, "g")
     assert got.count() == 20 and got.rdd.getNumPartitions() == int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+@pytest.mark.parametrize("pairs, held, visits, points", [(2_000_000, 1_000_000, 1 << 20, 1 << 16), (50, 20, 40, 60)])
+def test_segment_match_adds_up_without_listing_pairs(frame, monkeypatch, pairs, held, visits, points):
+    for name, value in (("_PAIRS", pairs), ("_HELD", held), ("_TILE_VISITS", visits), ("_TILE_POINTS", points)):
+        monkeypatch.setattr(spatial, name, value)
+    written, settle = [], spatial.settle
+    monkeypatch.setattr(spatial, "settle", lambda df: written.append(settle(df)) or written[-1])
+    rng = random.Random(11)
+    spots = [(40.44 + rng.uniform(0, 0.002), -80 + rng.uniform(0, 0.002)) for _ in range(60)]
+    rows = [(f"r{g}", *spots[rng.randrange(60)]) for g in range(60) for _ in range(12)]
+    rows += [(None, 40.44, -80.0), ("r1", None, -80.0), ("alone", None, None)]
+    roads = []
+    for i in range(300):
+        lat, lon = 40.44 + rng.uniform(0, 0.002), -80 + rng.uniform(0, 0.002)
+        line = [(lat, lon), (lat + rng.uniform(0, 0.0003), lon + 0.0002)] + ([(lat, lon + 0.05)] if i % 50 == 0 else [])
+        roads.append((i if i else None, line, rng.choice([10, 20, 10 ** 6, rng.randrange(5000)]), rng.choice([None, 5.0, 7.5]), rng.choice([0.0, 10.0, 33.0])))
+    roads += [roads[5], (7, [(40.4401, -80.0)], None, 1.0, None)]
+    kind = "seg int, points array<struct<lat: double, lon: double>>, count int, truck_pct double, length_ft double"
+    asked, lines = frame(rows, "route_id string, lat double, lon double"), frame(roads, kind)
+    got = {r.route_id: r for r in spatial.match_segments(asked, lines, "route_id", "seg").collect()}
+    counted = sum(df.count() for df in written)
+
+    def plane(df, *more):
+        return [tuple(r) for r in df.select(*more, spatial.local_east(F.col("lon")), spatial.local_north(F.col("lat"))).collect()]
+
+    dense = plane(spatial.densify(lines, "seg", "points", 15.0), "seg")
+    near, hits, total = {}, {}, 0
+    for route, x, y in plane(asked, "route_id"):
+        met = {s for s, rx, ry in dense if (x - rx) ** 2 + (y - ry) ** 2 <= 900} if x is not None and y is not None else set()
+        near.setdefault(route, set()).update(met)
+        hits.setdefault(route, []).append(bool(met))
+    assert set(got) == set(near)
+    for route, segs in near.items():
+        r = got[route]
+        assert (r.n_route_points, r.match_rate) == (len(hits[route]), pytest.approx(np.mean(hits[route])))
+        carried = [x for x in roads if x[0] is not None and x[0] in segs] if route is not None else []
+        total += len(carried)
+        counts = [x[2] for x in carried if x[2] is not None]
+        length = sum(x[4] or 0 for x in carried)
+        assert (r.n_segments, r.total_length_ft) == (len(carried), pytest.approx(length))
+        if not carried:
+            continue
+        assert r.max_aadt == max(counts)
+        assert (r.median_aadt, r.p90_aadt) == pytest.approx(tuple(np.quantile(counts, [0.5, 0.9])))
+        assert r.weighted_aadt == pytest.approx(sum(x[2] * x[4] for x in carried if x[2] is not None and x[4] is not None) / length)
+        trucks = [x for x in carried if x[3] is not None]
+        assert r.avg_truck_pct == pytest.approx(sum(x[3] * (x[4] or 0) for x in trucks) / sum(x[4] or 0 for x in trucks))
+    assert total > 5000
+    assert held < 1_000_000 or counted < total / 2  # no frame with a row for each pair is written
