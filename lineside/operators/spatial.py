@@ -7,7 +7,7 @@ and radius match meet through grid cells.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -290,17 +290,84 @@ def _some_distance(places: DataFrame, by: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def nearest_neighbour(df: DataFrame, group: str, entity: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Metres to the nearest other entity of the same group; NULL for an entity alone in its group.
+#: Groups of up to so many rows are compared within a task; larger ones go along the curve.
+_COMPARED_ROWS = 2048
 
-    (group, entity) must be unique. Exact, without comparing all pairs of a group. Places are put in order along a
-    space-filling curve; the neighbours there bound a place's nearest distance. It then asks in the one grid
+
+def nearest_neighbour(df: DataFrame, group: str, entity: str, lat: str = "lat", lon: str = "lon", keep: Sequence[str] = ()) -> DataFrame:
+    """Metres to the nearest other entity of the same group; NULL for an entity alone in its group. ``keep`` names columns to carry along.
+
+    (group, entity) must be unique. Exact. Rows are written once, by group. Groups of a bounded size, as those of routes are, are
+    met whole in a task, many to a batch; the others are looked up along a space-filling curve, without comparing all pairs.
+    """
+    kinds = [_kind(df, c) for c in (group, entity, *keep)]
+    rows = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
+        group, entity, *keep, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
+    rows = settle(rows.repartition(_tasks(df), group).sortWithinPartitions(group))
+    odd = [F.isnan(c) | (F.abs(c) == float("inf")) for c in ("_lat", "_lon")]
+    large = settle(rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(odd[0] | odd[1]).alias("_odd")).where(F.col("_odd") | (F.col("_n") > _COMPARED_ROWS)).select("_g"))
+    small, along = rows, None
+    if large.limit(1).count():
+        small = rows.join(large, F.col(group) == F.col("_g"), "left_anti").repartition(_tasks(df), group).sortWithinPartitions(group)
+        along = _nearest_along_curve(rows.join(large, F.col(group) == F.col("_g"), "left_semi"), group, entity, "_lat", "_lon", keep)
+    schema = ", ".join([*kinds, "_lat double", "_lon double", "_olat double", "_olon double"])
+    met = small.mapInArrow(_nearest_within(group, to_arrow_schema(_parse_datatype_string(schema))), schema)
+    out = met.select(group, entity, *keep, haversine(F.col("_lat"), F.col("_lon"), F.col("_olat"), F.col("_olon"), EARTH_M).alias("nearest_neighbor_m"))
+    return out if along is None else out.unionByName(along)
+
+
+def _nearest_within(group: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the nearest other row of each row's group; rows come in the order of their groups, rows without a group have none."""
+
+    def nearest(xyz: np.ndarray) -> np.ndarray:
+        found = np.empty(xyz.shape[1], np.int64)
+        step = max(1, 262_144 // len(found))
+        for a in range(0, len(found), step):
+            mine = xyz[:, a:a + step]
+            apart = sum((mine[k][:, None] - xyz[k]) ** 2 for k in range(3))
+            apart[np.arange(mine.shape[1]), np.arange(a, a + mine.shape[1])] = np.inf
+            found[a:a + step] = np.argmin(apart, axis=1)
+        return found
+
+    def answered(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        lat, lon, named = rows["_lat"].to_numpy(), rows["_lon"].to_numpy(), rows[group].is_valid().to_numpy()
+        xyz = EARTH_M * _unit(lat, lon).T
+        other = np.full(len(lat), -1)
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1 and named[a]:
+                other[a:b] = nearest(xyz[:, a:b]) + a
+        columns = [_whole(rows[f.name]).cast(f.type) for f in list(schema)[:-2]]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(v[other], mask=other < 0) for v in (lat, lon)], schema=schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            codes = _whole(rows[group]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = np.r_[0, np.flatnonzero(np.diff(codes)) + 1, len(codes)]
+            goes_on = rows[group][-1].is_valid  # its last group may go on in the next batch
+            end = int(cuts[-2]) if goes_on else len(codes)
+            held = rows.slice(end) if goes_on else None
+            if end:
+                yield answered(rows.slice(0, end), cuts[cuts <= end])
+        if held is not None:
+            yield answered(held, np.array([0, held.num_rows]))
+
+    return each
+
+
+def _nearest_along_curve(df: DataFrame, group: str, entity: str, lat: str, lon: str, keep: Sequence[str]) -> DataFrame:
+    """See ``nearest_neighbour``, for groups of any size.
+
+    Places are put in order along a space-filling curve; the neighbours there bound a place's nearest distance. It then asks in the one grid
     whose cubes are at least twice that bound, so its surroundings touch eight cubes at most, and
     places are laid out only at the sizes their group asks at.
     """
-    rows = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     places = settle(
-        rows.groupBy(group, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
+        df.groupBy(group, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
         .agg(F.count(F.lit(1)).alias("_here"))
         .select("*", *[(EARTH_M * (1 + v)).alias(c) for v, c in zip(_on_sphere("_lat", "_lon"), "xyz")])
         .withColumn("_code", _morton(F.col("x"), F.col("y"), F.col("z"))))
@@ -329,7 +396,7 @@ def nearest_neighbour(df: DataFrame, group: str, entity: str, lat: str = "lat",
     crowded = places.where("_here > 1").select(group, "_lat", "_lon", F.lit(0.0).alias("_metres"))
     nearest = found.unionByName(crowded).withColumnsRenamed({"_lat": lat, "_lon": lon})
     nearest = nearest.withColumn("nearest_neighbor_m", F.col("_metres")).drop("_metres")
-    return rows.join(nearest, [group, lat, lon], "left").select(group, entity, "nearest_neighbor_m")
+    return df.join(nearest, [group, lat, lon], "left").select(group, entity, *keep, "nearest_neighbor_m")
 
 
 def radius_matches(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:

@@ -42,8 +42,7 @@ def stop_route_usage(usage: DataFrame) -> DataFrame:
 
 def consolidation_candidates(per_route: DataFrame, low: float = 5.0, walk_m: float = 400.0) -> DataFrame:
     """Low-usage stops with another stop of the same route within walking distance."""
-    near = nearest_neighbour(per_route, "route_name", "stop_id")
-    out = per_route.select("stop_id", "route_name", "avg_daily_usage").join(near, ["route_name", "stop_id"])
+    out = nearest_neighbour(per_route, "route_name", "stop_id", keep=["avg_daily_usage"]).where("route_name IS NOT NULL AND stop_id IS NOT NULL")
     out = out.withColumn("low_usage", F.col("avg_daily_usage") < low)
     close = F.coalesce(F.col("nearest_neighbor_m") <= walk_m, F.lit(False))
     return out.withColumn("candidate", F.col("low_usage") & close)

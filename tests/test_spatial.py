@@ -244,3 +244,26 @@ def test_segment_match_adds_up_without_listing_pairs(frame, monkeypatch, pairs,
         assert r.avg_truck_pct == pytest.approx(sum(x[3] * (x[4] or 0) for x in trucks) / sum(x[4] or 0 for x in trucks))
     assert total > 5000
     assert held < 1_000_000 or counted < total / 2  # no frame with a row for each pair is written
+
+
+@pytest.mark.parametrize("compared", [2048, 25, 0])
+def test_nearest_neighbour_writes_the_rows_once(spark, frame, monkeypatch, compared):
+    monkeypatch.setattr(spatial, "_COMPARED_ROWS", compared)
+    written, settle = [], spatial.settle
+    monkeypatch.setattr(spatial, "settle", lambda df: written.append(settle(df)) or written[-1])
+    rng = random.Random(4)
+    rows = [(f"g{g}", f"{g}-{i}", rng.gauss(40, 0.1), rng.gauss(-80, 0.1), i) for g in range(9) for i in range(g * g)]
+    rows += [("g3", "twin", 40.0, -80.0, 1), ("g3", "twin2", 40.0, -80.0, 2), ("g4", "nowhere", None, 1.0, 3), (None, "a", 40.0, -80.0, 4), (None, "b", 40.1, -80.0, 5)]
+    df = frame(rows, "g string, id string, lat double, lon double, more int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.g, r.id): (r.more, r.nearest_neighbor_m) for r in spatial.nearest_neighbour(df, "g", "id", keep=["more"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    placed = [r for r in rows if r[2] is not None]
+    assert len(got) == len(placed)
+    for g, i, la, lo, more in placed:
+        near = min((km((la, lo), (o[2], o[3]), 6_371_000.0) for o in placed if g and o[0] == g and o[1] != i), default=None)
+        assert got[g, i] == (more, pytest.approx(near, abs=1e-6) if near is not None else None), (g, i)
+    if compared == 2048:  # no second frame with a row for each place
+        assert sum(d.count() for d in written) == len(placed)
