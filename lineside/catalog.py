@@ -416,8 +416,7 @@ def transfer_tiers(t):
 
 @query(f"level {CORR}", CORR_FLOATS)
 def hub_correlations(t):
-    return places.hub_correlations(places.transfer_hubs(t.otp, t.routes, t.route_stops, t.stops),
-                                   places.route_connectivity(t.otp, t.routes, t.route_stops, t.stops))
+    return places.hub_correlations(*places.hubs_and_connectivity(t.otp, t.routes, t.route_stops, t.stops))
 
 
 # --- panel and models -------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from lineside.operators.spatial import group_span, longest_variant
 from lineside.operators.strata import all_and_bus
 from lineside.plans.common import route_average, stop_counts
 from lineside.plans.routes import bounded_bucket
-from lineside.session import spread
+from lineside.session import settle, spread
 
 
 def _hood_rows(otp: DataFrame, route_stops: DataFrame, stops: DataFrame, min_months: int) -> DataFrame:
@@ -237,9 +237,12 @@ def transfer_hubs(otp: DataFrame, routes: DataFrame, route_stops: DataFrame, sto
     """Stops by the number of routes meeting there, with the weekday-trip-weighted value."""
     means = route_average(otp, routes, 1).select("route_id", "avg_otp")
     rows = _distinct_visits(route_stops, means)
-    out = rows.groupBy("stop_id").agg(
+    return _located_hubs(rows.groupBy("stop_id").agg(
         weighted_mean(F.col("avg_otp"), F.col("trips_wd")).alias("avg_otp"),
-        F.count_distinct("route_id").alias("n_routes"), F.sum("trips_wd").alias("total_trips"))
+        F.count_distinct("route_id").alias("n_routes"), F.sum("trips_wd").alias("total_trips")), stops)
+
+
+def _located_hubs(out: DataFrame, stops: DataFrame) -> DataFrame:
     out = out.where(F.col("avg_otp").isNotNull()).join(stops.select("stop_id", "stop_name", "lat", "lon", "muni"), "stop_id")
     n = F.col("n_routes")
     return out.withColumn("tier", ladder(n, [(n >= 5, "hub (5+)"), (n >= 2, "medium (2-4)")], "simple (1)"))
@@ -251,11 +254,27 @@ def route_connectivity(otp: DataFrame, routes: DataFrame, route_stops: DataFrame
     pairs = route_stops.select("route_id", "stop_id").distinct().join(stops.select("stop_id"), "stop_id", "left_semi").join(
         means.select("route_id"), "route_id", "left_semi")
     meeting = pairs.groupBy("stop_id").agg(F.count("route_id").alias("stop_n_routes"))
-    out = pairs.join(meeting, "stop_id").groupBy("route_id").agg(
+    return _with_means(pairs.join(meeting, "stop_id"), means)
+
+
+def _with_means(pairs: DataFrame, means: DataFrame) -> DataFrame:
+    out = pairs.groupBy("route_id").agg(
         F.count("stop_id").alias("n_stops_on_route"), F.avg("stop_n_routes").alias("avg_stop_connectivity"))
     return out.join(means.select("route_id", "mode", "avg_otp"), "route_id")
 
 
+def hubs_and_connectivity(otp: DataFrame, routes: DataFrame, route_stops: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``transfer_hubs`` and ``route_connectivity`` with the facts read once: both are made of one row a stop, with its routes."""
+    means = settle(route_average(otp, routes, 1))
+    at_stop = _distinct_visits(route_stops, means.select("route_id", "avg_otp")).groupBy("stop_id").agg(
+        weighted_mean(F.col("avg_otp"), F.col("trips_wd")).alias("avg_otp"), F.collect_set("route_id").alias("_routes"),
+        F.sum("trips_wd").alias("total_trips"))
+    at_stop = settle(at_stop.withColumn("n_routes", F.size("_routes").cast("bigint")))
+    met = at_stop.join(stops.select("stop_id"), "stop_id", "left_semi").select(
+        "stop_id", F.col("n_routes").alias("stop_n_routes"), F.explode("_routes").alias("route_id"))
+    return _located_hubs(at_stop.drop("_routes"), stops), _with_means(met, means)
+
+
 def hub_correlations(hubs: DataFrame, connected: DataFrame) -> DataFrame:
     """Stop-level and route-level connectivity against value."""
     stop_level = correlate(hubs, "n_routes", "avg_otp").withColumn("level", F.lit("stop"))
