@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -31,16 +31,28 @@ def dominant_row(df: DataFrame, keys: Sequence[str], measure: str, tiebreak: str
     return first_per_key(df, keys, [-size, F.col(tiebreak)])
 
 
-def load_once(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], not_null: Sequence[str] = ()) -> DataFrame:
+def load_once(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], not_null: Sequence[str] = (),
+              seen: Observation | None = None) -> DataFrame:
     """Rows an idempotent keyed load keeps.
 
     Rows that break NOT NULL are skipped, the first row per key wins, and rows with a NULL key
-    part are all kept, since NULL never equals NULL in a key.
+    part are all kept, since NULL never equals NULL in a key. With ``seen`` the breaches that ``check_table`` reports for the key
+    and NOT NULL are counted on the way, once the rows are written.
     """
-    for column in not_null:
-        df = df.where(F.col(column).isNotNull())
-    open_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    return first_per_key(df.where(~open_key), keys, order).unionByName(df.where(open_key))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    if seen is None:
+        for column in not_null:
+            df = df.where(F.col(column).isNotNull())
+        return first_per_key(df.where(whole), keys, order).unionByName(df.where(~whole))
+    fits = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in not_null], F.lit(True))
+    ranked = F.when(fits, F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]))
+    rest = F.struct(*[c for c in df.columns if c not in keys])
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"_null{i}") for i, c in enumerate(not_null)]
+    found = df.withColumn("_alone", F.when(~whole, F.monotonically_increasing_id())).groupBy(*keys, "_alone").agg(
+        F.min_by(rest, ranked).alias("_row"), F.count(F.lit(1)).alias("_n"), F.count_if(fits).alias("_fit"), *nulls)
+    found = found.observe(seen, F.sum(F.when(F.col("_alone").isNull(), F.col("_n") - 1)).alias("extra"), *[
+        F.sum(f"_null{i}").alias(c) for i, c in enumerate(f"null_{c}" for c in not_null)])
+    return found.where("_fit > 0").select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def append_new(current: DataFrame, arriving: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
@@ -50,8 +62,18 @@ def append_new(current: DataFrame, arriving: DataFrame, keys: Sequence[str], ord
 
 
 def check_table(name: str, df: DataFrame, key: Sequence[str] = (), not_null: Sequence[str] = (),
-                parents: Mapping[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
-    """Constraint report of one table: (table_name, check_name, column_name, violations)."""
+                parents: Mapping[str, tuple[DataFrame, str]] | None = None, seen: Observation | None = None) -> DataFrame:
+    """Constraint report of one table: (table_name, check_name, column_name, violations).
+
+    With ``seen`` the breaches of the key and NOT NULL were counted while ``load_once`` wrote the rows, and ``df`` is not read for them.
+    """
+    if seen is not None:
+        counted = seen.get
+        rows = [(name, "primary_key", ",".join(key), counted.get("extra") or 0)] if key else []
+        rows += [(name, "not_null", c, counted.get(f"null_{c}") or 0) for c in not_null]
+        report = df.sparkSession.createDataFrame(rows, "table_name string, check_name string, column_name string, violations bigint")
+        return report.unionByName(check_table(name, df, parents=parents)) if parents else report
+
     def line(check: str, column: str, counted: DataFrame) -> DataFrame:
         return counted.select(F.lit(name).alias("table_name"), F.lit(check).alias("check_name"),
                               F.lit(column).alias("column_name"), F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))

@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lineside.operators.load import check_table, load_once, require_parents
+from lineside.operators.load import ForeignKeyError, check_table, load_once, require_parents
 from lineside.sources.schemas import KEYS, NOT_NULL, PARENTS
 
 
@@ -62,18 +62,39 @@ def load_tables(spark: SparkSession, tables: Mapping[str, DataFrame], root: str,
     """
     reports, stored = None, {}
     for name, df in tables.items():
-        kept = load_once(df, KEYS[name], list(order[name]), NOT_NULL.get(name, ()))
+        seen = Observation()
+        kept = load_once(df, KEYS[name], list(order[name]), NOT_NULL.get(name, ()), seen)
         kept = kept.drop(*[c for c in order[name] if c.startswith("_")])
+        # written beside its place, so that what makes the rows runs once; it moves there when its parents are known
+        arriving = f"{root}/arriving-{name}-{uuid.uuid4().hex}"
+        replace_table(kept, arriving)
         parents = {c: (stored[t], k) for c, (t, k) in PARENTS.get(name, {}).items() if t in stored}
         if parents:
-            require_parents(check_table(name, kept, parents=parents))
-        replace_table(kept, f"{root}/{name}")
+            try:
+                require_parents(check_table(name, spark.read.schema(kept.schema).parquet(arriving), parents=parents))
+            except ForeignKeyError:
+                _files(spark, arriving)[0].delete(_files(spark, arriving)[1], True)
+                raise
+        _move(spark, arriving, f"{root}/{name}")
         stored[name] = spark.read.schema(kept.schema).parquet(f"{root}/{name}")
-        report = check_table(name, df, KEYS[name], NOT_NULL.get(name, ()))
+        report = check_table(name, df, KEYS[name], NOT_NULL.get(name, ()), seen=seen)
         reports = report if reports is None else reports.unionByName(report)
     return reports
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _move(spark: SparkSession, path: str, to: str) -> None:
+    """Put a written folder in the place of another."""
+    files, target = _files(spark, to)
+    files.delete(target, True)
+    if not files.rename(_files(spark, path)[1], target):
+        raise OSError(f"could not move {path} to {to}")
+
+
 # --- published sets -------------------------------------------------------------------------
 # A set of tables lives below one root. ``commits`` holds a row for each publication: its number and where each table
 # lies. Table folders are written beside the old ones and never touched again; adding the row publishes them all at once.

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lineside.operators import load
@@ -186,3 +187,35 @@ def test_a_load_is_published_whole_or_not_at_all(spark, frame, tmp_path):
     assert sinks.publish_table(frame([("1", "2020-01", 0.9)], "route_id string, month string, otp double"), root, "otp_monthly") == 2
     assert sinks.read_published(spark, root, "otp_monthly").first().otp == 0.9 and sinks.read_published(spark, root, "routes").first().mode == "BUS"
     assert held.first().otp == 0.5  # a reader that began before goes on undisturbed
+
+
+def test_a_load_reads_its_source_once(spark, frame, tmp_path):
+    rows = [("a", "IB", 2, 1.0), ("a", "IB", 1, 2.0), ("a", None, 2, 3.0), ("a", None, 1, 4.0), ("b", "IB", 1, None), ("b", "IB", 3, 5.0), ("c", "IB", 1, None)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    kind = "route_id string, month string, _ordinal int, otp double"
+    df = frame(rows, kind).mapInPandas(counted, kind)
+    routes = frame([("a", "A", "BUS", 0), ("b", "B", "BUS", 0)], "route_id string, route_name string, mode string, _ordinal int")
+    order = {"routes": ["_ordinal"], "otp_monthly": ["_ordinal"]}
+    report = sinks.load_tables(spark, {"routes": routes, "otp_monthly": df}, str(tmp_path / "a"), order)
+    found = {(r.table_name, r.check_name, r.column_name): r.violations for r in report.collect()}
+    assert read.value == len(rows)
+    assert found["otp_monthly", "primary_key", "route_id,month"] == 2 and found["otp_monthly", "not_null", "month"] == 2
+    assert found["otp_monthly", "not_null", "otp"] == 2 and found["routes", "primary_key", "route_id"] == 0
+    kept = spark.read.parquet(f"{tmp_path}/a/otp_monthly")
+    assert sorted(tuple(r) for r in kept.select("route_id", "month", "otp").collect()) == [("a", "IB", 2.0), ("b", "IB", 5.0)]
+    # without NOT NULL every row with a null key part stays
+    seen = Observation()
+    load.load_once(frame(rows, kind), ["route_id", "month"], ["_ordinal"], seen=seen).write.parquet(f"{tmp_path}/b")
+    assert seen.get == {"extra": 2} and spark.read.parquet(f"{tmp_path}/b").count() == 5
+    # an empty table, and a load that fails, leave nothing behind
+    empty = sinks.load_tables(spark, {"routes": routes.where("mode = 'none'")}, str(tmp_path / "e"), order)
+    assert sum(r.violations for r in empty.collect()) == 0 and spark.read.parquet(f"{tmp_path}/e/routes").count() == 0
+    with pytest.raises(load.ForeignKeyError):
+        sinks.load_tables(spark, {"routes": routes.where("route_id = 'a'"), "otp_monthly": df}, str(tmp_path / "a"), order)
+    assert spark.read.parquet(f"{tmp_path}/a/otp_monthly").count() == 2 and sorted(p.name for p in (tmp_path / "a").iterdir()) == ["otp_monthly", "routes"]
