@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ STRETCH = 1 << 20
 #: Units and their characters kept in a task's memory, and the longest unit that is encoded with others.
 KNOWN, KNOWN_CHARS, LONG = 400_000, 1 << 24, 256
 #: Units that are encoded in one call.
-BLOCK = 4096
+BLOCK = 1024
+#: Ids of a group from which on equal ones are counted before they are linked.
+CROWD = 8
 
 # White space of either tokenizer or of Python, but for space and line feed, and invisible marks that some tables call space.
 _ODD = r"\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -38,6 +41,7 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its one core
         self.a = Tokenizer.from_file(tokenizer_path(name_a))
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name_b))
@@ -48,6 +52,9 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode()
                         for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
         self.long_a, self.long_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        #: Every id in decimal with what may come after it: two forms of each A id, then three of each B id.
+        self.decimal = [b"%d%b" % (i, after) for t, more in ((self.bytes_a, (b",", b"|")), (self.bytes_b, (b",", b";", b"\n")))
+                        for i in range(len(t)) for after in more]
         # A unit may be encoded by itself only if no piece reaches over its border.
         inside = [p for i, p in enumerate(self.bytes_b) if not (self.b.is_byte(i) or self.b.is_control(i)) and (b"\n" in p or b" " in p.lstrip(b" "))]
         if inside:
@@ -56,7 +63,7 @@ class Pair:
     def ids(self, block: str) -> tuple[list[int], list[int]]:
         """The ids of a text that already begins with its space (or of a later stretch of one)."""
         two = self.b.encode(block[1:]) if block[0] == " " else self.b.encode(block)[1:]
-        return self.a.encode(block, add_special_tokens=False).ids, two
+        return self.a.encode_batch_fast([block], add_special_tokens=False)[0].ids, two
 
 
 def _byte_letters() -> dict[str, int]:
@@ -72,12 +79,11 @@ def pair_of(name_a: str, name_b: str) -> Pair:
     return _loaded[name_a, name_b]
 
 
-def groups_of(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int]]:
+def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The groups in order: the byte where both tokenizers end, and how many ids of each lie before it."""
-    at_a = {end: i for i, end in enumerate(ends_a, 1)}
-    at_b = {end: i for i, end in enumerate(ends_b, 1)}
-    for end in sorted(at_a.keys() & at_b.keys()):
-        yield end, at_a[end], at_b[end]
+    at_a, at_b = (dict(zip(ends.tolist(), range(1, len(ends) + 1))) for ends in (ends_a, ends_b))
+    common = [end for end in at_a if end in at_b]
+    return np.array(common, np.int64), *(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
 
 
 def stretches(text: str) -> Iterator[str]:
@@ -107,6 +113,14 @@ def whole(unit: str | tuple[str]) -> str:
     return unit[0] if type(unit) is tuple else unit if unit[0] == "\n" else " " + unit
 
 
+class Numbers(dict):
+    """Unit -> its number; one that is asked for first takes the next."""
+
+    def __missing__(self, unit: str | tuple[str]) -> int:
+        self[unit] = number = len(self)
+        return number
+
+
 class Units:
     """What is known of each unit: sizes, the written groups, and its id pairs with the links of each."""
 
@@ -115,9 +129,9 @@ class Units:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict = {}
+        self.at = Numbers()
         self.chars = 0
-        self.written: list[str] = []
+        self.written: list[bytes] = []
         #: n_a, n_b, n_groups, n_links, broken, first pair, pairs
         self.sizes = np.zeros((0, 7), np.int64)
         self.keys, self.links = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -125,76 +139,91 @@ class Units:
     def full(self) -> bool:
         return len(self.at) > self.most or self.chars > KNOWN_CHARS
 
-    def learn(self, wanted: Iterable) -> None:
-        """Take in units that are not known yet."""
-        plain, other = [], []
+    def numbers(self, stretch: list) -> np.ndarray:
+        """The number of each unit; ``learn`` takes in the new ones."""
+        return np.fromiter(map(self.at.__getitem__, stretch), np.int64, len(stretch))
+
+    def learn(self, wanted: Iterable = ()) -> None:
+        """Take in ``wanted`` and all units that have a number only."""
         for unit in wanted:
-            (other if type(unit) is tuple or len(unit) > LONG else plain).append(unit)
-        made: list[tuple] = []
-        for at in range(0, len(plain), BLOCK):
-            block = plain[at:at + BLOCK]
-            found = self._block(block)
-            made += found if found is not None else [x for u in block for x in self._block([u]) or [self._broken()]]
-        for unit in other:
-            made += self._block([unit]) or [self._broken()]
-        first = len(self.keys)
-        sizes, keys, links = [], [], []
-        for unit, (n_a, n_b, groups, pairs) in zip([*plain, *other], made):
-            self.at[unit] = len(self.written)
-            self.chars += len(unit) if type(unit) is str else len(unit[0])
-            self.written.append(";".join(groups))
-            sizes.append((n_a, n_b, len(groups), sum(pairs.values()), n_a < 0, first + len(keys), len(pairs)))
-            keys += pairs
-            links += pairs.values()
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 7)])
-        self.keys = np.concatenate([self.keys, np.array(keys, np.uint32)])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
-
-    def _broken(self) -> tuple:
-        """A unit whose bytes do not come back."""
-        return -1, 0, [], {}
-
-    def _block(self, block: list) -> list[tuple] | None:
-        """Sizes, groups and pairs of units encoded together; None if bytes do not come back or a border is no common end."""
+            self.at[unit]
+        known = len(self.written)
+        new = list(islice(reversed(self.at), len(self.at) - known))[::-1]
+        other = [i for i, u in enumerate(new) if type(u) is tuple or len(u) > LONG]
+        alone = set(other)
+        plain = [i for i in range(len(new)) if i not in alone] if alone else range(len(new))
+        self.chars += sum(len(u) if type(u) is str else len(u[0]) for u in new)
+        self.written += [b""] * len(new)
+        sizes = np.zeros((len(new), 7), np.int64)
+        all_keys, all_links, first = [self.keys], [self.links], len(self.keys)
+        waiting = [plain[at:at + BLOCK] for at in range(0, len(plain), BLOCK)] + [[i] for i in other]
+        waiting.reverse()
+        while waiting:
+            rows = waiting.pop()
+            found = self._block([new[i] for i in rows])
+            if found:
+                own, written, keys, links = found
+                own[:, 5] += first
+                sizes[rows] = own
+                for i, text in zip(rows, written):
+                    self.written[known + i] = text
+                all_keys.append(keys)
+                all_links.append(links)
+                first += len(keys)
+            elif len(rows) == 1:
+                sizes[rows, 4] = 1  # bytes do not come back
+            else:
+                waiting += [[i] for i in rows]
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.keys, self.links = np.concatenate(all_keys), np.concatenate(all_links)
+
+    def _block(self, block: list) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray] | None:
+        """Sizes, written groups and pairs of units encoded together; None if bytes do not come back or a border is no common end."""
         raw = [whole(u).encode("utf-8", "surrogatepass") for u in block]
         together = b"".join(raw)
         ids_a, ids_b = self.pair.ids(together.decode("utf-8", "surrogatepass"))
         if b"".join(map(self.pair.bytes_a.__getitem__, ids_a)) != together or b"".join(map(self.pair.bytes_b.__getitem__, ids_b)) != together:
             return None
-        ends_a, ends_b = (np.cumsum(table[ids]).tolist() for table, ids in ((self.pair.long_a, ids_a), (self.pair.long_b, ids_b)))
-        made, border, i, j, end = [], 0, 0, 0, 0
-        left = groups_of(ends_a, ends_b)
-        for part in raw:
-            border += len(part)
-            groups, pairs, from_a, from_b = [], {}, i, j
-            while end != border:
-                end, p, q = next(left)
-                if p - i == 1 == q - j:
-                    a, b = ids_a[i], ids_b[j]
-                    groups.append(f"{a}|{b}")
-                    key = a << 16 | b
-                    pairs[key] = pairs.get(key, 0) + 1
-                else:
-                    a, b = ids_a[i:p], ids_b[j:q]
-                    groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-                    linked(pairs, a, b)
-                i, j = p, q
-                if end > border:
-                    return None
-            made.append((i - from_a, j - from_b, groups, pairs))
-        return made
-
-
-def linked(pairs: dict[int, int], a: list[int], b: list[int]) -> None:
-    """Adds the links of one group: each of ``a`` with each of ``b``."""
-    if len(a) + len(b) > 8:  # ids that come again are multiplied out
-        for x, times in Counter(a).items():
-            for y, more in Counter(b).items():
-                pairs[x << 16 | y] = pairs.get(x << 16 | y, 0) + times * more
-        return
-    for x in a:
-        for y in b:
-            pairs[x << 16 | y] = pairs.get(x << 16 | y, 0) + 1
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends, to_a, to_b = groups_of(np.cumsum(self.pair.long_a[ids_a]), np.cumsum(self.pair.long_b[ids_b]))
+        borders = np.cumsum([len(part) for part in raw])
+        last = np.searchsorted(ends, borders)
+        if (ends[last] != borders).any():
+            return None
+        in_a, in_b, groups = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0), np.diff(last, prepend=-1)
+        from_a, from_b, unit = to_a - in_a, to_b - in_b, np.repeat(np.arange(len(block)), groups)
+        n_links = in_a * in_b
+        keys, links = [], []
+        few = np.flatnonzero(in_a + in_b <= CROWD)
+        count = n_links[few]
+        of = np.repeat(few, count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        keys.append(unit[of] << 32 | ids_a[from_a[of] + nth // in_b[of]] << 16 | ids_b[from_b[of] + nth % in_b[of]])
+        links.append(np.ones(len(of), np.int64))
+        for g in np.flatnonzero(in_a + in_b > CROWD).tolist():
+            pairs = linked(ids_a[from_a[g]:to_a[g]], ids_b[from_b[g]:to_b[g]])
+            keys.append(unit[g] << 32 | pairs[0])
+            links.append(pairs[1])
+        keys, links = distinct(np.concatenate(keys), np.concatenate(links))
+        pairs = np.bincount(keys >> 32, minlength=len(block))
+        total = np.cumsum(n_links)[last]
+        own = np.stack([np.diff(to_a[last], prepend=0), np.diff(to_b[last], prepend=0), groups, np.diff(total, prepend=0),
+                        np.zeros(len(block), np.int64), np.cumsum(pairs) - pairs, pairs], axis=1)
+        # Ids in the order in which they are written: those of A before those of B in each group.
+        after_a, after_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        after_a[to_a - 1], after_b[to_b - 1] = 1, 1
+        after_b[to_b[last] - 1] = 2
+        forms = np.empty(len(ids_a) + len(ids_b), np.int64)
+        forms[np.arange(len(ids_a)) + np.repeat(from_b, in_a)] = 2 * ids_a + after_a
+        forms[np.arange(len(ids_b)) + np.repeat(to_a, in_b)] = 2 * len(self.pair.bytes_a) + 3 * ids_b + after_b
+        written = b"".join(map(self.pair.decimal.__getitem__, forms.tolist())).split(b"\n")[:-1]
+        return own, written, keys.astype(np.uint32), links
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id pairs of a large group and the links of each: ids that come again are multiplied out."""
+    (a, times), (b, more) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    return (a[:, None] << 16 | b).ravel(), (times[:, None] * more).ravel()
 
 
 class Measure:
@@ -204,7 +233,9 @@ class Measure:
         self.sizes, self.pairs, self.digest, self.kept, self.empty = np.zeros(5, np.int64), [], hashlib.sha256(), [] if keep else None, True
 
     def add(self, known: Units, stretch: list) -> None:
-        at = list(map(known.at.__getitem__, stretch))
+        self.add_numbers(known, known.numbers(stretch))
+
+    def add_numbers(self, known: Units, at: np.ndarray) -> None:
         rows = known.sizes[at]
         self.sizes += rows[:, :5].sum(axis=0)
         if self.sizes[4]:
@@ -215,8 +246,8 @@ class Measure:
         self.pairs.append(distinct(known.keys[where], known.links[where]))
         if len(self.pairs) > 16:
             self.pairs = [self._merged()]
-        text = ";".join(map(known.written.__getitem__, at))
-        self.digest.update((text if self.empty else ";" + text).encode())
+        text = b";".join(map(known.written.__getitem__, at.tolist()))
+        self.digest.update(text if self.empty else b";" + text)
         self.empty = False
         if self.kept is not None:
             self.kept.append(text)
@@ -231,7 +262,7 @@ class Measure:
             return 0, 0, 0, 0, "", b"", b"", ""
         keys, links = self._merged()
         return (*self.sizes[:4].tolist(), self.digest.hexdigest(), keys.astype("<u4").tobytes(), links.astype("<i8").tobytes(),
-                ";".join(self.kept) if self.kept is not None else "")
+                b";".join(self.kept).decode() if self.kept is not None else "")
 
 
 def distinct(keys: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,17 +288,17 @@ def groups_by_document(docs: DataFrame, name_a: str, name_b: str, keep_groups: b
             measures, waiting, size = [], [], 0
 
             def settle_waiting() -> None:
+                known.learn()
+                for measure, at in waiting:
+                    measure.add_numbers(known, at)
+                waiting.clear()
                 if known.full():
                     known.forget()
-                known.learn({u: None for _, stretch in waiting for u in stretch if u not in known.at})
-                for measure, stretch in waiting:
-                    measure.add(known, stretch)
-                waiting.clear()
 
             for text in batch.column("text").to_pylist():
                 measures.append(Measure(keep_groups))
                 for stretch in stretches(" " + text) if text else ():
-                    waiting.append((measures[-1], units(stretch)))
+                    waiting.append((measures[-1], known.numbers(units(stretch))))
                     size += len(stretch)
                     if size > STRETCH:
                         settle_waiting()

@@ -1,6 +1,7 @@
 import bisect
 import hashlib
 import random
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -107,3 +108,53 @@ def test_nothing(documents):
     assert alignment.align(documents([])).count() == 0
     rows = alignment.align(documents([(1, None), (None, ""), (2, "▁")])).collect()
     assert all(r.n_a == r.n_b == r.n_links == r.count_sum == 0 and r.groups_sha256 == "" for r in rows) and len(rows) == 3
+
+
+def learnt(pair, wanted):
+    known = alignment.Units(pair)
+    known.learn(wanted)
+    measure = alignment.Measure(True)
+    measure.add(known, wanted)
+    return known, measure.row()
+
+
+def test_units_cost_few_python_steps():
+    pair = alignment.pair_of("byte_bpe_50k.json", "piece_bpe_32k.model")
+    rng = random.Random(7)
+    wanted = sorted({"".join(rng.choice("abcdefghikléöñ") for _ in range(rng.randint(3, 16))) + rng.choice(["", ".", "!!"]) for _ in range(4000)})
+    steps = 0
+
+    def step(frame, event, arg):
+        nonlocal steps
+        steps += event in ("call", "c_call")
+
+    sys.setprofile(step)
+    try:
+        known = alignment.Units(pair)
+        known.learn(dict.fromkeys(wanted))
+    finally:
+        sys.setprofile(None)
+    assert len(known.at) == len(wanted) and known.sizes[:, 2].sum() > 4 * len(wanted)
+    assert steps < 10 * len(wanted)  # each group of each unit took several
+
+
+def test_crowded_groups_are_multiplied_out(monkeypatch):
+    pair = alignment.pair_of("byte_bpe_50k.json", "piece_bpe_32k.model")
+    rng = random.Random(8)
+    wanted = sorted({"".join(rng.choice("abé中🙂𝔘한XX") for _ in range(rng.randint(1, 30))) for _ in range(700)})
+    monkeypatch.setattr(alignment, "CROWD", 1)
+    _, all_crowded = learnt(pair, wanted)
+    monkeypatch.setattr(alignment, "CROWD", 1 << 30)
+    _, none_crowded = learnt(pair, wanted)
+    assert all_crowded == none_crowded and all_crowded[3] > len(wanted)
+
+
+def test_a_unit_whose_bytes_do_not_come_back_spoils_no_other():
+    pair = alignment.pair_of("byte_bpe_50k.json", "piece_bpe_32k.model")
+    good = [f"wörd{i}" for i in range(30)]
+    known, _ = learnt(pair, [*good[:10], "a▁b", *good[10:]])
+    assert known.sizes[:, 4].tolist() == [0] * 10 + [1] + [0] * 20
+    alone, row = learnt(pair, good)
+    measure = alignment.Measure(True)
+    measure.add(known, good)
+    assert measure.row() == row and alone.chars == known.chars - 3
