@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lineside.llm import pii, secret_scan
 from lineside.llm.spans import digest, masked
@@ -171,3 +172,58 @@ def test_secret_stretches_are_those_of_the_whole_text():
             part = secret_scan.token_features(text, some, possible, [])
             got += [(s, f, t) for s, m, f, t in zip(some, possible, part, field.viterbi(part)) if m]
         assert got == want, text
+
+
+def test_every_token_of_the_text_is_scored_and_decoded():
+    """Spans are those of one chain over all tokens, whatever these look like, also where many texts are decoded at once."""
+    rng = random.Random(8)
+    words = ["token", "=", ":", "correcthorse", "key", "x1" * 6, "Straße", "İ", "b2c3==", "9", "|", "</b>", "\u3000", "a.b/c" * 5]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", "\n", " " * 30]) for _ in range(rng.choice([0, 1, 3, 30, 90]))) for _ in range(60)]
+    texts += ["plain words only, without a digit", " \n ", "".join(rng.choice(words) + " " for _ in range(700))]
+    field = secret_scan.Field(np.random.default_rng(5).normal(size=(secret_scan.BUCKETS, 3)), np.random.default_rng(6).normal(size=(3, 3)))
+    plain, want = 0, []
+    for text in texts:
+        spans = [m.span() for m in secret_scan._TOKEN.finditer(text)]
+        may = [b - a >= 8 and any(c in "0123456789" for c in text[a:b]) for a, b in spans]
+        path = field.viterbi(secret_scan.token_features(text, spans, may, secret_scan.file_features(text))) if spans else []
+        found = []
+        for (a, b), m, tag in zip(spans, may, path):
+            if tag == secret_scan.BEGIN:
+                found.append((a, b))
+            elif tag == secret_scan.INSIDE:
+                found[-1] = (found[-1][0], b)
+            plain += tag != secret_scan.OUTSIDE and not m
+        assert [s[1:] for s in secret_scan.tagged_secrets(text, field, [])] == found, text
+        assert sum(len(some) for some, _ in secret_scan.sequences(text)) == len(spans)
+        want.append(found)
+    assert plain > 100
+    decoder = secret_scan.Decoder(field, most=50)
+    assert [decoder.tags(texts[:40]), decoder.tags(texts[40:])] == [want[:40], want[40:]]
+
+
+def test_a_secret_of_letters_alone_is_learnt_and_found():
+    rng, data = random.Random(3), []
+    for _ in range(60):
+        value = "".join(rng.choice("abcdefghijkmnopqrstuvwxyz") for _ in range(20))
+        data += secret_scan.training_sequences(f"then came the {rng.choice(['password', 'token', 'secret'])}={value} and more words")
+        data += secret_scan.training_sequences(f"then came the {rng.choice(['letter', 'colour', 'size'])} and more {rng.choice(['words', 'lines'])}")
+    field = secret_scan.fit_field(data)
+    text = "then came the passphrase=qzkwvxjhpqmnbvtrlksd and more words"
+    assert [text[a:b] for _, a, b in secret_scan.tagged_secrets(text, field, [])] == ["qzkwvxjhpqmnbvtrlksd"]
+
+
+def test_sums_by_blocks_are_those_of_one_token_after_another():
+    rng = np.random.default_rng(1)
+    size = np.array([1, 2, 64, 65, 200, 3, 128, 129])
+    x, move = rng.uniform(0.01, 1, (size.sum(), 3)), rng.uniform(0.1, 2, (3, 3))
+    x[np.cumsum(size) - size, 2] = move[0, 2] = 0
+    got, o = secret_scan._both_ways(x, size, move), 0
+    for n in size:
+        fore, aft = [x[o]], [np.ones(3)]
+        for t in range(o + 1, o + n):
+            fore.append(fore[-1] @ move * x[t])
+        for t in range(o + n - 1, o, -1):
+            aft.append(move @ (x[t] * aft[-1]))
+        for mine, want in zip(got, (fore, aft[::-1])):
+            assert mine[o:o + n] / mine[o:o + n].sum(axis=1, keepdims=True) == pytest.approx(np.array([w / w.sum() for w in want]))
+        o += n
