@@ -487,6 +487,9 @@ def longest_variant(df: DataFrame, group: str, variant: str) -> DataFrame:
 #: Tiles are this many reaches wide, so few places lie near a border. Places and segment points of one tile that share a row key.
 _TILE_REACHES, _TILE_VISITS, _TILE_POINTS = 8, 1 << 20, 1 << 16
 
+#: Visits beside a visit of the same group, as a mean, from which a group is crowded.
+_BESIDE = 16
+
 #: Pairs that a task holds at once, parts a range of counts is cut into, and sums it holds before it passes them on.
 _PAIRS, _PARTS, _HELD = 2_000_000, 32, 1_000_000
 
@@ -541,7 +544,11 @@ class _Tile:
         self.n_segs = segs.num_rows
         rx, ry = _whole(segs["_rx"]), _whole(segs["_ry"])
         of = np.repeat(np.arange(self.n_segs), pc.list_value_length(rx).to_numpy(zero_copy_only=False))
-        self.first, self.many, self.seg = self._near(rx.flatten().to_numpy(), ry.flatten().to_numpy(), of, radius)
+        flat = rx.flatten().to_numpy(), ry.flatten().to_numpy()
+        self.first, self.many, self.seg = self._near(*flat, of, radius)
+        starts = np.r_[0, np.flatnonzero(np.diff(of)) + 1]
+        # places farther apart than this along x, along y share no segment
+        self.apart = [float((np.maximum.reduceat(v, starts) - np.minimum.reduceat(v, starts)).max()) * (1 + 1e-9) + 2 * radius + 1e-3 for v in flat]
         groups = _whole(spots["_groups"])
         names = groups.flatten().dictionary_encode()
         self.names, self.group = names.dictionary, names.indices.to_numpy().astype(np.int64)
@@ -577,11 +584,61 @@ class _Tile:
         many = np.bincount(codes // self.n_segs, minlength=len(self.x))
         return np.cumsum(many) - many, many, codes % self.n_segs
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Group and row of what it meets, each pair once, in the order of the groups, no group in two chunks."""
-        order = np.argsort(self.group, kind="stable")
-        order = order[self.many[self.spot[order]] > 0]
-        group, spot = self.group[order], self.spot[order]
+    def meets(self) -> tuple[np.ndarray, np.ndarray, Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]]:
+        """What each group meets, each segment once: group and place of the visits that bring all segments of the place, in the order of the
+        groups; and group and segment of the rest, in chunks in the order of the groups.
+
+        A visit brings all of its segments when no visit of its group before it, from west to east, is near enough to share one. Only for the others are
+        segments compared. Groups that are crowded in the tile list and sort theirs.
+        """
+        use = np.flatnonzero(self.many[self.spot] > 0)
+        use = use[np.lexsort((self.x[self.spot[use]], self.group[use]))]
+        group, spot = self.group[use], self.spot[use]
+        if not len(use):
+            return group, spot, lambda: iter(())
+        x, y = self.x[spot], self.y[spot]
+        along = x - x.min()
+        key = group * (along.max() + self.apart[0] + 1) + along
+        here = np.arange(len(use))
+        n = np.searchsorted(key, key + self.apart[0] * (1 + 1e-9) + 1e-3, "right") - here - 1
+        n = np.minimum(n, np.searchsorted(group, group, "right") - here - 1)
+        visits, beside = np.bincount(group), np.bincount(group, n)
+        crowded = (beside > _BESIDE * visits)[group]
+        n[crowded] = 0
+        early, late = [], []
+        for a, b in _chunks(n, self.most):
+            i = np.repeat(here[a:b], n[a:b])
+            j = _ranges(here[a:b] + 1, n[a:b])
+            near = np.abs(y[i] - y[j]) <= self.apart[1]
+            early.append(i[near])
+            late.append(j[near])
+        i, j = np.concatenate(early), np.concatenate(late)
+        order = np.argsort(j, kind="stable")
+        i, j = i[order], j[order]
+        whole = ~crowded
+        whole[j] = False
+
+        def rest() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield from self._sorted(group[crowded], spot[crowded])
+            first = np.r_[0, np.flatnonzero(np.diff(j)) + 1] if len(j) else np.empty(0, np.int64)
+            ends, some = np.r_[first[1:], len(j)], j[first]
+            cost = np.maximum(self.many[spot[some]] + (np.add.reduceat(self.many[spot[i]], first) if len(first) else 0), self.n_segs // 32)
+            for a, b in _chunks(cost, self.most):
+                mine, other = some[a:b], i[first[a]:ends[b - 1]]
+                seen = np.zeros((b - a) * self.n_segs, bool)
+                row = np.repeat(np.arange(b - a), (ends - first)[a:b])
+                m = self.many[spot[other]]
+                seen[np.repeat(row * self.n_segs, m) + self.seg[_ranges(self.first[spot[other]], m)]] = True
+                m = self.many[spot[mine]]
+                seg = self.seg[_ranges(self.first[spot[mine]], m)]
+                new = ~seen[np.repeat(np.arange(b - a) * self.n_segs, m) + seg]
+                if new.any():
+                    yield np.repeat(group[mine], m)[new], seg[new]
+
+        return group[whole], spot[whole], rest
+
+    def _sorted(self, group: np.ndarray, spot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Group and segment, each pair once, in the order of the groups, no group in two chunks."""
         n, start = self.many[spot], self.first[spot]
         goes_on = np.empty(0, np.int64)
         for a, b in _chunks(n, self.most):
@@ -589,16 +646,40 @@ class _Tile:
             if b < len(group):
                 cut = np.searchsorted(codes, group[b - 1] * self.n_segs)
                 codes, goes_on = codes[:cut], codes[cut:]
-            g, s = codes // self.n_segs, codes % self.n_segs
-            n_rows = self.rows_of[s]
-            if n_rows.sum():
-                yield np.repeat(g, n_rows), _ranges(self.first_row[s], n_rows)
+            if len(codes):
+                yield codes // self.n_segs, codes % self.n_segs
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Segment and count of each row with a count."""
+        row = np.flatnonzero(self.known[0])
+        return np.repeat(np.arange(self.n_segs), self.rows_of)[row], self.carries[0].astype(float)[row]
+
+    def counts_near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the segments near each place, place by place: where those of a place begin, how many, each with its segment's place in the list."""
+        seg, value = self.counts()
+        n = np.bincount(seg, minlength=self.n_segs)
+        start = np.cumsum(n) - n
+        spot = np.repeat(np.arange(len(self.x)), self.many)
+        at = _ranges(start[self.seg], n[self.seg])
+        spot = np.repeat(spot, n[self.seg])
+        many = np.bincount(spot, minlength=len(self.x))
+        return np.cumsum(many) - many, many, spot, value[at]
 
 
 _SUMS = ("length", "count_length", "count", "truck_length", "length_trucks", "truck")
 _SUM_ROWS = ("x double, y double, n bigint, " + ", ".join(f"s_{c} double, n_{c} bigint" for c in _SUMS) + ", low double, high double, top bigint")
 
 
+def _folded(how: np.ufunc, value: np.ndarray, first: np.ndarray, many: np.ndarray, none: float) -> np.ndarray:
+    """``how`` over the ``many`` values of each row from ``first`` on, rows one after another; ``none`` for rows without one."""
+    out = np.full(len(many), none, value.dtype)
+    some = np.flatnonzero(many)
+    if len(some):
+        with np.errstate(all="ignore"):
+            out[some] = how.reduceat(value, first[some])
+    return out
+
+
 def _sum_tiles(radius: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Places that meet a segment (a row each, without a group), and the sums of each group of a tile."""
 
@@ -612,18 +693,29 @@ def _sum_tiles(radius: float, schema: pa.Schema) -> Callable[[Iterator[pa.Record
             (count, truck, length), (vc, vt, vl) = tile.carries, tile.known
             with np.errstate(all="ignore"):
                 parts = [(length, vl), (count.astype(float) * length, vc & vl), (count.astype(float), vc), (truck * length, vt & vl), (length, vt & vl), (truck, vt)]
-            parts = [(np.where(known, v, 0.0), known) for v, known in parts]
-            for group, row in tile.pairs():
-                at = np.r_[0, np.flatnonzero(np.diff(group)) + 1]
-                out = {"_group": tile.names.take(pa.array(group[at])), "n": np.diff(np.r_[at, len(group)])}
-                for name, (value, known) in zip(_SUMS, parts):
-                    out[f"s_{name}"] = np.add.reduceat(value[row], at)
-                    out[f"n_{name}"] = np.add.reduceat(known[row].astype(np.int64), at)
-                none = out["n_count"] == 0
-                out["top"] = pa.array(np.maximum.reduceat(np.where(vc, count, np.iinfo(np.int64).min)[row], at), mask=none)
-                out["low"] = pa.array(np.minimum.reduceat(np.where(vc, count.astype(float), np.inf)[row], at), mask=none)
-                out["high"] = pa.array(np.maximum.reduceat(np.where(vc, count.astype(float), -np.inf)[row], at), mask=none)
-                yield _batch(schema, len(at), **out)
+            real = count.astype(float)
+            columns = [(np.add, np.ones(len(count), np.int64), 0, "n")]
+            for name, (value, known) in zip(_SUMS, parts):
+                columns += [(np.add, np.where(known, value, 0.0), 0, f"s_{name}"), (np.add, known.astype(np.int64), 0, f"n_{name}")]
+            columns += [(np.maximum, np.where(vc, count, np.iinfo(np.int64).min), np.iinfo(np.int64).min, "top"),
+                        (np.minimum, np.where(vc, real, np.inf), np.inf, "low"), (np.maximum, np.where(vc, real, -np.inf), -np.inf, "high")]
+            group, spot, rest = tile.meets()
+            of_seg = [_folded(how, value, tile.first_row, tile.rows_of, none) for how, value, none, _ in columns]
+            of_spot = [_folded(how, value[tile.seg], tile.first, tile.many, none) for (how, _, none, _), value in zip(columns, of_seg)]
+            out = {name: np.full(len(tile.names), none, value.dtype) for _, value, none, name in columns}
+            with np.errstate(all="ignore"):
+                for group, values in ((group, [v[spot] for v in of_spot]), *((g, [v[seg] for v in of_seg]) for g, seg in rest())):
+                    if len(group):
+                        at = np.r_[0, np.flatnonzero(np.diff(group)) + 1]
+                        for (how, _, _, name), value in zip(columns, values):
+                            out[name][group[at]] = how(out[name][group[at]], how.reduceat(value, at))
+            met = np.flatnonzero(out["n"])
+            out = {name: value[met] for name, value in out.items()}
+            none = out["n_count"] == 0
+            for name in ("top", "low", "high"):
+                out[name] = pa.array(out[name], mask=none)
+            if len(met):
+                yield _batch(schema, len(met), _group=tile.names.take(pa.array(met)), **out)
 
     return summed
 
@@ -638,6 +730,131 @@ def _batch(schema: pa.Schema, size: int, /, **columns) -> pa.RecordBatch:
 _ASKED = 4
 
 
+#: Cuts that the counts of all groups are first told apart by, and places that are counted so at once.
+_CUTS, _PLACES = 255, 1 << 15
+
+
+def _count_cuts(cuts: list[float]) -> Callable[..., Callable]:
+    """How many counts of a group lie between the cuts, packed into as few bytes as they need."""
+    bins = len(cuts) + 1
+
+    def job(radius: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def out(rows: dict, held: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            names, held = pa.array(list(rows), kind), held[:len(rows)]
+            narrow = held.max(axis=1, initial=0)
+            done = np.zeros(len(held), bool)
+            for dtype in (np.uint8, np.uint16, np.int64):
+                fits = np.flatnonzero(~done & (narrow <= np.iinfo(dtype).max))
+                done[fits] = True
+                for a in range(0, len(fits), 4096):
+                    some = fits[a:a + 4096]
+                    yield _batch(schema, len(some), _group=names.take(pa.array(some)), parts=pa.array([r.tobytes() for r in held[some].astype(dtype)], pa.binary()))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, held, kind = {}, np.zeros((0, bins), np.int64), schema.field("_group").type
+
+            def add(where: np.ndarray, group: np.ndarray, parts: np.ndarray, row: np.ndarray) -> None:
+                for a in range(0, len(group), _PLACES):
+                    some = group[a:a + _PLACES]
+                    at = np.r_[0, np.flatnonzero(np.diff(some)) + 1]
+                    held[where[some[at]]] += np.add.reduceat(parts[row[a:a + _PLACES]], at, axis=0, dtype=np.int64)
+
+            for _, laid in _tiles(batches):
+                if not 0 < pc.sum(laid["_spot"]).as_py() < laid.num_rows:
+                    continue
+                tile = _Tile(laid, radius, _PAIRS)
+                group, spot, rest = tile.meets()
+                where = np.array([rows.setdefault(g, len(rows)) for g in tile.names.to_pylist()], np.int64)
+                if len(rows) > len(held):
+                    held = np.concatenate([held, np.zeros((max(len(rows) - len(held), len(held)), bins), np.int64)])
+                seg, value = tile.counts()
+                of_seg = np.bincount(seg * bins + np.searchsorted(cuts, value, "right"), minlength=tile.n_segs * bins).reshape(-1, bins)
+                _, _, near, value = tile.counts_near()
+                part = np.searchsorted(cuts, value, "right")
+                for block in range(0, len(tile.x), _PLACES):  # few places at once, as each has all parts
+                    stop = min(block + _PLACES, len(tile.x))
+                    a, b = np.searchsorted(near, [block, stop])
+                    of_spot = np.bincount((near[a:b] - block) * bins + part[a:b], minlength=(stop - block) * bins).reshape(-1, bins).astype(np.int32)
+                    mine = (spot >= block) & (spot < stop)
+                    add(where, group[mine], of_spot, spot[mine] - block)
+                for group, seg in rest():
+                    add(where, group, of_seg, seg)
+                if len(rows) > _HELD // 8:
+                    yield from out(rows, held, kind)
+                    rows, held = {}, np.zeros((0, bins), np.int64)
+            if rows:
+                yield from out(rows, held, kind)
+
+        return counted
+
+    return job
+
+
+def _places_between(cuts: list[float], least: float, most: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Between which cuts the asked positions of each group lie; rows come in the order of the groups."""
+    bins = len(cuts) + 1
+    low, high = np.r_[least, cuts], np.r_[np.array(cuts) - 1, most]
+
+    def asked(names: list, held: np.ndarray) -> pa.RecordBatch:
+        total = held.cumsum(axis=1)
+        n = total[:, -1:]
+        where = np.array([[end((m - 1) * p) for p in (0.5, 0.9) for end in (math.floor, math.ceil)] for m in n[:, 0].tolist()], np.int64).reshape(-1, _ASKED)
+        part = (total[:, None, :] <= where[:, :, None]).sum(axis=2)
+        below = np.take_along_axis(total - held, part, axis=1)
+        keep = np.repeat(n[:, 0] > 0, _ASKED)
+        part, k = part.ravel()[keep], (where - below).ravel()[keep]
+        group = pa.array(names, schema.field("_group").type).take(pa.array(np.repeat(np.arange(len(names)), _ASKED)[keep]))
+        return _batch(schema, len(k), _group=group, i=np.tile(np.arange(_ASKED), len(names))[keep], k=k, low=low[part], high=np.maximum(low, high)[part])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = [], []
+        for batch in batches:
+            for name, packed in zip(batch.column("_group").to_pylist(), batch.column("parts").to_pylist()):
+                row = np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 8: np.int64}[len(packed) // bins]).astype(np.int64)
+                if names and names[-1] == name:
+                    held[-1] += row
+                    continue
+                if len(names) == 2048:
+                    yield asked(names, np.array(held))
+                    names, held = [], []
+                names.append(name)
+                held.append(row)
+        if names:
+            yield asked(names, np.array(held))
+
+    return run
+
+
+def _asked_counts(tile: _Tile, asks: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Counts within the ranges asked for, with the row that asks and the number of its range; ``asks`` has the row of each group of the tile."""
+    group, spot, rest = tile.meets()
+    group, spot = (c[asks[group] >= 0] for c in (group, spot))
+    _, _, near, value = tile.counts_near()
+    order = np.lexsort((value, near))
+    near, value = near[order], value[order]
+    known = np.unique(value)
+    code = near * (len(known) + 1) + np.searchsorted(known, value)
+    for j in range(_ASKED):
+        at = asks[group]
+        use = np.flatnonzero(low[at, j] < high[at, j])
+        first, last = (np.searchsorted(code, spot[use] * (len(known) + 1) + np.searchsorted(known, bound[at[use], j], side), "left") for bound, side in ((low, "left"), (high, "right")))
+        n = last - first
+        for a, b in _chunks(n, tile.most):
+            if n[a:b].any():
+                yield value[_ranges(first[a:b], n[a:b])], np.repeat(at[use[a:b]], n[a:b]), j
+    seg, value = tile.counts()
+    n = np.bincount(seg, minlength=tile.n_segs)
+    start = np.cumsum(n) - n
+    for group, seg in rest():
+        at = np.repeat(asks[group], n[seg])
+        found = value[_ranges(start[seg], n[seg])]
+        found, at = found[at >= 0], at[at >= 0]
+        for j in range(_ASKED):
+            inside = (found >= low[at, j]) & (found <= high[at, j]) & (low[at, j] < high[at, j])
+            if inside.any():
+                yield found[inside], at[inside], j
+
+
 def _count_parts(radius: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """How many counts of a group lie in each part of the ranges it asks for, with the least and largest of them."""
 
@@ -667,20 +884,11 @@ def _count_parts(radius: float, schema: pa.Schema) -> Callable[[Iterator[pa.Reco
                 continue
             tile = _Tile(rows, radius, _PAIRS)
             asks = pc.index_in(tile.names, value_set=asking).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            count, known = tile.carries[0].astype(float), tile.known[0]
-            for group, row in tile.pairs():
-                value, at = count[row], asks[group]
-                use = known[row] & (at >= 0)
-                value, at = value[use], at[use]
-                for j in range(_ASKED):
-                    a, b = low[at, j], high[at, j]
-                    inside = (value >= a) & (value <= b)
-                    if not inside.any():
-                        continue
-                    v, a, b = value[inside], a[inside], b[inside]
-                    part = np.minimum(((v - a) / (b - a) * _PARTS).astype(np.int64), _PARTS - 1)
-                    held.append(merged([((at[inside] * _ASKED + j) * _PARTS + part, np.ones(len(v), np.int64), v, v)]))
-                    size += len(held[-1][0])
+            for value, at, j in _asked_counts(tile, asks, low, high):
+                a, b = low[at, j], high[at, j]
+                part = np.minimum(((value - a) / (b - a) * _PARTS).astype(np.int64), _PARTS - 1)
+                held.append(merged([((at * _ASKED + j) * _PARTS + part, np.ones(len(value), np.int64), value, value)]))
+                size += len(held[-1][0])
                 if size > 2 * _HELD:
                     held = [merged(held)]
                     size = len(held[0][0])
@@ -743,9 +951,13 @@ def _group_sums(visits: DataFrame, shapes: DataFrame, kind: str, radius: float)
     carried = found.where(F.col("_group").isNotNull()).drop("x", "y")
 
     places_of = [(F.col("n_count") - 1) * F.lit(p) for p in (0.5, 0.9)]
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), end(p).cast("long").alias("k")) for i, (p, end) in enumerate(
-        (p, end) for p in places_of for end in (F.floor, F.ceil))])
-    state = settle(carried.where("n_count > 0").select("_group", F.explode(wanted).alias("_w"), "low", "high").select("_group", "_w.*", "low", "high"))
+    counts_of = shapes.select(F.explode("_count").alias("c")).select(F.col("c").cast("double")).where("c IS NOT NULL")
+    bounds = counts_of.agg(F.min("c").alias("least"), F.max("c").alias("most"),
+                           F.percentile_approx("c", [i / (_CUTS + 1) for i in range(1, _CUTS + 1)], 10_000).alias("cuts")).first()
+    cuts = sorted(set(bounds.cuts or []))
+    state_kind = f"_group {kind}, i int, k bigint, low double, high double"
+    packed = walk(rows, _count_cuts(cuts), "parts binary").repartition(tasks, "_group").sortWithinPartitions("_group")
+    state = settle(packed.mapInArrow(_places_between(cuts, bounds.least or 0.0, bounds.most or 0.0, to_arrow_schema(_parse_datatype_string(state_kind))), state_kind))
     while state.where("low < high").limit(1).count():
         wide = state.where("low < high")
         ranges = wide.groupBy("_group").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("_r")).select(
