@@ -267,3 +267,26 @@ def test_nearest_neighbour_writes_the_rows_once(spark, frame, monkeypatch, compa
         assert got[g, i] == (more, pytest.approx(near, abs=1e-6) if near is not None else None), (g, i)
     if compared == 2048:  # no second frame with a row for each place
         assert sum(d.count() for d in written) == len(placed)
+
+
+@pytest.mark.parametrize("beside", [16, 0, -1])
+def test_visits_of_a_tile_bring_each_segment_once(monkeypatch, beside):
+    import pyarrow as pa
+
+    monkeypatch.setattr(spatial, "_BESIDE", beside)
+    rng = random.Random(2)
+    spots = [(rng.uniform(0, 900), rng.uniform(0, 900), [f"g{g}" for g in rng.sample(range(20), 4)]) for _ in range(80)]
+    roads = [[(x, y), (x + 40, y + 20)] for x, y in ((rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(300))]
+    rows = [{"_spot": True, "x": x, "y": y, "_groups": g} for x, y, g in spots]
+    rows += [{"_spot": False, "_rx": [x for x, _ in r], "_ry": [y for _, y in r], "_count": [1], "_truck": [1.0], "_length": [1.0]} for r in roads]
+    doubles = pa.list_(pa.float64())
+    kinds = {"_spot": pa.bool_(), "x": pa.float64(), "y": pa.float64(), "_groups": pa.list_(pa.string()), "_rx": doubles, "_ry": doubles,
+             "_count": pa.list_(pa.int64()), "_truck": doubles, "_length": doubles}
+    tile = spatial._Tile(pa.Table.from_pylist(rows, pa.schema(list(kinds.items()))), 30.0, 50)
+    group, spot, rest = tile.meets()
+    names = tile.names.to_pylist()
+    got = [(names[g], int(s)) for g, p in zip(group, spot) for s in tile.seg[tile.first[p]:tile.first[p] + tile.many[p]]]
+    got += [(names[g], int(s)) for gs, segs in rest() for g, s in zip(gs, segs)]
+    want = {(g, i) for x, y, gs in spots for i, r in enumerate(roads) if any((x - a) ** 2 + (y - b) ** 2 <= 900 for a, b in r) for g in gs}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert beside < 16 or len(group) > 100  # most visits are taken whole
